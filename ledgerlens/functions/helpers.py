@@ -42,8 +42,9 @@ def date_parts(d: Column) -> list[Column]:
     ]
 
 
-def time_parts(t: Column) -> list[Column]:
-    return [F.hour(t).alias("posting_hour"), F.minute(t).alias("posting_minute")]
+def time_parts(col: Column, fmt: str = text.DEFAULT_TIME_FORMAT) -> list[Column]:
+    hour, minute = text.time_of_day_parts(col, fmt)
+    return [hour.alias("posting_hour"), minute.alias("posting_minute")]
 
 
 def helper_columns(df: DataFrame, date_formats=text.DEFAULT_DATE_FORMATS,
@@ -55,7 +56,7 @@ def helper_columns(df: DataFrame, date_formats=text.DEFAULT_DATE_FORMATS,
     if "posting_date" in cols:
         out += date_parts(_as_date(df, "posting_date", date_formats))
     if "posting_time" in cols:
-        out += time_parts(text.parse_time_of_day(F.col("posting_time"), time_format))
+        out += time_parts(F.col("posting_time"), time_format)
     if "description" in cols:
         out += [F.char_length("description").alias("description_length"),
                 F.col("description").isNotNull().alias("has_description")]

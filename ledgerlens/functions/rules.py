@@ -1,7 +1,8 @@
-"""Row validation rules (one nullable message column per rule).
+"""Row validation rules.
 
-Each rule returns ``when(<fault>, lit(message))``: null when the row passes.
-The validate operator packs them into ``array_compact(array(...))``.
+A rule is a pair (fault condition, message).  The validate operator turns
+the list into ``is_valid`` (a plain boolean: no rule fires) and
+``error_messages`` (the messages of the rules that fire, in order).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import text
 from ledgerlens.functions.registry import Field
 
+Rule = tuple[Column, str]
 
 # FIXED VALUES: rule messages, "{name}" is the canonical field name.
 MSG_REQUIRED = "{name} is required"
@@ -20,27 +22,26 @@ MSG_FLOAT = "{name} must be decimal number"
 MSG_DATE = "{name} invalid date"
 
 
-def required(name: str) -> Column:
-    c = F.col(name)
-    return F.when(c.isNull(), F.lit(MSG_REQUIRED.format(name=name)))
+def required(name: str) -> Rule:
+    return F.col(name).isNull(), MSG_REQUIRED.format(name=name)
 
 
-def integer(name: str) -> Column:
+def integer(name: str) -> Rule:
     c = F.col(name)
-    return F.when(c.isNotNull() & text.parse_long(c).isNull(), F.lit(MSG_INTEGER.format(name=name)))
+    return c.isNotNull() & text.parse_long(c).isNull(), MSG_INTEGER.format(name=name)
 
 
-def decimal(name: str) -> Column:
+def decimal(name: str) -> Rule:
     c = F.col(name)
-    return F.when(c.isNotNull() & text.parse_double(c).isNull(), F.lit(MSG_FLOAT.format(name=name)))
+    return c.isNotNull() & text.parse_double(c).isNull(), MSG_FLOAT.format(name=name)
 
 
-def date(name: str, formats=text.DEFAULT_DATE_FORMATS) -> Column:
+def date(name: str, formats=text.DEFAULT_DATE_FORMATS) -> Rule:
     c = F.col(name)
-    return F.when(c.isNotNull() & text.parse_date(c, formats).isNull(), F.lit(MSG_DATE.format(name=name)))
+    return c.isNotNull() & text.parse_date(c, formats).isNull(), MSG_DATE.format(name=name)
 
 
-def rules_for(field: Field, date_formats=text.DEFAULT_DATE_FORMATS) -> list[Column]:
+def rules_for(field: Field, date_formats=text.DEFAULT_DATE_FORMATS) -> list[Rule]:
     """Rules of one mapped field, in order: required first, then its type rule.
 
     ``str`` and ``datetime`` fields only get the required rule.
@@ -56,3 +57,25 @@ def rules_for(field: Field, date_formats=text.DEFAULT_DATE_FORMATS) -> list[Colu
     elif field.dtype == "date":
         out.append(date(name, date_formats))
     return out
+
+
+def messages(rules: list[Rule]) -> Column:
+    """``array<string>`` of the messages of firing rules, in rule order.
+
+    Built as a concat of one- or zero-element arrays: unlike a filter with a
+    lambda, this keeps the projection inside whole-stage codegen.
+    """
+    empty = F.array().cast("array<string>")
+    if not rules:
+        return empty
+    return F.concat(*[F.when(cond, F.array(F.lit(msg))).otherwise(empty) for cond, msg in rules])
+
+
+def passes(rules: list[Rule]) -> Column:
+    """True when no rule fires (every condition is a non-null boolean)."""
+    if not rules:
+        return F.lit(True)
+    fired = rules[0][0]
+    for cond, _ in rules[1:]:
+        fired = fired | cond
+    return ~fired

@@ -1,8 +1,10 @@
 """Scalar text/parse expressions shared by the validation and transform stages.
 
-All are native Catalyst expressions (no Python UDFs), so they stay inside
-whole-stage codegen.  User data is always parsed with ``try_*`` variants:
-ANSI mode is on by default and a plain cast of 'abc' would fail the job.
+All are native Catalyst expressions with code generation (no Python UDFs,
+no higher-order functions, no per-value regex where a plain string test
+does), so whole-stage codegen covers the stage.  User data is always
+parsed with ``try_*`` variants: ANSI mode is on by default and a plain cast
+of 'abc' would fail the job.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ NUMERIC_LITERAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd",)
 DEFAULT_TIME_FORMAT = "HH:mm:ss"
 
-# Leading/trailing whitespace (``trim`` alone keeps tabs and newlines).
-_EDGE_SPACE = r"^\s+|\s+$"
+# Whitespace removed at both ends of text values (the same set as \s).
+WHITESPACE = " \t\n\r\f\u000b"
+_ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_HMS = r"^[0-9]{2}:[0-9]{2}:[0-9]{2}$"
 
 
 def strip(col: Column) -> Column:
-    """Remove leading and trailing whitespace, tabs included."""
-    return F.regexp_replace(col.cast("string"), _EDGE_SPACE, "")
+    """Remove leading and trailing whitespace, tabs included (no regex)."""
+    return F.btrim(col.cast("string"), F.lit(WHITESPACE))
 
 
 def parse_long(col: Column) -> Column:
@@ -42,13 +46,29 @@ def parse_double(col: Column) -> Column:
     return F.when(trimmed.rlike(NUMERIC_LITERAL), trimmed.try_cast("double"))
 
 
+def _parse_one_date(text: Column, fmt: str) -> Column:
+    if fmt == "yyyy-MM-dd":
+        # Same result as the strict formatter (4-digit year, 2-digit month
+        # and day, real calendar date) through the cheap built-in cast.
+        return F.when(text.rlike(_ISO_DATE), text.try_cast("date"))
+    return F.try_to_date(text, fmt)
+
+
 def parse_date(col: Column, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text -> date using the first layout that parses, else null."""
     text = strip(col)
-    parsed = [F.try_to_date(text, fmt) for fmt in formats]
+    parsed = [_parse_one_date(text, fmt) for fmt in formats]
     return parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
 
 
-def parse_time_of_day(col: Column, fmt: str = DEFAULT_TIME_FORMAT) -> Column:
-    """Text -> timestamp on 1970-01-01 holding the time of day, else null."""
-    return F.try_to_timestamp(strip(col), F.lit(fmt))
+def time_of_day_parts(col: Column, fmt: str = DEFAULT_TIME_FORMAT) -> tuple[Column, Column]:
+    """(hour, minute) of a time-of-day text, both null when it does not parse."""
+    text = strip(col)
+    if fmt == "HH:mm:ss":
+        hour = text.substr(1, 2).try_cast("int")
+        minute = text.substr(4, 2).try_cast("int")
+        second = text.substr(7, 2).try_cast("int")
+        ok = (text.rlike(_HMS) & (hour <= 23) & (minute <= 59) & (second <= 59))
+        return F.when(ok, hour), F.when(ok, minute)
+    ts = F.try_to_timestamp(text, F.lit(fmt))
+    return F.hour(ts), F.minute(ts)

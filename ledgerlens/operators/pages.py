@@ -55,3 +55,25 @@ def raw_page(df: DataFrame, offset: int = 0, limit: int = DEFAULT_PAGE, row_coun
         "data": page.drop("row_id"),
         "has_next": offset + limit < row_count,
     }
+
+
+def raw_dataset_page(spark, raw_path: str, offset: int = 0, limit: int = DEFAULT_PAGE,
+                     row_count: int | None = None) -> dict:
+    """Page of an ingested raw dataset; the row range becomes a scan filter."""
+    from ledgerlens.sources.csv_ingest import raw_rows, read_raw
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
+    if offset < 0:
+        raise ValueError("offset must be >= 0")
+    if row_count is None:
+        row_count = int(spark.read.parquet(f"{raw_path.rstrip('/')}/_row_offsets")
+                        .agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0])
+    schema_df = read_raw(spark, raw_path)
+    return {
+        "offset": offset,
+        "limit": limit,
+        "row_count": row_count,
+        "columns": column_types(schema_df),
+        "data": raw_rows(spark, raw_path, offset, limit).drop("row_id"),
+        "has_next": offset + limit < row_count,
+    }

@@ -16,23 +16,23 @@ from ledgerlens.functions.registry import FieldRegistry, registry as default_reg
 from ledgerlens.operators.mapping import apply_mapping, mapped_fields
 
 
-def error_messages(fields, date_formats=text.DEFAULT_DATE_FORMATS):
-    """``array<string>`` of failing-rule messages in mapping order."""
-    exprs = [r for f in fields for r in rules.rules_for(f, date_formats)]
-    if not exprs:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*exprs))
+def rule_list(fields, date_formats=text.DEFAULT_DATE_FORMATS):
+    """(fault condition, message) for every rule of the mapped fields, in mapping order."""
+    return [r for f in fields for r in rules.rules_for(f, date_formats)]
 
 
 def validate(raw: DataFrame, mapping: Mapping[str, str],
              registry: FieldRegistry = default_registry,
              date_formats=text.DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Mapped canonical columns (still text) + ``error_messages`` + ``is_valid``."""
+    """Mapped canonical columns (still text) + ``error_messages`` + ``is_valid``.
+
+    ``is_valid`` is computed from the fault conditions directly, not from
+    the message array, so a later ``filter(is_valid)`` that drops the
+    messages never builds them.
+    """
     mapped = apply_mapping(raw, mapping, registry)
-    fields = [f for _, f in mapped_fields(mapping, registry)]
-    return (mapped
-            .withColumn("error_messages", error_messages(fields, date_formats))
-            .withColumn("is_valid", F.size("error_messages") == 0))
+    rl = rule_list([f for _, f in mapped_fields(mapping, registry)], date_formats)
+    return mapped.select("*", rules.messages(rl).alias("error_messages"), rules.passes(rl).alias("is_valid"))
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:

@@ -25,15 +25,15 @@ from ledgerlens.operators.mapping import check_mapping
 from ledgerlens.operators.validate import validate, validation_summary
 from ledgerlens.operators.view import compile_view
 from ledgerlens.plans.spec import ViewSpec
-from ledgerlens.sources.csv_ingest import IngestResult, ingest_csv
+from ledgerlens.sources.csv_ingest import IngestResult, ingest_csv, read_raw
 from ledgerlens.sources.parquet_io import scan_parquet, sink_parquet
 
 
 def validate_dataset(spark: SparkSession, raw_path: str, mapping: Mapping[str, str], dest: str, *,
                      registry: FieldRegistry = default_registry,
                      date_formats=text.DEFAULT_DATE_FORMATS) -> dict:
-    """raw -> validated Parquet; returns ``{"total_rows", "invalid_rows"}``."""
-    validated = validate(scan_parquet(spark, raw_path), mapping, registry, date_formats)
+    """raw -> validated Parquet (row_id materialised); returns ``{"total_rows", "invalid_rows"}``."""
+    validated = validate(read_raw(spark, raw_path), mapping, registry, date_formats)
     sink_parquet(validated, dest)
     row = validation_summary(scan_parquet(spark, dest)).first()
     return {"total_rows": int(row["total_rows"]), "invalid_rows": int(row["invalid_rows"])}

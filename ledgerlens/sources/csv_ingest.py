@@ -1,23 +1,27 @@
-"""CSV ingest: headered CSV -> raw Parquet with a file-order ``row_id``.
+"""CSV ingest: headered CSV -> raw Parquet, with a file-order ``row_id``.
 
 Every column is read as text (leading zeros in account codes survive) with a
 schema built from the header, in PERMISSIVE mode with a corrupt-record
 column: rows whose field count differs from the header land there and fail
 the ingest, as does a file whose header differs from the first file's.
 
-Job layout (no step collects data to the driver):
-
-1. CSV -> staging Parquet in the shared scratch folder, carrying per-row
-   ``monotonically_increasing_id`` plus the source file and split start.
-   Storing them once makes every later step see the same ids, even if
-   executors come and go and the split packing would differ on a re-read.
-2. One row per (file, split): min id, rows, corrupt rows.  Offsets are a
-   running sum per file (window partitioned by file) plus a running sum over
-   files (one row per input file, the same order of magnitude as the file
-   listing Spark's driver already holds).  The table is checkpointed.
-3. staging join offsets -> ``row_id = offset + id - min_id``; the offsets
-   side is broadcast only when its row count is below a bound, otherwise a
-   shuffle join is used.  Written as zstd Parquet.
+The data is written once.  Each row keeps the ``monotonically_increasing_id``
+it got while being read (``_mid``: partition id in the upper 31 bits, row
+position in the lower 33) and the source file / split it came from.  Storing
+the ids makes them final: later jobs see the same values even if executors
+come and go and a re-read would pack splits differently.
+
+A sidecar table ``_row_offsets`` (one row per file split, ignored by Parquet
+readers because of the leading underscore) holds the split's first ``_mid``,
+its row count and ``_base``, the number of rows before it in (file, split)
+order.  ``read_raw`` derives ``row_id = _base + _mid - _min_mid`` through a
+broadcast equi-join on the partition id (``_mid >> 33``, a long) plus a range
+check; the broadcast side is four longs per split (~26 MB for 100 TB read in
+128 MB splits) and its size is checked before broadcasting.
+
+Offsets are running sums: per file (window partitioned by file) plus one
+over files (one row per input file, the same order of magnitude as the file
+listing Spark's driver already holds).  Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from ledgerlens.operators.mapping import qcol
-from ledgerlens.session import delete_path, scratch_path
+from ledgerlens.session import delete_path
 
 # FIXED VALUES: ingest error messages.
 MSG_ONLY_CSV = "Only CSV files allowed"
@@ -109,9 +113,13 @@ def read_csv_text(spark: SparkSession, path, columns: list[str], multi_line: boo
             .csv(_paths(path)))
 
 
-def split_offsets(staging: DataFrame) -> DataFrame:
-    """(_file, _block) -> _min_mid, _base (rows before this split), rows, corrupt rows."""
-    stats = (staging.groupBy("_file", "_block")
+OFFSETS_DIR = "_row_offsets"
+_HELPERS = ("_mid", "_file", "_block", CORRUPT_COL)
+
+
+def split_offsets(raw: DataFrame) -> DataFrame:
+    """One row per (file, split): _part, _min_mid, _rows, _corrupt_rows, _base."""
+    stats = (raw.groupBy("_file", "_block")
              .agg(F.min("_mid").alias("_min_mid"),
                   F.count(F.lit(1)).alias("_rows"),
                   F.count(CORRUPT_COL).alias("_corrupt_rows")))
@@ -123,53 +131,89 @@ def split_offsets(staging: DataFrame) -> DataFrame:
                                 .alias("_file_base"))
     return (stats.withColumn("_split_base", F.coalesce(F.sum("_rows").over(in_file), F.lit(0)))
             .join(file_base, "_file")
-            .select("_file", "_block", "_min_mid", "_rows", "_corrupt_rows",
-                    (F.col("_file_base") + F.col("_split_base")).alias("_base")))
+            .select(F.shiftright("_min_mid", 33).alias("_part"), "_min_mid", "_rows", "_corrupt_rows",
+                    (F.col("_file_base") + F.col("_split_base")).alias("_base"), "_file", "_block"))
 
 
 def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False,
                options: dict | None = None, compression: str = "zstd") -> IngestResult:
-    """CSV file(s) -> raw Parquet at ``dest`` with ``row_id`` (0-based, file order)."""
+    """CSV file(s) -> raw Parquet at ``dest`` (read it back with ``read_raw``)."""
     check_csv_name(path)
     columns = read_header(spark, path, multi_line, options)
     if not columns:
         raise IngestError(MSG_EMPTY)
 
-    staging = scratch_path(spark, "ingest-staging")
+    dest = dest.rstrip("/")
     try:
         raw = read_csv_text(spark, path, columns, multi_line, options)
         (raw.select("*",
                     F.monotonically_increasing_id().alias("_mid"),
                     F.col("_metadata.file_path").alias("_file"),
                     F.col("_metadata.file_block_start").alias("_block"))
-            .write.mode("overwrite").parquet(staging))
+            .write.mode("overwrite").option("compression", compression).parquet(dest))
+        # Reads only the three small helper columns of what was just written.
+        (split_offsets(spark.read.parquet(dest)).coalesce(1)
+            .write.mode("overwrite").parquet(f"{dest}/{OFFSETS_DIR}"))
     except (PySparkException, Py4JJavaError) as e:
-        delete_path(spark, staging)
+        delete_path(spark, dest)
         raise IngestError(MSG_CORRUPT) from e
 
-    try:
-        staged = spark.read.parquet(staging)
-        offsets = split_offsets(staged).checkpoint()       # tiny; reused three times
-        totals = offsets.agg(F.count(F.lit(1)).alias("splits"),
-                             F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-                             F.coalesce(F.sum("_corrupt_rows"), F.lit(0)).alias("corrupt")).first()
-        if totals["corrupt"] > 0:
-            raise IngestError(MSG_CORRUPT)
-        side = offsets.select("_file", "_block", "_min_mid", "_base")
-        if totals["splits"] <= BROADCAST_MAX_SPLITS:
-            side = F.broadcast(side)
-        (staged.join(side, ["_file", "_block"])
-               .select((F.col("_base") + F.col("_mid") - F.col("_min_mid")).alias("row_id"),
-                       *[qcol(c) for c in columns])
-               .write.mode("overwrite").option("compression", compression).parquet(dest))
-    finally:
-        delete_path(spark, staging)
-
-    out = spark.read.parquet(dest)
+    totals = (spark.read.parquet(f"{dest}/{OFFSETS_DIR}")
+              .agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+                   F.coalesce(F.sum("_corrupt_rows"), F.lit(0)).alias("corrupt")).first())
+    if totals["corrupt"] > 0:
+        delete_path(spark, dest)
+        raise IngestError(MSG_CORRUPT)
+
     return IngestResult(
         path=dest,
         columns=columns,
         row_count=int(totals["rows"]),
         signature=header_signature(columns),
-        preview=out.where(F.col("row_id") < PREVIEW_ROWS).orderBy("row_id").drop("row_id"),
+        preview=raw_rows(spark, dest, 0, PREVIEW_ROWS).drop("row_id"),
     )
+
+
+def _offsets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/{OFFSETS_DIR}").select("_part", "_min_mid", "_rows", "_base")
+
+
+def _with_row_id(spark: SparkSession, path: str, data: DataFrame, offsets: DataFrame) -> DataFrame:
+    n_splits = offsets.count()            # rows of a tiny sidecar file
+    side = F.broadcast(offsets) if n_splits <= BROADCAST_MAX_SPLITS else offsets
+    d = data.withColumn("_p", F.shiftright("_mid", 33))
+    on = ((d["_p"] == side["_part"]) & (d["_mid"] >= side["_min_mid"])
+          & (d["_mid"] < side["_min_mid"] + side["_rows"]))
+    cols = [c for c in data.columns if c not in _HELPERS]
+    return d.join(side, on).select((F.col("_base") + F.col("_mid") - F.col("_min_mid")).alias("row_id"),
+                                   *[qcol(c) for c in cols])
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Raw dataset: ``row_id`` (0-based, file order) + the text columns."""
+    return _with_row_id(spark, path, spark.read.parquet(path), _offsets(spark, path))
+
+
+def raw_rows(spark: SparkSession, path: str, offset: int, limit: int) -> DataFrame:
+    """Rows with ``offset <= row_id < offset + limit``, ordered by row_id.
+
+    The splits overlapping the range (a handful for a page) are found in the
+    sidecar and turned into ``_mid`` ranges, which the Parquet scan can use
+    to skip row groups; only those rows are joined.
+    """
+    hi = offset + limit
+    offs = (_offsets(spark, path)
+            .where((F.col("_base") < hi) & (F.col("_base") + F.col("_rows") > offset)))
+    lo_mid = F.col("_min_mid") + F.greatest(F.lit(offset) - F.col("_base"), F.lit(0))
+    hi_mid = F.col("_min_mid") + F.least(F.lit(hi) - F.col("_base"), F.col("_rows"))
+    ranges = offs.select(lo_mid.alias("lo"), hi_mid.alias("hi")).collect()   # <= limit rows
+    data = spark.read.parquet(path)
+    if ranges:
+        cond = None
+        for r in ranges:
+            c = (F.col("_mid") >= r["lo"]) & (F.col("_mid") < r["hi"])
+            cond = c if cond is None else (cond | c)
+        data = data.where(cond)
+    else:
+        data = data.where(F.lit(False))
+    return _with_row_id(spark, path, data, offs.select("_part", "_min_mid", "_rows", "_base")).orderBy("row_id")

@@ -76,9 +76,9 @@ def _common(li: DataFrame) -> list[Column]:
         F.when(k % 89 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("TXN"), _s(k), F.lit("-"), _s("l_linenumber"))).alias("TransactionNo"),
         F.when(k % 79 == 0, F.lit("x")).otherwise(_s("l_linenumber")).alias("LineNo"),
-        F.when(k % 97 == 0, F.lit("bla")).otherwise(F.date_format(ship, "yyyy-MM-dd")).alias("PostingDate"),
+        F.when(k % 97 == 0, F.lit("bla")).otherwise(F.to_date(ship).cast("string")).alias("PostingDate"),
         F.when(k % 61 == 0, F.lit(None).cast("string"))
-         .otherwise(F.date_format(F.date_sub(F.to_date(ship), (k % 3).cast("int")), "yyyy-MM-dd")).alias("EntryDate"),
+         .otherwise(F.date_sub(F.to_date(ship), (k % 3).cast("int")).cast("string")).alias("EntryDate"),
         F.when(k % 71 == 0, F.lit("xx"))
          .otherwise(F.concat(_pad2(F.col("l_partkey") % 24), F.lit(":"),
                              _pad2(F.col("l_suppkey") % 60), F.lit(":00"))).alias("PostingTime"),

@@ -4,6 +4,7 @@ import pytest
 
 from ledgerlens.sources.csv_ingest import (
     MSG_CORRUPT, MSG_EMPTY, MSG_ONLY_CSV, IngestError, header_signature, header_signature_col, ingest_csv,
+    raw_rows, read_raw,
 )
 
 
@@ -17,7 +18,7 @@ def test_ingest_valid(spark, data_path, tmp_path):
     res = ingest_csv(spark, src, str(tmp_path / "raw"))
     assert res.row_count == 10
     assert len(res.columns) == 21
-    df = spark.read.parquet(res.path)
+    df = read_raw(spark, res.path)
     assert dict(df.dtypes)["account_number"] == "string"
     rows = df.orderBy("row_id").collect()
     assert [r.row_id for r in rows] == list(range(10))
@@ -73,10 +74,15 @@ def test_row_ids_follow_file_order_across_files_and_splits(spark, tmp_path):
         res = ingest_csv(spark, str(src), str(tmp_path / "raw"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    got = [r.k for r in spark.read.parquet(res.path).orderBy("row_id").collect()]
-    ids = [r.row_id for r in spark.read.parquet(res.path).orderBy("row_id").collect()]
-    assert ids == list(range(len(expected)))
-    assert got == expected
+    rows = read_raw(spark, res.path).orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(len(expected)))
+    assert [r.k for r in rows] == expected
+    assert read_raw(spark, res.path).columns == ["row_id", "k", "v"]
+    # a page crossing split boundaries, through the pushed-down _mid ranges
+    page = raw_rows(spark, res.path, 3990, 30).collect()
+    assert [r.row_id for r in page] == list(range(3990, 4020))
+    assert [r.k for r in page] == expected[3990:4020]
+    assert raw_rows(spark, res.path, len(expected) + 5, 10).count() == 0
 
 
 def test_mismatched_header_is_corrupt(spark, tmp_path):
