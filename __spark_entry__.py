@@ -21,7 +21,10 @@ from ledgerlens.operators.enrich import transform  # noqa: E402
 from ledgerlens.operators.validate import error_counts, validate, validation_summary  # noqa: E402
 from ledgerlens.operators.view import compile_view  # noqa: E402
 from ledgerlens.plans import views as V  # noqa: E402
+from ledgerlens.operators import catalog as C  # noqa: E402
 from ledgerlens.sources import sample  # noqa: E402
+from ledgerlens.sources import sample_catalog as SC  # noqa: E402
+from oracle_catalog import catalog_oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -71,6 +74,56 @@ def q_transform_debit_credit_rows(spark, sf_dir):
     return _transformed_dc(spark, sf_dir)
 
 
+_SAVE_KEYS = ("dataset_id", "save_no")
+
+
+def _valid_saves(spark, sf_dir):
+    entries = SC.mappings(spark, sf_dir)
+    saves = C.mapping_saves(entries, SC.save_times(spark, sf_dir), _SAVE_KEYS)
+    return C.valid_saves(saves, C.mapping_status(entries, keys=_SAVE_KEYS), _SAVE_KEYS)
+
+
+def _signature_mappings(spark, sf_dir):
+    return C.signature_mappings(_valid_saves(spark, sf_dir), SC.datasets(spark, sf_dir))
+
+
+def q_catalog_header_signatures(spark, sf_dir):
+    return (SC.datasets(spark, sf_dir).groupBy("signature")
+            .agg(F.count(F.lit(1)).alias("n_datasets"),
+                 F.min("header_variant").alias("min_variant"), F.max("header_variant").alias("max_variant")))
+
+
+def q_catalog_mapping_violations(spark, sf_dir):
+    return C.mapping_violations(SC.mappings(spark, sf_dir), keys=_SAVE_KEYS)
+
+
+def q_catalog_mapping_status(spark, sf_dir):
+    return C.mapping_status(SC.mappings(spark, sf_dir), keys=_SAVE_KEYS)
+
+
+def q_catalog_current_mappings(spark, sf_dir):
+    cur = C.current_mappings(_valid_saves(spark, sf_dir))
+    return cur.select("dataset_id", C.mapping_text(F.col("mapping")).alias("mapping"), "saved_at")
+
+
+def q_catalog_signature_mappings(spark, sf_dir):
+    sig = _signature_mappings(spark, sf_dir)
+    return sig.select("signature", C.mapping_text(F.col("mapping")).alias("mapping"), "saved_at")
+
+
+def q_catalog_suggested_mappings(spark, sf_dir):
+    sug = C.suggested_mappings(SC.datasets(spark, sf_dir), _signature_mappings(spark, sf_dir))
+    return sug.select("dataset_id", C.mapping_text(F.col("suggested_mapping")).alias("suggested_mapping"))
+
+
+def q_catalog_latest_dataset(spark, sf_dir):
+    return C.latest_dataset_per_user(SC.datasets(spark, sf_dir))
+
+
+def q_catalog_views(spark, sf_dir):
+    return C.view_catalog(SC.view_accesses(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: raw lines -> validate -> transform -> view (sum and count of
     amount by indicator and posting month, OR-group amount range)."""
@@ -88,6 +141,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name in V.VIEWS:
         q[name] = _view(name)
+    q.update({
+        "catalog_header_signatures": q_catalog_header_signatures,
+        "catalog_mapping_violations": q_catalog_mapping_violations,
+        "catalog_mapping_status": q_catalog_mapping_status,
+        "catalog_current_mappings": q_catalog_current_mappings,
+        "catalog_signature_mappings": q_catalog_signature_mappings,
+        "catalog_suggested_mappings": q_catalog_suggested_mappings,
+        "catalog_latest_dataset": q_catalog_latest_dataset,
+        "catalog_views": q_catalog_views,
+    })
     return q
 
 
@@ -236,4 +299,5 @@ SELECT error_list, is_valid, count(*) AS n_rows FROM validated GROUP BY error_li
     }
     for name, body in V.ORACLE.items():
         sql[name] = _WITH_TRANSFORMED + body
+    sql.update(catalog_oracle())
     return sql
