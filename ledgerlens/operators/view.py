@@ -55,6 +55,8 @@ def _require_column(df: DataFrame, f: Field) -> str:
 def _literal(value, dtype: T.DataType) -> Column:
     """Bind a filter value as a literal of the column's type (never string
     concatenation).  Bad values are refused on the driver."""
+    if value is None:
+        return F.lit(None).cast(dtype)
     try:
         if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
             if isinstance(value, float) and not value.is_integer():
