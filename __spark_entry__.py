@@ -24,6 +24,9 @@ from ledgerlens.plans import views as V  # noqa: E402
 from ledgerlens.operators import catalog as C  # noqa: E402
 from ledgerlens.sources import sample  # noqa: E402
 from ledgerlens.sources import sample_catalog as SC  # noqa: E402
+from ledgerlens.session import scratch_path  # noqa: E402
+from ledgerlens.sources.csv_ingest import ingest_csv, read_raw  # noqa: E402
+from ledgerlens.sources.fingerprint import fingerprint_frame  # noqa: E402
 from oracle_catalog import catalog_oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -74,6 +77,30 @@ def q_transform_debit_credit_rows(spark, sf_dir):
     return _transformed_dc(spark, sf_dir)
 
 
+def _text_stats(df, cols):
+    """Integrity figures of text columns: non-null count and total length."""
+    out = []
+    for c in cols:
+        out += [F.count(c).alias(f"{c}_n"), F.sum(F.length(c)).alias(f"{c}_len")]
+    return out
+
+
+def q_ingest_roundtrip(spark, sf_dir):
+    """Sample journal exported as CSV, ingested back: rows, ids and text intact."""
+    work = scratch_path(spark, "ingest-roundtrip")
+    sample.write_csv_export(sample.journal_raw(spark, sf_dir), f"{work}/export")
+    res = ingest_csv(spark, f"{work}/export", f"{work}/raw")
+    raw = read_raw(spark, res.path)
+    cols = [c for c in raw.columns if c != "row_id"]
+    return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("row_id_sum"),
+                   F.min("row_id").alias("row_id_min"), F.max("row_id").alias("row_id_max"),
+                   *_text_stats(raw, cols))
+
+
+def q_dataset_fingerprint(spark, sf_dir):
+    return fingerprint_frame(sample.journal_raw(spark, sf_dir))
+
+
 _SAVE_KEYS = ("dataset_id", "save_no")
 
 
@@ -142,6 +169,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in V.VIEWS:
         q[name] = _view(name)
     q.update({
+        "ingest_roundtrip": q_ingest_roundtrip,
+        "dataset_fingerprint": q_dataset_fingerprint,
         "catalog_header_signatures": q_catalog_header_signatures,
         "catalog_mapping_violations": q_catalog_mapping_violations,
         "catalog_mapping_status": q_catalog_mapping_status,
@@ -300,4 +329,10 @@ SELECT error_list, is_valid, count(*) AS n_rows FROM validated GROUP BY error_li
     for name, body in V.ORACLE.items():
         sql[name] = _WITH_TRANSFORMED + body
     sql.update(catalog_oracle())
+    text = [c for c in list(sample.SAMPLE_HEADER) + list(sample.UNMAPPED_COLUMNS)]
+    stats = ", ".join(f"count({c}) AS {c}_n, CAST(sum(length({c})) AS BIGINT) AS {c}_len" for c in text)
+    sql["ingest_roundtrip"] = f"WITH {_RAW_SQL}\n" + f"""
+SELECT count(*) AS n_rows, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS row_id_sum,
+       CAST(0 AS BIGINT) AS row_id_min, CAST(count(*) - 1 AS BIGINT) AS row_id_max, {stats}
+FROM raw"""
     return sql

@@ -136,3 +136,17 @@ def journal_raw_debit_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("l_linenumber") == 3, F.concat(F.lit("-"), _cents()))
               .otherwise(_cents())).alias("Credit")
     return li.select(*_common(li), debit, credit, *_tail(li))
+
+
+def write_csv_export(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Write raw lines as a headered CSV export, text kept verbatim.
+
+    Spark's CSV writer trims leading/trailing blanks unless told otherwise;
+    an export must keep them (' Debit', 'acc-1 ') for the rules to see them.
+    """
+    if files:
+        df = df.repartition(files)
+    (df.write.mode("overwrite")
+       .option("header", "true").option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+       .csv(path))

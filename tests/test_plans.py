@@ -28,7 +28,7 @@ def _formatted(df):
 def stored(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("stored")
     csv = str(base / "csv")
-    sample.journal_raw(spark, SF).repartition(3).write.option("header", "true").csv(csv)
+    sample.write_csv_export(sample.journal_raw(spark, SF), csv, files=3)
     ingest_csv(spark, csv, str(base / "raw"))
     validate_dataset(spark, str(base / "raw"), sample.sample_mapping(), str(base / "val"))
     transform_dataset(spark, str(base / "val"), str(base / "tr"))
