@@ -23,14 +23,17 @@ def rule_list(fields, date_formats=text.DEFAULT_DATE_FORMATS):
 
 def validate(raw: DataFrame, mapping: Mapping[str, str],
              registry: FieldRegistry = default_registry,
-             date_formats=text.DEFAULT_DATE_FORMATS) -> DataFrame:
+             date_formats=text.DEFAULT_DATE_FORMATS,
+             keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Mapped canonical columns (still text) + ``error_messages`` + ``is_valid``.
 
+    Bookkeeping columns named in ``keep`` (row id, source file) pass through.
+
     ``is_valid`` is computed from the fault conditions directly, not from
     the message array, so a later ``filter(is_valid)`` that drops the
     messages never builds them.
     """
-    mapped = apply_mapping(raw, mapping, registry)
+    mapped = apply_mapping(raw, mapping, registry, keep=keep)
     rl = rule_list([f for _, f in mapped_fields(mapping, registry)], date_formats)
     return mapped.select("*", rules.messages(rl).alias("error_messages"), rules.passes(rl).alias("is_valid"))
 
