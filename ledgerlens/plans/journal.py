@@ -26,6 +26,7 @@ from ledgerlens.operators.validate import validate, validation_summary
 from ledgerlens.operators.view import compile_view
 from ledgerlens.plans.spec import ViewSpec
 from ledgerlens.sources.csv_ingest import IngestResult, ingest_csv, read_raw
+from ledgerlens.sources.fingerprint import dataset_fingerprint
 from ledgerlens.sources.parquet_io import scan_parquet, sink_parquet
 
 
@@ -61,6 +62,34 @@ def initial_view(dataset_id: str) -> dict:
             "signature": spec.signature(dataset_id)}
 
 
+def upload_record(spark: SparkSession, ing: IngestResult, *, dataset_id: str, company_name: str,
+                  fiscal_year: int, uploaded_by_id: int, original_filename: str,
+                  signature_mappings: DataFrame | None = None) -> dict:
+    """Metadata of one upload: the catalog row plus the suggested mapping.
+
+    ``data_hash`` is the content fingerprint of the stored raw table (one
+    aggregation).  The suggestion is the first mapping saved for the same
+    header signature, looked up in the signature-mapping table (one row).
+    """
+    suggested = {}
+    if signature_mappings is not None:
+        hit = signature_mappings.where(signature_mappings["signature"] == ing.signature).select("mapping").first()
+        suggested = dict(hit["mapping"]) if hit else {}
+    return {
+        "dataset_id": dataset_id,
+        "company_name": company_name,
+        "fiscal_year": int(fiscal_year),
+        "stored_path": ing.path,
+        "uploaded_by_id": uploaded_by_id,
+        "original_filename": original_filename,
+        "signature": ing.signature,
+        "row_count": ing.row_count,
+        "data_hash": dataset_fingerprint(read_raw(spark, ing.path)),
+        "columns": ing.columns,
+        "suggested_mapping": suggested,
+    }
+
+
 @dataclass
 class JournalRun:
     raw_path: str

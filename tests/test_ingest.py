@@ -92,3 +92,16 @@ def test_mismatched_header_is_corrupt(spark, tmp_path):
     (src / "b.csv").write_text("y,x\n3,4\n")
     with pytest.raises(IngestError, match=MSG_CORRUPT):
         ingest_csv(spark, str(src), str(tmp_path / "raw"))
+
+
+def test_upload_record(spark, data_path, tmp_path):
+    from ledgerlens.plans.journal import upload_record
+    res = ingest_csv(spark, data_path("journal_valid.csv"), str(tmp_path / "raw"))
+    sig = spark.createDataFrame([(res.signature, {"a": "b"})], "signature string, mapping map<string,string>")
+    rec = upload_record(spark, res, dataset_id="d1", company_name="ACME", fiscal_year=2025, uploaded_by_id=1,
+                        original_filename="journal_valid.csv", signature_mappings=sig)
+    assert rec["row_count"] == 10 and rec["suggested_mapping"] == {"a": "b"} and len(rec["data_hash"]) == 64
+    res2 = ingest_csv(spark, data_path("journal_valid.csv"), str(tmp_path / "raw2"))
+    rec2 = upload_record(spark, res2, dataset_id="d2", company_name="ACME", fiscal_year=2025, uploaded_by_id=1,
+                         original_filename="again.csv")
+    assert rec2["data_hash"] == rec["data_hash"] and rec2["suggested_mapping"] == {}
