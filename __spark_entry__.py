@@ -97,6 +97,20 @@ def q_ingest_roundtrip(spark, sf_dir):
                    *_text_stats(raw, cols))
 
 
+def q_ingest_raw_page(spark, sf_dir):
+    """A raw page (rows 1000-1049 in file order) of the ingested export.
+
+    File order of a Spark-written export has no SQL form: rows-only check;
+    the page logic is tested against the file itself in tests/test_ingest.py.
+    """
+    from ledgerlens.operators.pages import raw_dataset_page
+    work = scratch_path(spark, "raw-page")
+    sample.write_csv_export(sample.journal_raw(spark, sf_dir), f"{work}/export")
+    res = ingest_csv(spark, f"{work}/export", f"{work}/raw")
+    page = raw_dataset_page(spark, res.path, offset=1000, limit=50, row_count=res.row_count)
+    return page["data"]
+
+
 def q_dataset_fingerprint(spark, sf_dir):
     return fingerprint_frame(sample.journal_raw(spark, sf_dir))
 
@@ -171,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q.update({
         "ingest_roundtrip": q_ingest_roundtrip,
         "dataset_fingerprint": q_dataset_fingerprint,
+        "ingest_raw_page": q_ingest_raw_page,
         "catalog_header_signatures": q_catalog_header_signatures,
         "catalog_mapping_violations": q_catalog_mapping_violations,
         "catalog_mapping_status": q_catalog_mapping_status,

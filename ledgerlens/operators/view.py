@@ -179,8 +179,8 @@ def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total
 
 
 # -------------------------------------------------------------------- order
-def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry) -> list[Column]:
-    keys = []
+def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry) -> tuple[list[Column], set]:
+    keys, names = [], set()
     for s in spec.sorting:
         f = resolve(registry, s.field_id)
         name = f.canonical_name
@@ -191,11 +191,14 @@ def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry) -> l
             if target is None or target not in out.columns:
                 raise ViewError(f"Cannot sort by {name!r}: not part of the view output")
         # Nulls last both ways, as SQL engines such as DuckDB do by default.
+        if target in names:
+            continue
+        names.add(target)
         keys.append(qcol(target).asc_nulls_last() if s.direction == "asc" else qcol(target).desc_nulls_last())
-    return keys
+    return keys, names
 
 
-def _tiebreak(out: DataFrame, dims, measures) -> list[Column]:
+def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[Column]:
     """Keys that make the order total, so a page is deterministic."""
     if dims:
         names = [d for d, _ in dims if d in out.columns] or out.columns
@@ -205,7 +208,7 @@ def _tiebreak(out: DataFrame, dims, measures) -> list[Column]:
         names = ["row_id"]
     else:
         names = out.columns
-    return [qcol(n).asc_nulls_last() for n in names]
+    return [qcol(n).asc_nulls_last() for n in names if n not in sorted_names]
 
 
 # ------------------------------------------------------------------ compile
@@ -237,9 +240,9 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
     else:
         out = df
 
-    keys = _sort_columns(spec, out, dims, measures, registry)
+    keys, sorted_names = _sort_columns(spec, out, dims, measures, registry)
     if spec.pagination is not None:
-        out = out.orderBy(*(keys + _tiebreak(out, dims, measures)))
+        out = out.orderBy(*(keys + _tiebreak(out, dims, measures, sorted_names)))
         if spec.pagination.offset:
             out = out.offset(spec.pagination.offset)
         out = out.limit(spec.pagination.limit)

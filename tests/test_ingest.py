@@ -105,3 +105,14 @@ def test_upload_record(spark, data_path, tmp_path):
     rec2 = upload_record(spark, res2, dataset_id="d2", company_name="ACME", fiscal_year=2025, uploaded_by_id=1,
                          original_filename="again.csv")
     assert rec2["data_hash"] == rec["data_hash"] and rec2["suggested_mapping"] == {}
+
+
+def test_multi_line_quoted_fields(spark, tmp_path):
+    p = tmp_path / "ml.csv"
+    p.write_text('a,b\n1,"line one\nline two"\n2,"say ""hi"""\n')
+    res = ingest_csv(spark, str(p), str(tmp_path / "raw"), multi_line=True)
+    rows = read_raw(spark, res.path).orderBy("row_id").collect()
+    assert [(r.row_id, r.a, r.b) for r in rows] == [(0, "1", "line one\nline two"), (1, "2", 'say "hi"')]
+    # without multi_line the broken record is refused as corrupt
+    with pytest.raises(IngestError, match=MSG_CORRUPT):
+        ingest_csv(spark, str(p), str(tmp_path / "raw2"))
