@@ -82,3 +82,10 @@ def test_validated_summary_reads_two_columns(spark, stored):
     df = validation_summary(spark.read.parquet(str(stored / "val")))
     rs = re.search(r"ReadSchema: (struct<[^\n]*>)", _formatted(df)).group(1)
     assert rs == "struct<is_valid:boolean>"
+
+
+def test_clustered_transform_keeps_rows(spark, stored, tmp_path):
+    dest = str(tmp_path / "tr_clustered")
+    transform_dataset(spark, str(stored / "val"), dest, cluster_by=["posting_date"])
+    a, b = spark.read.parquet(dest), spark.read.parquet(str(stored / "tr"))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
