@@ -212,7 +212,10 @@ _RAW_COMMON = """
     'DOC' || CAST(l_orderkey AS VARCHAR) AS DocumentNo,
     CASE WHEN l_orderkey % 89 = 0 THEN NULL
          ELSE 'TXN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END AS TransactionNo,
-    CASE WHEN l_orderkey % 79 = 0 THEN 'x' ELSE CAST(l_linenumber AS VARCHAR) END AS LineNo,
+    CASE WHEN l_orderkey % 79 = 0 THEN 'x'
+         WHEN l_orderkey % 101 = 0 THEN CAST(l_linenumber AS VARCHAR) || '.0'
+         WHEN l_orderkey % 103 = 0 THEN ' ' || CAST(l_linenumber AS VARCHAR) || ' '
+         ELSE CAST(l_linenumber AS VARCHAR) END AS LineNo,
     CASE WHEN l_orderkey % 97 = 0 THEN 'bla' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS PostingDate,
     CASE WHEN l_orderkey % 61 = 0 THEN NULL
          ELSE strftime(CAST(l_shipdate AS DATE) - CAST(l_orderkey % 3 AS INTEGER), '%Y-%m-%d') END AS EntryDate,
@@ -238,7 +241,8 @@ _CENTS = "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)"
 
 _RAW_SQL = f"""raw AS (
   SELECT {_RAW_COMMON}
-    CASE WHEN l_orderkey % 83 = 0 THEN 'abc' ELSE {_CENTS} END AS Amount,
+    CASE WHEN l_orderkey % 83 = 0 THEN 'abc' WHEN l_orderkey % 109 = 0 THEN 'nan'
+         WHEN l_orderkey % 107 = 0 THEN ' ' || {_CENTS} || '.50 ' ELSE {_CENTS} END AS Amount,
     CASE WHEN l_orderkey % 73 = 0 THEN NULL WHEN l_partkey % 50 = 0 THEN '?'
          WHEN l_linenumber = 7 THEN chr(9) || 'dr'
          WHEN l_linestatus = 'O' THEN ' Debit' ELSE 'credit ' END AS DrCr,{_RAW_TAIL}
@@ -261,7 +265,8 @@ def _sql_rules(mapping_header):
         if f.is_required:
             parts.append(f"CASE WHEN {raw} IS NULL THEN '{name} is required' END")
         if f.dtype == "integer":
-            parts.append(f"CASE WHEN {raw} IS NOT NULL AND TRY_CAST({raw} AS BIGINT) IS NULL "
+            parts.append(f"CASE WHEN {raw} IS NOT NULL AND (NOT regexp_full_match({_trim(raw)}, '[+-]?[0-9]+') "
+                         f"OR TRY_CAST({_trim(raw)} AS BIGINT) IS NULL) "
                          f"THEN '{name} must be integer' END")
         elif f.dtype == "float":
             parts.append(f"CASE WHEN {raw} IS NOT NULL AND NOT regexp_full_match({_trim(raw)}, '{_NUMERIC}') "
@@ -291,7 +296,7 @@ def _sql_typed(dc: bool):
     CASE substr(lower({_trim('debit_credit_indicator')}), 1, 1) WHEN 'c' THEN 'C' WHEN 'd' THEN 'D'
          ELSE 'UNKNOWN' END AS debit_credit_indicator""")
     return f"""typed AS (
-  SELECT document_number, transaction_number, CAST(line_number AS BIGINT) AS line_number,
+  SELECT document_number, transaction_number, CAST({_trim('line_number')} AS BIGINT) AS line_number,
     CAST(TRY_STRPTIME({_trim('posting_date')}, '%Y-%m-%d') AS DATE) AS posting_date,
     CAST(TRY_STRPTIME({_trim('entry_date')}, '%Y-%m-%d') AS DATE) AS entry_date,
     posting_time,

@@ -92,7 +92,10 @@ def _common(li: DataFrame) -> list[Column]:
         F.concat(F.lit("DOC"), _s(k)).alias("DocumentNo"),
         F.when(k % 89 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("TXN"), _s(k), F.lit("-"), _s("l_linenumber"))).alias("TransactionNo"),
-        F.when(k % 79 == 0, F.lit("x")).otherwise(_s("l_linenumber")).alias("LineNo"),
+        F.when(k % 79 == 0, F.lit("x"))
+         .when(k % 101 == 0, F.concat(_s("l_linenumber"), F.lit(".0")))        # not an integer literal
+         .when(k % 103 == 0, F.concat(F.lit(" "), _s("l_linenumber"), F.lit(" ")))   # padded: valid
+         .otherwise(_s("l_linenumber")).alias("LineNo"),
         F.when(k % 97 == 0, F.lit("bla")).otherwise(F.to_date(ship).cast("string")).alias("PostingDate"),
         F.when(k % 61 == 0, F.lit(None).cast("string"))
          .otherwise(F.date_sub(F.to_date(ship), (k % 3).cast("int")).cast("string")).alias("EntryDate"),
@@ -131,7 +134,10 @@ def journal_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw journal lines, amount + indicator layout (all columns text)."""
     li = spread(read_table(spark, sf_dir, "lineitem"))
     k = F.col("l_orderkey")
-    amount = F.when(k % 83 == 0, F.lit("abc")).otherwise(_cents()).alias("Amount")
+    amount = (F.when(k % 83 == 0, F.lit("abc"))
+              .when(k % 109 == 0, F.lit("nan"))                                    # Java spelling: invalid
+              .when(k % 107 == 0, F.concat(F.lit(" "), _cents(), F.lit(".50 ")))   # padded decimal: valid
+              .otherwise(_cents())).alias("Amount")
     indicator = (F.when(k % 73 == 0, F.lit(None).cast("string"))
                  .when(F.col("l_partkey") % 50 == 0, F.lit("?"))
                  .when(F.col("l_linenumber") == 7, F.lit("\tdr"))
