@@ -79,8 +79,12 @@ def spread(df: DataFrame) -> DataFrame:
     fused fixture plans evaluate the rules in the scan task; the stored
     pipeline filters on the written ``is_valid`` column instead.)
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:          # no RDD access (e.g. a Spark Connect session): leave the scan as is
+        return df
+    if splits * 2 <= cores:
         return df.repartition(cores)
     return df
 
