@@ -13,6 +13,18 @@ from pyspark.sql import SparkSession
 JIT_FLAGS = "-XX:-DontCompileHugeMethods"
 
 
+def _driver_memory() -> str:
+    """Local driver heap: 60% of physical memory, between 1 and 8 GiB."""
+    if os.environ.get("LEDGERLENS_DRIVER_MEMORY"):
+        return os.environ["LEDGERLENS_DRIVER_MEMORY"]
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    mib = int(total * 0.6) // (1 << 20)
+    return f"{max(1024, min(8192, mib))}m"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
     """Local session with the settings the library is tuned for (tests/bench only)."""
     return (
@@ -25,7 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", _driver_memory())
         # Wide validation/transform projections generate methods above HotSpot's
         # 8000-byte JIT limit; without this they run interpreted (2-3x slower).
         # On a cluster set the same flag in spark.executor.extraJavaOptions.
