@@ -36,12 +36,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from ledgerlens.operators.mapping import qcol
-from ledgerlens.session import delete_path
+from ledgerlens.session import delete_path, path_exists, path_is_dir
 
 # FIXED VALUES: ingest error messages.
 MSG_ONLY_CSV = "Only CSV files allowed"
 MSG_EMPTY = "CSV file is empty"
 MSG_CORRUPT = "Corrupted CSV file"
+MSG_NOT_FOUND = "CSV file not found"
 
 CORRUPT_COL = "_corrupt"
 PREVIEW_ROWS = 50
@@ -77,12 +78,18 @@ def _paths(path) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def check_csv_name(path) -> None:
-    """Only ``.csv`` files are accepted (directories are read for ``*.csv``)."""
+def check_csv_name(spark: SparkSession, path) -> None:
+    """A file must be named ``*.csv``; a directory is read for its ``*.csv``
+    files; glob patterns are left to the reader (which also filters ``*.csv``)."""
     for p in _paths(path):
-        tail = p.rstrip("/").rsplit("/", 1)[-1]
-        if "." in tail and not tail.endswith(".csv"):
+        if any(ch in p for ch in "*?[{"):
+            continue
+        if path_is_dir(spark, p):
+            continue
+        if not p.rstrip("/").endswith(".csv"):
             raise IngestError(MSG_ONLY_CSV)
+        if not path_exists(spark, p):
+            raise IngestError(MSG_NOT_FOUND)
 
 
 def _reader(spark: SparkSession, multi_line: bool, options: dict | None):
@@ -138,7 +145,7 @@ def split_offsets(raw: DataFrame) -> DataFrame:
 def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False,
                options: dict | None = None, compression: str = "zstd") -> IngestResult:
     """CSV file(s) -> raw Parquet at ``dest`` (read it back with ``read_raw``)."""
-    check_csv_name(path)
+    check_csv_name(spark, path)
     columns = read_header(spark, path, multi_line, options)
     if not columns:
         raise IngestError(MSG_EMPTY)

@@ -116,3 +116,17 @@ def test_multi_line_quoted_fields(spark, tmp_path):
     # without multi_line the broken record is refused as corrupt
     with pytest.raises(IngestError, match=MSG_CORRUPT):
         ingest_csv(spark, str(p), str(tmp_path / "raw2"))
+
+
+def test_name_rules(spark, tmp_path, data_path):
+    from ledgerlens.sources.csv_ingest import MSG_NOT_FOUND
+    d = tmp_path / "exports.v2"
+    d.mkdir()
+    (d / "a.csv").write_text("x,y\n1,2\n")
+    assert ingest_csv(spark, str(d), str(tmp_path / "raw")).row_count == 1       # dotted directory is fine
+    noext = tmp_path / "data"
+    noext.write_text("x,y\n1,2\n")
+    with pytest.raises(IngestError, match=MSG_ONLY_CSV):
+        ingest_csv(spark, str(noext), str(tmp_path / "raw2"))
+    with pytest.raises(IngestError, match=MSG_NOT_FOUND):
+        ingest_csv(spark, str(tmp_path / "missing.csv"), str(tmp_path / "raw3"))
