@@ -63,6 +63,11 @@ def q_validate_error_lists(spark, sf_dir):
              .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
+def q_validate_debit_credit_error_counts(spark, sf_dir):
+    v = validate(sample.journal_raw_debit_credit(spark, sf_dir), sample.debit_credit_mapping())
+    return error_counts(v)
+
+
 def q_validated_rows(spark, sf_dir):
     v = _validated(spark, sf_dir)
     return v.select(*[c for c in v.columns if c != "error_messages"],
@@ -176,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_summary": q_validate_summary,
         "validate_error_counts": q_validate_error_counts,
         "validate_error_lists": q_validate_error_lists,
+        "validate_debit_credit_error_counts": q_validate_debit_credit_error_counts,
         "validated_rows": q_validated_rows,
         "transform_rows": q_transform_rows,
         "transform_debit_credit_rows": q_transform_debit_credit_rows,
@@ -339,6 +345,9 @@ def oracle_sql() -> dict[str, str]:
         "validate_summary": _WITH_VALIDATED + """
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE NOT is_valid) AS invalid_rows FROM validated""",
         "validate_error_counts": f"WITH {_RAW_SQL},\n" + f"""checked AS (SELECT {_sql_rules(sample.SAMPLE_HEADER)} AS errs FROM raw)
+SELECT message, count(*) AS n_rows FROM (SELECT unnest(errs) AS message FROM checked) GROUP BY message""",
+        "validate_debit_credit_error_counts": f"WITH {_RAW_DC_SQL},\n" + f"""checked AS (
+  SELECT {_sql_rules(sample.DEBIT_CREDIT_HEADER)} AS errs FROM raw)
 SELECT message, count(*) AS n_rows FROM (SELECT unnest(errs) AS message FROM checked) GROUP BY message""",
         "validate_error_lists": _WITH_VALIDATED + """
 SELECT error_list, is_valid, count(*) AS n_rows FROM validated GROUP BY error_list, is_valid""",
