@@ -197,7 +197,13 @@ def _with_row_id(spark: SparkSession, path: str, data: DataFrame, offsets: DataF
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw dataset: ``row_id`` (0-based, file order) + the text columns."""
+    """Raw dataset: ``row_id`` (0-based, file order) + the text columns.
+
+    A Parquet table that did not come through ``ingest_csv`` (no offsets
+    sidecar) is returned as it is, without ``row_id``.
+    """
+    if not path_exists(spark, f"{path.rstrip('/')}/{OFFSETS_DIR}"):
+        return spark.read.parquet(path)
     return _with_row_id(spark, path, spark.read.parquet(path), _offsets(spark, path))
 
 

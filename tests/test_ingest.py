@@ -130,3 +130,9 @@ def test_name_rules(spark, tmp_path, data_path):
         ingest_csv(spark, str(noext), str(tmp_path / "raw2"))
     with pytest.raises(IngestError, match=MSG_NOT_FOUND):
         ingest_csv(spark, str(tmp_path / "missing.csv"), str(tmp_path / "raw3"))
+
+
+def test_read_raw_of_foreign_parquet(spark, tmp_path):
+    p = str(tmp_path / "plain")
+    spark.createDataFrame([("a",)], "x string").write.parquet(p)
+    assert read_raw(spark, p).columns == ["x"]
