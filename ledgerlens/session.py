@@ -12,6 +12,22 @@ from pyspark.sql import SparkSession
 
 JIT_FLAGS = "-XX:-DontCompileHugeMethods"
 
+# Settings for a large cluster (100 TB of journal lines).  Shuffles carry
+# partial aggregates only, so many small shuffle partitions that AQE
+# coalesces at run time are the right default; larger file splits keep the
+# ingest's offsets sidecar (one row per split) small.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.parquet.compression.codec": "zstd",
+    "spark.executor.extraJavaOptions": JIT_FLAGS,
+    # spark.checkpoint.dir must point at shared storage (HDFS / object store).
+}
+
 
 def _driver_memory() -> str:
     """Local driver heap: 60% of physical memory, between 1 and 8 GiB."""
