@@ -73,12 +73,13 @@ def initial_view(dataset_id: str) -> dict:
 
 def upload_record(spark: SparkSession, ing: IngestResult, *, dataset_id: str, company_name: str,
                   fiscal_year: int, uploaded_by_id: int, original_filename: str,
-                  signature_mappings: DataFrame | None = None) -> dict:
+                  signature_mappings: DataFrame | None = None, fingerprint: bool = True) -> dict:
     """Metadata of one upload: the catalog row plus the suggested mapping.
 
-    ``data_hash`` is the content fingerprint of the stored raw table (one
-    aggregation).  The suggestion is the first mapping saved for the same
-    header signature, looked up in the signature-mapping table (one row).
+    ``data_hash`` is the content fingerprint of the stored raw table: one
+    aggregation, but a full read of the data; ``fingerprint=False`` skips it
+    (``data_hash`` is then None).  The suggestion is the first mapping saved
+    for the same header signature, looked up in the signature-mapping table.
     """
     suggested = {}
     if signature_mappings is not None:
@@ -93,7 +94,7 @@ def upload_record(spark: SparkSession, ing: IngestResult, *, dataset_id: str, co
         "original_filename": original_filename,
         "signature": ing.signature,
         "row_count": ing.row_count,
-        "data_hash": dataset_fingerprint(read_raw(spark, ing.path)),
+        "data_hash": dataset_fingerprint(read_raw(spark, ing.path)) if fingerprint else None,
         "columns": ing.columns,
         "suggested_mapping": suggested,
     }
@@ -116,8 +117,8 @@ def run_journal(spark: SparkSession, csv_path, mapping: Mapping[str, str], workd
     base = workdir.rstrip("/")
     raw, validated, transformed = (f"{base}/raw/{dataset_id}", f"{base}/validated/{dataset_id}",
                                    f"{base}/transformed/{dataset_id}")
+    check_mapping(mapping, registry)          # cheap: refuse a bad mapping before any job runs
     ing = ingest_csv(spark, csv_path, raw, multi_line=multi_line)
-    check_mapping(mapping, registry)
     summary = validate_dataset(spark, raw, mapping, validated, registry=registry, date_formats=date_formats)
     transform_dataset(spark, validated, transformed, registry=registry, date_formats=date_formats)
     return JournalRun(raw, validated, transformed, ing, summary, initial_view(dataset_id))
