@@ -60,7 +60,7 @@ def raw_page(df: DataFrame, offset: int = 0, limit: int = DEFAULT_PAGE, row_coun
 def raw_dataset_page(spark, raw_path: str, offset: int = 0, limit: int = DEFAULT_PAGE,
                      row_count: int | None = None) -> dict:
     """Page of an ingested raw dataset; the row range becomes a scan filter."""
-    from ledgerlens.sources.csv_ingest import raw_rows, read_raw
+    from ledgerlens.sources.csv_ingest import _HELPERS, raw_rows
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     if offset < 0:
@@ -68,7 +68,7 @@ def raw_dataset_page(spark, raw_path: str, offset: int = 0, limit: int = DEFAULT
     if row_count is None:
         row_count = int(spark.read.parquet(f"{raw_path.rstrip('/')}/_row_offsets")
                         .agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0])
-    schema_df = read_raw(spark, raw_path)
+    schema_df = spark.read.parquet(raw_path).drop(*_HELPERS)     # schema from the footers, no job
     return {
         "offset": offset,
         "limit": limit,
