@@ -16,8 +16,9 @@ readers because of the leading underscore) holds the split's first ``_mid``,
 its row count and ``_base``, the number of rows before it in (file, split)
 order.  ``read_raw`` derives ``row_id = _base + _mid - _min_mid`` through a
 broadcast equi-join on the partition id (``_mid >> 33``, a long) plus a range
-check; the broadcast side is four longs per split (~26 MB for 100 TB read in
-128 MB splits) and its size is checked before broadcasting.
+check; the broadcast side is four longs per split (~800k splits, ~50 MB
+hashed, for 100 TB read in 128 MB splits) and its row count is checked
+before broadcasting.
 
 Offsets are running sums: per file (window partitioned by file) plus one
 over files (one row per input file, the same order of magnitude as the file
@@ -46,9 +47,11 @@ MSG_NOT_FOUND = "CSV file not found"
 
 CORRUPT_COL = "_corrupt"
 PREVIEW_ROWS = 50
-# Offsets rows (one per file split) up to which the offsets side is broadcast:
-# ~200 bytes a row keeps the broadcast under ~50 MB.
-BROADCAST_MAX_SPLITS = 250_000
+# Offsets rows (one per file split) up to which the offsets side is broadcast.
+# A row is four longs, ~64 bytes in the broadcast hash map: 2M splits (about
+# 250 TB read in 128 MB splits) stay near 130 MB.  Beyond that a shuffle join
+# on the partition id is used instead.
+BROADCAST_MAX_SPLITS = 2_000_000
 
 
 class IngestError(ValueError):
