@@ -136,3 +136,18 @@ def test_read_raw_of_foreign_parquet(spark, tmp_path):
     p = str(tmp_path / "plain")
     spark.createDataFrame([("a",)], "x string").write.parquet(p)
     assert read_raw(spark, p).columns == ["x"]
+
+
+def test_row_ids_without_broadcast(spark, tmp_path, data_path, monkeypatch):
+    import ledgerlens.sources.csv_ingest as ci
+    res = ingest_csv(spark, data_path("journal_valid.csv"), str(tmp_path / "raw"))
+    monkeypatch.setattr(ci, "BROADCAST_MAX_SPLITS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = read_raw(spark, res.path)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        rows = df.orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.row_id for r in rows] == list(range(10))
+    assert rows[3].document_number == "JE103"
