@@ -6,8 +6,9 @@ Requests reference fields by id, exactly like API clients do.
 
 from __future__ import annotations
 
-from ledgerlens.functions.registry import registry
+from ledgerlens.functions.registry import DERIVED_FIELDS, registry
 from ledgerlens.plans import presets
+from ledgerlens.sources.sample import SAMPLE_HEADER
 
 
 def _id(name: str) -> str:
@@ -90,6 +91,13 @@ VIEWS: dict[str, dict] = {
         "dimensions": [_dim("journal_category"), _dim("posting_year", "column")],
         "measures": [_m("amount", "avg")],
     },
+    # Rows, sorted and paged: ties broken on every remaining column (no row id here).
+    "view_select_all_page": {
+        "dimensions": [],
+        "filters": {"op": "and", "conditions": [_c("journal_type", "=", "Manual")]},
+        "sorting": [{"field_id": _id("amount"), "sorting_direction": "desc"}],
+        "pagination": {"limit": 25, "offset": 40},
+    },
     # No dimensions, no measures: every column of the matching rows.
     "view_select_all": {
         "dimensions": [],
@@ -106,7 +114,16 @@ _pt = presets.pivot_with_total("approval_status", "currency", ["USD", "EUR"], "a
 VIEWS["view_pivot_total"] = _pt.to_dict()
 
 
+# Column order of the transformed sample table: canonical fields in export
+# order, then the helper columns in registry order.
+TRANSFORMED_COLUMNS = list(SAMPLE_HEADER.values()) + [f.canonical_name for f in DERIVED_FIELDS]
+_TIEBREAK = ", ".join(f"{c} ASC NULLS LAST" for c in TRANSFORMED_COLUMNS if c != "amount")
+
 ORACLE: dict[str, str] = {
+    "view_select_all_page": f"""
+SELECT * FROM transformed WHERE (journal_type = 'Manual')
+ORDER BY amount DESC NULLS LAST, {_TIEBREAK}
+LIMIT 25 OFFSET 40""",
     "view_flagship": """
 SELECT debit_credit_indicator, posting_month, sum(amount) AS amount_sum, count(amount) AS amount_count
 FROM transformed WHERE (amount >= 5000000 OR amount <= -5000000)

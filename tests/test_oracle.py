@@ -38,3 +38,8 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["debit_credit_indicator", "posting_month", "amount_sum", "amount_count"]
     assert df.count() >= 0
+
+
+def test_transformed_column_order_matches_spark(spark):
+    from ledgerlens.plans.views import TRANSFORMED_COLUMNS
+    assert E._transformed(spark, SF).columns == TRANSFORMED_COLUMNS
