@@ -166,6 +166,8 @@ class Workspace:
         mapping = self.current_mapping(dataset_id)
         if mapping is None:
             raise MissingStep("Mapping not found")
+        if not path_exists(self.spark, self._data("raw", dataset_id)):
+            raise NotFound("Raw file missing")
         return journal.validate_dataset(self.spark, self._data("raw", dataset_id), mapping,
                                         self._data("validated", dataset_id), registry=self.registry)
 

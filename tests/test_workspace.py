@@ -77,3 +77,12 @@ def test_latest_dataset(ws, data_path):
     second = _upload(ws, data_path, user=9)["dataset_id"]
     assert ws.latest_dataset(9)["dataset_id"] == second
     assert first != second
+
+
+def test_validate_without_raw_data(ws, data_path, mapping, spark):
+    from ledgerlens.session import delete_path
+    d = _upload(ws, data_path)["dataset_id"]
+    ws.save_mapping(d, mapping)
+    delete_path(spark, ws._data("raw", d))
+    with pytest.raises(NotFound, match="Raw file missing"):
+        ws.validate(d)
