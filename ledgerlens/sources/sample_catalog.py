@@ -67,57 +67,67 @@ def _entries(pairs) -> Column:
 
 
 RESAVE_EVERY = 5            # these datasets save a corrected mapping a day later
+_EMPTY = "array<struct<raw_column:string,field_id:string>>"
 
 
 def _std_entries(variant: Column) -> Column:
     return F.element_at(F.array(*[_entries(variant_mapping(v)) for v in range(4)]), variant + 1)
 
 
-def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset_id, save_no, raw_column, field_id): every saved mapping's entries.
+def _first_attempt(k: Column, variant: Column) -> Column:
+    """The entries of a dataset's first save, with the planted faults.
 
-    Save 1 is the first attempt, faults included; datasets whose key is a
-    multiple of ``RESAVE_EVERY`` save their correct mapping again (save 2).
+    Built per dataset as an array (entries dropped, replaced or added by the
+    dataset key), so every dataset is processed and nothing is filtered out.
     """
-    first = _first_mappings(spark, sf_dir).withColumn("save_no", F.lit(1))
+    def keep(e):
+        return (~((k % FAULT_NO_ACCOUNT == 0) & (e["raw_column"] == "Account"))
+                & ~((k % FAULT_NO_AMOUNT_GROUP == 0) & e["raw_column"].isin("Amount", "Credit")))
+
+    def fault_id(e):
+        fid = F.when((k % FAULT_UNKNOWN_ID == 0) & (e["raw_column"] == "Currency"), F.lit("fake-id")) \
+               .otherwise(e["field_id"])
+        return F.struct(e["raw_column"].alias("raw_column"), fid.alias("field_id"))
+
+    empty = F.array().cast(_EMPTY)
+    base = F.transform(F.filter(_std_entries(variant), keep), fault_id)
+    dup = F.when(k % FAULT_DUPLICATE == 0, _entries([("Extra", registry.id_of("document_number"))])).otherwise(empty)
+    other = F.when(variant == 2, _entries([("Amount", registry.id_of("amount")),
+                                           ("DrCr", registry.id_of("debit_credit_indicator"))])) \
+             .otherwise(_entries([("Debit", registry.id_of("debit_amount")), ("Credit", registry.id_of("credit_amount"))]))
+    both = F.when(k % FAULT_BOTH_GROUPS == 0, other).otherwise(empty)
+    return F.concat(base, dup, both)
+
+
+def _saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (dataset, save): save 1 for every dataset, save 2 (the
+    corrected mapping) for datasets whose key is a multiple of RESAVE_EVERY."""
     ds = datasets(spark, sf_dir)
-    again = (ds.where(F.col("dataset_key") % RESAVE_EVERY == 0)
-             .select("dataset_id", F.explode(_std_entries(F.col("header_variant"))).alias("e"))
-             .select("dataset_id", F.lit(2).alias("save_no"), "e.raw_column", "e.field_id"))
-    return first.select("dataset_id", "save_no", "raw_column", "field_id").unionByName(again)
+    k = F.col("dataset_key")
+    save_nos = F.when(k % RESAVE_EVERY == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return ds.select("dataset_id", "dataset_key", "header_variant", "uploaded_at",
+                     F.explode(save_nos).alias("save_no"))
 
 
-def _first_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = datasets(spark, sf_dir).select("dataset_id", "dataset_key", "header_variant")
+def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset_id, save_no, raw_column, field_id): every saved mapping's entries.
+
+    Save 1 is the first attempt, faults included; save 2 is the correct mapping.
+    """
+    sv = _saves(spark, sf_dir)
     k, variant = F.col("dataset_key"), F.col("header_variant")
-    base = ds.select("dataset_id", "dataset_key", "header_variant", F.explode(_std_entries(variant)).alias("e"))
-    base = base.select("dataset_id", "dataset_key", "header_variant", "e.raw_column", "e.field_id")
-    base = base.where(~((k % FAULT_NO_ACCOUNT == 0) & (F.col("raw_column") == "Account")))
-    base = base.where(~((k % FAULT_NO_AMOUNT_GROUP == 0) & F.col("raw_column").isin("Amount", "Credit")))
-    base = base.withColumn("field_id", F.when((k % FAULT_UNKNOWN_ID == 0) & (F.col("raw_column") == "Currency"),
-                                              F.lit("fake-id")).otherwise(F.col("field_id")))
-    dup = ds.where(k % FAULT_DUPLICATE == 0).select(
-        "dataset_id", F.lit("Extra").alias("raw_column"), F.lit(registry.id_of("document_number")).alias("field_id"))
-    other_group = F.when(variant == 2, _entries([("Amount", registry.id_of("amount")),
-                                                 ("DrCr", registry.id_of("debit_credit_indicator"))])) \
-        .otherwise(_entries([("Debit", registry.id_of("debit_amount")), ("Credit", registry.id_of("credit_amount"))]))
-    both = (ds.where(k % FAULT_BOTH_GROUPS == 0)
-            .select("dataset_id", F.explode(other_group).alias("e"))
-            .select("dataset_id", "e.raw_column", "e.field_id"))
-    return base.select("dataset_id", "raw_column", "field_id").unionByName(dup).unionByName(both)
+    entries = F.when(F.col("save_no") == 1, _first_attempt(k, variant)).otherwise(_std_entries(variant))
+    return (sv.select("dataset_id", "save_no", F.explode(entries).alias("e"))
+              .select("dataset_id", "save_no", "e.raw_column", "e.field_id"))
 
 
 def save_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset_id, save_no, saved_at): save 1 some minutes after the upload,
     save 2 (when there is one) a day after it."""
-    ds = datasets(spark, sf_dir)
-    first = ds.select("dataset_id", F.lit(1).alias("save_no"),
-                      F.timestamp_add("MINUTE", (F.col("dataset_key") % 97).cast("int"), F.col("uploaded_at"))
-                      .alias("saved_at"))
-    again = (ds.where(F.col("dataset_key") % RESAVE_EVERY == 0)
-             .select("dataset_id", F.lit(2).alias("save_no"),
-                     F.timestamp_add("MINUTE", F.lit(1440), F.col("uploaded_at")).alias("saved_at")))
-    return first.unionByName(again)
+    k = F.col("dataset_key")
+    minutes = F.when(F.col("save_no") == 1, (k % 97).cast("int")).otherwise(F.lit(1440))
+    return _saves(spark, sf_dir).select("dataset_id", "save_no",
+                                        F.timestamp_add("MINUTE", minutes, F.col("uploaded_at")).alias("saved_at"))
 
 
 # View opened per event type (each event is one opening of a view).
