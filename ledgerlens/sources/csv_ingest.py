@@ -124,15 +124,20 @@ def read_csv_text(spark: SparkSession, path, columns: list[str], multi_line: boo
 
 
 OFFSETS_DIR = "_row_offsets"
+STATS_DIR = "_split_stats"
 _HELPERS = ("_mid", "_file", "_block", CORRUPT_COL)
 
 
-def split_offsets(raw: DataFrame) -> DataFrame:
-    """One row per (file, split): _part, _min_mid, _rows, _corrupt_rows, _base."""
-    stats = (raw.groupBy("_file", "_block")
-             .agg(F.min("_mid").alias("_min_mid"),
-                  F.count(F.lit(1)).alias("_rows"),
-                  F.count(CORRUPT_COL).alias("_corrupt_rows")))
+def split_stats(raw: DataFrame) -> DataFrame:
+    """One row per (file, split): first id, rows, corrupt rows (one scan of the helper columns)."""
+    return (raw.groupBy("_file", "_block")
+            .agg(F.min("_mid").alias("_min_mid"),
+                 F.count(F.lit(1)).alias("_rows"),
+                 F.count(CORRUPT_COL).alias("_corrupt_rows")))
+
+
+def offsets_from_stats(stats: DataFrame) -> DataFrame:
+    """Split statistics -> _part, _min_mid, _rows, _corrupt_rows, _base (rows before the split)."""
     before = Window.unboundedPreceding
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(before, -1)
     per_file = stats.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
@@ -145,6 +150,11 @@ def split_offsets(raw: DataFrame) -> DataFrame:
                     (F.col("_file_base") + F.col("_split_base")).alias("_base"), "_file", "_block"))
 
 
+def split_offsets(raw: DataFrame) -> DataFrame:
+    """One row per (file, split): _part, _min_mid, _rows, _corrupt_rows, _base."""
+    return offsets_from_stats(split_stats(raw))
+
+
 def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False,
                options: dict | None = None, compression: str = "zstd") -> IngestResult:
     """CSV file(s) -> raw Parquet at ``dest`` (read it back with ``read_raw``)."""
@@ -161,9 +171,14 @@ def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False
                     F.col("_metadata.file_path").alias("_file"),
                     F.col("_metadata.file_block_start").alias("_block"))
             .write.mode("overwrite").option("compression", compression).parquet(dest))
-        # Reads only the three small helper columns of what was just written.
-        (split_offsets(spark.read.parquet(dest)).coalesce(1)
+        # One scan of the small helper columns of what was just written gives
+        # the per-split statistics; they are stored first (tiny) so that the
+        # two branches of the offsets computation do not scan the data twice.
+        stats_path = f"{dest}/{STATS_DIR}"
+        split_stats(spark.read.parquet(dest)).write.mode("overwrite").parquet(stats_path)
+        (offsets_from_stats(spark.read.parquet(stats_path)).coalesce(1)
             .write.mode("overwrite").parquet(f"{dest}/{OFFSETS_DIR}"))
+        delete_path(spark, stats_path)
     except (PySparkException, Py4JJavaError) as e:
         delete_path(spark, dest)
         raise IngestError(MSG_CORRUPT) from e
