@@ -145,3 +145,17 @@ def test_initial_view_signature_is_stable():
     payload = {"dataset_id": "x", "filters": None, "dimensions": [], "measures": []}
     expect = hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert ViewSpec().signature("x") == expect
+
+
+def test_derived_field_filters(spark):
+    df = spark.createDataFrame([(True, 6, 10.0), (False, 7, 5.0), (True, 1, 1.0)],
+                               "has_description boolean, posting_weekday int, amount double")
+    out = compile_view(df, {"dimensions": [{"field_id": ID("posting_weekday")}],
+                            "measures": [{"field_id": ID("amount"), "aggregations": ["sum"]}],
+                            "filters": {"op": "and", "conditions": [
+                                {"field_id": ID("has_description"), "operator": "=", "value": "true"},
+                                {"field_id": ID("posting_weekday"), "operator": "in", "value": [6, 7]}]}})
+    assert [tuple(r) for r in out.collect()] == [(6, 10.0)]
+    with pytest.raises(ViewError, match="does not fit"):
+        compile_view(df, {"dimensions": [], "filters": {"op": "and", "conditions": [
+            {"field_id": ID("has_description"), "operator": "=", "value": "maybe"}]}})
