@@ -16,7 +16,7 @@ from ledgerlens.operators.catalog import view_signature_col
 from ledgerlens.plans import views as V
 from ledgerlens.plans.spec import ViewSpec
 from ledgerlens.sources.csv_ingest import header_signature_col
-from ledgerlens.sources.sample import DEBIT_CREDIT_HEADER, SAMPLE_HEADER, read_table
+from ledgerlens.sources.sample import DEBIT_CREDIT_HEADER, SAMPLE_HEADER, read_table, spread
 
 # Export headers by variant (o_orderkey % 4).  Variant 3 is variant 0 in
 # another column order, so both share one signature.
@@ -45,7 +45,7 @@ FAULT_BOTH_GROUPS = 23      # the other amount group mapped as well
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per uploaded dataset."""
-    o = read_table(spark, sf_dir, "orders")
+    o = spread(read_table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     variant = (k % 4).cast("int")
     header = F.element_at(F.array(*[F.array(*[F.lit(c) for c in h]) for h in HEADER_VARIANTS]), variant + 1)
@@ -143,7 +143,7 @@ VIEW_DATASETS = 40
 
 def view_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset_id, signature, user_id, accessed_at), one row per event."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = spread(read_table(spark, sf_dir, "events"))
     ds_id = F.concat(F.lit("DS"), (F.col("user_id") % VIEW_DATASETS).cast("string"))
     sig = None
     for etype, spec in EVENT_VIEWS.items():
