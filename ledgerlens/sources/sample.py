@@ -68,25 +68,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SPREAD_COPIES: dict = {}
+
+
+def _source_key(df: DataFrame, cores: int):
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for f in sorted(df.inputFiles()):
+        hpath = jvm.org.apache.hadoop.fs.Path(f)
+        st = hpath.getFileSystem(conf).getFileStatus(hpath)
+        parts.append((f, st.getLen(), st.getModificationTime()))
+    return tuple(parts), cores, tuple(df.columns)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
+    """Give a scan with fewer splits than the cluster has cores one split per core.
 
     The test tables are single Parquet files with one row group, which Spark
-    reads in one task; the per-row work after it (projection, validation,
-    transform) would then run on one core.  A large input has far more
-    splits than cores, so this never fires there and adds no shuffle.
-    (Catalyst still pushes a later validity filter below this exchange, so
-    fused fixture plans evaluate the rules in the scan task; the stored
-    pipeline filters on the written ``is_valid`` column instead.)
+    reads in one task, so everything fused after the scan (projection,
+    validation, transform) would run on one core.  Such a table is copied
+    once per session into the shared scratch folder as one file per core and
+    read from there; the copy is keyed by the source files' paths, sizes and
+    modification times.  A large input has far more splits than cores, so
+    this never fires there.
     """
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:          # no RDD access (e.g. a Spark Connect session): leave the scan as is
+        spark = df.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() * 2 > cores:
+            return df
+        key = _source_key(df, cores)
+    except Exception:          # no RDD / JVM access (e.g. a Spark Connect session): leave the scan as is
         return df
-    if splits * 2 <= cores:
-        return df.repartition(cores)
-    return df
+    from ledgerlens.session import path_exists, scratch_path
+    path = _SPREAD_COPIES.get(key)
+    if path is None or not path_exists(spark, path):
+        path = scratch_path(spark, "spread")
+        df.repartition(cores).write.mode("overwrite").parquet(path)
+        _SPREAD_COPIES[key] = path
+    return spark.read.parquet(path)
 
 
 def _common(li: DataFrame) -> list[Column]:
