@@ -76,3 +76,17 @@ def test_account_codes_trimmed_upper(spark):
            ["document_number", "debit_credit_indicator", "amount", "account_number", "offset_account_number"])
     r = t.first()
     assert (r.account_number, r.offset_account_number) == ("AB-01", "X")
+
+
+def test_extra_date_layouts(spark):
+    import datetime as dt
+    fmts = ("yyyy-MM-dd", "dd.MM.yyyy")
+    df = spark.createDataFrame([("1", "D", "5", "01.03.2026"), ("2", "D", "5", "2026-03-02"), ("3", "D", "5", "3/4/2026")],
+                               "a string, b string, c string, d string")
+    mapping = {c: registry.id_of(n) for c, n in zip(df.columns, ["document_number", "debit_credit_indicator",
+                                                                  "amount", "posting_date"])}
+    v = validate(df, mapping, date_formats=fmts)
+    assert {r.document_number: r.is_valid for r in v.collect()} == {"1": True, "2": True, "3": False}
+    t = transform(v, date_formats=fmts)
+    got = {r.document_number: (r.posting_date, r.posting_weekday) for r in t.collect()}
+    assert got == {"1": (dt.date(2026, 3, 1), 7), "2": (dt.date(2026, 3, 2), 1)}
