@@ -124,9 +124,8 @@ _SAVE_KEYS = ("dataset_id", "save_no")
 
 
 def _valid_saves(spark, sf_dir):
-    entries = SC.mappings(spark, sf_dir)
-    saves = C.mapping_saves(entries, SC.save_times(spark, sf_dir), _SAVE_KEYS)
-    return C.valid_saves(saves, C.mapping_status(entries, keys=_SAVE_KEYS), _SAVE_KEYS)
+    saves = C.checked_saves(SC.mappings(spark, sf_dir), SC.save_times(spark, sf_dir), keys=_SAVE_KEYS)
+    return saves.where(F.col("rule") == 0).select(*_SAVE_KEYS, "mapping", "saved_at")
 
 
 def _signature_mappings(spark, sf_dir):

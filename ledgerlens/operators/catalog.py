@@ -35,7 +35,8 @@ def _registry_lookup(spark, registry: FieldRegistry) -> DataFrame:
     return spark.createDataFrame(rows, "field_id string, canonical_name string")
 
 
-def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]) -> DataFrame:
+def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...],
+             with_mapping: bool = False) -> DataFrame:
     """One row per mapping with ``found``: its violations in rule order.
 
     A single partially-aggregated group-by; the per-group sets hold one
@@ -51,6 +52,8 @@ def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]
         F.count(F.lit(1)).alias("n_entries"),
         F.size(F.collect_set("field_id")).alias("n_fields"),
         F.collect_set("canonical_name").alias("mapped"),
+        *([F.map_from_entries(F.collect_list(F.struct("raw_column", "field_id"))).alias("mapping")]
+          if with_mapping else []),
     )
     mandatory = F.array(*[F.lit(f.canonical_name) for f in registry.mandatory()])
     missing = F.array_except(mandatory, F.col("mapped"))
@@ -71,7 +74,7 @@ def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]
         v(4, ~(dc | ai), F.lit(MSG_NO_AMOUNT_GROUP)),
         v(5, dc & ai, F.lit(MSG_MIXED_GROUPS)),
     )
-    return per_map.select(*keys, found.alias("found"))
+    return per_map.select(*keys, found.alias("found"), *(["mapping"] if with_mapping else []))
 
 
 def mapping_violations(mappings: DataFrame, registry: FieldRegistry = default_registry,
@@ -100,6 +103,23 @@ def mapping_status(mappings: DataFrame, registry: FieldRegistry = default_regist
             .select(*keys, "s.rule", "s.message"))
 
 
+def checked_saves(mappings: DataFrame, saved_at: DataFrame, registry: FieldRegistry = default_registry,
+                  keys: tuple[str, ...] = ("dataset_id", "save_no")) -> DataFrame:
+    """One row per save: its ``mapping``, first failing ``rule`` / ``message``
+    (0 / 'ok' when it passes) and ``saved_at``.
+
+    The rule check and the mapping itself come out of the same aggregation,
+    so the entries are shuffled once; valid saves are then a filter on
+    ``rule == 0`` rather than a join.
+    """
+    ok = F.struct(F.lit(0).alias("rule"), F.lit("ok").alias("message"))
+    first = F.when(F.size("found") > 0, F.col("found")[0]).otherwise(ok)
+    return (_checked(mappings, registry, keys, with_mapping=True)
+            .select(*keys, "mapping", first.alias("s"))
+            .select(*keys, "mapping", "s.rule", "s.message")
+            .join(saved_at, list(keys)))
+
+
 def mapping_saves(mappings: DataFrame, saved_at: DataFrame,
                   keys: tuple[str, ...] = ("dataset_id", "save_no")) -> DataFrame:
     """Entries + save time -> one row per save with a ``mapping`` map column.

@@ -86,3 +86,14 @@ def test_view_catalog(spark):
     out = {(r.dataset_id, r.signature): (r.created_by, r.accesses, r.last_accessed_at)
            for r in C.view_catalog(acc).collect()}
     assert out == {("d", "s"): (5, 2, t(2026, 1, 2)), ("d", "s2"): (1, 1, t(2026, 1, 3))}
+
+
+def test_checked_saves_match_separate_jobs(spark):
+    import datetime as dt
+    cases = {"ok": _good()}
+    m = _good(); m.pop("acc"); cases["missing"] = m
+    entries = _frame(spark, cases).withColumn("save_no", F.lit(1))
+    times = spark.createDataFrame([("ok", 1, dt.datetime(2026, 1, 1)), ("missing", 1, dt.datetime(2026, 1, 2))],
+                                  "dataset_id string, save_no int, saved_at timestamp")
+    got = {r.dataset_id: (r.rule, dict(r.mapping)) for r in C.checked_saves(entries, times).collect()}
+    assert got["ok"] == (0, _good()) and got["missing"][0] == 3
