@@ -113,8 +113,24 @@ def compile_filter(df: DataFrame, node, registry: FieldRegistry = default_regist
 
 
 # ----------------------------------------------------------------- measures
-def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = default_registry):
-    """[(output name, field name, aggregate Column)], named ``{field}_{agg}``."""
+MONEY_DECIMAL = "decimal(38,6)"
+
+
+def _aggregate(agg: str, c: Column, exact: bool) -> Column:
+    if exact and agg in ("sum", "avg"):
+        # Exact and independent of how partial sums are combined; back to double.
+        return _AGG[agg](c.cast(MONEY_DECIMAL)).cast("double")
+    return _AGG[agg](c)
+
+
+def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = default_registry,
+                     exact_money: bool = False):
+    """[(output name, field name, aggregate Column)], named ``{field}_{agg}``.
+
+    ``exact_money`` sums and averages ``float`` fields as ``decimal(38,6)``
+    (values rounded to 6 decimals first), so totals do not depend on the
+    order in which partial sums meet.
+    """
     out = []
     for m in spec.measures:
         f = resolve(registry, m.field_id)
@@ -125,7 +141,8 @@ def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = de
                 raise ViewError(f"Aggregation {agg} not allowed for field: {f.canonical_name}")
             name = _require_column(df, f)
             alias = f"{name}_{agg}"
-            out.append((alias, name, _AGG[agg](qcol(name)).alias(alias)))
+            exact = exact_money and f.dtype == "float"
+            out.append((alias, name, _aggregate(agg, qcol(name), exact).alias(alias)))
     return out
 
 
@@ -157,7 +174,8 @@ def pivot_values(df: DataFrame, col_dim: str, limit: int = PIVOT_MAX_VALUES) ->
     return sorted(vals)
 
 
-def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total: bool) -> DataFrame:
+def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total: bool,
+           exact_money: bool = False, money: frozenset = frozenset()) -> DataFrame:
     """Column-axis dimension as columns named ``{value}_{field}_{agg}``.
 
     Written as conditional aggregates: one pass, partial aggregation before
@@ -171,7 +189,8 @@ def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total
     for v in values:
         for alias, fname, _ in measures:
             agg = alias[len(fname) + 1:]
-            aggs.append(_AGG[agg](F.when(key == F.lit(v), qcol(fname))).alias(f"{v}_{alias}"))
+            aggs.append(_aggregate(agg, F.when(key == F.lit(v), qcol(fname)), exact_money and fname in money)
+                        .alias(f"{v}_{alias}"))
     if total:
         aggs += [c.alias(f"total_{alias}") for alias, _, c in measures]
     grouped = df.groupBy(*[qcol(r) for r in rows])
@@ -212,11 +231,12 @@ def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[Column]
 
 
 # ------------------------------------------------------------------ compile
-def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry) -> DataFrame:
+def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry,
+                 exact_money: bool = False) -> DataFrame:
     if isinstance(spec, dict):
         spec = ViewSpec.from_dict(spec)
     dims = compile_dimensions(df, spec, registry)
-    measures = compile_measures(df, spec, registry)
+    measures = compile_measures(df, spec, registry, exact_money)
     predicate = compile_filter(df, spec.filters, registry)
     if predicate is not None:
         df = df.filter(predicate)
@@ -228,7 +248,8 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
             raise ViewError("Pivot supports one column-axis dimension")
         f = resolve(registry, next(x.field_id for x in spec.dimensions if x.axis == "column"))
         values = spec.pivot_values.get(f.id, spec.pivot_values.get(f.canonical_name))
-        out = _pivot(df, row_dims, col_dims[0], values, measures, spec.pivot_total)
+        money = frozenset(fname for _, fname, _ in measures if resolve(registry, fname).dtype == "float")
+        out = _pivot(df, row_dims, col_dims[0], values, measures, spec.pivot_total, exact_money, money)
         dims = [(d, "row") for d in row_dims]
         measures = []
     elif dims and measures:

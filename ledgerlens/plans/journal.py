@@ -60,8 +60,8 @@ def transform_dataset(spark: SparkSession, validated_path: str, dest: str, *,
 
 
 def query_view(spark: SparkSession, transformed_path: str, spec: ViewSpec | dict, *,
-               registry: FieldRegistry = default_registry) -> DataFrame:
-    return compile_view(scan_parquet(spark, transformed_path), spec, registry)
+               registry: FieldRegistry = default_registry, exact_money: bool = False) -> DataFrame:
+    return compile_view(scan_parquet(spark, transformed_path), spec, registry, exact_money)
 
 
 def initial_view(dataset_id: str) -> dict:

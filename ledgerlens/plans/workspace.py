@@ -182,13 +182,14 @@ class Workspace:
         self._record_view(dataset_id, ViewSpec(), user_id)
         return view
 
-    def query(self, dataset_id: str, request: dict | ViewSpec, user_id: int) -> DataFrame:
+    def query(self, dataset_id: str, request: dict | ViewSpec, user_id: int, *,
+              exact_money: bool = False) -> DataFrame:
         """Compile a view request over the transformed table and record the opening."""
         transformed = self._data("transformed", dataset_id)
         if not path_exists(self.spark, transformed):
             raise NotFound("Transformed data missing")
         spec = request if isinstance(request, ViewSpec) else ViewSpec.from_dict(request)
-        out = compile_view(self.spark.read.parquet(transformed), spec, self.registry)
+        out = compile_view(self.spark.read.parquet(transformed), spec, self.registry, exact_money)
         self._record_view(dataset_id, spec, user_id)
         return out
 

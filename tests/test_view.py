@@ -159,3 +159,18 @@ def test_derived_field_filters(spark):
     with pytest.raises(ViewError, match="does not fit"):
         compile_view(df, {"dimensions": [], "filters": {"op": "and", "conditions": [
             {"field_id": ID("has_description"), "operator": "=", "value": "maybe"}]}})
+
+
+def test_exact_money_is_order_independent(spark):
+    import random
+    rnd = random.Random(7)
+    vals = [round(rnd.uniform(-1e6, 1e6), 2) for _ in range(2000)] + [1e15, -1e15, 0.01]
+    df = spark.createDataFrame([(v,) for v in vals], "amount double")
+    spec = {"dimensions": [], "measures": [{"field_id": ID("amount"), "aggregations": ["sum", "avg", "count"]}]}
+    a = compile_view(df.repartition(7), spec, exact_money=True).first()
+    b = compile_view(df.orderBy(F.rand(3)).repartition(3), spec, exact_money=True).first()
+    import decimal
+    exact = float(sum(decimal.Decimal(str(v)) for v in vals))
+    assert a.amount_sum == b.amount_sum == exact
+    assert a.amount_count == len(vals)
+    assert compile_view(df, spec).columns == ["amount_sum", "amount_avg", "amount_count"]
