@@ -20,9 +20,10 @@ check; the broadcast side is four longs per split (~800k splits, ~50 MB
 hashed, for 100 TB read in 128 MB splits) and its row count is checked
 before broadcasting.
 
-Offsets are running sums: per file (window partitioned by file) plus one
-over files (one row per input file, the same order of magnitude as the file
-listing Spark's driver already holds).  Nothing is collected to the driver.
+Offsets are a distributed prefix sum over (file, split) order: the split
+statistics are range-partitioned, running sums run inside each range
+partition, and only one total per range partition is summed in a single
+task.  Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -136,23 +137,39 @@ def split_stats(raw: DataFrame) -> DataFrame:
                  F.count(CORRUPT_COL).alias("_corrupt_rows")))
 
 
+def range_stats(stats: DataFrame) -> DataFrame:
+    """Split statistics range-partitioned in (file, split) order, each row
+    stamped with its range partition (``_pid`` increases with the order)."""
+    return (stats.repartitionByRange("_file", "_block")
+            .withColumn("_pid", F.spark_partition_id()))
+
+
 def offsets_from_stats(stats: DataFrame) -> DataFrame:
-    """Split statistics -> _part, _min_mid, _rows, _corrupt_rows, _base (rows before the split)."""
+    """Range-stamped split statistics -> _part, _min_mid, _rows, _corrupt_rows, _base.
+
+    A distributed prefix sum over (file, split) order: running sums inside
+    each range partition run in parallel; only the partition totals (one row
+    per range partition, bounded by the shuffle partition count, not by the
+    data) are summed in one task and broadcast back.
+    """
     before = Window.unboundedPreceding
-    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(before, -1)
-    per_file = stats.groupBy("_file").agg(F.sum("_rows").alias("_file_rows"))
-    across_files = Window.orderBy("_file").rowsBetween(before, -1)
-    file_base = per_file.select("_file", F.coalesce(F.sum("_file_rows").over(across_files), F.lit(0))
-                                .alias("_file_base"))
-    return (stats.withColumn("_split_base", F.coalesce(F.sum("_rows").over(in_file), F.lit(0)))
-            .join(file_base, "_file")
+    inside = Window.partitionBy("_pid").orderBy("_file", "_block").rowsBetween(before, -1)
+    local = stats.withColumn("_local_base", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
+    totals = stats.groupBy("_pid").agg(F.sum("_rows").alias("_ptot"))
+    part_base = totals.select("_pid", F.coalesce(F.sum("_ptot").over(Window.orderBy("_pid").rowsBetween(before, -1)),
+                                                 F.lit(0)).alias("_pbase"))
+    return (local.join(F.broadcast(part_base), "_pid")
             .select(F.shiftright("_min_mid", 33).alias("_part"), "_min_mid", "_rows", "_corrupt_rows",
-                    (F.col("_file_base") + F.col("_split_base")).alias("_base"), "_file", "_block"))
+                    (F.col("_pbase") + F.col("_local_base")).alias("_base"), "_file", "_block"))
 
 
 def split_offsets(raw: DataFrame) -> DataFrame:
-    """One row per (file, split): _part, _min_mid, _rows, _corrupt_rows, _base."""
-    return offsets_from_stats(split_stats(raw))
+    """One row per (file, split): _part, _min_mid, _rows, _corrupt_rows, _base.
+
+    (Single-plan form for inspection; ``ingest_csv`` stores the range-stamped
+    statistics first so the stamps are fixed before they are used twice.)
+    """
+    return offsets_from_stats(range_stats(split_stats(raw)))
 
 
 def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False,
@@ -175,7 +192,7 @@ def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False
         # the per-split statistics; they are stored first (tiny) so that the
         # two branches of the offsets computation do not scan the data twice.
         stats_path = f"{dest}/{STATS_DIR}"
-        split_stats(spark.read.parquet(dest)).write.mode("overwrite").parquet(stats_path)
+        range_stats(split_stats(spark.read.parquet(dest))).write.mode("overwrite").parquet(stats_path)
         (offsets_from_stats(spark.read.parquet(stats_path)).coalesce(1)
             .write.mode("overwrite").parquet(f"{dest}/{OFFSETS_DIR}"))
         delete_path(spark, stats_path)

@@ -151,3 +151,27 @@ def test_row_ids_without_broadcast(spark, tmp_path, data_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.row_id for r in rows] == list(range(10))
     assert rows[3].document_number == "JE103"
+
+
+def test_row_ids_across_range_partitions(spark, tmp_path):
+    src = tmp_path / "many"
+    src.mkdir()
+    expected = []
+    for i, n in enumerate([5, 3000, 1, 1800, 700]):
+        lines = [f"g{i}-r{j},{j}" for j in range(n)]
+        expected += [line.split(",")[0] for line in lines]
+        (src / f"part{i}.csv").write_text("k,v\n" + "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        res = ingest_csv(spark, str(src), str(tmp_path / "raw"))
+        from ledgerlens.sources.csv_ingest import range_stats, split_stats
+        stamped = range_stats(split_stats(spark.read.parquet(res.path)))
+        assert stamped.select("_pid").distinct().count() > 1      # the prefix sum crosses partitions
+        assert spark.read.parquet(str(tmp_path / "raw" / "_row_offsets")).count() > 8
+        rows = read_raw(spark, res.path).orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.row_id for r in rows] == list(range(len(expected)))
+    assert [r.k for r in rows] == expected

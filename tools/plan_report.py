@@ -28,7 +28,7 @@ def main(argv):
     from ledgerlens.session import local_session
     from ledgerlens.plans import journal, views as V
     from ledgerlens.sources import sample
-    from ledgerlens.sources.csv_ingest import offsets_from_stats, read_raw, split_stats
+    from ledgerlens.sources.csv_ingest import read_raw, split_offsets, split_stats
     from ledgerlens.operators.validate import validate, validation_summary
     from ledgerlens.operators.enrich import transform
     from ledgerlens.operators import catalog as C
@@ -46,8 +46,9 @@ def main(argv):
 
     sections = [
         ("Ingest: split statistics (one scan of the helper columns)", split_stats(spark.read.parquet(f"{d}/raw"))),
-        ("Ingest: offsets from the stored split statistics (one row per split)",
-         offsets_from_stats(spark.read.parquet(f"{d}/raw/_row_offsets"))),
+        ("Ingest: offsets as a distributed prefix sum over range-partitioned split statistics "
+         "(single-plan form; the ingest stores the stamped statistics first)",
+         split_offsets(spark.read.parquet(f"{d}/raw"))),
         ("Validate: raw table with row ids -> rules", validate(read_raw(spark, f"{d}/raw"), sample.sample_mapping())),
         ("Validation summary over the written table", validation_summary(spark.read.parquet(f"{d}/val"))),
         ("Transform: valid rows -> typed, standardised, helper columns", transform(spark.read.parquet(f"{d}/val"))),
