@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,6 +230,37 @@ def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[Column]
     return [qcol(n).asc_nulls_last() for n in names if n not in sorted_names]
 
 
+# ------------------------------------------------------------- deep pages
+# Pages ending beyond this many rows are not taken with Spark's top-K (which
+# keeps offset + limit rows in every task) but by rank over a written sort.
+DEEP_PAGE_ROWS = 100_000
+
+
+def _deep_page(out: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ranked [offset, offset + limit) in ``order``, for large offsets.
+
+    The result is sorted once (range-partitioned) and written to the shared
+    scratch folder with ``monotonically_increasing_id`` (partition id in the
+    upper bits, position in the partition in the lower 33), which fixes
+    each row's place.  Rows per partition are counted and turned into
+    partition bases by a prefix sum over one row per partition; a row's rank
+    is its partition base plus its position.  Only the page's rows are kept.
+    """
+    from ledgerlens.session import scratch_path
+    spark = out.sparkSession
+    path = scratch_path(spark, "sorted-page")
+    out.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    pid = F.shiftright("_mid", 33)
+    counts = rows.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    bases = counts.select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_base"))
+    rank = F.col("_base") + (F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
+    ranked = rows.withColumn("_pid", pid).join(F.broadcast(bases), "_pid").withColumn("_rank", rank)
+    page = ranked.where((F.col("_rank") >= offset) & (F.col("_rank") < offset + limit))
+    return page.orderBy("_rank").drop("_pid", "_mid", "_base", "_rank")
+
+
 # ------------------------------------------------------------------ compile
 def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry,
                  exact_money: bool = False) -> DataFrame:
@@ -263,10 +294,14 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
 
     keys, sorted_names = _sort_columns(spec, out, dims, measures, registry)
     if spec.pagination is not None:
-        out = out.orderBy(*(keys + _tiebreak(out, dims, measures, sorted_names)))
-        if spec.pagination.offset:
-            out = out.offset(spec.pagination.offset)
-        out = out.limit(spec.pagination.limit)
+        order = keys + _tiebreak(out, dims, measures, sorted_names)
+        page = spec.pagination
+        if page.offset + page.limit > DEEP_PAGE_ROWS:
+            return _deep_page(out, order, page.offset, page.limit)
+        out = out.orderBy(*order)
+        if page.offset:
+            out = out.offset(page.offset)
+        out = out.limit(page.limit)
     elif keys:
         out = out.orderBy(*keys)
     return out

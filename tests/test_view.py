@@ -174,3 +174,20 @@ def test_exact_money_is_order_independent(spark):
     assert a.amount_sum == b.amount_sum == exact
     assert a.amount_count == len(vals)
     assert compile_view(df, spec).columns == ["amount_sum", "amount_avg", "amount_count"]
+
+
+def test_deep_page_matches_top_k(spark, monkeypatch):
+    import ledgerlens.operators.view as VW
+    df = (spark.range(5000).repartition(6)
+          .selectExpr("cast(id % 97 as double) as amount", "concat('D', cast(id as string)) as document_number"))
+    spec = {"dimensions": [], "sorting": [{"field_id": ID("amount"), "sorting_direction": "desc"}],
+            "pagination": {"limit": 40, "offset": 2500}}
+    shallow = [tuple(r) for r in compile_view(df, spec).collect()]
+    monkeypatch.setattr(VW, "DEEP_PAGE_ROWS", 100)
+    deep_df = compile_view(df, spec)
+    deep = [tuple(r) for r in deep_df.collect()]
+    assert deep == shallow and len(deep) == 40
+    assert deep_df.columns == df.columns
+    # past the end: empty page
+    spec["pagination"] = {"limit": 10, "offset": 5000}
+    assert compile_view(df, spec).count() == 0
