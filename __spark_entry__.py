@@ -24,7 +24,7 @@ from ledgerlens.plans import views as V  # noqa: E402
 from ledgerlens.operators import catalog as C  # noqa: E402
 from ledgerlens.sources import sample  # noqa: E402
 from ledgerlens.sources import sample_catalog as SC  # noqa: E402
-from ledgerlens.session import scratch_path  # noqa: E402
+from ledgerlens.session import path_exists, scratch_path  # noqa: E402
 from ledgerlens.sources.csv_ingest import ingest_csv, read_raw  # noqa: E402
 from ledgerlens.sources.fingerprint import fingerprint_frame  # noqa: E402
 from oracle_catalog import catalog_oracle  # noqa: E402
@@ -45,8 +45,27 @@ def _transformed_dc(spark, sf_dir):
     return transform(validate(sample.journal_raw_debit_credit(spark, sf_dir), sample.debit_credit_mapping()))
 
 
+_STORED: dict = {}
+
+
+def _stored_transformed(spark, sf_dir):
+    """The transformed sample journal, written once per session to the shared
+    scratch folder (keyed by the source files' identity) and read back: views
+    run over a stored transformed table, as in the application."""
+    try:
+        key = sample._source_key(sample.read_table(spark, sf_dir, "lineitem"), 0)
+    except Exception:                 # no JVM access: compute in the same plan
+        return _transformed(spark, sf_dir)
+    path = _STORED.get(key)
+    if path is None or not path_exists(spark, path):
+        path = scratch_path(spark, "transformed-sample")
+        _transformed(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
 def _view(name):
-    return lambda spark, sf_dir: compile_view(_transformed(spark, sf_dir), V.VIEWS[name])
+    return lambda spark, sf_dir: compile_view(_stored_transformed(spark, sf_dir), V.VIEWS[name])
 
 
 def q_validate_summary(spark, sf_dir):
