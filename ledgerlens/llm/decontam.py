@@ -63,8 +63,10 @@ def winnowed(word_list: Column, span: int, k: int) -> Column:
 
 def _selected(word_list: Column, spans: list[tuple[int, int]]) -> Column:
     """Structs (span, gram) for every (span, k)."""
-    parts = [F.transform(winnowed(word_list, s, k), lambda g, s=s: F.struct(F.lit(s).alias("span"), g.alias("gram")))
-             for s, k in spans]
+    def tagged(span: int, k: int) -> Column:
+        return F.transform(winnowed(word_list, span, k), lambda g: F.struct(F.lit(span).alias("span"), g.alias("gram")))
+
+    parts = [tagged(span, k) for span, k in spans]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
