@@ -32,6 +32,22 @@ from oracle_catalog import catalog_oracle  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+def _training_data():
+    """Queries and oracle SQL of the training-data operators; none if their
+    subpackage has been taken out.  Other import errors are errors."""
+    try:
+        import corpus_pipeline
+        from ledgerlens.llm.queries import ORACLE, QUERIES
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "ledgerlens.llm", "ledgerlens.llm.queries"):
+            raise
+        return {}, {}
+    sql = dict(ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 # --------------------------------------------------------------------- spark
 def _validated(spark, sf_dir):
     return validate(sample.journal_raw(spark, sf_dir), sample.sample_mapping())
@@ -219,6 +235,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_latest_dataset": q_catalog_latest_dataset,
         "catalog_views": q_catalog_views,
     })
+    q.update(_training_data()[0])
     return q
 
 
@@ -382,4 +399,5 @@ SELECT error_list, is_valid, count(*) AS n_rows FROM validated GROUP BY error_li
 SELECT count(*) AS n_rows, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS row_id_sum,
        CAST(0 AS BIGINT) AS row_id_min, CAST(count(*) - 1 AS BIGINT) AS row_id_max, {stats}
 FROM raw"""
+    sql.update(_training_data()[1])
     return sql
