@@ -118,9 +118,10 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                     del stack[i:]
                     break
         elif name in _BLOCK or name in _MAIN or name == "span":
-            if name in _MAIN:                          # ends menus and the like left open
-                while stack and stack[-1][1] and stack[-1][0] in _SIDE:
-                    stack.pop()
+            if name in _MAIN:                          # ends a menu or the like left open
+                outer = next((i for i, x in enumerate(stack) if x[1]), None)
+                if outer is not None and stack[outer][0] in ("nav", "header", "menu", "form"):
+                    del stack[outer:]
                 aside = stack[-1][1] if stack else False
             side = aside or _is_side(name, m.group(3) or "", main)
             if side != aside and name == "span":
@@ -135,6 +136,8 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text; '' if it has none."""
     found = lines(page or "")
     marked = sum(len(t) for t, aside, main, _ in found if main and not aside)
+    if marked:                                         # what else an article holds does not part its text
+        found = [x for x in found if not (x[1] and x[2])]
     lengths = [0 if aside or (marked and not main) or (linked and linked >= 0.8 * len(t) and not main) else len(t)
                for t, aside, main, linked in found]
     sums = [sum(lengths[i:i + window]) for i in range(len(lengths))]
