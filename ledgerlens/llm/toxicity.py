@@ -59,22 +59,26 @@ def _numbers(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for p in parts(word)]
 
 
-def toxic_parts(words: list[set[str]], y: np.ndarray, heads: list[str]) -> set[str]:
+def toxic_parts(words: list[set[str]], y: np.ndarray, heads: list) -> set[str]:
     """Words (w...) and beginnings (p...) that mark toxic documents.
 
-    At least max(4, 0.4 %) toxic documents of different opening have them, and
-    of the documents that have them at least 97 % are toxic.
+    At least max(4, 0.4 %) toxic documents have them, and of the documents that
+    have them at least 97 % are toxic.  Documents of one opening (copies) count
+    as one, unless nothing is found that way.
     """
-    toxic: dict[str, set[str]] = {}
+    toxic: dict[str, set] = {}
     other: dict[str, int] = {}
     for ws, label, head in zip(words, y, heads):
-        for p in {p for w in ws for p in parts(w) if p[0] == "w" or p[:2] in ("p4", "p5")}:
+        for p in {p for w in ws for p in parts(w) if p[0] == "w" or p[:2] in ("p4", "p5", "p6")}:
             if label:
                 toxic.setdefault(p, set()).add(head)
             else:
                 other[p] = other.get(p, 0) + 1
     least = max(4, 0.004 * int((y == 1).sum()))
-    return {p for p, h in toxic.items() if len(h) >= least and other.get(p, 0) <= 0.03 * len(h)}
+    found = {p for p, h in toxic.items() if len(h) >= least and other.get(p, 0) <= 0.03 * len(h)}
+    if not found and len(set(heads)) < len(heads):
+        return toxic_parts(words, y, list(range(len(heads))))
+    return found
 
 
 def _segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
