@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,7 +61,9 @@ def _literal(value, dtype: T.DataType) -> Column:
         if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
             if isinstance(value, float) and not value.is_integer():
                 return F.lit(float(value))  # 1.5 against an integer column: compare as double
-            return F.lit(int(value)).cast(dtype)
+            # Compared as bigint, whatever the column's width; beyond that as a decimal.
+            wide = -(1 << 63) <= int(value) < 1 << 63
+            return F.lit(str(int(value))).cast("bigint" if wide else "decimal(38,0)")
         if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
             return F.lit(float(value)).cast(T.DoubleType())
         if isinstance(dtype, T.DateType):
@@ -113,23 +115,32 @@ def compile_filter(df: DataFrame, node, registry: FieldRegistry = default_regist
 
 
 # ----------------------------------------------------------------- measures
-MONEY_DECIMAL = "decimal(38,6)"
+MONEY_SCALE = 6
 
 
-def _aggregate(agg: str, c: Column, exact: bool) -> Column:
-    if exact and agg in ("sum", "avg"):
-        # Exact and independent of how partial sums are combined; back to double.
-        return _AGG[agg](c.cast(MONEY_DECIMAL)).cast("double")
+def _exact_decimal(c: Column, scale: int) -> Column:
+    kind = f"decimal(38,{scale})"
+    value = c.try_cast(kind)
+    limit = f"exact money sums hold {38 - scale} digits before and {scale} after the point; choose another money_scale"
+    return F.when(c.isNotNull() & value.isNull(), F.raise_error(F.lit(limit)).cast(kind)).otherwise(value)
+
+
+def _aggregate(agg: str, c: Column, scale: int | None) -> Column:
+    if scale is not None and agg in ("sum", "avg"):
+        # Independent of how partial sums are combined; back to double.
+        return _AGG[agg](_exact_decimal(c, scale)).cast("double")
     return _AGG[agg](c)
 
 
 def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = default_registry,
-                     exact_money: bool = False):
+                     exact_money: bool = False, money_scale: int = MONEY_SCALE):
     """[(output name, field name, aggregate Column)], named ``{field}_{agg}``.
 
-    ``exact_money`` sums and averages ``float`` fields as ``decimal(38,6)``
-    (values rounded to 6 decimals first), so totals do not depend on the
-    order in which partial sums meet.
+    ``exact_money`` sums and averages ``float`` fields as decimals with
+    ``money_scale`` digits after the point (each value is rounded to that
+    first), so totals do not depend on the order in which partial sums meet.
+    Values that do not fit fail with an error that names the limits.
+    An aggregation listed twice for a field counts once.
     """
     out = []
     for m in spec.measures:
@@ -141,8 +152,10 @@ def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = de
                 raise ViewError(f"Aggregation {agg} not allowed for field: {f.canonical_name}")
             name = _require_column(df, f)
             alias = f"{name}_{agg}"
-            exact = exact_money and f.dtype == "float"
-            out.append((alias, name, _aggregate(agg, qcol(name), exact).alias(alias)))
+            if any(alias == a for a, _, _ in out):
+                continue
+            scale = money_scale if exact_money and f.dtype == "float" else None
+            out.append((alias, name, _aggregate(agg, qcol(name), scale).alias(alias)))
     return out
 
 
@@ -158,61 +171,69 @@ def compile_dimensions(df: DataFrame, spec: ViewSpec, registry: FieldRegistry =
 
 
 # -------------------------------------------------------------------- pivot
-PIVOT_MAX_VALUES = 1000
-
-
-def pivot_values(df: DataFrame, col_dim: str, limit: int = PIVOT_MAX_VALUES) -> list:
-    """Distinct non-null values of the pivot column, refused above ``limit``.
+def pivot_values(df: DataFrame, col_dim: str, limit: int) -> list:
+    """Distinct values of the pivot column, a null last, refused above ``limit``.
 
     The distinct runs as a partial + final aggregation; only up to
     ``limit + 1`` values ever reach the driver.
     """
-    vals = [r[0] for r in df.select(qcol(col_dim)).where(qcol(col_dim).isNotNull())
-            .distinct().limit(limit + 1).collect()]
+    vals = [r[0] for r in df.select(qcol(col_dim)).distinct().limit(limit + 1).collect()]
     if len(vals) > limit:
-        raise ViewError(f"Pivot column {col_dim!r} has more than {limit} values; list them explicitly")
-    return sorted(vals)
+        raise ViewError(f"Pivot column {col_dim!r} has more than {limit} values; list them, raise pivot_limit, "
+                        "or leave pivot out for the long form")
+    return sorted(v for v in vals if v is not None) + ([None] if None in vals else [])
 
 
-def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total: bool,
-           exact_money: bool = False, money: frozenset = frozenset()) -> DataFrame:
-    """Column-axis dimension as columns named ``{value}_{field}_{agg}``.
+def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total: bool, limit: int,
+           scales: dict, hidden: list[tuple[str, Column]]) -> DataFrame:
+    """Column-axis dimension as columns named ``{value}_{field}_{agg}``
+    (``null_...`` for rows without a value).
 
     Written as conditional aggregates: one pass, partial aggregation before
     the exchange, and SQL semantics for empty cells (count 0, sum null).
-    ``total`` adds ``total_{field}_{agg}`` over all values of the row group.
+    ``total`` adds ``total_{field}_{agg}`` over all values of the row group;
+    ``hidden`` are further aggregates the result is sorted by.
     """
     if values is None:
-        values = pivot_values(df, col_dim)
+        values = pivot_values(df, col_dim, limit)
     key = qcol(col_dim)
     aggs = []
     for v in values:
+        here = key.isNull() if v is None else key == F.lit(v)
         for alias, fname, _ in measures:
             agg = alias[len(fname) + 1:]
-            aggs.append(_aggregate(agg, F.when(key == F.lit(v), qcol(fname)), exact_money and fname in money)
-                        .alias(f"{v}_{alias}"))
+            aggs.append(_aggregate(agg, F.when(here, qcol(fname)), scales.get(fname))
+                        .alias(f"{'null' if v is None else v}_{alias}"))
     if total:
         aggs += [c.alias(f"total_{alias}") for alias, _, c in measures]
     grouped = df.groupBy(*[qcol(r) for r in rows])
-    return grouped.agg(*aggs)
+    return grouped.agg(*aggs, *[c.alias(name) for name, c in hidden])
 
 
 # -------------------------------------------------------------------- order
-def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry) -> tuple[list[Column], set]:
+def _sort_target(s, name: str, out: DataFrame, dims, measures) -> str:
+    """The output column a sort entry means: a dimension, or a measure's
+    aggregation (the named one, else the first listed)."""
+    if s.aggregation is None and (name in [d for d, _ in dims]
+                                  or (not dims and not measures and name in out.columns)):
+        return name
+    wanted = None if s.aggregation is None else f"{name}_{s.aggregation}"
+    target = next((alias for alias, fname, _ in measures if fname == name and wanted in (None, alias)), None)
+    if target is None:
+        raise ViewError(f"Cannot sort by {wanted or name!r}: not part of the view output")
+    return target
+
+
+def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry,
+                  renamed: dict | None = None) -> tuple[list[Column], set]:
     keys, names = [], set()
     for s in spec.sorting:
-        f = resolve(registry, s.field_id)
-        name = f.canonical_name
-        if name in [d for d, _ in dims] or (not dims and not measures and name in out.columns):
-            target = name
-        else:
-            target = next((alias for alias, fname, _ in measures if fname == name), None)
-            if target is None or target not in out.columns:
-                raise ViewError(f"Cannot sort by {name!r}: not part of the view output")
-        # Nulls last both ways, as SQL engines such as DuckDB do by default.
+        target = _sort_target(s, resolve(registry, s.field_id).canonical_name, out, dims, measures)
+        target = (renamed or {}).get(target, target)
         if target in names:
             continue
         names.add(target)
+        # Nulls last both ways, as SQL engines such as DuckDB do by default.
         keys.append(qcol(target).asc_nulls_last() if s.direction == "asc" else qcol(target).desc_nulls_last())
     return keys, names
 
@@ -230,58 +251,34 @@ def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[Column]
     return [qcol(n).asc_nulls_last() for n in names if n not in sorted_names]
 
 
-# ------------------------------------------------------------- deep pages
-# Pages ending beyond this many rows are not taken with Spark's top-K (which
-# keeps offset + limit rows in every task) but by rank over a written sort.
-DEEP_PAGE_ROWS = 100_000
-
-
-def _deep_page(out: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows ranked [offset, offset + limit) in ``order``, for large offsets.
-
-    The result is sorted once (range-partitioned) and written to the shared
-    scratch folder with ``monotonically_increasing_id`` (partition id in the
-    upper bits, position in the partition in the lower 33), which fixes
-    each row's place.  Rows per partition are counted and turned into
-    partition bases by a prefix sum over one row per partition; a row's rank
-    is its partition base plus its position.  Only the page's rows are kept.
-    """
-    from ledgerlens.session import scratch_path
-    spark = out.sparkSession
-    path = scratch_path(spark, "sorted-page")
-    out.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    pid = F.shiftright("_mid", 33)
-    counts = rows.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
-    bases = counts.select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_base"))
-    rank = F.col("_base") + (F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
-    ranked = rows.withColumn("_pid", pid).join(F.broadcast(bases), "_pid").withColumn("_rank", rank)
-    page = ranked.where((F.col("_rank") >= offset) & (F.col("_rank") < offset + limit))
-    return page.orderBy("_rank").drop("_pid", "_mid", "_base", "_rank")
-
-
 # ------------------------------------------------------------------ compile
 def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry,
-                 exact_money: bool = False) -> DataFrame:
+                 exact_money: bool = False, money_scale: int = MONEY_SCALE) -> DataFrame:
     if isinstance(spec, dict):
         spec = ViewSpec.from_dict(spec)
     dims = compile_dimensions(df, spec, registry)
-    measures = compile_measures(df, spec, registry, exact_money)
+    measures = compile_measures(df, spec, registry, exact_money, money_scale)
     predicate = compile_filter(df, spec.filters, registry)
     if predicate is not None:
         df = df.filter(predicate)
 
     row_dims = [d for d, axis in dims if axis == "row"]
     col_dims = [d for d, axis in dims if axis == "column"]
+    sort_dims, sort_measures, renamed = dims, measures, {}
     if spec.pivot and col_dims and measures:
         if len(col_dims) > 1:
             raise ViewError("Pivot supports one column-axis dimension")
         f = resolve(registry, next(x.field_id for x in spec.dimensions if x.axis == "column"))
         values = spec.pivot_values.get(f.id, spec.pivot_values.get(f.canonical_name))
-        money = frozenset(fname for _, fname, _ in measures if resolve(registry, fname).dtype == "float")
-        out = _pivot(df, row_dims, col_dims[0], values, measures, spec.pivot_total, exact_money, money)
-        dims = [(d, "row") for d in row_dims]
+        scales = {fname: money_scale for _, fname, _ in measures
+                  if exact_money and resolve(registry, fname).dtype == "float"}
+        # A pivot is sorted by a measure over all its columns: its total.
+        sort_dims = dims = [(d, "row") for d in row_dims]
+        wanted = [(alias, c) for alias, fname, c in measures
+                  if any(resolve(registry, s.field_id).canonical_name == fname for s in spec.sorting)]
+        renamed = {alias: f"_sort_{alias}" for alias, _ in wanted}
+        out = _pivot(df, row_dims, col_dims[0], values, measures, spec.pivot_total, spec.pivot_limit, scales,
+                     [(renamed[alias], c) for alias, c in wanted])
         measures = []
     elif dims and measures:
         out = df.groupBy(*[qcol(d) for d, _ in dims]).agg(*[c for _, _, c in measures])
@@ -292,16 +289,15 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
     else:
         out = df
 
-    keys, sorted_names = _sort_columns(spec, out, dims, measures, registry)
+    keys, sorted_names = _sort_columns(spec, out, sort_dims, sort_measures, registry, renamed)
     if spec.pagination is not None:
         order = keys + _tiebreak(out, dims, measures, sorted_names)
         page = spec.pagination
-        if page.offset + page.limit > DEEP_PAGE_ROWS:
-            return _deep_page(out, order, page.offset, page.limit)
-        out = out.orderBy(*order)
+        if order:                             # one row needs none
+            out = out.orderBy(*order)
         if page.offset:
             out = out.offset(page.offset)
         out = out.limit(page.limit)
     elif keys:
         out = out.orderBy(*keys)
-    return out
+    return out.drop(*renamed.values())

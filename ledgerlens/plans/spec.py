@@ -45,6 +45,15 @@ class Condition:
         if isinstance(self.value, list):
             object.__setattr__(self, "value", tuple(self.value))
 
+    def canonical(self) -> dict:
+        value = self.value
+        if isinstance(value, tuple):          # a null, or values of mixed kinds, still have one order
+            try:
+                value = sorted(value)
+            except TypeError:
+                value = sorted(value, key=lambda x: (type(x).__name__, json.dumps(x, default=str)))
+        return {"type": "condition", "field_id": self.field_id, "operator": self.operator, "value": value}
+
 
 @dataclass(frozen=True)
 class Group:
@@ -55,6 +64,11 @@ class Group:
         object.__setattr__(self, "op", _choice(self.op, LOGICAL_OPS, "logical operator"))
         object.__setattr__(self, "conditions", tuple(self.conditions))
 
+    def canonical(self) -> dict:
+        by_text = {json.dumps(c, sort_keys=True): c for c in (k.canonical() for k in self.conditions)}
+        texts = sorted(json.dumps(k.canonical(), sort_keys=True) for k in self.conditions)
+        return {"type": "group", "op": self.op, "conditions": [by_text[t] for t in texts]}
+
 
 Node = Union[Condition, Group]
 
@@ -88,9 +102,12 @@ class Measure:
 class Sort:
     field_id: str
     direction: str = "asc"
+    aggregation: str | None = None            # of a measure; None: the first one listed
 
     def __post_init__(self):
         object.__setattr__(self, "field_id", str(self.field_id))
+        if self.aggregation is not None:
+            object.__setattr__(self, "aggregation", _choice(self.aggregation, AGGREGATIONS, "aggregation"))
         object.__setattr__(self, "direction", _choice(self.direction, DIRECTIONS, "sorting direction"))
 
 
@@ -118,6 +135,8 @@ class ViewSpec:
     pivot: bool = False
     pivot_values: dict = field(default_factory=dict, compare=False, hash=False)
     pivot_total: bool = False
+    # Most columns a pivot without listed values may get; more are refused.
+    pivot_limit: int = 1000
 
     def __post_init__(self):
         object.__setattr__(self, "dimensions", tuple(self.dimensions))
@@ -131,13 +150,14 @@ class ViewSpec:
             dimensions=[Dimension(x["field_id"], x.get("axis", "row")) for x in d.get("dimensions") or []],
             measures=[Measure(x["field_id"], x.get("aggregations") or []) for x in d.get("measures") or []],
             filters=parse_node(d["filters"]) if d.get("filters") else None,
-            sorting=[Sort(x["field_id"], x.get("sorting_direction", x.get("direction", "asc")))
+            sorting=[Sort(x["field_id"], x.get("sorting_direction", x.get("direction", "asc")), x.get("aggregation"))
                      for x in d.get("sorting") or []],
             pagination=Page(d["pagination"]["limit"], d["pagination"].get("offset", 0))
             if d.get("pagination") else None,
             pivot=bool(d.get("pivot", False)),
             pivot_values={str(k): list(v) for k, v in (d.get("pivot_values") or {}).items()},
             pivot_total=bool(d.get("pivot_total", False)),
+            pivot_limit=int(d.get("pivot_limit", 1000)),
         )
 
     @classmethod
@@ -149,13 +169,14 @@ class ViewSpec:
             "dimensions": [{"field_id": x.field_id, "axis": x.axis} for x in self.dimensions],
             "measures": [{"field_id": x.field_id, "aggregations": list(x.aggregations)} for x in self.measures],
             "filters": node_to_dict(self.filters) if self.filters is not None else None,
-            "sorting": [{"field_id": x.field_id, "sorting_direction": x.direction} for x in self.sorting],
+            "sorting": [{"field_id": x.field_id, "sorting_direction": x.direction,
+                         **({"aggregation": x.aggregation} if x.aggregation else {})} for x in self.sorting],
             "pagination": {"limit": self.pagination.limit, "offset": self.pagination.offset}
             if self.pagination else None,
         }
         if self.pivot:
             d.update(pivot=True, pivot_values={k: list(v) for k, v in self.pivot_values.items()},
-                     pivot_total=self.pivot_total)
+                     pivot_total=self.pivot_total, pivot_limit=self.pivot_limit)
         return d
 
     def expanded_measures(self):
@@ -194,28 +215,14 @@ def node_to_dict(node: Node) -> dict:
 # {"type": "group", op, conditions (sorted by their JSON with sorted keys)};
 # dimensions {field_id, axis} sorted by (field_id, axis); measures expanded to
 # {field_id, aggregation} sorted by (field_id, aggregation); serialised with
-# sorted keys and "," / ":" separators.
-def _canon_node(node: Node) -> dict:
-    if isinstance(node, Condition):
-        v = node.value
-        if isinstance(v, tuple):
-            v = sorted(v)
-        return {"type": "condition", "field_id": node.field_id, "operator": node.operator, "value": v}
-    kids = [_canon_node(c) for c in node.conditions]
-    kids.sort(key=lambda x: json.dumps(x, sort_keys=True))
-    return {"type": "group", "op": node.op, "conditions": kids}
-
-
+# sorted keys and "," / ":" separators.  A pivot adds its own key.
 def canonical_json(spec: ViewSpec, dataset_id) -> str:
-    dims = sorted(({"field_id": d.field_id, "axis": d.axis} for d in spec.dimensions),
-                  key=lambda d: (d["field_id"], d["axis"]))
-    measures = sorted(({"field_id": f, "aggregation": a}
-                       for m in spec.measures for f, a in [(m.field_id, x) for x in sorted(m.aggregations)]),
-                      key=lambda m: (m["field_id"], m["aggregation"]))
     payload = {
         "dataset_id": str(dataset_id),
-        "filters": _canon_node(spec.filters) if spec.filters is not None else None,
-        "dimensions": dims,
-        "measures": measures,
+        "filters": spec.filters and spec.filters.canonical(),
+        "dimensions": [{"field_id": f, "axis": a} for f, a in sorted((d.field_id, d.axis) for d in spec.dimensions)],
+        "measures": [{"field_id": f, "aggregation": a} for f, a in sorted(spec.expanded_measures())],
     }
+    if spec.pivot:
+        payload["pivot"] = {"values": spec.pivot_values, "total": spec.pivot_total}
     return json.dumps(payload, sort_keys=True, separators=(",", ":"))

@@ -86,6 +86,30 @@ VIEWS: dict[str, dict] = {
         "pivot": True,
         "pivot_values": {_id("debit_credit_indicator"): ["D", "C", "UNKNOWN"]},
     },
+    # Pivot over the values found, a column for rows without one included, and
+    # sorted by a measure's total.
+    "view_pivot_sorted": {
+        "dimensions": [_dim("approval_status"), _dim("posting_hour", "column")],
+        "measures": [_m("amount", "count", "sum")],
+        "filters": {"op": "or", "conditions": [_c("posting_hour", "is null"), _c("posting_hour", "<", 2)]},
+        "sorting": [{"field_id": _id("amount"), "sorting_direction": "desc", "aggregation": "sum"}],
+        "pagination": {"limit": 2, "offset": 0},
+        "pivot": True,
+        "pivot_total": True,
+    },
+    # Sorted by an aggregation that is not the first one listed.
+    "view_sorted_by_avg": {
+        "dimensions": [_dim("user_id")],
+        "measures": [_m("amount", "sum", "count", "avg", "sum")],
+        "sorting": [{"field_id": _id("amount"), "sorting_direction": "asc", "aggregation": "avg"}],
+        "pagination": {"limit": 7, "offset": 3},
+    },
+    # A page of the one global row.
+    "view_measures_only_page": {
+        "dimensions": [],
+        "measures": [_m("amount", "count", "max"), _m("line_number", "min")],
+        "pagination": {"limit": 5, "offset": 0},
+    },
     # Column axis without pivot: grouped like a row dimension (long form).
     "view_column_axis_long": {
         "dimensions": [_dim("journal_category"), _dim("posting_year", "column")],
@@ -168,6 +192,20 @@ SELECT journal_type,
        sum(amount) FILTER (WHERE debit_credit_indicator = 'UNKNOWN') AS UNKNOWN_amount_sum,
        count(amount) FILTER (WHERE debit_credit_indicator = 'UNKNOWN') AS UNKNOWN_amount_count
 FROM transformed GROUP BY journal_type""",
+    "view_pivot_sorted": """
+SELECT approval_status,
+       count(amount) FILTER (WHERE posting_hour = 0) AS "0_amount_count", sum(amount) FILTER (WHERE posting_hour = 0) AS "0_amount_sum",
+       count(amount) FILTER (WHERE posting_hour = 1) AS "1_amount_count", sum(amount) FILTER (WHERE posting_hour = 1) AS "1_amount_sum",
+       count(amount) FILTER (WHERE posting_hour IS NULL) AS null_amount_count,
+       sum(amount) FILTER (WHERE posting_hour IS NULL) AS null_amount_sum,
+       count(amount) AS total_amount_count, sum(amount) AS total_amount_sum
+FROM transformed WHERE (posting_hour IS NULL OR posting_hour < 2)
+GROUP BY approval_status ORDER BY sum(amount) DESC NULLS LAST, approval_status ASC NULLS LAST LIMIT 2""",
+    "view_sorted_by_avg": """
+SELECT user_id, sum(amount) AS amount_sum, count(amount) AS amount_count, avg(amount) AS amount_avg
+FROM transformed GROUP BY user_id ORDER BY avg(amount) ASC NULLS LAST, user_id ASC NULLS LAST LIMIT 7 OFFSET 3""",
+    "view_measures_only_page": """
+SELECT count(amount) AS amount_count, max(amount) AS amount_max, min(line_number) AS line_number_min FROM transformed""",
     "view_column_axis_long": """
 SELECT journal_category, posting_year, avg(amount) AS amount_avg
 FROM transformed GROUP BY journal_category, posting_year""",

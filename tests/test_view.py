@@ -176,18 +176,78 @@ def test_exact_money_is_order_independent(spark):
     assert compile_view(df, spec).columns == ["amount_sum", "amount_avg", "amount_count"]
 
 
-def test_deep_page_matches_top_k(spark, monkeypatch):
-    import ledgerlens.operators.view as VW
+def test_deep_page(spark):
     df = (spark.range(5000).repartition(6)
           .selectExpr("cast(id % 97 as double) as amount", "concat('D', cast(id as string)) as document_number"))
     spec = {"dimensions": [], "sorting": [{"field_id": ID("amount"), "sorting_direction": "desc"}],
             "pagination": {"limit": 40, "offset": 2500}}
-    shallow = [tuple(r) for r in compile_view(df, spec).collect()]
-    monkeypatch.setattr(VW, "DEEP_PAGE_ROWS", 100)
-    deep_df = compile_view(df, spec)
-    deep = [tuple(r) for r in deep_df.collect()]
-    assert deep == shallow and len(deep) == 40
-    assert deep_df.columns == df.columns
-    # past the end: empty page
-    spec["pagination"] = {"limit": 10, "offset": 5000}
-    assert compile_view(df, spec).count() == 0
+    rows = sorted(((r.amount, r.document_number) for r in df.collect()), key=lambda r: (-r[0], r[1]))
+    assert [tuple(r) for r in compile_view(df, spec).collect()] == rows[2500:2540]
+    spec["pagination"] = {"limit": 200_000, "offset": 4990}          # past the end
+    assert compile_view(df, spec).count() == 10
+
+
+def test_page_of_measures_only(t):
+    out = _v(t, dimensions=[], measures=[{"field_id": ID("amount"), "aggregations": ["count"]}],
+             pagination={"limit": 5, "offset": 0})
+    assert out.count() == 1
+
+
+def test_aggregation_listed_twice_counts_once(t):
+    out = _v(t, dimensions=[{"field_id": ID("currency")}],
+             measures=[{"field_id": ID("amount"), "aggregations": ["sum", "sum"]}, {"field_id": ID("amount"), "aggregations": ["sum", "max"]}],
+             sorting=[{"field_id": ID("amount"), "sorting_direction": "desc"}])
+    assert out.columns == ["currency", "amount_sum", "amount_max"] and out.count() == 2
+
+
+def test_sort_by_named_aggregation(t):
+    view = {"dimensions": [{"field_id": ID("currency")}], "measures": [{"field_id": ID("amount"), "aggregations": ["sum", "count"]}]}
+    by = lambda agg: [r.amount_count for r in _v(t, **view, sorting=[       # noqa: E731
+        {"field_id": ID("amount"), "sorting_direction": "asc", "aggregation": agg}]).collect()]
+    assert by("count") == sorted(by("count"))
+    with pytest.raises(ViewError):
+        by("max")
+
+
+def test_pivot_keeps_rows_without_a_value(spark):
+    df = spark.createDataFrame([("A", "USD", 1.0), ("A", None, 2.0), ("B", None, 4.0)], "journal_type string, currency string, amount double")
+    view = {"dimensions": [{"field_id": ID("journal_type")}, {"field_id": ID("currency"), "axis": "column"}],
+            "measures": [{"field_id": ID("amount"), "aggregations": ["sum"]}], "pivot": True, "pivot_total": True,
+            "sorting": [{"field_id": ID("amount"), "sorting_direction": "desc"}]}
+    out = compile_view(df, view)
+    assert out.columns == ["journal_type", "USD_amount_sum", "null_amount_sum", "total_amount_sum"]
+    assert [tuple(r) for r in out.collect()] == [("B", None, 4.0, 4.0), ("A", 1.0, 2.0, 3.0)]
+    with pytest.raises(ViewError, match="pivot_limit"):
+        compile_view(df, {**view, "pivot_limit": 1})
+
+
+def test_integer_filter_beyond_the_column_type(spark):
+    df = spark.createDataFrame([(2024,)], "posting_year int")
+    for value, n in ((3_000_000_000, 1), (10**30, 1), (-10**30, 0)):
+        spec = {"dimensions": [], "filters": {"op": "and", "conditions": [{"field_id": "posting_year", "operator": "<", "value": value}]}}
+        assert compile_view(df, spec).count() == n
+
+
+def test_exact_money_scale_and_limits(spark):
+    spec = {"dimensions": [], "measures": [{"field_id": ID("amount"), "aggregations": ["sum"]}]}
+    tiny = spark.createDataFrame([(4e-7,), (4e-7,)], "amount double")
+    assert compile_view(tiny, spec, exact_money=True, money_scale=10).first()[0] == 8e-7
+    with pytest.raises(Exception, match="digits before"):
+        compile_view(spark.createDataFrame([(1e33,)], "amount double"), spec, exact_money=True).collect()
+
+
+def test_signature_tells_pivots_apart():
+    base = {"dimensions": [{"field_id": ID("currency"), "axis": "column"}], "measures": [{"field_id": ID("amount"), "aggregations": ["sum"]}]}
+    specs = [base, {**base, "pivot": True}, {**base, "pivot": True, "pivot_total": True},
+             {**base, "pivot": True, "pivot_values": {ID("currency"): ["USD"]}}]
+    assert len({ViewSpec.from_dict(s).signature("d") for s in specs}) == 4
+    for s in specs:
+        again = ViewSpec.from_dict(ViewSpec.from_dict(s).to_dict())
+        assert again.signature("d") == ViewSpec.from_dict(s).signature("d")
+
+
+def test_signature_of_a_list_with_null():
+    def spec(values):
+        return ViewSpec.from_dict({"dimensions": [], "filters": {"op": "and", "conditions": [
+            {"field_id": ID("currency"), "operator": "in", "value": values}]}})
+    assert spec(["USD", None, "EUR"]).signature("d") == spec([None, "EUR", "USD"]).signature("d")
