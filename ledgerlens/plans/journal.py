@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.functions import text
 from ledgerlens.functions.registry import FieldRegistry, registry as default_registry
 from ledgerlens.operators.enrich import transform
-from ledgerlens.operators.mapping import check_mapping
+from ledgerlens.operators.mapping import check_mapping, qcol
 from ledgerlens.operators.validate import validate, validation_summary
 from ledgerlens.operators.view import compile_view
 from ledgerlens.plans.spec import ViewSpec
@@ -94,7 +94,8 @@ def upload_record(spark: SparkSession, ing: IngestResult, *, dataset_id: str, co
         "original_filename": original_filename,
         "signature": ing.signature,
         "row_count": ing.row_count,
-        "data_hash": dataset_fingerprint(read_raw(spark, ing.path)) if fingerprint else None,
+        "data_hash": dataset_fingerprint(scan_parquet(spark, ing.path).select(*[qcol(c) for c in ing.columns]))
+        if fingerprint else None,
         "columns": ing.columns,
         "suggested_mapping": suggested,
     }
@@ -111,7 +112,7 @@ class JournalRun:
 
 
 def run_journal(spark: SparkSession, csv_path, mapping: Mapping[str, str], workdir: str, dataset_id: str, *,
-                registry: FieldRegistry = default_registry, multi_line: bool = False,
+                registry: FieldRegistry = default_registry, multi_line: bool | None = None,
                 date_formats=text.DEFAULT_DATE_FORMATS) -> JournalRun:
     """Ingest, check the mapping, validate and transform one dataset."""
     base = workdir.rstrip("/")

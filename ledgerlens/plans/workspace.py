@@ -114,7 +114,7 @@ class Workspace:
         return [f.as_dict() for f in self.registry.fields(include_derived)]
 
     def upload_csv(self, path, *, company_name: str, fiscal_year: int, user_id: int,
-                   original_filename: str | None = None, multi_line: bool = False) -> dict:
+                   original_filename: str | None = None, multi_line: bool | None = None) -> dict:
         """Ingest one export; returns id, columns, a 50-row preview, row count
         and the mapping suggested by an earlier upload with the same header."""
         dataset_id = str(uuid.uuid4())

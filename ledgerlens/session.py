@@ -108,3 +108,31 @@ def path_is_dir(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory())
+
+
+def move_path(spark: SparkSession, source: str, dest: str) -> None:
+    """Rename a folder on its file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(source)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(hpath, jvm.org.apache.hadoop.fs.Path(dest)):
+        raise OSError(f"cannot move {source} to {dest}")
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files below a folder, without hidden ones and folders
+    (names starting with ``_`` or ``.``)."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [top]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            name = status.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if status.isDirectory():
+                todo.append(status.getPath())
+            else:
+                found.append(name)
+    return found

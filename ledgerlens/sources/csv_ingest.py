@@ -5,20 +5,27 @@ schema built from the header, in PERMISSIVE mode with a corrupt-record
 column: rows whose field count differs from the header land there and fail
 the ingest, as does a file whose header differs from the first file's.
 
-The data is written once.  Each row keeps the ``monotonically_increasing_id``
-it got while being read (``_mid``: partition id in the upper 31 bits, row
-position in the lower 33) and the source file / split it came from.  Storing
-the ids makes them final: later jobs see the same values even if executors
-come and go and a re-read would pack splits differently.
-
-A sidecar table ``_row_offsets`` (one row per file split, ignored by Parquet
-readers because of the leading underscore) holds the split's first ``_mid``,
-its row count and ``_base``, the number of rows before it in (file, split)
-order.  ``read_raw`` derives ``row_id = _base + _mid - _min_mid`` through a
-broadcast equi-join on the partition id (``_mid >> 33``, a long) plus a range
-check; the broadcast side is four longs per split (~800k splits, ~50 MB
-hashed, for 100 TB read in 128 MB splits) and its row count is checked
-before broadcasting.
+A first pass over the physical lines compares the headers of all files and
+counts lines with an odd number of quotes: only then can a quoted field hold
+a line break, and the files are read in multi-line mode.
+
+The data is written once, next to the destination, and moved there when all
+checks have passed; a failed ingest leaves an earlier dataset untouched.
+Each row keeps the ``monotonically_increasing_id`` it got while being read
+(``_mid``: partition id in the upper 31 bits, row position in the lower 33)
+and the source file / split it came from.  Storing the ids makes them final:
+later jobs see the same values even if executors come and go and a re-read
+would pack splits differently.
+
+A sidecar table ``_row_offsets`` (one row per file split as read, ignored by
+Parquet readers because of the leading underscore) holds the split's first
+``_mid``, its row count and ``_base``, the number of rows before it in (file,
+split) order.  ``read_raw`` derives ``row_id = _base + _mid - _min_mid``
+through a broadcast equi-join on the partition id (``_mid >> 33``, a long)
+plus a range check.  The broadcast side is four longs per split of the
+ingest's scan - fewer bytes than the scan's own split descriptors, which the
+driver held to plan that scan (~800k splits, ~50 MB hashed, for 100 TB read
+in 128 MB splits) - so its size is bounded by what has been planned before.
 
 Offsets are a distributed prefix sum over (file, split) order: the split
 statistics are range-partitioned, running sums run inside each range
@@ -28,31 +35,29 @@ task.  Nothing is collected to the driver.
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 
 from ledgerlens.operators.mapping import qcol
-from ledgerlens.session import delete_path, path_exists, path_is_dir
+from ledgerlens.session import delete_path, list_files, move_path, path_exists, path_is_dir
 
 # FIXED VALUES: ingest error messages.
 MSG_ONLY_CSV = "Only CSV files allowed"
 MSG_EMPTY = "CSV file is empty"
 MSG_CORRUPT = "Corrupted CSV file"
 MSG_NOT_FOUND = "CSV file not found"
+MSG_TWICE = "The same CSV file is named more than once"
 
 CORRUPT_COL = "_corrupt"
 PREVIEW_ROWS = 50
-# Offsets rows (one per file split) up to which the offsets side is broadcast.
-# A row is four longs, ~64 bytes in the broadcast hash map: 2M splits (about
-# 250 TB read in 128 MB splits) stay near 130 MB.  Beyond that a shuffle join
-# on the partition id is used instead.
-BROADCAST_MAX_SPLITS = 2_000_000
+# FIXED VALUE: how a repeated column name is told apart (n counts from 0).
+DUPLICATE_NAME = "{name}_duplicated_{n}"
 
 
 class IngestError(ValueError):
@@ -79,16 +84,20 @@ def header_signature_col(columns_array) -> "F.Column":
 
 
 def _paths(path) -> list[str]:
-    return [path] if isinstance(path, str) else list(path)
+    """The paths, each once."""
+    return [path] if isinstance(path, str) else list(dict.fromkeys(path))
 
 
 def check_csv_name(spark: SparkSession, path) -> None:
-    """A file must be named ``*.csv``; a directory is read for its ``*.csv``
-    files; glob patterns are left to the reader (which also filters ``*.csv``)."""
+    """A file must be named ``*.csv``; a folder is read with its subfolders and
+    may hold nothing else (names starting with ``_`` or ``.`` are ignored, as
+    by Spark's readers); glob patterns are left to the reader."""
     for p in _paths(path):
         if any(ch in p for ch in "*?[{"):
             continue
         if path_is_dir(spark, p):
+            if not all(name.endswith(".csv") for name in list_files(spark, p)):
+                raise IngestError(MSG_ONLY_CSV)
             continue
         if not p.rstrip("/").endswith(".csv"):
             raise IngestError(MSG_ONLY_CSV)
@@ -96,31 +105,54 @@ def check_csv_name(spark: SparkSession, path) -> None:
             raise IngestError(MSG_NOT_FOUND)
 
 
-def _reader(spark: SparkSession, multi_line: bool, options: dict | None):
-    opts = {"header": "true", "escape": '"', "multiLine": str(bool(multi_line)).lower(),
-            "pathGlobFilter": "*.csv"}
-    opts.update(options or {})
-    return spark.read.options(**opts)
-
+def column_names(header: str, separator: str = ",") -> list[str]:
+    """Column names from a header line, all different.
 
-def read_header(spark: SparkSession, path, multi_line: bool = False, options: dict | None = None) -> list[str]:
-    """Column names from the first header line (reads one line, not the file)."""
-    try:
-        return _reader(spark, multi_line, options).option("inferSchema", "false").csv(_paths(path)).columns
-    except (PySparkException, Py4JJavaError) as e:
-        raise IngestError(MSG_CORRUPT) from e
+    A name that repeats an earlier one, in whatever case, or one that the
+    stored table uses itself gets a suffix; a blank name is ``column_<place>``.
+    """
+    taken, out = {c.lower() for c in (*_HELPERS, "row_id")}, []
+    for i, raw in enumerate(next(csv.reader([header], delimiter=separator))):
+        base = raw if raw.strip() else f"column_{i + 1}"
+        name, n = base, 0
+        while name.lower() in taken:
+            name, n = DUPLICATE_NAME.format(name=base, n=n), n + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def line_facts(spark: SparkSession, path, options: dict | None = None) -> DataFrame:
+    """One row: ``header`` (the first file's first line), ``same`` (all files
+    start with it) and ``open_lines`` (lines with an odd number of quotes)."""
+    encoding = {"encoding": options["encoding"]} if options and "encoding" in options else {}
+    lines = (spark.read.options(recursiveFileLookup="true", pathGlobFilter="*.csv", **encoding).text(_paths(path))
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    files = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.sum(quotes % 2).alias("odd"))
+    first = F.regexp_replace("first", "^\ufeff", "")
+    return files.agg(F.min_by(first, "file").alias("header"), (F.min(first) == F.max(first)).alias("same"),
+                     F.sum("odd").alias("open_lines"))
+
+
+def read_header(spark: SparkSession, path, options: dict | None = None) -> list[str]:
+    """Column names of the first file."""
+    header = line_facts(spark, path, options).first()["header"]
+    return column_names(header, (options or {}).get("sep", ",")) if header else []
 
 
 def read_csv_text(spark: SparkSession, path, columns: list[str], multi_line: bool = False,
                   options: dict | None = None) -> DataFrame:
-    """All-text read with a corrupt-record column; headers are checked per file."""
+    """All-text read by position, with a corrupt-record column."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns]
                           + [T.StructField(CORRUPT_COL, T.StringType(), True)])
-    return (_reader(spark, multi_line, options)
+    opts = {"header": "true", "escape": '"', "multiLine": str(bool(multi_line)).lower(),
+            "pathGlobFilter": "*.csv", "recursiveFileLookup": "true", **(options or {})}
+    return (spark.read.options(**opts)
             .schema(schema)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT_COL)
-            .option("enforceSchema", "false")
             .csv(_paths(path)))
 
 
@@ -130,17 +162,19 @@ _HELPERS = ("_mid", "_file", "_block", CORRUPT_COL)
 
 
 def split_stats(raw: DataFrame) -> DataFrame:
-    """One row per (file, split): first id, rows, corrupt rows (one scan of the helper columns)."""
-    return (raw.groupBy("_file", "_block")
+    """One row per split as read: first id, rows, corrupt rows (one scan of the
+    helper columns).  A split read twice (overlapping patterns) is two rows."""
+    return (raw.groupBy(F.shiftright("_mid", 33).alias("_part"), "_file", "_block")
             .agg(F.min("_mid").alias("_min_mid"),
                  F.count(F.lit(1)).alias("_rows"),
-                 F.count(CORRUPT_COL).alias("_corrupt_rows")))
+                 F.count(CORRUPT_COL).alias("_corrupt_rows"),
+                 (F.max("_mid") - F.min("_mid") + 1 - F.count(F.lit(1))).alias("_gap")))
 
 
 def range_stats(stats: DataFrame) -> DataFrame:
     """Split statistics range-partitioned in (file, split) order, each row
     stamped with its range partition (``_pid`` increases with the order)."""
-    return (stats.repartitionByRange("_file", "_block")
+    return (stats.repartitionByRange("_file", "_block", "_part")
             .withColumn("_pid", F.spark_partition_id()))
 
 
@@ -153,13 +187,13 @@ def offsets_from_stats(stats: DataFrame) -> DataFrame:
     data) are summed in one task and broadcast back.
     """
     before = Window.unboundedPreceding
-    inside = Window.partitionBy("_pid").orderBy("_file", "_block").rowsBetween(before, -1)
+    inside = Window.partitionBy("_pid").orderBy("_file", "_block", "_part").rowsBetween(before, -1)
     local = stats.withColumn("_local_base", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
     totals = stats.groupBy("_pid").agg(F.sum("_rows").alias("_ptot"))
     part_base = totals.select("_pid", F.coalesce(F.sum("_ptot").over(Window.orderBy("_pid").rowsBetween(before, -1)),
                                                  F.lit(0)).alias("_pbase"))
     return (local.join(F.broadcast(part_base), "_pid")
-            .select(F.shiftright("_min_mid", 33).alias("_part"), "_min_mid", "_rows", "_corrupt_rows",
+            .select("_part", "_min_mid", "_rows", "_corrupt_rows", "_gap",
                     (F.col("_pbase") + F.col("_local_base")).alias("_base"), "_file", "_block"))
 
 
@@ -172,40 +206,51 @@ def split_offsets(raw: DataFrame) -> DataFrame:
     return offsets_from_stats(range_stats(split_stats(raw)))
 
 
-def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool = False,
+def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool | None = None,
                options: dict | None = None, compression: str = "zstd") -> IngestResult:
-    """CSV file(s) -> raw Parquet at ``dest`` (read it back with ``read_raw``)."""
+    """CSV file(s) -> raw Parquet at ``dest`` (read it back with ``read_raw``).
+
+    ``multi_line`` is found out from the quotes if not given.  Only faults of
+    the CSV itself raise ``IngestError``; other failures are raised as they are.
+    """
     check_csv_name(spark, path)
-    columns = read_header(spark, path, multi_line, options)
-    if not columns:
+    facts = line_facts(spark, path, options).first()
+    if not facts["header"]:
         raise IngestError(MSG_EMPTY)
+    if not facts["same"]:
+        raise IngestError(MSG_CORRUPT)
+    columns = column_names(facts["header"], (options or {}).get("sep", ","))
+    if multi_line is None:
+        multi_line = facts["open_lines"] > 0
 
     dest = dest.rstrip("/")
+    staging = f"{dest}._staging-{uuid.uuid4().hex}"
     try:
         raw = read_csv_text(spark, path, columns, multi_line, options)
         (raw.select("*",
                     F.monotonically_increasing_id().alias("_mid"),
                     F.col("_metadata.file_path").alias("_file"),
                     F.col("_metadata.file_block_start").alias("_block"))
-            .write.mode("overwrite").option("compression", compression).parquet(dest))
+            .write.option("compression", compression).parquet(staging))
         # One scan of the small helper columns of what was just written gives
         # the per-split statistics; they are stored first (tiny) so that the
         # two branches of the offsets computation do not scan the data twice.
-        stats_path = f"{dest}/{STATS_DIR}"
-        range_stats(split_stats(spark.read.parquet(dest))).write.mode("overwrite").parquet(stats_path)
-        (offsets_from_stats(spark.read.parquet(stats_path)).coalesce(1)
-            .write.mode("overwrite").parquet(f"{dest}/{OFFSETS_DIR}"))
+        stats_path = f"{staging}/{STATS_DIR}"
+        range_stats(split_stats(spark.read.parquet(staging))).write.parquet(stats_path)
+        offsets_from_stats(spark.read.parquet(stats_path)).write.parquet(f"{staging}/{OFFSETS_DIR}")
         delete_path(spark, stats_path)
-    except (PySparkException, Py4JJavaError) as e:
+        totals = (spark.read.parquet(f"{staging}/{OFFSETS_DIR}")
+                  .agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+                       F.coalesce(F.sum("_corrupt_rows"), F.lit(0)).alias("corrupt"),
+                       F.coalesce(F.max("_gap"), F.lit(0)).alias("gap")).first())
+        if totals["corrupt"] > 0:
+            raise IngestError(MSG_CORRUPT)
+        if totals["gap"] > 0:        # one split read twice by one task: its ids are not one range
+            raise IngestError(MSG_TWICE)
         delete_path(spark, dest)
-        raise IngestError(MSG_CORRUPT) from e
-
-    totals = (spark.read.parquet(f"{dest}/{OFFSETS_DIR}")
-              .agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-                   F.coalesce(F.sum("_corrupt_rows"), F.lit(0)).alias("corrupt")).first())
-    if totals["corrupt"] > 0:
-        delete_path(spark, dest)
-        raise IngestError(MSG_CORRUPT)
+        move_path(spark, staging, dest)
+    finally:
+        delete_path(spark, staging)
 
     return IngestResult(
         path=dest,
@@ -221,8 +266,7 @@ def _offsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_row_id(spark: SparkSession, path: str, data: DataFrame, offsets: DataFrame) -> DataFrame:
-    n_splits = offsets.count()            # rows of a tiny sidecar file
-    side = F.broadcast(offsets) if n_splits <= BROADCAST_MAX_SPLITS else offsets
+    side = F.broadcast(offsets)           # one row per split of the ingest's scan (module docstring)
     d = data.withColumn("_p", F.shiftright("_mid", 33))
     on = ((d["_p"] == side["_part"]) & (d["_mid"] >= side["_min_mid"])
           & (d["_mid"] < side["_min_mid"] + side["_rows"]))

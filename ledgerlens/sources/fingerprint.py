@@ -1,28 +1,40 @@
 """Content fingerprint of a dataset.
 
-Order- and layout-independent: every row is hashed (xxhash64 over all
-columns), the hashes are combined with XOR and an exact decimal sum, and
-the three numbers are hashed once more.  It is one partial + final
-aggregation (one row per task crosses the shuffle).  It identifies content,
-not file bytes: rewriting the same rows into other files keeps it.
+Order- and layout-independent: every row is written out with null marks and
+lengths (so neither a moved value nor a moved column border goes unseen) and
+hashed with SHA-256; the four 15-digit pieces of the hashes are summed
+exactly, and the row count and sums are hashed once more with the column
+names.  It is one partial + final aggregation (one row per task crosses the
+shuffle).  It identifies content, not file bytes: rewriting the same rows
+into other files keeps it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.mapping import qcol
 
+PIECES = 4      # of 15 hex digits each: 240 of the 256 bits
+
+
+def row_text(columns: list[str]) -> Column:
+    """``-`` for a null, else ``<length>:<value>``, column after column."""
+    def part(name):
+        c = qcol(name).cast("string")
+        return F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.concat_ws(",", *[part(c) for c in columns])
+
 
 def fingerprint_frame(df: DataFrame) -> DataFrame:
     """One row: ``row_count``, ``data_hash`` (64 hex chars)."""
-    h = F.xxhash64(*[qcol(c) for c in df.columns])
+    h = F.sha2(row_text(df.columns), 256)
+    pieces = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(PIECES)]
     agg = df.agg(F.count(F.lit(1)).alias("row_count"),
-                 F.coalesce(F.bit_xor(h), F.lit(0)).alias("_x"),
-                 F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("_s"))
-    digest = F.sha2(F.concat_ws(":", F.col("row_count").cast("string"),
-                                F.col("_x").cast("string"), F.col("_s").cast("string")), 256)
+                 *[F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").alias(f"_s{i}") for i, p in enumerate(pieces)])
+    digest = F.sha2(F.concat_ws(":", F.lit(",".join(df.columns)), F.col("row_count").cast("string"),
+                                *[F.col(f"_s{i}").cast("string") for i in range(PIECES)]), 256)
     return agg.select("row_count", digest.alias("data_hash"))
 
 
