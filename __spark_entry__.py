@@ -109,7 +109,9 @@ def _text_stats(df, cols):
 def q_ingest_roundtrip(spark, sf_dir):
     """Sample journal exported as CSV, ingested back: rows, ids and text intact."""
     work = scratch_path(spark, "ingest-roundtrip")
-    sample.write_csv_export(sample.journal_raw(spark, sf_dir), f"{work}/export")
+    # Some account names break over two lines inside their quotes.
+    broken = F.when(F.col("Currency") == "EUR", F.concat("AccountName", F.lit('\n"second", line'))).otherwise(F.col("AccountName"))
+    sample.write_csv_export(sample.journal_raw(spark, sf_dir).withColumn("AccountName", broken), f"{work}/export")
     res = ingest_csv(spark, f"{work}/export", f"{work}/raw")
     raw = read_raw(spark, res.path)
     cols = [c for c in raw.columns if c != "row_id"]
@@ -118,18 +120,28 @@ def q_ingest_roundtrip(spark, sf_dir):
                    *_text_stats(raw, cols))
 
 
-def q_ingest_raw_page(spark, sf_dir):
-    """A raw page (rows 1000-1049 in file order) of the ingested export.
+def _sorted_ingest(spark, sf_dir, name):
+    """The sample journal exported in a total order (so that file order has a
+    SQL form) and ingested."""
+    work = scratch_path(spark, name)
+    raw = sample.journal_raw(spark, sf_dir)
+    raw = raw.orderBy(*[F.col(c).asc_nulls_last() for c in raw.columns])
+    sample.write_csv_export(raw, f"{work}/export")
+    return ingest_csv(spark, f"{work}/export", f"{work}/raw")
+
 
-    File order of a Spark-written export has no SQL form: rows-only check;
-    the page logic is tested against the file itself in tests/test_ingest.py.
-    """
+def q_ingest_raw_page(spark, sf_dir):
+    """A raw page (rows 1000-1049 in file order) of the ingested export."""
     from ledgerlens.operators.pages import raw_dataset_page
-    work = scratch_path(spark, "raw-page")
-    sample.write_csv_export(sample.journal_raw(spark, sf_dir), f"{work}/export")
-    res = ingest_csv(spark, f"{work}/export", f"{work}/raw")
+    res = _sorted_ingest(spark, sf_dir, "raw-page")
     page = raw_dataset_page(spark, res.path, offset=1000, limit=50, row_count=res.row_count)
-    return page["data"]
+    return page["data"].withColumn("has_next", F.lit(page["has_next"]))
+
+
+def q_ingest_preview(spark, sf_dir):
+    """The upload answer: the first 50 rows, with the row count."""
+    res = _sorted_ingest(spark, sf_dir, "preview")
+    return res.preview.withColumn("row_count", F.lit(res.row_count).cast("bigint"))
 
 
 def q_dataset_fingerprint(spark, sf_dir):
@@ -207,6 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_roundtrip": q_ingest_roundtrip,
         "dataset_fingerprint": q_dataset_fingerprint,
         "ingest_raw_page": q_ingest_raw_page,
+        "ingest_preview": q_ingest_preview,
         "catalog_header_signatures": q_catalog_header_signatures,
         "catalog_mapping_violations": q_catalog_mapping_violations,
         "catalog_mapping_status": q_catalog_mapping_status,
@@ -221,7 +234,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 # -------------------------------------------------------------------- oracle
-_TRIM = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+_BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_TRIM = f"regexp_replace({{c}}, '^{_BLANK.replace('{', '{{').replace('}', '}}')}|{_BLANK.replace('{', '{{').replace('}', '}}')}$', '', 'g')"
 
 
 def _trim(c):
@@ -247,7 +261,7 @@ _RAW_COMMON = """
 
 _RAW_TAIL = """
     CASE WHEN l_returnflag = 'A' THEN 'EUR' ELSE 'USD' END AS Currency,
-    ' acc-' || CAST(l_partkey AS VARCHAR) AS Account,
+    CASE WHEN l_orderkey % 113 = 0 THEN chr(160) ELSE ' ' END || 'acc-' || CAST(l_partkey AS VARCHAR) AS Account,
     'Account ' || CAST(l_partkey % 100 AS VARCHAR) AS AccountName,
     'acc-' || CAST(l_suppkey AS VARCHAR) || ' ' AS OffsetAccount,
     'USR' || lpad(CAST(l_suppkey % 25 AS VARCHAR), 2, '0') AS CreatedBy,
@@ -264,9 +278,11 @@ _CENTS = "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)"
 _RAW_SQL = f"""raw AS (
   SELECT {_RAW_COMMON}
     CASE WHEN l_orderkey % 83 = 0 THEN 'abc' WHEN l_orderkey % 109 = 0 THEN 'nan'
-         WHEN l_orderkey % 107 = 0 THEN ' ' || {_CENTS} || '.50 ' ELSE {_CENTS} END AS Amount,
+         WHEN l_orderkey % 107 = 0 THEN ' ' || {_CENTS} || '.50 '
+         WHEN l_orderkey % 127 = 0 THEN '1e400' ELSE {_CENTS} END AS Amount,
     CASE WHEN l_orderkey % 73 = 0 THEN NULL WHEN l_partkey % 50 = 0 THEN '?'
          WHEN l_linenumber = 7 THEN chr(9) || 'dr'
+         WHEN l_linenumber = 6 THEN chr(8195) || 'Credit' || chr(160)
          WHEN l_linestatus = 'O' THEN ' Debit' ELSE 'credit ' END AS DrCr,{_RAW_TAIL}
   FROM lineitem)"""
 
@@ -291,7 +307,8 @@ def _sql_rules(mapping_header):
                          f"OR TRY_CAST({_trim(raw)} AS BIGINT) IS NULL) "
                          f"THEN '{name} must be integer' END")
         elif f.dtype == "float":
-            parts.append(f"CASE WHEN {raw} IS NOT NULL AND NOT regexp_full_match({_trim(raw)}, '{_NUMERIC}') "
+            parts.append(f"CASE WHEN {raw} IS NOT NULL AND NOT (regexp_full_match({_trim(raw)}, '{_NUMERIC}') "
+                         f"AND coalesce(isfinite(TRY_CAST({_trim(raw)} AS DOUBLE)), FALSE)) "
                          f"THEN '{name} must be decimal number' END")
         elif f.dtype == "date":
             parts.append(f"CASE WHEN {raw} IS NOT NULL AND TRY_STRPTIME({_trim(raw)}, '%Y-%m-%d') IS NULL "
@@ -379,6 +396,20 @@ SELECT error_list, is_valid, count(*) AS n_rows FROM validated GROUP BY error_li
     sql["ingest_roundtrip"] = f"WITH {_RAW_SQL}\n" + f"""
 SELECT count(*) AS n_rows, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS row_id_sum,
        CAST(0 AS BIGINT) AS row_id_min, CAST(count(*) - 1 AS BIGINT) AS row_id_max, {stats}
-FROM raw"""
+FROM (SELECT * REPLACE (CASE WHEN Currency = 'EUR' THEN AccountName || chr(10) || '"second", line' ELSE AccountName END AS AccountName)
+      FROM raw)"""
+    columns = ", ".join(text)
+    order = ", ".join(f"{c} ASC NULLS LAST" for c in text)
+    sql["ingest_raw_page"] = f"WITH {_RAW_SQL}\n" + f"""
+SELECT {columns}, (SELECT count(*) FROM raw) > 1050 AS has_next FROM raw ORDER BY {order} LIMIT 50 OFFSET 1000"""
+    sql["ingest_preview"] = f"WITH {_RAW_SQL}\n" + f"""
+SELECT {columns}, (SELECT count(*) FROM raw) AS row_count FROM raw ORDER BY {order} LIMIT 50"""
+    parts = " || ',' || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in text)
+    sums = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4))
+    sql["dataset_fingerprint"] = f"WITH {_RAW_SQL},\n" + f"""
+hashed AS (SELECT sha256({parts}) AS h FROM (SELECT {columns} FROM raw)),
+summed AS (SELECT count(*) AS row_count, {sums} FROM hashed)
+SELECT row_count, sha256(concat_ws(':', '{",".join(text)}', CAST(row_count AS VARCHAR), s0, s1, s2, s3)) AS data_hash
+FROM summed"""
     sql.update(_training_data()[1])
     return sql

@@ -19,7 +19,7 @@ def _as_date(df: DataFrame, name: str, formats) -> Column:
         return F.col(name)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(F.col(name))
-    return text.parse_date(F.col(name), formats)
+    return text.parse_date(F.col(name), text.layouts_of(formats, name))
 
 
 def monetary(amount: Column) -> list[Column]:

@@ -55,7 +55,7 @@ def rules_for(field: Field, date_formats=text.DEFAULT_DATE_FORMATS) -> list[Rule
     elif field.dtype == "float":
         out.append(decimal(name))
     elif field.dtype == "date":
-        out.append(date(name, date_formats))
+        out.append(date(name, text.layouts_of(date_formats, name)))
     return out
 
 

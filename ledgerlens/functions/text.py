@@ -9,7 +9,9 @@ of 'abc' would fail the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # FIXED VALUES: accepted layouts.
@@ -20,8 +22,13 @@ NUMERIC_LITERAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd",)
 DEFAULT_TIME_FORMAT = "HH:mm:ss"
 
-# Whitespace removed at both ends of text values (the same set as \s).
-WHITESPACE = " \t\n\r\f\u000b"
+# Layouts tried on a date column when none is given, most usual first.
+DATE_LAYOUTS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd",
+                "MM/dd/yyyy")
+
+# White space removed at both ends of text values: Unicode's White_Space.
+WHITESPACE = (" \t\n\r\f\u000b\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 _HMS = r"^[0-9]{2}:[0-9]{2}:[0-9]{2}$"
 
@@ -33,17 +40,18 @@ def strip(col: Column) -> Column:
 
 def parse_long(col: Column) -> Column:
     """Text -> bigint, null when not an integer literal."""
-    return col.try_cast("bigint")
+    return strip(col).try_cast("bigint")
 
 
 def parse_double(col: Column) -> Column:
-    """Text -> double, null unless it is a plain decimal literal.
+    """Text -> double, null unless it is a plain decimal literal of a finite value.
 
     ``try_cast`` alone accepts Java spellings such as ``1.0d``, ``12f``,
     ``nan`` and ``inf``; the literal pattern rules those out.
     """
     trimmed = strip(col)
-    return F.when(trimmed.rlike(NUMERIC_LITERAL), trimmed.try_cast("double"))
+    value = trimmed.try_cast("double")
+    return F.when(trimmed.rlike(NUMERIC_LITERAL) & (F.abs(value) < float("inf")), value)
 
 
 def _parse_one_date(text: Column, fmt: str) -> Column:
@@ -54,6 +62,25 @@ def _parse_one_date(text: Column, fmt: str) -> Column:
     return F.try_to_date(text, fmt)
 
 
+def layouts_of(formats, name: str):
+    """The layouts of one column: ``formats`` is a sequence for all columns, or
+    a mapping by canonical name."""
+    if isinstance(formats, Mapping):
+        return formats.get(name, DEFAULT_DATE_FORMATS)
+    return formats
+
+
+def choose_layouts(df: DataFrame, columns: list[str], layouts=DATE_LAYOUTS) -> dict[str, tuple[str]]:
+    """For every text column, the layout that parses most of its values (ties:
+    the earlier one), from one aggregation over the whole columns."""
+    if not columns:
+        return {}
+    counts = [F.count(parse_date(F.col(c), (f,))).alias(f"{i}_{j}")
+              for i, c in enumerate(columns) for j, f in enumerate(layouts)]
+    row = df.agg(*counts).first()
+    return {c: (max(enumerate(layouts), key=lambda x: (row[f"{i}_{x[0]}"], -x[0]))[1],) for i, c in enumerate(columns)}
+
+
 def parse_date(col: Column, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text -> date using the first layout that parses, else null."""
     text = strip(col)

@@ -43,7 +43,7 @@ def cast_to_registry(df: DataFrame, registry: FieldRegistry = default_registry,
         elif dtype == "float":
             out.append(text.parse_double(c).alias(name))
         elif dtype == "date":
-            out.append(text.parse_date(c, date_formats).alias(name))
+            out.append(text.parse_date(c, text.layouts_of(date_formats, name)).alias(name))
         else:
             out.append(c)
     return df.select(*out)

@@ -24,18 +24,27 @@ def rule_list(fields, date_formats=text.DEFAULT_DATE_FORMATS):
 def validate(raw: DataFrame, mapping: Mapping[str, str],
              registry: FieldRegistry = default_registry,
              date_formats=text.DEFAULT_DATE_FORMATS,
-             keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
+             keep: tuple[str, ...] = ("row_id",), stored: bool = False) -> DataFrame:
     """Mapped canonical columns (still text) + ``error_messages`` + ``is_valid``.
 
     Bookkeeping columns named in ``keep`` (row id, source file) pass through.
 
     ``is_valid`` is computed from the fault conditions directly, not from
     the message array, so a later ``filter(is_valid)`` that drops the
-    messages never builds them.
+    messages never builds them.  With ``stored=True`` both columns will be
+    written, and ``is_valid`` is read off the messages instead: each rule is
+    then evaluated once per row.
     """
     mapped = apply_mapping(raw, mapping, registry, keep=keep)
     rl = rule_list([f for _, f in mapped_fields(mapping, registry)], date_formats)
-    return mapped.select("*", rules.messages(rl).alias("error_messages"), rules.passes(rl).alias("is_valid"))
+    checked = mapped.withColumn("error_messages", rules.messages(rl))
+    return checked.withColumn("is_valid", F.size("error_messages") == 0 if stored else rules.passes(rl))
+
+
+def date_layouts(raw: DataFrame, mapping: Mapping[str, str], registry: FieldRegistry = default_registry) -> dict:
+    """Canonical date column -> layouts, found from the whole columns."""
+    dates = [f.canonical_name for _, f in mapped_fields(mapping, registry) if f.dtype == "date"]
+    return text.choose_layouts(apply_mapping(raw, mapping, registry), dates)
 
 
 def validation_summary(validated: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ledgerlens.functions import text
 from ledgerlens.functions.registry import FieldRegistry, registry as default_registry
 from ledgerlens.operators.enrich import transform
 from ledgerlens.operators.mapping import check_mapping, qcol
-from ledgerlens.operators.validate import validate, validation_summary
+from ledgerlens.operators.validate import date_layouts, validate, validation_summary
 from ledgerlens.operators.view import compile_view
 from ledgerlens.plans.spec import ViewSpec
 from ledgerlens.sources.csv_ingest import IngestResult, ingest_csv, read_raw
@@ -30,12 +30,24 @@ from ledgerlens.sources.fingerprint import dataset_fingerprint
 from ledgerlens.sources.parquet_io import scan_parquet, sink_parquet
 
 
+def find_date_formats(spark: SparkSession, raw_path: str, mapping: Mapping[str, str],
+                      registry: FieldRegistry = default_registry) -> dict:
+    """Layouts by canonical date column, from one aggregation over the raw table."""
+    return date_layouts(scan_parquet(spark, raw_path), mapping, registry)
+
+
 def validate_dataset(spark: SparkSession, raw_path: str, mapping: Mapping[str, str], dest: str, *,
                      registry: FieldRegistry = default_registry,
-                     date_formats=text.DEFAULT_DATE_FORMATS) -> dict:
-    """raw -> validated Parquet (row_id materialised); returns ``{"total_rows", "invalid_rows"}``."""
-    validated = validate(read_raw(spark, raw_path), mapping, registry, date_formats)
-    sink_parquet(validated, dest)
+                     date_formats=None) -> dict:
+    """raw -> validated Parquet (row_id materialised); returns ``{"total_rows", "invalid_rows"}``.
+
+    Without ``date_formats`` (layouts, or layouts by canonical name) each date
+    column's layout is found from the whole column (``find_date_formats``;
+    give ``transform_dataset`` the same).
+    """
+    if date_formats is None:
+        date_formats = find_date_formats(spark, raw_path, mapping, registry)
+    sink_parquet(validate(read_raw(spark, raw_path), mapping, registry, date_formats, stored=True), dest)
     row = validation_summary(scan_parquet(spark, dest)).first()
     return {"total_rows": int(row["total_rows"]), "invalid_rows": int(row["invalid_rows"])}
 
@@ -113,13 +125,15 @@ class JournalRun:
 
 def run_journal(spark: SparkSession, csv_path, mapping: Mapping[str, str], workdir: str, dataset_id: str, *,
                 registry: FieldRegistry = default_registry, multi_line: bool | None = None,
-                date_formats=text.DEFAULT_DATE_FORMATS) -> JournalRun:
+                date_formats=None) -> JournalRun:
     """Ingest, check the mapping, validate and transform one dataset."""
     base = workdir.rstrip("/")
     raw, validated, transformed = (f"{base}/raw/{dataset_id}", f"{base}/validated/{dataset_id}",
                                    f"{base}/transformed/{dataset_id}")
     check_mapping(mapping, registry)          # cheap: refuse a bad mapping before any job runs
     ing = ingest_csv(spark, csv_path, raw, multi_line=multi_line)
+    if date_formats is None:
+        date_formats = find_date_formats(spark, raw, mapping, registry)
     summary = validate_dataset(spark, raw, mapping, validated, registry=registry, date_formats=date_formats)
     transform_dataset(spark, validated, transformed, registry=registry, date_formats=date_formats)
     return JournalRun(raw, validated, transformed, ing, summary, initial_view(dataset_id))

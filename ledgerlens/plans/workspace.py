@@ -15,6 +15,7 @@ Catalog appends are one row per user action, i.e. tiny next to the data.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import uuid
 from collections.abc import Mapping
 
@@ -66,6 +67,11 @@ _ACCESSES = T.StructType([
     T.StructField("accessed_at", T.TimestampType(), False),
     T.StructField("spec", T.StringType(), True),
 ])
+_VALIDATIONS = T.StructType([
+    T.StructField("dataset_id", T.StringType(), False),
+    T.StructField("date_formats", T.StringType(), False),
+    T.StructField("validated_at", T.TimestampType(), False),
+])
 
 
 def _now() -> _dt.datetime:
@@ -161,21 +167,32 @@ class Workspace:
         return dict(row["mapping"]) if row else None
 
     # ------------------------------------------------------------ stages
-    def validate(self, dataset_id: str) -> dict:
+    def validate(self, dataset_id: str, date_formats=None) -> dict:
+        """Check every row; date layouts are found from the data if not given."""
         self._dataset(dataset_id)
         mapping = self.current_mapping(dataset_id)
         if mapping is None:
             raise MissingStep("Mapping not found")
         if not path_exists(self.spark, self._data("raw", dataset_id)):
             raise NotFound("Raw file missing")
-        return journal.validate_dataset(self.spark, self._data("raw", dataset_id), mapping,
-                                        self._data("validated", dataset_id), registry=self.registry)
+        if date_formats is None:
+            date_formats = journal.find_date_formats(self.spark, self._data("raw", dataset_id), mapping, self.registry)
+        done = journal.validate_dataset(self.spark, self._data("raw", dataset_id), mapping,
+                                        self._data("validated", dataset_id), registry=self.registry,
+                                        date_formats=date_formats)
+        self._append("validations", _VALIDATIONS, (dataset_id, json.dumps(date_formats), _now()))
+        return done
 
     def transform(self, dataset_id: str, user_id: int, **layout) -> dict:
         self._dataset(dataset_id)
         validated = self._data("validated", dataset_id)
         if not path_exists(self.spark, validated):
             raise NotFound("Validated file missing")
+        if "date_formats" not in layout:           # those the rows were validated with
+            done = (self._read("validations", _VALIDATIONS).where(F.col("dataset_id") == dataset_id)
+                    .orderBy(F.col("validated_at").desc()).first())
+            if done is not None:
+                layout["date_formats"] = json.loads(done["date_formats"])
         journal.transform_dataset(self.spark, validated, self._data("transformed", dataset_id),
                                   registry=self.registry, **layout)
         view = journal.initial_view(dataset_id)
@@ -194,11 +211,19 @@ class Workspace:
         return out
 
     def _record_view(self, dataset_id: str, spec: ViewSpec, user_id: int) -> None:
-        import json
         self._append("view_accesses", _ACCESSES, (dataset_id, spec.signature(dataset_id), int(user_id), _now(),
                                                   json.dumps(spec.to_dict(), sort_keys=True)))
 
     # ------------------------------------------------------------ catalog
+    def view(self, dataset_id: str, signature: str) -> ViewSpec:
+        """The view request recorded under a signature, as it was last opened
+        (sorting and page are not part of the signature)."""
+        row = (self.view_accesses().where((F.col("dataset_id") == dataset_id) & (F.col("signature") == signature))
+               .orderBy(F.col("accessed_at").desc()).select("spec").first())
+        if row is None:
+            raise NotFound("View not found")
+        return ViewSpec.from_json(row["spec"])
+
     def views(self, dataset_id: str | None = None) -> DataFrame:
         acc = self.view_accesses()
         if dataset_id is not None:

@@ -92,7 +92,7 @@ def _tail(li: DataFrame) -> list[Column]:
     k = F.col("l_orderkey")
     return [
         F.when(F.col("l_returnflag") == "A", F.lit("EUR")).otherwise(F.lit("USD")).alias("Currency"),
-        F.concat(F.lit(" acc-"), _s("l_partkey")).alias("Account"),
+        F.concat(F.when(k % 113 == 0, F.lit("\u00a0acc-")).otherwise(F.lit(" acc-")), _s("l_partkey")).alias("Account"),
         F.concat(F.lit("Account "), _s(F.col("l_partkey") % 100)).alias("AccountName"),
         F.concat(F.lit("acc-"), _s("l_suppkey"), F.lit(" ")).alias("OffsetAccount"),
         F.concat(F.lit("USR"), _pad2(F.col("l_suppkey") % 25)).alias("CreatedBy"),
@@ -120,10 +120,12 @@ def journal_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = (F.when(k % 83 == 0, F.lit("abc"))
               .when(k % 109 == 0, F.lit("nan"))                                    # Java spelling: invalid
               .when(k % 107 == 0, F.concat(F.lit(" "), _cents(), F.lit(".50 ")))   # padded decimal: valid
+              .when(k % 127 == 0, F.lit("1e400"))                                  # beyond a double: invalid
               .otherwise(_cents())).alias("Amount")
     indicator = (F.when(k % 73 == 0, F.lit(None).cast("string"))
                  .when(F.col("l_partkey") % 50 == 0, F.lit("?"))
                  .when(F.col("l_linenumber") == 7, F.lit("\tdr"))
+                 .when(F.col("l_linenumber") == 6, F.lit("\u2003Credit\u00a0"))
                  .when(F.col("l_linestatus") == "O", F.lit(" Debit"))
                  .otherwise(F.lit("credit "))).alias("DrCr")
     return li.select(*_common(li), amount, indicator, *_tail(li))

@@ -81,3 +81,29 @@ def test_summary_and_error_counts(spark):
     assert (s.total_rows, s.invalid_rows) == (3, 2)
     counts = {r.message: r.n_rows for r in error_counts(v).collect()}
     assert counts == {"document_number is required": 2, "line_number must be integer": 1}
+
+
+def test_layout_found_from_the_whole_column(spark):
+    from ledgerlens.functions import text
+    df = spark.createDataFrame([("01/02/2026", "20260301", None, "2026-03-01"), ("13/02/2026", "20260302", None, "x"),
+                                ("03/04/2026", "bla", None, "2026/03/05")], "a string, b string, c string, d string")
+    assert text.choose_layouts(df, ["a", "b", "c", "d"]) == {
+        "a": ("dd/MM/yyyy",), "b": ("yyyyMMdd",), "c": ("yyyy-MM-dd",), "d": ("yyyy-MM-dd",)}
+    american = df.select(F.lit("02/13/2026").alias("a"))
+    assert text.choose_layouts(american, ["a"]) == {"a": ("MM/dd/yyyy",)}
+
+
+def test_finite_numbers_and_unicode_blanks(spark):
+    from ledgerlens.functions import text
+    df = spark.createDataFrame([("1e400",), ("-1e400",), ("1e308",), ("  4 ",), ("　5.5",)], "v string")
+    assert [r[0] for r in df.select(text.parse_double(F.col("v"))).collect()] == [None, None, 1e308, 4.0, 5.5]
+    assert [r[0] for r in df.select(text.parse_long(F.col("v"))).collect()] == [None, None, None, 4, None]
+    assert df.select(text.strip(F.lit(" 4000 "))).first()[0] == "4000"
+
+
+def test_stored_flag_equals_direct_flag(spark):
+    from ledgerlens.sources import sample
+    raw = sample.journal_raw(spark, "/root/testdata/sf0.001")
+    a = validate(raw, sample.sample_mapping())
+    b = validate(raw, sample.sample_mapping(), stored=True)
+    assert a.exceptAll(b).count() == 0

@@ -5,6 +5,7 @@ import pytest
 
 from ledgerlens.functions.registry import registry
 from ledgerlens.operators.mapping import MappingError
+from ledgerlens.plans.spec import ViewSpec
 from ledgerlens.plans.workspace import MissingStep, NotFound, Workspace
 from ledgerlens.sources.csv_ingest import MSG_CORRUPT, MSG_ONLY_CSV, IngestError
 
@@ -86,3 +87,39 @@ def test_validate_without_raw_data(ws, data_path, mapping, spark):
     delete_path(spark, ws._data("raw", d))
     with pytest.raises(NotFound, match="Raw file missing"):
         ws.validate(d)
+
+
+def test_other_date_layouts(ws, data_path, mapping, tmp_path):
+    import csv
+    with open(data_path("journal_valid.csv"), newline="") as f:
+        rows = list(csv.reader(f))
+    at = rows[0].index("posting_date")
+    for r in rows[1:]:
+        y, m, d = r[at].split("-")
+        r[at] = f"{d}.{m}.{y}"
+    p = tmp_path / "dotted.csv"
+    with open(p, "w", newline="") as f:
+        csv.writer(f).writerows(rows)
+    up = ws.upload_csv(str(p), company_name="A", fiscal_year=2026, user_id=1)
+    ws.save_mapping(up["dataset_id"], mapping)
+    assert ws.validate(up["dataset_id"])["invalid_rows"] == 0
+    ws.transform(up["dataset_id"], user_id=1)
+    out = ws.query(up["dataset_id"], {"dimensions": [], "measures": []}, user_id=1)
+    assert out.where("posting_date IS NULL").count() == 0
+    assert ws.validate(up["dataset_id"], date_formats=("yyyy-MM-dd",))["invalid_rows"] == len(rows) - 1
+
+
+def test_stored_view_is_read_back(ws, data_path, mapping):
+    up = ws.upload_csv(data_path("journal_valid.csv"), company_name="A", fiscal_year=2026, user_id=1)
+    ws.save_mapping(up["dataset_id"], mapping)
+    ws.validate(up["dataset_id"])
+    ws.transform(up["dataset_id"], user_id=1)
+    request = {"dimensions": [{"field_id": registry.id_of("currency"), "axis": "row"}],
+               "measures": [{"field_id": registry.id_of("amount"), "aggregations": ["sum"]}],
+               "sorting": [{"field_id": registry.id_of("amount"), "sorting_direction": "desc"}],
+               "pagination": {"limit": 5, "offset": 0}}
+    ws.query(up["dataset_id"], request, user_id=1)
+    spec = ViewSpec.from_dict(request)
+    assert ws.view(up["dataset_id"], spec.signature(up["dataset_id"])).to_dict() == spec.to_dict()
+    with pytest.raises(NotFound):
+        ws.view(up["dataset_id"], "0" * 64)
