@@ -15,6 +15,9 @@ bounded by a mapping's size (a few dozen entries), never by the data.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from ledgerlens.operators.mapping import (
     AMOUNT_INDICATOR_GROUP, DEBIT_CREDIT_GROUP, MSG_DUPLICATES, MSG_MIXED_GROUPS, MSG_NO_AMOUNT_GROUP,
 )
 from ledgerlens.plans.spec import ViewSpec, canonical_json
+from ledgerlens.session import checkpointed
+
+MSG_REPEATED_RAW = "Raw columns unnamed or mapped more than once"
 
 
 def _py_list(arr: Column) -> Column:
@@ -31,50 +37,67 @@ def _py_list(arr: Column) -> Column:
 
 
 def _registry_lookup(spark, registry: FieldRegistry) -> DataFrame:
-    rows = [(f.id, f.canonical_name) for f in registry.all()]
-    return spark.createDataFrame(rows, "field_id string, canonical_name string")
+    """(field_id, bit): one bit per registry field."""
+    rows = [{"field_id": f.id, "bit": 1 << i} for i, f in enumerate(registry.all())]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<field_id:string,bit:bigint>>")))
 
 
 def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...],
              with_mapping: bool = False) -> DataFrame:
     """One row per mapping with ``found``: its violations in rule order.
 
-    A single partially-aggregated group-by; the per-group sets hold one
-    mapping's entries (bounded by a file's column count).
+    Known fields are one bit each, so a mapping is aggregated into a count and
+    a bit mask (fixed-size state, partial before the exchange).  Only the few
+    entries with an unknown id are collected, in a branch of their own; the
+    lists hold one mapping's entries (bounded by a file's column count).
     """
-    spark = mappings.sparkSession
+    fields = registry.all()
+    bit = {f.canonical_name: 1 << i for i, f in enumerate(fields)}
     # The registry has a fixed, tiny size: broadcasting it is always safe.
-    lookup = F.broadcast(_registry_lookup(spark, registry))
-    m = mappings.join(lookup, "field_id", "left")
+    m = mappings.join(F.broadcast(_registry_lookup(mappings.sparkSession, registry)), "field_id", "left")
     per_map = m.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when(F.col("canonical_name").isNull(), F.col("field_id"))))
-        .alias("unknown_ids"),
-        F.count(F.lit(1)).alias("n_entries"),
-        F.size(F.collect_set("field_id")).alias("n_fields"),
-        F.collect_set("canonical_name").alias("mapped"),
-        *([F.map_from_entries(F.collect_list(F.struct("raw_column", "field_id"))).alias("mapping")]
-          if with_mapping else []),
+        F.count("bit").alias("n_known"),
+        F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits"),
+        *([F.collect_list(F.struct("raw_column", "field_id")).alias("entries")] if with_mapping else []),
     )
-    mandatory = F.array(*[F.lit(f.canonical_name) for f in registry.mandatory()])
-    missing = F.array_except(mandatory, F.col("mapped"))
-
-    def complete(group):
-        return F.array_contains("mapped", group[0]) & F.array_contains("mapped", group[1])
-
-    dc, ai = complete(DEBIT_CREDIT_GROUP), complete(AMOUNT_INDICATOR_GROUP)
+    ids = F.collect_set(F.coalesce("field_id", F.lit("None")))          # a null id is an unknown one
+    unknown = (m.where(F.col("bit").isNull()).groupBy(*keys)
+               .agg(F.array_sort(ids).alias("unknown_ids"), F.count(F.lit(1)).alias("n_unknown")))
+    u = unknown.select(*[F.col(k).alias(f"_u_{k}") for k in keys], "unknown_ids", "n_unknown")
+    same = [F.col(k).eqNullSafe(F.col(f"_u_{k}")) for k in keys]
+    per_map = per_map.join(u, reduce(lambda a, b: a & b, same), "left").drop(*[f"_u_{k}" for k in keys])
+
+    def has(name):
+        return F.col("bits").bitwiseAND(bit[name]) != 0
+
+    missing = F.array_compact(F.array(*[F.when(~has(f.canonical_name), F.lit(f.canonical_name)) for f in registry.mandatory()]))
+    dc, ai = (has(a) & has(b) for a, b in (DEBIT_CREDIT_GROUP, AMOUNT_INDICATOR_GROUP))
+    repeated = ((F.col("n_known") != F.bit_count("bits"))
+                | (F.coalesce("n_unknown", F.lit(0)) != F.coalesce(F.size("unknown_ids"), F.lit(0))))
     empty = F.array().cast("array<struct<rule:int,message:string>>")
 
     def v(rule: int, cond: Column, message: Column) -> Column:
         return F.when(cond, F.array(F.struct(F.lit(rule).alias("rule"), message.alias("message")))).otherwise(empty)
 
-    found = F.concat(
-        v(1, F.size("unknown_ids") > 0, F.concat(F.lit("Invalid field ids: "), _py_list(F.col("unknown_ids")))),
-        v(2, F.col("n_entries") != F.col("n_fields"), F.lit(MSG_DUPLICATES)),
+    found = [
+        v(1, F.col("unknown_ids").isNotNull(), F.concat(F.lit("Invalid field ids: "), _py_list(F.col("unknown_ids")))),
+        v(2, repeated, F.lit(MSG_DUPLICATES)),
         v(3, F.size(missing) > 0, F.concat(F.lit("Mandatory fields not mapped: "), _py_list(missing))),
         v(4, ~(dc | ai), F.lit(MSG_NO_AMOUNT_GROUP)),
         v(5, dc & ai, F.lit(MSG_MIXED_GROUPS)),
-    )
-    return per_map.select(*keys, found.alias("found"), *(["mapping"] if with_mapping else []))
+    ]
+    out = []
+    if with_mapping:
+        distinct = _distinct_raw(F.col("entries"))
+        found.append(v(6, ~distinct, F.lit(MSG_REPEATED_RAW)))
+        out.append(F.when(distinct, F.map_from_entries("entries")).alias("mapping"))
+    return per_map.select(*keys, F.concat(*found).alias("found"), *out)
+
+
+def _distinct_raw(entries: Column) -> Column:
+    """Whether every raw column is named, and only once, so that the entries form a map."""
+    raw = F.transform(entries, lambda e: e["raw_column"])
+    return (F.size(F.array_distinct(raw)) == F.size(raw)) & ~F.exists(raw, lambda x: x.isNull())
 
 
 def mapping_violations(mappings: DataFrame, registry: FieldRegistry = default_registry,
@@ -124,10 +147,13 @@ def mapping_saves(mappings: DataFrame, saved_at: DataFrame,
                   keys: tuple[str, ...] = ("dataset_id", "save_no")) -> DataFrame:
     """Entries + save time -> one row per save with a ``mapping`` map column.
 
-    The collected list is one mapping (bounded by a file's column count).
+    The collected list is one mapping (bounded by a file's column count); if
+    its raw columns do not form a map, ``mapping`` is null.
     """
+    entries = F.col("entries")
     return (mappings.groupBy(*keys)
-            .agg(F.map_from_entries(F.collect_list(F.struct("raw_column", "field_id"))).alias("mapping"))
+            .agg(F.collect_list(F.struct("raw_column", "field_id")).alias("entries"))
+            .withColumn("mapping", F.when(_distinct_raw(entries), F.map_from_entries(entries))).drop("entries")
             .join(saved_at, list(keys)))
 
 
@@ -165,16 +191,32 @@ def signature_mappings(saves: DataFrame, datasets: DataFrame) -> DataFrame:
             .agg(F.min_by("mapping", key).alias("mapping"), F.min("saved_at").alias("saved_at")))
 
 
-def suggested_mappings(datasets: DataFrame, sig_mappings: DataFrame) -> DataFrame:
+SIGNATURE_BROADCAST_ROWS = 20_000       # of about 2 KB each
+SIGNATURE_SALTS = 64
+
+
+def suggested_mappings(datasets: DataFrame, sig_mappings: DataFrame,
+                       broadcast_rows: int = SIGNATURE_BROADCAST_ROWS) -> DataFrame:
     """Per dataset, the signature's mapping if it was saved before the upload, else empty.
 
     Because the first save of a signature is never replaced, comparing it
     with the upload time answers "what did the store hold at upload".
+
+    The signatures' mappings (one row per header layout) are stored and
+    counted.  Up to ``broadcast_rows`` they are broadcast, so the datasets are
+    not shuffled; more are joined on (signature, salt), which parts the
+    datasets of a common header among tasks.  The result is the same.
     """
-    s = sig_mappings.select("signature", F.col("mapping").alias("_m"), F.col("saved_at").alias("_t"))
+    s = checkpointed(sig_mappings.select("signature", F.col("mapping").alias("_m"), F.col("saved_at").alias("_t")))
+    d, on = datasets.select("dataset_id", "signature", "uploaded_at"), ["signature"]
+    if s.count() <= broadcast_rows:
+        s = F.broadcast(s)
+    else:
+        d = d.withColumn("_salt", F.pmod(F.xxhash64("dataset_id"), F.lit(SIGNATURE_SALTS)).cast("int"))
+        s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SIGNATURE_SALTS - 1))))
+        on = ["signature", "_salt"]
     empty = F.create_map().cast("map<string,string>")
-    return (datasets.select("dataset_id", "signature", "uploaded_at")
-            .join(s, "signature", "left")
+    return (d.join(s, on, "left")
             .select("dataset_id",
                     F.when(F.col("_t") < F.col("uploaded_at"), F.col("_m")).otherwise(empty)
                     .alias("suggested_mapping")))

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 JIT_FLAGS = "-XX:-DontCompileHugeMethods"
@@ -83,6 +83,15 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` stored once in the shared checkpoint folder; survives lost executors."""
+    spark = df.sparkSession
+    root = scratch_root(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared scratch folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ twin of every table lives in ``__spark_entry__`` for the DuckDB check.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     variant = (k % 4).cast("int")
-    header = F.element_at(F.array(*[F.array(*[F.lit(c) for c in h]) for h in HEADER_VARIANTS]), variant + 1)
+    header = F.element_at(F.from_json(F.lit(json.dumps(HEADER_VARIANTS)), "array<array<string>>"), variant + 1)
     return o.select(
         F.concat(F.lit("DS"), k.cast("string")).alias("dataset_id"),
         k.alias("dataset_key"),
@@ -63,7 +65,11 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(pairs) -> Column:
-    return F.array(*[F.struct(F.lit(r).alias("raw_column"), F.lit(f).alias("field_id")) for r, f in pairs])
+    return F.from_json(F.lit(_json(pairs)), _EMPTY)
+
+
+def _json(pairs) -> str:
+    return json.dumps([{"raw_column": r, "field_id": f} for r, f in pairs])
 
 
 RESAVE_EVERY = 5            # these datasets save a corrected mapping a day later
@@ -71,7 +77,8 @@ _EMPTY = "array<struct<raw_column:string,field_id:string>>"
 
 
 def _std_entries(variant: Column) -> Column:
-    return F.element_at(F.array(*[_entries(variant_mapping(v)) for v in range(4)]), variant + 1)
+    variants = f"[{','.join(_json(variant_mapping(v)) for v in range(4))}]"
+    return F.element_at(F.from_json(F.lit(variants), f"array<{_EMPTY}>"), variant + 1)
 
 
 def _first_attempt(k: Column, variant: Column) -> Column:

@@ -8,7 +8,6 @@ the semantics are restated in SQL and evaluated by DuckDB independently.
 from __future__ import annotations
 
 from ledgerlens.functions.registry import registry
-from ledgerlens.operators import catalog as C
 from ledgerlens.operators import mapping as M
 from ledgerlens.sources import sample_catalog as SC
 
@@ -117,14 +116,64 @@ sig AS (
     FROM valid v JOIN ds ON ds.dataset_id = v.dataset_id) WHERE rn = 1)"""
 
 
-def view_signature_sql(spec) -> str:
-    prefix, suffix = C.canonical_json(spec, C._PLACEHOLDER).split(C._PLACEHOLDER)
+# The payload of each view that events open, written out as signed text with
+# {name} for the field ids and @ for the dataset id.
+_DIMENSION = '{{"axis":"row","field_id":"{0}"}}'
+_MEASURE = '{{"aggregation":"{1}","field_id":"{0}"}}'
+_CONDITION = '{{"field_id":"{0}","operator":"{1}","type":"condition","value":{2}}}'
+
+
+def _rows(pattern: str, *rows: tuple) -> str:
+    """Rendered rows, fields by id, in (id, second) order."""
+    return ",".join(pattern.format(*r) for r in sorted((registry.id_of(r[0]), *r[1:]) for r in rows))
+
+
+def _payload(dims: str, filters: str, measures: str, pivot: str = "") -> str:
+    return f'{{"dataset_id":"@","dimensions":[{dims}],"filters":{filters},"measures":[{measures}]{pivot}}}'
+
+
+def _conditions(op: str, *parts: str) -> str:
+    # Groups sort their parts by JSON text with ", " and ": " separators.
+    spaced = sorted(parts, key=lambda p: p.replace('":', '": ').replace(',"', ', "').replace("},{", "}, {"))
+    return f'{{"conditions":[{",".join(spaced)}],"op":"{op}","type":"group"}}'
+
+
+def _condition(name: str, op: str, value: str) -> str:
+    return _CONDITION.format(registry.id_of(name), op, value)
+
+
+def event_payloads() -> dict[str, str]:
+    amount = lambda *aggs: _rows(_MEASURE, *[("amount", a) for a in aggs])       # noqa: E731
+    tree = _conditions(
+        "and",
+        _conditions("or", _condition("currency", "=", '"USD"'), _condition("journal_type", "!=", '"Manual"')),
+        _conditions("or"),
+        _condition("posting_date", ">=", '"1996-01-01"'), _condition("posting_date", "<", '"2000-01-01"'),
+        _condition("account_number", "not in", '["ACC-1","ACC-2","ACC-3"]'),
+        _condition("debit_credit_indicator", "in", '["C","D"]'),
+        _condition("amount", "is not null", "null"), _condition("amount", "!=", "0"), _condition("amount", "<=", "9000000"))
+    pivot = _rows('{{"axis":"{1}","field_id":"{0}"}}', ("journal_type", "row"), ("debit_credit_indicator", "column"))
+    return {
+        "view": _payload("", "null", ""),
+        "click": _payload(_rows(_DIMENSION, ("debit_credit_indicator",), ("posting_month",)),
+                          _conditions("or", _condition("amount", ">=", "5000000"), _condition("amount", "<=", "-5000000")),
+                          amount("count", "sum")),
+        "purchase": _payload(_rows(_DIMENSION, ("journal_type",), ("posting_year",)), "null",
+                             amount("avg", "count", "count_distinct", "max", "min", "sum")),
+        "signup": _payload(_rows(_DIMENSION, ("approval_status",)), tree, amount("count", "sum")),
+        "error": _payload(pivot, "null", amount("count", "sum"),
+                          f',"pivot":{{"total":false,"values":{{"{registry.id_of("debit_credit_indicator")}":["D","C","UNKNOWN"]}}}}'),
+    }
+
+
+def view_signature_sql(payload: str) -> str:
+    prefix, suffix = payload.split("@")
     return f"sha256({q(prefix)} || dataset_id || {q(suffix)})"
 
 
 def catalog_oracle() -> dict[str, str]:
     w = "WITH " + catalog_ctes() + "\n"
-    sig_case = " ".join(f"WHEN {q(t)} THEN {view_signature_sql(spec)}" for t, spec in SC.EVENT_VIEWS.items())
+    sig_case = " ".join(f"WHEN {q(t)} THEN {view_signature_sql(p)}" for t, p in event_payloads().items())
     return {
         "catalog_header_signatures": w + """
 SELECT signature, count(*) AS n_datasets, min(header_variant) AS min_variant, max(header_variant) AS max_variant

@@ -97,3 +97,41 @@ def test_checked_saves_match_separate_jobs(spark):
                                   "dataset_id string, save_no int, saved_at timestamp")
     got = {r.dataset_id: (r.rule, dict(r.mapping)) for r in C.checked_saves(entries, times).collect()}
     assert got["ok"] == (0, _good()) and got["missing"][0] == 3
+
+
+def test_faulty_saves_do_not_fail_the_others(spark):
+    from ledgerlens.operators import catalog as C
+    from ledgerlens.sources.sample import sample_mapping
+    good = [("d1", 1, r, f) for r, f in sample_mapping().items()]
+    twice = [("d2", 1, r, f) for r, f in sample_mapping().items()] + [("d2", 1, "Amount", "x")]
+    null_id = [("d3", 1, r, f) for r, f in sample_mapping().items()] + [("d3", 1, "Extra", None)]
+    unnamed = [("d4", 1, r, f) for r, f in sample_mapping().items() if r != "Text"] + [("d4", 1, None, sample_mapping()["Text"])]
+    m = spark.createDataFrame(good + twice + null_id + unnamed, "dataset_id string, save_no int, raw_column string, field_id string")
+    at = m.select("dataset_id", "save_no").distinct().withColumn("saved_at", F.current_timestamp())
+    saves = {r.dataset_id: r for r in C.checked_saves(m, at).collect()}
+    assert {k: r.rule for k, r in saves.items()} == {"d1": 0, "d2": 1, "d3": 1, "d4": 6}
+    assert saves["d1"].mapping == sample_mapping() and saves["d2"].mapping is None and saves["d4"].mapping is None
+    assert saves["d3"].message == "Invalid field ids: ['None']"
+    status = {r.dataset_id: r.rule for r in C.mapping_status(m, keys=("dataset_id", "save_no")).collect()}
+    assert status == {"d1": 0, "d2": 1, "d3": 1, "d4": 0}
+    assert {r.dataset_id: r.mapping is None for r in C.mapping_saves(m, at).collect()} == {"d1": False, "d2": True, "d3": False, "d4": True}
+
+
+def test_known_entries_use_a_plain_hash_aggregate(spark):
+    from ledgerlens.operators import catalog as C
+    from ledgerlens.sources import sample_catalog as SC
+    plan = C.mapping_status(SC.mappings(spark, "/root/testdata/sf0.001"), keys=("dataset_id", "save_no"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ObjectHashAggregate") == 2 and "bit_or" in plan        # partial and final, of unknown ids only
+
+
+def test_suggestions_do_not_shuffle_datasets_by_signature(spark):
+    from ledgerlens.operators import catalog as C
+    ds = spark.range(200).selectExpr("concat('d', id) AS dataset_id", "if(id % 9 = 0, 'rare', 'hot') AS signature",
+                                     "timestamp'2026-01-02 00:00:00' AS uploaded_at")
+    sig = spark.createDataFrame([("hot", {"a": "1"}), ("rare", {"b": "2"})], "signature string, mapping map<string,string>") \
+        .withColumn("saved_at", F.expr("timestamp'2026-01-01 00:00:00'"))
+    small, large = C.suggested_mappings(ds, sig), C.suggested_mappings(ds, sig, broadcast_rows=0)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(signature" not in plan
+    rows = lambda df: sorted((r.dataset_id, tuple(r.suggested_mapping.items())) for r in df.collect())
+    assert rows(small) == rows(large) and len(rows(small)) == 200
