@@ -15,6 +15,7 @@ class StandardizeError(ValueError):
     pass
 
 
+# FIXED VALUE: message that clients of the application match.
 MSG_NO_AMOUNT_COLUMNS = "Unknown debit/credit column combination."
 
 

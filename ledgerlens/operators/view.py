@@ -95,9 +95,9 @@ def compile_filter(df: DataFrame, node, registry: FieldRegistry = default_regist
     if isinstance(node, Condition):
         f = resolve(registry, node.field_id)
         if not f.allows_role(ROLE_FILTER):
-            raise ViewError(f"Field has not a filter role: {f.canonical_name}")
+            raise ViewError(f"{f.canonical_name} cannot be filtered: it lacks the filter role")
         if not f.allows_filter_operator(node.operator):
-            raise ViewError(f"Filter operator {node.operator!r} not allowed for field: {f.canonical_name}")
+            raise ViewError(f"{f.canonical_name} cannot be filtered with {node.operator!r}: not allowed")
         name = _require_column(df, f)
         c, dtype = qcol(name), df.schema[name].dataType
         op, v = node.operator, node.value
@@ -111,7 +111,7 @@ def compile_filter(df: DataFrame, node, registry: FieldRegistry = default_regist
         lit = _literal(v, dtype)
         return {"=": c == lit, "!=": c != lit, ">": c > lit, ">=": c >= lit,
                 "<": c < lit, "<=": c <= lit}[op]
-    raise ViewError(f"Unknown filter node type: {type(node)}")
+    raise ViewError(f"Not a filter condition or group: {type(node).__name__}")
 
 
 # ----------------------------------------------------------------- measures
@@ -146,10 +146,10 @@ def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = de
     for m in spec.measures:
         f = resolve(registry, m.field_id)
         if not f.allows_role(ROLE_MEASURE):
-            raise ViewError(f"Field has not a measure role: {f.canonical_name}")
+            raise ViewError(f"{f.canonical_name} cannot be aggregated: it lacks the measure role")
         for agg in m.aggregations:
             if not f.allows_aggregation(agg):
-                raise ViewError(f"Aggregation {agg} not allowed for field: {f.canonical_name}")
+                raise ViewError(f"{agg} of {f.canonical_name} is not allowed")
             name = _require_column(df, f)
             alias = f"{name}_{agg}"
             if any(alias == a for a, _, _ in out):
@@ -165,7 +165,7 @@ def compile_dimensions(df: DataFrame, spec: ViewSpec, registry: FieldRegistry =
     for d in spec.dimensions:
         f = resolve(registry, d.field_id)
         if not f.allows_role(ROLE_DIMENSION):
-            raise ViewError(f"Field has not a dimension role: {f.canonical_name}")
+            raise ViewError(f"{f.canonical_name} cannot be grouped by: it lacks the dimension role")
         out.append((_require_column(df, f), d.axis))
     return out
 

@@ -199,7 +199,7 @@ def parse_node(d: dict) -> Node:
         return Condition(d["field_id"], d["operator"], d.get("value"))
     if "op" in d:
         return Group(d["op"], [parse_node(c) for c in d.get("conditions") or []])
-    raise ViewError(f"Invalid filter node: {d}")
+    raise ViewError(f"A filter node needs a field_id or an op: {d}")
 
 
 def node_to_dict(node: Node) -> dict:

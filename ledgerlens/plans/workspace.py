@@ -34,6 +34,14 @@ from ledgerlens.session import path_exists
 from ledgerlens.sources.csv_ingest import ingest_csv
 
 
+# FIXED VALUES: messages that clients of the application match.
+MSG_NO_DATASET = "Dataset not found"
+MSG_NO_MAPPING = "Mapping not found"
+MSG_NO_RAW = "Raw file missing"
+MSG_NO_VALIDATED = "Validated file missing"
+MSG_NO_TRANSFORMED = "Transformed data missing"
+
+
 class NotFound(KeyError):
     def __str__(self) -> str:
         return str(self.args[0]) if self.args else ""
@@ -112,7 +120,7 @@ class Workspace:
     def _dataset(self, dataset_id: str):
         row = self.datasets().where(F.col("dataset_id") == dataset_id).first()
         if row is None:
-            raise NotFound("Dataset not found")
+            raise NotFound(MSG_NO_DATASET)
         return row
 
     # ------------------------------------------------------------ upload
@@ -172,9 +180,9 @@ class Workspace:
         self._dataset(dataset_id)
         mapping = self.current_mapping(dataset_id)
         if mapping is None:
-            raise MissingStep("Mapping not found")
+            raise MissingStep(MSG_NO_MAPPING)
         if not path_exists(self.spark, self._data("raw", dataset_id)):
-            raise NotFound("Raw file missing")
+            raise NotFound(MSG_NO_RAW)
         if date_formats is None:
             date_formats = journal.find_date_formats(self.spark, self._data("raw", dataset_id), mapping, self.registry)
         done = journal.validate_dataset(self.spark, self._data("raw", dataset_id), mapping,
@@ -187,7 +195,7 @@ class Workspace:
         self._dataset(dataset_id)
         validated = self._data("validated", dataset_id)
         if not path_exists(self.spark, validated):
-            raise NotFound("Validated file missing")
+            raise NotFound(MSG_NO_VALIDATED)
         if "date_formats" not in layout:           # those the rows were validated with
             done = (self._read("validations", _VALIDATIONS).where(F.col("dataset_id") == dataset_id)
                     .orderBy(F.col("validated_at").desc()).first())
@@ -204,7 +212,7 @@ class Workspace:
         """Compile a view request over the transformed table and record the opening."""
         transformed = self._data("transformed", dataset_id)
         if not path_exists(self.spark, transformed):
-            raise NotFound("Transformed data missing")
+            raise NotFound(MSG_NO_TRANSFORMED)
         spec = request if isinstance(request, ViewSpec) else ViewSpec.from_dict(request)
         out = compile_view(self.spark.read.parquet(transformed), spec, self.registry, exact_money)
         self._record_view(dataset_id, spec, user_id)
