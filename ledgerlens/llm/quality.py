@@ -8,9 +8,9 @@ coordinate descent.  Margins become scores through a logistic curve fitted on
 rows of the sample that the machine did not see.
 
 Fitting takes at most ``SAMPLE_ROWS`` labelled rows (see ``training_sample``).
-Their features are computed by Spark tasks, at most 2^BITS numbers a row; the
-model itself is two arrays of 2^BITS numbers, sent to the tasks that score all
-documents.
+Their features are computed by Spark tasks, at most 2^BITS numbers a row, and
+one task fits; the model is two arrays of 2^BITS numbers, sent to the tasks
+that score all documents.
 """
 
 from __future__ import annotations
@@ -197,21 +197,29 @@ def fit_arrays(starts: np.ndarray, flat: np.ndarray, y: np.ndarray) -> NbSvm:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE_ROWS,
         doc_id: str = "doc_id", text: str = "text") -> NbSvm:
-    """Model fitted on at most ``rows`` labelled documents."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Model fitted by one task on at most ``rows`` labelled documents; only
+    its 2 x 2^BITS numbers reach the driver."""
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             starts, flat = features(list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"],
                                 "features": [flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])]})
 
+    def learn(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("doc_id", key=lambda ids: ids.map(lambda i: (len(i), i)))
+        found = [np.frombuffer(x, dtype=np.int32) for x in sample["features"]]
+        starts = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64)
+        m = fit_arrays(starts, np.concatenate(found), sample["label"].to_numpy(dtype=np.int64))
+        return pd.DataFrame([{"weights": m.weights.astype(np.float32).tobytes(), "ratios": m.ratios.astype(np.float32).tobytes(),
+                              "rest": [m.bias, m.slope, m.offset]}])
+
     sample = training_sample(docs, labels, label, allowed, rows, doc_id, text)
     got = (sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label")
-           .mapInPandas(run, "doc_id string, label int, features binary").toPandas()
-           .sort_values("doc_id", key=lambda ids: ids.map(lambda i: (len(i), i))))
-    sets = [np.frombuffer(x, dtype=np.int32) for x in got["features"]]
-    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-    return fit_arrays(starts, flat, got["label"].to_numpy(dtype=np.int64))
+           .mapInPandas(sets, "doc_id string, label int, features binary")
+           .groupBy().applyInPandas(learn, "weights binary, ratios binary, rest array<double>").first())
+    if got is None:                                  # no labelled row at all
+        return fit_arrays(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    return NbSvm(np.frombuffer(got["weights"], np.float32), np.frombuffer(got["ratios"], np.float32), *got["rest"])
 
 
 def scorer(model: NbSvm):
