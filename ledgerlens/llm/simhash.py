@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed
+from ledgerlens.llm.common import checkpointed, text_key
 from ledgerlens.llm.components import connected_components
 
 SEED = 42            # of XXH64, fixed by the contract
@@ -61,13 +61,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint bigint) per row of ``docs``."""
+    """(doc_id, text_key, fingerprint bigint) per row of ``docs``."""
     @F.pandas_udf("bigint")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("fingerprint"))
+    return docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"),
+                       run(F.col(text)).alias("fingerprint"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -121,9 +122,10 @@ def links(prints: DataFrame, radius: int = RADIUS, pair_bucket: int = PAIR_BUCKE
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """(doc_id, fingerprint bigint, component_id) per row of ``docs``.
+    """(doc_id, text_key, fingerprint bigint, component, component_id) per row of ``docs``.
 
-    ``component_id`` is the smallest document id reachable over links.
+    ``component`` names the component by its smallest fingerprint,
+    ``component_id`` by the smallest document id reachable over links.
     Null, empty and blank texts have fingerprint 0 and link like any other;
     repeated rows and ids each keep their row; a row with a null id belongs to
     its component without naming it (all ids null: component null); an empty
@@ -135,8 +137,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = (nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
              .select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")))
     heads = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    nodes = nodes.join(heads, "root").select("fingerprint", "component_id")
-    return prints.join(nodes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    nodes = nodes.join(heads, "root").select("fingerprint", F.col("root").alias("component"), "component_id")
+    return prints.join(nodes, "fingerprint").select("doc_id", "text_key", "fingerprint", "component", "component_id")
 
 
 def hex_print(fingerprint_: Column) -> Column:
