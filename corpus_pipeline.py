@@ -30,20 +30,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the
-    smallest id.  Rows repeated under that id count once; a component whose
-    ids are all null keeps one row."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
-    named = docs.where("doc_id is not null").join(keep.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(
-        _unnamed(docs.where("doc_id is null"), found))
-
-
-def _unnamed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of rows without id: one per fingerprint whose component has no id at all."""
-    alone = found.where("doc_id is null").select("fingerprint").distinct()
-    prints = simhash.fingerprints(docs.withColumn("__row", F.struct(*docs.columns)), "__row")
-    return (prints.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select("doc_id.*"))
+    smallest id (null ids last; of several texts under one id, the one with
+    the smallest hash).  Rows repeated word for word count once."""
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    keep = (simhash.near_duplicates(docs).groupBy("component").agg(F.min(order).alias("first"))
+            .select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__keep")))
+    keyed = docs.withColumn("__key", text_key(F.col("text")))
+    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__keep")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
