@@ -15,8 +15,14 @@ Extension: around anchors that occur more than once, the windows that contain
 them are hashed whole (96 bits); of equal windows all but the earliest are
 repeats.
 
-Both hash joins are a sort by hash within hash partitions: rows of one hash
+Both comparisons are a sort by hash within hash partitions: rows of one hash
 stream past each other and are never gathered, however common a passage is.
+Texts that an earlier document has word for word are settled beforehand by a
+128-bit hash of the text, so groups of exact copies add no rows.
+
+Texts are shuffled once, by document; the three steps that need them read the
+same shuffle.  The rows that travel by hash are kept narrow: an id, a number
+for texts that share it, the hash and the place.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_key
+from ledgerlens.llm.common import checkpointed, text_key
 
 SPAN = 20
 PERIOD = 13
@@ -88,62 +94,84 @@ def _check_cover(span, period, cover, anchor):
         raise ValueError("an anchor must fit into a window at every remainder")
 
 
-def repeated_starts(docs: DataFrame, span: int = SPAN, period: int = PERIOD, cover: tuple[int, ...] = COVER,
-                    anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text_key, starts): the starts of every repeated window.
+def documents(source: DataFrame) -> DataFrame:
+    """(doc_id, text_key, v, copy) of the distinct (id, text) pairs.
 
-    ``docs`` has doc_id, text_key and text.  The order of places is (doc_id,
-    nulls last; text_key; start).
+    ``v`` numbers the texts of one id; ``copy`` marks texts that an earlier
+    document has word for word.
     """
-    _check_cover(span, period, cover, anchor)
+    pairs = source.groupBy("doc_id", "text_key").agg(F.first(F.md5("text")).alias("content"))
+    pairs = pairs.withColumn("v", F.row_number().over(Window.partitionBy("doc_id").orderBy("text_key")) - 1)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "v")
+    # Partial minima first, so a text with very many copies is one row a task.
+    firsts = pairs.groupBy("content").agg(F.min(order).alias("first"))
+    return (pairs.join(firsts, "content")
+            .select("doc_id", "text_key", "v", (F.col("first") != order).alias("copy")))
+
+
+def _same(a: str, b: str):
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+
 
-    ids = docs.schema["doc_id"].dataType.simpleString()
+def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, period: int = PERIOD,
+                    cover: tuple[int, ...] = COVER, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, v, starts): the starts of repeated windows, copies left out.
+
+    ``source`` has doc_id, text_key and text; ``named`` is ``documents`` of it.
+    The order of places is (doc_id, nulls last; v; start).
+    """
+    _check_cover(span, period, cover, anchor)
+    ids = source.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def places(text):
+        def places(text, v):
             hs = word_hashes(split_words(text))
             at = anchor_positions(len(hs), span, period, cover, anchor)
-            return [run_hashes(hs, anchor)[at].view(np.int64) if len(at) else at, at.astype(np.int32)]
+            return [run_hashes(hs, anchor)[at].view(np.int64) if len(at) else at, at | v << 32]
 
         for b in batches:
-            yield from _flat(b, ["h", "p"], map(places, b["text"].to_pylist()))
+            yield from _flat(b, ["h", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist()))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def places(text, found):
+        def places(text, v, found):
             hs = word_hashes(split_words(text))
             at = _window_starts(np.asarray(found, dtype=np.int64), len(hs), span, anchor)
             check = (run_hashes(hs, span, 1)[at] >> np.uint64(32)).astype(np.uint32)
-            return [run_hashes(hs, span)[at].view(np.int64), check.view(np.int32), at.astype(np.int32)]
+            return [run_hashes(hs, span)[at].view(np.int64), check.view(np.int32), at | v << 32]
 
         for b in batches:
-            yield from _flat(b, ["h", "c", "p"], map(places, b["text"].to_pylist(), b["anchors"].to_pylist()))
-
-    place = F.struct("doc_id", "text_key", "p")
-    order = [F.col("doc_id").asc_nulls_last(), "text_key", "p"]
-    by_hash = Window.partitionBy("h").orderBy(*order)
-    again = (docs.mapInArrow(anchors, f"doc_id {ids}, text_key bigint, h bigint, p int")
-             .withColumn("before", F.lag("p").over(by_hash)).withColumn("after", F.lead("p").over(by_hash))
+            yield from _flat(b, ["h", "c", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist(), b["anchors"].to_pylist()))
+
+    low = 0xFFFFFFFF
+    texts = (source.alias("s").join(named.where("NOT copy").alias("n"), _same("s", "n"))
+             .select("s.doc_id", "s.text", F.col("n.v").cast("bigint").alias("v")))
+    by_hash = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "vp")
+    again = (texts.mapInArrow(anchors, f"doc_id {ids}, h bigint, vp bigint")
+             .withColumn("before", F.lag("vp").over(by_hash)).withColumn("after", F.lead("vp").over(by_hash))
              .where(F.col("before").isNotNull() | F.col("after").isNotNull())
-             .groupBy("doc_id", "text_key").agg(F.collect_list("p").alias("anchors")))
-    near = (docs.alias("d").join(again.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
-                                 & (F.col("d.text_key") == F.col("a.text_key")))
-            .select("d.doc_id", "d.text_key", "d.text", "a.anchors")
-            .mapInArrow(windows, f"doc_id {ids}, text_key bigint, h bigint, c int, p int"))
+             .groupBy("doc_id", F.shiftright("vp", 32).cast("int").alias("v"))
+             .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("anchors")))
+    again = (again.alias("a").join(named.alias("n"), F.col("a.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("a.v") == F.col("n.v")))
+             .select("n.doc_id", "n.text_key", "n.v", "a.anchors"))
+    near = (source.alias("s").join(again.alias("a"), _same("s", "a"))
+            .select("s.doc_id", "s.text", F.col("a.v").cast("bigint").alias("v"), "a.anchors")
+            .mapInArrow(windows, f"doc_id {ids}, h bigint, c int, vp bigint"))
+    # Plain columns only: an expression here would travel as a further column.
+    by_window = Window.partitionBy("h", "c").orderBy(F.col("doc_id").asc_nulls_last(), "vp")
     # Of fully repeated rows the same place comes twice in a row: not earlier.
-    by_window = Window.partitionBy("h", "c").orderBy(*order)
-    return (near.withColumn("earlier", F.lag(place).over(by_window))
-            .where(F.col("earlier").isNotNull() & ~F.col("earlier").eqNullSafe(place))
-            .groupBy("doc_id", "text_key").agg(F.collect_list("p").alias("starts")))
+    same_place = F.lag("doc_id").over(by_window).eqNullSafe(F.col("doc_id")) & (F.lag("vp").over(by_window) == F.col("vp"))
+    return (near.withColumn("earlier", F.lag("vp").over(by_window).isNotNull() & ~same_place).where("earlier")
+            .groupBy("doc_id", F.shiftright("vp", 32).cast("int").alias("v"))
+            .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("starts")))
 
 
 def _flat(batch: pa.RecordBatch, names: list[str], places: Iterator[list[np.ndarray]],
           rows: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text_key, *names) of each document's arrays, some documents at a time."""
+    """Rows (doc_id, *names) of each document's arrays, some documents at a time."""
     def out(first, parts):
         index = pa.array(np.repeat(np.arange(first, first + len(parts)), [len(x[0]) for x in parts]))
         columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
-        return pa.RecordBatch.from_arrays([batch["doc_id"].take(index), batch["text_key"].take(index), *columns],
-                                          names=["doc_id", "text_key", *names])
+        return pa.RecordBatch.from_arrays([batch["doc_id"].take(index), *columns], names=["doc_id", *names])
 
     first, parts, held = 0, [], 0
     for i, arrays in enumerate(places):
@@ -167,14 +195,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     last.  An empty table gives no rows; other columns are ignored.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    starts = repeated_starts(source, span, period, cover, anchor)
+    named = checkpointed(documents(source))          # four narrow columns, needed in several joins
+    starts = repeated_starts(source, named, span, period, cover, anchor)
+    found = (named.alias("n").join(starts.alias("r"), F.col("n.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("n.v") == F.col("r.v")), "left")
+             .where("n.copy OR r.starts IS NOT NULL").select("n.doc_id", "n.text_key", "n.copy", "r.starts"))
 
     @F.pandas_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, found in batches:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, copies, found in batches:
             rows = []
-            for t, s in zip(texts, found):
+            for t, copy, s in zip(texts, copies, found):
                 w = split_words(t)
+                if copy and len(w) >= span:
+                    rows.append((len(w), len(w), ""))
+                    continue
                 if s is None or not len(s):
                     rows.append((len(w), 0, b" ".join(w).decode()))
                     continue
@@ -187,7 +221,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                              b" ".join([x for x, k in zip(w, keep.tolist()) if k]).decode()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    return (source.alias("d").join(starts.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-                                   & (F.col("d.text_key") == F.col("s.text_key")), "left")
-            .select("d.doc_id", "d.text_key", cut(F.col("d.text"), F.col("s.starts")).alias("r"))
+    return (source.alias("s").join(found.alias("f"), _same("s", "f"), "left")
+            .select("s.doc_id", "s.text_key", cut(F.col("s.text"), F.coalesce("f.copy", F.lit(False)), F.col("f.starts")).alias("r"))
             .select("doc_id", "text_key", "r.*"))
