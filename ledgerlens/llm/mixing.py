@@ -82,7 +82,9 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"),
                        F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
                        (-F.log(u) / w).alias("draw"))
-    # Stored once with its range number: texts are read a single time.
+    # The narrow rows are stored first, so that the ranges are sampled and cut
+    # from them and the texts are read a single time; then with their range.
+    rows = checkpointed(rows)
     rows = checkpointed(rows.repartitionByRange("source", "draw").withColumn("range", F.spark_partition_id()))
 
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
