@@ -12,7 +12,7 @@ an anchor, and PERIOD - 1 + ANCHOR <= SPAN keeps it inside: both places share
 an anchor hash.  With PERIOD 13 four of thirteen positions are hashed.
 
 Extension: around anchors that occur more than once, the windows that contain
-them are hashed whole (96 bits); of equal windows all but the earliest are
+them are hashed whole (95 bits); of equal windows all but the earliest are
 repeats.
 
 Both comparisons are a sort by hash within hash partitions: rows of one hash
@@ -42,6 +42,7 @@ SPAN = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)     # perfect difference cover modulo 13
 ANCHOR = 8
+KNOWN = -1               # in place of the check bits: a repeat within its document
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -136,8 +137,15 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
         def places(text, v, found):
             hs = word_hashes(split_words(text))
             at = _window_starts(np.asarray(found, dtype=np.int64), len(hs), span, anchor)
-            check = (run_hashes(hs, span, 1)[at] >> np.uint64(32)).astype(np.uint32)
-            return [run_hashes(hs, span)[at].view(np.int64), check.view(np.int32), at | v << 32]
+            h = run_hashes(hs, span)[at]
+            check = (run_hashes(hs, span, 1)[at] >> np.uint64(33)).astype(np.int32)
+            # A window that this document has earlier is settled here: it travels
+            # marked, and under a hash of its own instead of a crowded one.
+            _, first, which = np.unique(h, return_index=True, return_inverse=True)
+            known = (first[which] != np.arange(len(at))) & (check == check[first[which]])
+            h[known] = (h[known] ^ at[known].astype(np.uint64)) * np.uint64(_ODD[1])
+            check[known] = KNOWN
+            return [h.view(np.int64), check, at | v << 32]
 
         for b in batches:
             yield from _flat(b, ["h", "c", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist(), b["anchors"].to_pylist()))
@@ -160,7 +168,8 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
     by_window = Window.partitionBy("h", "c").orderBy(F.col("doc_id").asc_nulls_last(), "vp")
     # Of fully repeated rows the same place comes twice in a row: not earlier.
     same_place = F.lag("doc_id").over(by_window).eqNullSafe(F.col("doc_id")) & (F.lag("vp").over(by_window) == F.col("vp"))
-    return (near.withColumn("earlier", F.lag("vp").over(by_window).isNotNull() & ~same_place).where("earlier")
+    return (near.withColumn("earlier", F.lag("vp").over(by_window).isNotNull() & ~same_place)
+            .where(F.col("earlier") | (F.col("c") == KNOWN))
             .groupBy("doc_id", F.shiftright("vp", 32).cast("int").alias("v"))
             .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("starts")))
 
