@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import let, text_key
+from ledgerlens.llm.common import checkpointed, let, text_key
 
 # Credential words, words that speak for something harmless,
 # words of identifiers and placeholders, known key formats.
@@ -57,7 +57,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     among the document's candidates.
     """
     rows = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            .where(F.col("text").rlike(CANDIDATE))
+            # Every candidate holds a digit or an assignment mark: a cheap test first.
+            .where(F.col("text").rlike("[0-9:=]")).where(F.col("text").rlike(CANDIDATE))
             .select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("text_key"), "text"))
     pieces, found = _cut(F.col("text"))
     parts = let(pieces, lambda ps: F.transform(found, lambda m, i: F.struct(
@@ -167,7 +168,7 @@ def secrets(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "d
     rows; repeated rows give repeated findings; null ids are kept; an empty
     table gives no rows; other columns are ignored.
     """
-    found = candidates(docs, doc_id, text)
+    found = checkpointed(candidates(docs, doc_id, text))      # texts are scanned once
     if findings is None:
         findings = (certain_findings(found).orderBy(F.xxhash64("value", "left", "right"), "value").limit(rows)
                     .unionByName(example_findings(docs.sparkSession)))
