@@ -110,14 +110,29 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def certain_findings(found: DataFrame) -> DataFrame:
-    """(value, left, right, label) of candidates whose kind is beyond doubt."""
+    """Distinct (value, left, right, label) of candidates whose kind is beyond
+    doubt; the label follows from the other three."""
     v = F.col("value")
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     words = v.rlike(f"(?i)^(?:(?:{DICTIONARY})[_/+-]?)+[0-9]*$")
     secret = (v.rlike(KNOWN_FORMAT) | (F.col("left").rlike(f"{_ASSIGNED}$") & mixed & (F.char_length(v) >= 16))) & ~words
     harmless = v.rlike("^[0-9+/_-]+=*$") | words
     return (found.where(secret | harmless)
-            .select("value", "left", "right", F.when(harmless, 0).otherwise(1).alias("label")))
+            .select("value", "left", "right", F.when(harmless, 0).otherwise(1).alias("label"))
+            .dropDuplicates(["value", "left", "right"]))
+
+
+def bounded(findings: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` of distinct findings: those with the smallest hash, half
+    from each label if there are enough, filled up from the other if not."""
+    order = (F.xxhash64("value", "left", "right"), "value", "left", "right")
+    first = checkpointed(findings.where("label = 0").orderBy(*order).limit(rows)
+                         .unionByName(findings.where("label = 1").orderBy(*order).limit(rows)))
+    n = {r["label"]: r["count"] for r in first.groupBy("label").count().collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    take0 = min(n0, max(rows // 2, rows - n1))
+    return (first.where("label = 0").orderBy(*order).limit(take0)
+            .unionByName(first.where("label = 1").orderBy(*order).limit(min(n1, rows - take0))))
 
 
 def example_findings(spark: SparkSession, rows: int = 400) -> DataFrame:
@@ -149,11 +164,10 @@ def example_findings(spark: SparkSession, rows: int = 400) -> DataFrame:
 def train(findings: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 30, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
     """Forest from labelled findings (value, left, right, label 0/1).
 
-    At most ``rows`` distinct findings are used, those with the smallest hash;
-    they are sorted into one small partition, so reruns agree.
+    At most ``rows`` distinct findings are used (``bounded``); they are sorted
+    into one small partition, so reruns agree.
     """
-    picked = (findings.where(F.col("value").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["value", "left", "right"])
-              .orderBy(F.xxhash64("value", "left", "right"), "value").limit(rows))
+    picked = bounded(findings.where(F.col("value").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["value", "left", "right"]), rows)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         with_features(picked).withColumn("label", F.col("label").cast("double")))
     data = data.select("features", "label", "value").repartition(1).sortWithinPartitions("value", "label")
@@ -170,8 +184,7 @@ def secrets(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "d
     """
     found = checkpointed(candidates(docs, doc_id, text))      # texts are scanned once
     if findings is None:
-        findings = (certain_findings(found).orderBy(F.xxhash64("value", "left", "right"), "value").limit(rows)
-                    .unionByName(example_findings(docs.sparkSession)))
+        findings = bounded(certain_findings(found), rows).unionByName(example_findings(docs.sparkSession))
     model = train(findings, 2 * rows)
     judged = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(found)))
     return (judged.withColumn("score", F.element_at(vector_to_array("probability"), 2))

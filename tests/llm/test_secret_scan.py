@@ -86,3 +86,26 @@ def test_own_labelled_findings(spark, docs_of):
 def test_no_python_in_the_plan(spark, docs_of):
     plan = S.candidates(docs_of([(1, "password=abc123xyz")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_copies_take_no_place_in_the_sample(spark):
+    """Distinct findings fill the bound, half of each label, however often one is copied."""
+    cols = "value string, left string, right string"
+    once = [(hexes(i, 32), "password=", "") for i in range(60)] + [(f"{4 * 10**15 + i}", "paid ", "") for i in range(60)]
+    copied = spark.createDataFrame(once + 2_000 * [once[0]] + 2_000 * [once[60]], cols)
+    got = [tuple(r) for r in S.bounded(S.certain_findings(copied), 40).collect()]
+    assert len(got) == len(set(got)) == 40 and sum(r[3] for r in got) == 20
+    plain = [tuple(r) for r in S.bounded(S.certain_findings(spark.createDataFrame(once, cols)), 40).collect()]
+    assert sorted(got) == sorted(plain)
+    few = spark.createDataFrame(once[:60] + once[60:65], cols)
+    assert sum(r.label for r in S.bounded(S.certain_findings(few), 40).collect()) == 35
+
+
+def test_scores_do_not_depend_on_copies(spark, docs_of):
+    texts = [t for t, _, _ in labelled(12)]
+    once = docs_of([(i, t) for i, t in enumerate(texts)])
+    copied = docs_of([(i, t) for i, t in enumerate(texts)] + [(1_000, texts[j]) for j in range(12) for i in range(100)])
+
+    def scores(df):
+        return {r.doc_id: r.score for r in S.secrets(df, rows=200).collect() if r.doc_id < 1_000}
+    assert scores(copied) == scores(once)
