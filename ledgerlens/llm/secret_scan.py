@@ -1,7 +1,7 @@
 """Secret scan: candidate strings, judged by a random forest.
 
-Candidates are values assigned to a credential word and bare runs of key-like
-characters with a digit.  A random forest over their length, character
+Candidates are values assigned to a credential word, bare runs of key-like
+characters with a digit, and runs of a known key format without one.  A random forest over their length, character
 transitions, dictionary coverage, path and neighbouring words, trained from
 labelled findings, removes the false positives.
 
@@ -31,11 +31,14 @@ HARMLESS = r"sha\d*|md5|commit|checksum|digest|hash|uuid|guid|isbn|order|invoice
 DICTIONARY = (r"password|passwd|secret|token|example|sample|test|dummy|changeme|change|placeholder|your|insert|here|redacted|"
               r"admin|user|name|default|value|string|null|none|key|path|file|image|index|page|home|site|version|build|release|"
               r"report|draft|final|title|section|chapter|figure|table|the|and|for|with|from|this|that|xxxx+|abcd|qwerty|lorem|ipsum")
-KNOWN_FORMAT = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36,}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^AIza[0-9A-Za-z_-]{35}$|^sk-[0-9A-Za-z_-]{20,}$"
+_FORMATS = (r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"AIza[0-9A-Za-z_-]{35}",
+            r"sk-[0-9A-Za-z_-]{20,}")
+KNOWN_FORMAT = "|".join(f"^{f}$" for f in _FORMATS)
 
 _RUN = r"[A-Za-z0-9_+/\-]"
 _ASSIGNED = rf"(?i:(?:{CREDENTIAL})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)"
 CANDIDATE = rf"{_ASSIGNED}[^\s\"']{{6,}}|(?<!{_RUN})(?=[A-Za-z_+/\-]*[0-9]){_RUN}{{12,}}={{0,2}}"
+CANDIDATE += rf"|(?<!{_RUN})(?:{'|'.join(_FORMATS)})(?!{_RUN})"
 
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "turns", "vowel_turns", "repeats", "hex", "dictionary",
             "slashes", "in_path", "assigned", "quoted", "known_format", "credential_left", "harmless_left", "credential_near")
@@ -57,8 +60,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     among the document's candidates.
     """
     rows = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            # Every candidate holds a digit or an assignment mark: a cheap test first.
-            .where(F.col("text").rlike("[0-9:=]")).where(F.col("text").rlike(CANDIDATE))
+            # Every candidate holds a digit, an assignment mark or the head of a known format: a cheap test first.
+            .where(F.col("text").rlike("[0-9:=]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|sk-")).where(F.col("text").rlike(CANDIDATE))
             .select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("text_key"), "text"))
     pieces, found = _cut(F.col("text"))
     parts = let(pieces, lambda ps: F.transform(found, lambda m, i: F.struct(
@@ -116,7 +119,8 @@ def certain_findings(found: DataFrame) -> DataFrame:
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     words = v.rlike(f"(?i)^(?:(?:{DICTIONARY})[_/+-]?)+[0-9]*$")
     secret = (v.rlike(KNOWN_FORMAT) | (F.col("left").rlike(f"{_ASSIGNED}$") & mixed & (F.char_length(v) >= 16))) & ~words
-    harmless = v.rlike("^[0-9+/_-]+=*$") | words
+    # Digits alone are harmless unless they are assigned: they may be a password then.
+    harmless = (v.rlike("^[0-9+/_-]+=*$") & ~F.col("left").rlike(f"{_ASSIGNED}$")) | words
     return (found.where(secret | harmless)
             .select("value", "left", "right", F.when(harmless, 0).otherwise(1).alias("label"))
             .dropDuplicates(["value", "left", "right"]))
@@ -147,6 +151,7 @@ def example_findings(spark: SparkSession, rows: int = 400) -> DataFrame:
         (b64, F.lit("api_key: "), F.lit("\n"), 1),
         (F.substring(b64, 1, 20), F.lit("client secret = '"), F.lit("'"), 1),
         (F.substring(h, 1, 18), F.lit("pwd="), F.lit(" or"), 1),
+        (F.lpad(F.conv(F.substring(h, 1, 10), 16, 10), 12, "7"), F.lit("password="), F.lit(" and"), 1),
         (F.lpad(F.conv(F.substring(h, 1, 13), 16, 10), 16, "4"), F.lit("is with "), F.lit(" of"), 0),
         (F.substring(h, 1, 40), F.lit("fixed in commit "), F.lit(" last"), 0),
         (F.substring(h, 1, 32), F.lit("file md5 checksum "), F.lit("."), 0),
