@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one per block element.  Lines of menus, headers,
 footers, sidebars, notices, adverts, forms and comments - by element name or
-by the words of class, id and role - have no text of their own and count as
+by what class, id and role name - have no text of their own and count as
 length 0, as do link lists and, where the page marks an article, all lines
 outside it.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +44,21 @@ _SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "related", "recommended", "recommendations", "pagination", "pager", "search", "copyright", "legal",
                "complementary", "contentinfo", "form", "hidden"}
 
+# Of these, those whose containers hold articles of their own, those that also
+# name parts or subjects of a text, and the words around them in a name.
+_OWN_ARTICLES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
+                 "sidebar", "aside", "widget", "comment", "comments", "respond", "reply", "replies", "discussion", "disqus",
+                 "related", "recommended", "recommendations"}
+_TEXT_WORDS = {"header", "legal", "discussion", "side"}
+_MODIFIERS = {"has", "have", "with", "without", "no", "not", "non", "hide", "category", "cat", "tag", "topic", "type", "format"}
+_CONTENT = {"post", "entry", "article", "story", "content", "text"}
+_TAIL = {"list", "item", "items", "box", "container", "wrapper", "wrap", "area", "section", "block", "bar", "left", "right", "top",
+         "bottom", "inner", "outer", "content", "body", "link", "links", "button", "buttons", "slot", "unit", "group", "row", "col",
+         "column", "title", "text", "label", "icon", "icons", "primary", "secondary", "main", "site", "page", "small", "large",
+         "thread", "panel", "message", "policy", "posts", "articles", "stories", "menu", "form", "field", "input", "toggle",
+         "widgets", "desktop", "mobile", "sticky", "default", "dark", "light", "expand", "inline", "xs", "sm", "md", "lg", "xl"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|$)"
                   r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -50,34 +66,70 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
-def _is_side(name: str, attributes: str, in_main: bool) -> bool:
+def _side_word(token: str) -> str | None:
+    """The side part that one name of a class, id or role stands for.
+
+    It is the name's head word, before words for its pieces: 'user-comments',
+    'sidebar-left', 'ad-slot-1'; not 'has-sidebar', 'side-effects', 'post-header'.
+    """
+    if token.lower() in _SIDE_WORDS:
+        return token.lower()
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not words or words[0] in _MODIFIERS:
+        return None
+    head = len(words) - 1
+    while head and (words[head] in _TAIL or len(words[head]) == 1) and words[head] not in _SIDE_WORDS:
+        head -= 1
+    # 'search-form', 'menu-toggle': a side part by either word
+    word = words[head]
+    if word not in _SIDE_WORDS:
+        return None
+    if (word == "header" or head < len(words) - 1) and _CONTENT.intersection(words[:head]):
+        return None                                    # 'post-header', 'content-sidebar-wrap'
+    return word
+
+
+def _is_side(name: str, attributes: str, in_main: bool) -> str | None:
+    """What makes an element a side part: its name, 'hidden' or a side word."""
     if name in _SIDE and not (name == "header" and in_main):
-        return True
+        return "<" + name
     if name in ("html", "body", "article", "main") or not attributes:
-        return False
+        return None
     if _HIDDEN.search(attributes):
-        return True
+        return "<hidden"
     for m in _MARKS.finditer(attributes):
-        value = m.group(2) or m.group(3) or m.group(4) or ""
-        if any(w.lower() in _SIDE_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+        # Ids of headings and of an article's sections are anchors made of their titles.
+        if m.group(1).lower() == "id" and (name in _HEADINGS or in_main and name == "section"):
+            continue
+        for token in (m.group(2) or m.group(3) or m.group(4) or "").split():
+            word = _side_word(token)
+            if word and not (in_main and word in _TEXT_WORDS):
+                return word
+    return None
+
+
+class Line(NamedTuple):
+    text: str
+    aside: bool
+    main: bool              # inside article or main
+    linked: int             # characters in links
+    doubt: bool             # aside, but in an article of its own
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, aside, inside article, characters in links) of each block, in page order."""
-    out: list[tuple[str, bool, bool, int]] = []
+def lines(page: str) -> list[Line]:
+    """The text of each block, in page order."""
+    out: list[Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []           # name, aside, main, as of this element
-    aside = main = False
+    stack: list[tuple[str, str | None, bool]] = []     # name, why aside, main, as of this element
+    aside, main = None, False
     links = 0
 
     def close_line():
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            out.append((line, aside, main, linked))
+            out.append(Line(line, aside is not None, main, linked, aside == "~"))
         text.clear()
         linked = 0
 
@@ -122,12 +174,15 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                 outer = next((i for i, x in enumerate(stack) if x[1]), None)
                 if outer is not None and stack[outer][0] in ("nav", "header", "menu", "form"):
                     del stack[outer:]
-                aside = stack[-1][1] if stack else False
-            side = aside or _is_side(name, m.group(3) or "", main)
+                aside = stack[-1][1] if stack else None
+                # a container of the page's frame that holds the article does not make it a side part
+                if aside and aside[0] not in "<~":
+                    aside = "~" if name == "article" and aside in _OWN_ARTICLES else None
+            side = aside if aside and aside != "~" else _is_side(name, m.group(3) or "", main) or aside
             if side != aside and name == "span":
                 side = aside
             stack.append((name, side, main or name in _MAIN))
-        aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        aside, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
     close_line()
     return out
 
@@ -135,11 +190,13 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text; '' if it has none."""
     found = lines(page or "")
-    marked = sum(len(t) for t, aside, main, _ in found if main and not aside)
+    if sum(len(x.text) for x in found if not x.aside) < surge:         # the articles of side parts, if there is nothing else
+        found = [x._replace(aside=x.aside and not x.doubt) for x in found]
+    marked = sum(len(x.text) for x in found if x.main and not x.aside)
     if marked:                                         # what else an article holds does not part its text
-        found = [x for x in found if not (x[1] and x[2])]
-    lengths = [0 if aside or (marked and not main) or (linked and linked >= 0.8 * len(t) and not main) else len(t)
-               for t, aside, main, linked in found]
+        found = [x for x in found if not (x.aside and x.main)]
+    lengths = [0 if x.aside or (marked and not x.main) or (x.linked and x.linked >= 0.8 * len(x.text) and not x.main) else len(x.text)
+               for x in found]
     sums = [sum(lengths[i:i + window]) for i in range(len(lengths))]
     runs, begin = [], None
     for i, s in enumerate([*sums, 0]):
@@ -150,7 +207,7 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
             begin = None
     totals = [sum(lengths[a:b]) for a, b in runs]
     strong = [r for r, n in zip(runs, totals) if n >= surge] or [r for r, n in zip(runs, totals) if n == max(totals)][:1]
-    return " ".join(found[i][0] for a, b in strong for i in range(a, b) if lengths[i])
+    return " ".join(found[i].text for a, b in strong for i in range(a, b) if lengths[i])
 
 
 def main_text(pages: DataFrame, html_column: str = "html", window: int = WINDOW, surge: int = SURGE,

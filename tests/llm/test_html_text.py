@@ -45,3 +45,23 @@ def test_operator(spark):
     assert sorted([(r.page_id, r.url, r.text) for r in out.collect()], key=str) == sorted(
         [(1, "u", LONG), (1, "u", LONG), (2, None, ""), (None, "v", "")], key=str)
     assert main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page, want", [
+    # names of the layout, not of a side part
+    (f'<div class="layout has-sidebar"><article><p>{LONG}</p></article></div>', LONG),
+    (f'<div class="no-ads side-effects"><p>{LONG}</p></div>', LONG),
+    (f'<div class="overlay"><article><p>{LONG}</p></article></div>', LONG),
+    (f'<div class="widget"><article><p>{LONG}</p></article></div>', LONG),
+    # parts of a text
+    (f'<article><div class="post-header"><h1>T</h1></div><p>{LONG}</p><section id="discussion"><h2 id="side-effects">S</h2><p>More.</p>'
+     f'</section><p class="legal">Law.</p></article>', f"T {LONG} S More. Law."),
+    # still side parts
+    (f'<div class="sidebar-left"><p>{LONG} a</p></div><div class="ad-300x250">{LONG} b</div><div class="post"><p>{LONG}</p></div>'
+     f'<ul class="commentList"><li>{LONG} c</li></ul>', LONG),
+    (f'<article><p>{LONG}</p></article><div class="related"><article><p>{LONG} teaser</p></article></div>', LONG),
+    (f'<aside><article><p>{LONG} a</p></article></aside><p>{LONG}</p>', LONG),
+    (f'<div class="widget"><article><p>{LONG}</p><div class="ad">{LONG}</div></article></div>', LONG),
+])
+def test_names_of_side_parts(page, want):
+    assert extract(page) == want
