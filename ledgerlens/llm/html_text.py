@@ -3,14 +3,15 @@
 Markup is stripped to lines, one per block element.  Lines of menus, headers,
 footers, sidebars, notices, adverts, forms and comments - by element name or
 by what class, id and role name - have no text of their own and count as
-length 0, as do link lists and, where the page marks an article, all lines
-outside it.
+length 0, as do link lists.  So do all lines outside of what the page marks as
+main or article, if that holds the page's strongest surge (for main: any).
 
 Over the line lengths a window of WINDOW lines is summed.  Text begins at a
 surge, where a window's sum leaves 0 for at least SURGE characters, and ends
 at a dive, where the sum is back at 0.  The lines between a surge and its dive
-are kept whole; runs that never reach SURGE characters are kept only if the
-page has nothing better.
+are kept whole, and all between the first surge and the last dive, from a
+heading that leads to it on; other runs that never reach SURGE characters are
+kept only if the page has nothing better.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def _is_side(name: str, attributes: str, in_main: bool) -> str | None:
     """What makes an element a side part: its name, 'hidden' or a side word."""
     if name in _SIDE and not (name == "header" and in_main):
         return "<" + name
-    if name in ("html", "body", "article", "main") or not attributes:
+    if name in ("html", "body", "main") or not attributes:
         return None
     if _HIDDEN.search(attributes):
         return "<hidden"
@@ -103,7 +104,7 @@ def _is_side(name: str, attributes: str, in_main: bool) -> str | None:
             continue
         for token in (m.group(2) or m.group(3) or m.group(4) or "").split():
             word = _side_word(token)
-            if word and not (in_main and word in _TEXT_WORDS):
+            if word and not (in_main and word in _TEXT_WORDS) and (name != "article" or word in _OWN_ARTICLES):
                 return word
     return None
 
@@ -111,9 +112,10 @@ def _is_side(name: str, attributes: str, in_main: bool) -> str | None:
 class Line(NamedTuple):
     text: str
     aside: bool
-    main: bool              # inside article or main
+    main: int               # 1 inside article, 2 inside main
     linked: int             # characters in links
     doubt: bool             # aside, but in an article of its own
+    level: int              # of the heading, or 0
 
 
 def lines(page: str) -> list[Line]:
@@ -121,15 +123,15 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, str | None, bool]] = []     # name, why aside, main, as of this element
-    aside, main = None, False
+    stack: list[tuple[str, str | None, int]] = []      # name, why aside, main, as of this element
+    aside, main, level = None, 0, 0
     links = 0
 
     def close_line():
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            out.append(Line(line, aside is not None, main, linked, aside == "~"))
+            out.append(Line(line, aside is not None, main, linked, aside == "~", level))
         text.clear()
         linked = 0
 
@@ -181,33 +183,52 @@ def lines(page: str) -> list[Line]:
             side = aside if aside and aside != "~" else _is_side(name, m.group(3) or "", main) or aside
             if side != aside and name == "span":
                 side = aside
-            stack.append((name, side, main or name in _MAIN))
-        aside, main = (stack[-1][1], stack[-1][2]) if stack else (None, False)
+            stack.append((name, side, 2 if name == "main" else main or int(name in _MAIN)))
+        aside, main = (stack[-1][1], stack[-1][2]) if stack else (None, 0)
+        level = int(stack[-1][0][1]) if stack and stack[-1][0] in _HEADINGS else 0
     close_line()
     return out
 
 
-def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The page's main text; '' if it has none."""
-    found = lines(page or "")
-    if sum(len(x.text) for x in found if not x.aside) < surge:         # the articles of side parts, if there is nothing else
-        found = [x._replace(aside=x.aside and not x.doubt) for x in found]
-    marked = sum(len(x.text) for x in found if x.main and not x.aside)
-    if marked:                                         # what else an article holds does not part its text
-        found = [x for x in found if not (x.aside and x.main)]
-    lengths = [0 if x.aside or (marked and not x.main) or (x.linked and x.linked >= 0.8 * len(x.text) and not x.main) else len(x.text)
-               for x in found]
+def _runs(lengths: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(begin, end, characters) of the lines between each surge and its dive."""
     sums = [sum(lengths[i:i + window]) for i in range(len(lengths))]
     runs, begin = [], None
     for i, s in enumerate([*sums, 0]):
         if s and begin is None:
             begin = i
         elif not s and begin is not None:
-            runs.append((begin, i))
+            runs.append((begin, i, sum(lengths[begin:i])))
             begin = None
-    totals = [sum(lengths[a:b]) for a, b in runs]
-    strong = [r for r, n in zip(runs, totals) if n >= surge] or [r for r, n in zip(runs, totals) if n == max(totals)][:1]
-    return " ".join(found[i].text for a, b in strong for i in range(a, b) if lengths[i])
+    return runs
+
+
+def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The page's main text; '' if it has none."""
+    found = lines(page or "")
+    if sum(len(x.text) for x in found if not x.aside) < surge:         # the articles of side parts, if there is nothing else
+        found = [x._replace(aside=x.aside and not x.doubt) for x in found]
+    if any(x.main and not x.aside for x in found):     # what else an article holds does not part its text
+        found = [x for x in found if not (x.aside and x.main)]
+    lengths = [0 if x.aside or (x.linked and x.linked >= 0.8 * len(x.text) and not x.main) else len(x.text) for x in found]
+
+    def strongest(which) -> int:
+        return max((n for _, _, n in _runs([n if which(x) else 0 for x, n in zip(found, lengths)], window)), default=0)
+
+    marked = strongest(lambda x: x.main)
+    if marked and (marked >= strongest(lambda x: not x.main) or strongest(lambda x: x.main == 2) >= surge):
+        lengths = [n if x.main else 0 for x, n in zip(found, lengths)]
+    runs = _runs(lengths, window)
+    strong = [r for r in runs if r[2] >= surge]
+    if strong:
+        begin = next(i for i in range(strong[0][0], strong[0][1]) if lengths[i])
+        level = found[begin].level
+        # A heading before the text leads to it, unless the text has one of its rank.
+        begin = next((i for i in range(begin) if lengths[i] and found[i].level and not 0 < level <= found[i].level), begin)
+        end = strong[-1][1]
+    else:
+        begin, end, _ = max(runs, key=lambda r: r[2], default=(0, 0, 0))
+    return " ".join(found[i].text for i in range(begin, end) if lengths[i])
 
 
 def main_text(pages: DataFrame, html_column: str = "html", window: int = WINDOW, surge: int = SURGE,

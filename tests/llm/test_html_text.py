@@ -65,3 +65,24 @@ def test_operator(spark):
 ])
 def test_names_of_side_parts(page, want):
     assert extract(page) == want
+
+
+ADS = "<div class=ad>x</div><div class=ad>y</div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    # an article that is not the page's main text
+    (f"<div class=post><p>{LONG}</p></div><nav>x</nav><nav>y</nav><section><article><h3>Teaser</h3></article></section>", LONG),
+    (f"<div class=post><p>{LONG}</p><p>{LONG}</p></div><section><article><h3>Teaser</h3></article></section>", f"{LONG} {LONG} Teaser"),
+    (f'<div class=post><p>{LONG}</p></div><article class="comment"><p>{LONG} says a reader</p><p>{LONG}</p></article>', LONG),
+    (f'<article><p>{LONG}</p></article><article class="user-comment"><p>{LONG} says a reader</p></article>', LONG),
+    (f'<article class="post category-legal tag-ads"><p>{LONG}</p></article><p>Imprint</p>', LONG),
+    # a heading and a short paragraph parted from the rest by side lines
+    (f"<h1>Title</h1>{ADS}<p>{LONG}</p>", f"Title {LONG}"),
+    (f"<h1>Title</h1>{ADS}<p>By me</p>{ADS}<h2>Part</h2><p>{LONG}</p>", f"Title By me Part {LONG}"),
+    (f"<p>{LONG}</p>{ADS}<p>Short.</p>{ADS}<p>{LONG}</p>", f"{LONG} Short. {LONG}"),
+    # a site's name is no title of a text that has its own
+    (f"<h1>Site</h1>{ADS}<h1>Title</h1><p>{LONG}</p>", f"Title {LONG}"),
+])
+def test_article_and_headings(page, want):
+    assert extract(page) == want
