@@ -7,11 +7,11 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontam, mixing, quality, secret_scan, simhash
-from ledgerlens.llm.common import fold, table, text_key
+from ledgerlens.llm.common import checkpointed, fold, table, text_key
 from ledgerlens.session import scratch_path
 
 REJECT_BELOW = 0.3
@@ -56,13 +56,23 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes words of, with how often and how much:
-    ``epochs`` whole passes and ``extra_words`` of one more, ``taken_words`` in all."""
-    mix = (mixing.mixture(docs).where("taken > 0").groupBy("doc_id", "text_key", F.col("source").alias("__source"))
-           .agg(F.max("epochs").alias("epochs"), F.max("extra").alias("extra_words"), F.max("taken").alias("taken_words"))
-           .withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key"))
-    joined = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(F.col("text")) == F.col("__key"))
-                       & F.col("source").eqNullSafe(F.col("__source")))
-    return joined.select(*docs.columns, "epochs", "extra_words", "taken_words")
+    ``epochs`` whole passes and ``extra_words`` of one more, ``taken_words`` in all.
+
+    Rows repeated under one id, text and source take one after the other what
+    the mix takes of them together."""
+    mix = (mixing.mixture(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"))
+           .agg(F.max("epochs").alias("epochs"), F.max("size").alias("__size"), F.sum("extra").alias("__extra"),
+                F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows")).where("__taken > 0"))
+    mix = checkpointed(mix)
+    keyed = docs.withColumn("__text_key", text_key(F.col("text")))
+    # Only repeats are numbered: without any, the texts need not be shuffled.
+    repeats = Window.partitionBy("doc_id", "__text_key", "source").orderBy(F.xxhash64(*docs.columns))
+    keyed = keyed.withColumn("__nr", F.lit(1) if mix.where("__rows > 1").isEmpty() else F.row_number().over(repeats))
+    joined = keyed.join(mix, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+                        & F.col("source").eqNullSafe(F.col("__source")))
+    extra = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__extra") - (F.col("__nr") - 1) * F.col("__size"))).cast("bigint")
+    joined = joined.withColumn("extra_words", extra).withColumn("taken_words", F.col("epochs") * F.col("__size") + F.col("extra_words"))
+    return joined.where("taken_words > 0").select(*docs.columns, "epochs", "extra_words", "taken_words")
 
 
 STAGES = [

@@ -2,7 +2,7 @@ import corpus_pipeline as P
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import quality, simhash
+from ledgerlens.llm import mixing, quality, simhash
 from ledgerlens.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +86,14 @@ def test_faulty_rows_pass_through_every_stage(spark, docs_of):
 def test_run_returns_the_last_stage(spark, chain):
     assert sorted((r.doc_id, r.taken_words) for r in P.run(spark, SF).collect()) == sorted(
         (r.doc_id, r.taken_words) for r in chain[-1][2].collect())
+
+
+def test_repeats_share_what_the_mix_takes(spark, docs_of):
+    docs = docs_of([(1, "one two three four five", "a")] * 7 + [(2, "six seven eight", "b")] * 40 + [(None, "x y", "c")] * 30
+                   + [(3, "some other words", "b")], clash=False)
+    out, mix = P.mixed(spark, docs, SF).collect(), mixing.mixture(docs).collect()
+    for name in "abc":
+        assert abs(sum(r.taken_words for r in out if r.source == name) - next(r.target for r in mix if r.source == name)) <= 0.5
+    shares = sorted((r.text, r.epochs, r.extra_words, r.taken_words) for r in out)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert shares == sorted((texts[r.doc_id], r.epochs, r.extra, r.taken) for r in mix if r.taken > 0)
