@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (ann, decontam, html_text, mixing, quality, secret_scan, simhash, substring_dedup,
+from ledgerlens.llm import (ann, decontam, hard_negatives, html_text, mixing, quality, secret_scan, simhash, substring_dedup,
                             token_counts, toxicity)
 from ledgerlens.llm.common import table
 
@@ -79,9 +79,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_secret_scan, op4_nearest_neighbours, op5_substring_dedup,
-    op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_simhash, op10_toxicity)}
+    op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_simhash, op10_toxicity,
+    op11_hard_negatives)}
 
 
 _WORDS = r"""list_filter(string_split_regex(
@@ -126,4 +134,26 @@ SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(len(dw.w) - coalesc
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM dw LEFT JOIN kept USING (doc_id)"""
 
-ORACLE = {"op1_decontamination": _OP1_SQL, "op5_substring_dedup": _OP5_SQL}
+_OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * o.v[i])) AS BIGINT) AS score
+  FROM rows a JOIN rows o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id AND len(a.v) = len(o.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(nr AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM (
+  SELECT p.*, s.vec_id, s.score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS nr
+  FROM positives p JOIN scored s USING (anchor_id)
+  WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+WHERE nr <= 5"""
+
+ORACLE = {"op11_hard_negatives": _OP11_SQL, "op1_decontamination": _OP1_SQL, "op5_substring_dedup": _OP5_SQL}
