@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (ann, decontam, hard_negatives, html_text, mixing, quality, secret_scan, simhash, substring_dedup,
+from ledgerlens.llm import (ann, decontam, divergence, hard_negatives, html_text, mixing, quality, secret_scan, simhash, substring_dedup,
                             token_counts, toxicity)
 from ledgerlens.llm.common import table
 
@@ -86,10 +86,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language against the other sources and the language."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_secret_scan, op4_nearest_neighbours, op5_substring_dedup,
     op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_simhash, op10_toxicity,
-    op11_hard_negatives)}
+    op11_hard_negatives, op13_source_divergence)}
 
 
 _WORDS = r"""list_filter(string_split_regex(
@@ -156,4 +161,33 @@ FROM (
   WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
 WHERE nr <= 5"""
 
-ORACLE = {"op11_hard_negatives": _OP11_SQL, "op1_decontamination": _OP1_SQL, "op5_substring_dedup": _OP5_SQL}
+_OP13_SQL = r"""
+WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS nr FROM documents),
+words AS (
+  SELECT nr, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT nr) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.total + 2 * l.v) AS BIGINT) AS p,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (k.lang_n + 2) // (l.total + 2 * l.v) AS BIGINT) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS nr FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT),
+         row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term)
+  FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(nr AS INTEGER) AS rank FROM found WHERE part = 'pair' OR nr <= 10"""
+
+ORACLE = {"op13_source_divergence": _OP13_SQL, "op11_hard_negatives": _OP11_SQL, "op1_decontamination": _OP1_SQL, "op5_substring_dedup": _OP5_SQL}
