@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (ann, decontam, divergence, hard_negatives, html_text, mixing, quality, secret_scan, simhash, substring_dedup,
+from ledgerlens.llm import (ann, decontam, divergence, hard_negatives, html_text, language_id, mixing, quality, secret_scan, simhash, substring_dedup,
                             token_counts, toxicity)
 from ledgerlens.llm.common import table
 
@@ -86,6 +86,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, with a score."""
+    return language_id.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source of every language against the other sources and the language."""
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
@@ -94,7 +99,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_secret_scan, op4_nearest_neighbours, op5_substring_dedup,
     op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_simhash, op10_toxicity,
-    op11_hard_negatives, op13_source_divergence)}
+    op11_hard_negatives, op12_language_id, op13_source_divergence)}
 
 
 _WORDS = r"""list_filter(string_split_regex(
