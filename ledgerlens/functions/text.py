@@ -72,13 +72,22 @@ def layouts_of(formats, name: str):
 
 def choose_layouts(df: DataFrame, columns: list[str], layouts=DATE_LAYOUTS) -> dict[str, tuple[str]]:
     """For every text column, the layout that parses most of its values (ties:
-    the earlier one), from one aggregation over the whole columns."""
+    the earlier one), found from the whole columns.
+
+    The columns' different texts are counted first (partially in every task),
+    so each is parsed once however often it occurs; per layout the counts of
+    the texts it parses are summed.
+    """
     if not columns:
         return {}
-    counts = [F.count(parse_date(F.col(c), (f,))).alias(f"{i}_{j}")
-              for i, c in enumerate(columns) for j, f in enumerate(layouts)]
-    row = df.agg(*counts).first()
-    return {c: (max(enumerate(layouts), key=lambda x: (row[f"{i}_{x[0]}"], -x[0]))[1],) for i, c in enumerate(columns)}
+    entries = F.array(*[F.struct(F.lit(i).alias("at"), strip(F.col(c)).alias("value")) for i, c in enumerate(columns)])
+    dictionary = (df.select(F.explode(entries).alias("e")).select("e.at", "e.value").where(F.col("value").isNotNull())
+                  .groupBy("at", "value").agg(F.count(F.lit(1)).alias("n")))
+    parsed = [F.coalesce(F.sum(F.when(_parse_one_date(F.col("value"), f).isNotNull(), F.col("n"))), F.lit(0)).alias(str(j))
+              for j, f in enumerate(layouts)]
+    found = {r["at"]: r for r in dictionary.groupBy("at").agg(*parsed).collect()}       # one row a column
+    none = {str(j): 0 for j in range(len(layouts))}
+    return {c: (max(enumerate(layouts), key=lambda x: (found.get(i, none)[str(x[0])], -x[0]))[1],) for i, c in enumerate(columns)}
 
 
 def parse_date(col: Column, formats=DEFAULT_DATE_FORMATS) -> Column:

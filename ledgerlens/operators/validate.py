@@ -1,14 +1,14 @@
 """Row validation: map columns, then attach ``error_messages`` and ``is_valid``.
 
-One narrow projection per row; no shuffle, no UDF.  The summary is meant to
-run over the *written* validated table so the rules are evaluated once.
+One narrow projection per row; no shuffle, no UDF.  The summary is observed
+while the validated table is written, so the rules are evaluated once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules, text
@@ -47,12 +47,14 @@ def date_layouts(raw: DataFrame, mapping: Mapping[str, str], registry: FieldRegi
     return text.choose_layouts(apply_mapping(raw, mapping, registry), dates)
 
 
+def summary_figures() -> dict[str, Column]:
+    """Aggregates of the summary, over a validated table or while it is written."""
+    return {"total_rows": F.count(F.lit(1)), "invalid_rows": F.count_if(~F.col("is_valid"))}
+
+
 def validation_summary(validated: DataFrame) -> DataFrame:
     """One row: total_rows, invalid_rows."""
-    return validated.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(~F.col("is_valid")).alias("invalid_rows"),
-    )
+    return validated.agg(*[c.alias(name) for name, c in summary_figures().items()])
 
 
 def error_counts(validated: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@
         --query_view--> view result
 
 Each stage is one Spark job writing zstd Parquet.  The validation summary
-is computed from the *written* table (two narrow columns), so the rules run
-once.  Views read the transformed table, so their filters and column
+and the content fingerprint are observed by the job that writes the table, so
+the rules run once and nothing is read again.  Views read the transformed table, so their filters and column
 selection reach the Parquet scan.
 """
 
@@ -22,11 +22,12 @@ from ledgerlens.functions import text
 from ledgerlens.functions.registry import FieldRegistry, registry as default_registry
 from ledgerlens.operators.enrich import transform
 from ledgerlens.operators.mapping import check_mapping, qcol
-from ledgerlens.operators.validate import date_layouts, validate, validation_summary
+from ledgerlens.operators.validate import date_layouts, summary_figures, validate
 from ledgerlens.operators.view import compile_view
 from ledgerlens.plans.spec import ViewSpec
 from ledgerlens.sources.csv_ingest import IngestResult, ingest_csv, read_raw
 from ledgerlens.sources.fingerprint import dataset_fingerprint
+from ledgerlens.sources.observed import Figures
 from ledgerlens.sources.parquet_io import scan_parquet, sink_parquet
 
 
@@ -47,9 +48,9 @@ def validate_dataset(spark: SparkSession, raw_path: str, mapping: Mapping[str, s
     """
     if date_formats is None:
         date_formats = find_date_formats(spark, raw_path, mapping, registry)
-    sink_parquet(validate(read_raw(spark, raw_path), mapping, registry, date_formats, stored=True), dest)
-    row = validation_summary(scan_parquet(spark, dest)).first()
-    return {"total_rows": int(row["total_rows"]), "invalid_rows": int(row["invalid_rows"])}
+    seen = Figures(validate(read_raw(spark, raw_path), mapping, registry, date_formats, stored=True), **summary_figures())
+    sink_parquet(seen.data, dest)
+    return {name: int(n) for name, n in seen.get().items()}
 
 
 def transform_dataset(spark: SparkSession, validated_path: str, dest: str, *,
@@ -88,9 +89,9 @@ def upload_record(spark: SparkSession, ing: IngestResult, *, dataset_id: str, co
                   signature_mappings: DataFrame | None = None, fingerprint: bool = True) -> dict:
     """Metadata of one upload: the catalog row plus the suggested mapping.
 
-    ``data_hash`` is the content fingerprint of the stored raw table: one
-    aggregation, but a full read of the data; ``fingerprint=False`` skips it
-    (``data_hash`` is then None).  The suggestion is the first mapping saved
+    ``data_hash`` is the content fingerprint that the ingest observed while
+    writing; an ingest told not to has none, and the stored table is read for
+    it unless ``fingerprint=False`` (``data_hash`` is then None).  The suggestion is the first mapping saved
     for the same header signature, looked up in the signature-mapping table.
     """
     suggested = {}
@@ -106,8 +107,8 @@ def upload_record(spark: SparkSession, ing: IngestResult, *, dataset_id: str, co
         "original_filename": original_filename,
         "signature": ing.signature,
         "row_count": ing.row_count,
-        "data_hash": dataset_fingerprint(scan_parquet(spark, ing.path).select(*[qcol(c) for c in ing.columns]))
-        if fingerprint else None,
+        "data_hash": None if not fingerprint else ing.data_hash or dataset_fingerprint(
+            scan_parquet(spark, ing.path).select(*[qcol(c) for c in ing.columns])),
         "columns": ing.columns,
         "suggested_mapping": suggested,
     }

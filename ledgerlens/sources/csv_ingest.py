@@ -7,7 +7,8 @@ the ingest, as does a file whose header differs from the first file's.
 
 A first pass over the physical lines compares the headers of all files and
 counts lines with an odd number of quotes: only then can a quoted field hold
-a line break, and the files are read in multi-line mode.
+a line break.  Such uploads are read line by line too, with the state of the
+quotes carried over splits (``csv_records``); their ``_mid`` is the row number.
 
 The data is written once, next to the destination, and moved there when all
 checks have passed; a failed ingest leaves an earlier dataset untouched.
@@ -46,6 +47,9 @@ from pyspark.sql import types as T
 
 from ledgerlens.operators.mapping import qcol
 from ledgerlens.session import delete_path, list_files, move_path, path_exists, path_is_dir
+from ledgerlens.sources import csv_records
+from ledgerlens.sources.fingerprint import data_hash, row_sums
+from ledgerlens.sources.observed import Figures
 
 # FIXED VALUES: ingest error messages.
 MSG_ONLY_CSV = "Only CSV files allowed"
@@ -71,6 +75,7 @@ class IngestResult:
     row_count: int
     signature: str
     preview: DataFrame = field(repr=False)
+    data_hash: str | None = None
 
 
 def header_signature(columns) -> str:
@@ -206,12 +211,106 @@ def split_offsets(raw: DataFrame) -> DataFrame:
     return offsets_from_stats(range_stats(split_stats(raw)))
 
 
-def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool | None = None,
-               options: dict | None = None, compression: str = "zstd") -> IngestResult:
+def _replace(spark: SparkSession, staging: str, dest: str) -> None:
+    """``staging`` becomes ``dest``; an earlier ``dest`` stays aside until that
+    has happened, and comes back if it fails."""
+    aside = f"{dest}._before-{uuid.uuid4().hex}"
+    earlier = path_exists(spark, dest)
+    if earlier:
+        move_path(spark, dest, aside)
+    try:
+        move_path(spark, staging, dest)
+    except Exception:
+        if earlier:
+            move_path(spark, aside, dest)
+        raise
+    if earlier:
+        delete_path(spark, aside)
+
+
+def _observed(df: DataFrame, columns: list[str], fingerprint: bool) -> Figures:
+    sums = row_sums(columns) if fingerprint else {"row_count": F.count(F.lit(1))}
+    return Figures(df, _corrupt_rows=F.count(CORRUPT_COL), **sums)
+
+
+def _write_lines(spark, path, columns, options, compression, staging, fingerprint) -> dict:
+    """Records that are lines, in one pass; offsets from the helper columns."""
+    raw = read_csv_text(spark, path, columns, False, options)
+    return _write_rows(spark, raw, columns, compression, staging, fingerprint)
+
+
+def _write_rows(spark, raw, columns, compression, staging, fingerprint) -> dict:
+    seen = _observed(raw.select("*", F.monotonically_increasing_id().alias("_mid"),
+                                F.col("_metadata.file_path").alias("_file"),
+                                F.col("_metadata.file_block_start").alias("_block")), columns, fingerprint)
+    seen.data.write.option("compression", compression).parquet(staging)
+    figures = seen.get()
+    if figures["_corrupt_rows"] > 0:
+        raise IngestError(MSG_CORRUPT)
+    # One scan of the small helper columns of what was just written gives
+    # the per-split statistics; they are stored first (tiny) so that the
+    # two branches of the offsets computation do not scan the data twice.
+    stats_path = f"{staging}/{STATS_DIR}"
+    range_stats(split_stats(spark.read.parquet(staging))).write.parquet(stats_path)
+    offsets_from_stats(spark.read.parquet(stats_path)).write.parquet(f"{staging}/{OFFSETS_DIR}")
+    delete_path(spark, stats_path)
+    gap = spark.read.parquet(f"{staging}/{OFFSETS_DIR}").agg(F.max("_gap")).first()[0]
+    if (gap or 0) > 0:               # one split read twice by one task: its ids are not one range
+        raise IngestError(MSG_TWICE)
+    return figures
+
+
+def _write_records(spark, path, columns, options, compression, staging, fingerprint) -> dict | None:
+    """Records that may break over lines (``csv_records``); None if the lines
+    do not end in a line feed, so that files have to be read whole."""
+    work = f"{staging}-lines"
+    try:
+        csv_records.text_lines(spark, _paths(path), options).write.parquet(f"{work}/lines")
+        lines = spark.read.parquet(f"{work}/lines")
+        csv_records.split_maps(lines).write.parquet(f"{work}/maps")
+        states = csv_records.split_states(spark.read.parquet(f"{work}/maps"))
+        starts = states.where("_first").select("_file", "_block", "_min_mid")
+        lone = lines.join(starts.withColumnRenamed("_min_mid", "_mid"), ["_file", "_block", "_mid"]).where(
+            F.contains(F.regexp_replace("value", "\r$", ""), F.lit("\r")))
+        if not lone.isEmpty():
+            return None
+        faults = csv_records.file_faults(states).first()
+        if faults["twice"] and "encoding" not in (options or {}):
+            raise IngestError(MSG_TWICE)
+        if faults["open"]:
+            raise IngestError(MSG_CORRUPT)
+        stats = states.select("*", F.shiftright("_min_mid", 33).alias("_part"), F.lit(0).cast("bigint").alias("_corrupt_rows"))
+        range_stats(stats).write.parquet(f"{work}/stats")
+        stats = spark.read.parquet(f"{work}/stats")
+        bases = offsets_from_stats(stats).select("_file", "_block", "_base")
+        bases.join(stats, ["_file", "_block"]).write.parquet(f"{work}/splits")
+        numbered = csv_records.numbered_lines(lines, spark.read.parquet(f"{work}/splits"))
+        rows = csv_records.parse_records(csv_records.record_texts(numbered), columns, CORRUPT_COL, options)
+        seen = _observed(rows.withColumnRenamed("n", "_mid"), columns, fingerprint)
+        seen.data.write.option("compression", compression).parquet(staging)
+        figures = seen.get()
+        if figures["_corrupt_rows"] > 0:
+            raise IngestError(MSG_CORRUPT)
+        # The ids are the row numbers already: one range per 2^33 rows.
+        n, size = int(figures["row_count"]), 1 << 33
+        (spark.range(-(-n // size)).select(
+            F.col("id").alias("_part"), F.shiftleft("id", 33).alias("_min_mid"),
+            F.least(F.lit(size), F.lit(n) - F.shiftleft("id", 33)).alias("_rows"),
+            F.lit(0).cast("bigint").alias("_corrupt_rows"), F.lit(0).cast("bigint").alias("_gap"),
+            F.shiftleft("id", 33).alias("_base")).write.parquet(f"{staging}/{OFFSETS_DIR}"))
+        return figures
+    finally:
+        delete_path(spark, work)
+
+
+def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool | None = None, options: dict | None = None,
+               compression: str = "zstd", fingerprint: bool = True) -> IngestResult:
     """CSV file(s) -> raw Parquet at ``dest`` (read it back with ``read_raw``).
 
     ``multi_line`` is found out from the quotes if not given.  Only faults of
     the CSV itself raise ``IngestError``; other failures are raised as they are.
+    Row count, corrupt rows and (unless ``fingerprint=False``) the content
+    fingerprint are observed while the table is written.
     """
     check_csv_name(spark, path)
     facts = line_facts(spark, path, options).first()
@@ -226,38 +325,25 @@ def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool | None
     dest = dest.rstrip("/")
     staging = f"{dest}._staging-{uuid.uuid4().hex}"
     try:
-        raw = read_csv_text(spark, path, columns, multi_line, options)
-        (raw.select("*",
-                    F.monotonically_increasing_id().alias("_mid"),
-                    F.col("_metadata.file_path").alias("_file"),
-                    F.col("_metadata.file_block_start").alias("_block"))
-            .write.option("compression", compression).parquet(staging))
-        # One scan of the small helper columns of what was just written gives
-        # the per-split statistics; they are stored first (tiny) so that the
-        # two branches of the offsets computation do not scan the data twice.
-        stats_path = f"{staging}/{STATS_DIR}"
-        range_stats(split_stats(spark.read.parquet(staging))).write.parquet(stats_path)
-        offsets_from_stats(spark.read.parquet(stats_path)).write.parquet(f"{staging}/{OFFSETS_DIR}")
-        delete_path(spark, stats_path)
-        totals = (spark.read.parquet(f"{staging}/{OFFSETS_DIR}")
-                  .agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-                       F.coalesce(F.sum("_corrupt_rows"), F.lit(0)).alias("corrupt"),
-                       F.coalesce(F.max("_gap"), F.lit(0)).alias("gap")).first())
-        if totals["corrupt"] > 0:
-            raise IngestError(MSG_CORRUPT)
-        if totals["gap"] > 0:        # one split read twice by one task: its ids are not one range
-            raise IngestError(MSG_TWICE)
-        delete_path(spark, dest)
-        move_path(spark, staging, dest)
+        to = (columns, options, compression, staging, fingerprint)
+        figures = None
+        if not multi_line:
+            figures = _write_lines(spark, path, *to)
+        elif csv_records.splittable(options):
+            figures = _write_records(spark, path, *to)
+        if figures is None:
+            figures = _write_rows(spark, read_csv_text(spark, path, columns, True, options), columns, compression, staging, fingerprint)
+        _replace(spark, staging, dest)
     finally:
         delete_path(spark, staging)
 
     return IngestResult(
         path=dest,
         columns=columns,
-        row_count=int(totals["rows"]),
+        row_count=int(figures["row_count"]),
         signature=header_signature(columns),
         preview=raw_rows(spark, dest, 0, PREVIEW_ROWS).drop("row_id"),
+        data_hash=data_hash(columns, figures) if fingerprint else None,
     )
 
 

@@ -11,6 +11,8 @@ into other files keeps it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +29,29 @@ def row_text(columns: list[str]) -> Column:
     return F.concat_ws(",", *[part(c) for c in columns])
 
 
+def row_sums(columns: list[str]) -> dict[str, Column]:
+    """Aggregates the fingerprint is made of: row count and sums of hash pieces."""
+    h = F.sha2(row_text(columns), 256)
+    sums = {"row_count": F.count(F.lit(1))}
+    for i in range(PIECES):
+        piece = F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+        sums[f"_s{i}"] = F.coalesce(F.sum(piece), F.lit(0)).cast("decimal(38,0)")
+    return sums
+
+
 def fingerprint_frame(df: DataFrame) -> DataFrame:
     """One row: ``row_count``, ``data_hash`` (64 hex chars)."""
-    h = F.sha2(row_text(df.columns), 256)
-    pieces = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(PIECES)]
-    agg = df.agg(F.count(F.lit(1)).alias("row_count"),
-                 *[F.coalesce(F.sum(p), F.lit(0)).cast("decimal(38,0)").alias(f"_s{i}") for i, p in enumerate(pieces)])
+    agg = df.agg(*[c.alias(name) for name, c in row_sums(df.columns).items()])
     digest = F.sha2(F.concat_ws(":", F.lit(",".join(df.columns)), F.col("row_count").cast("string"),
                                 *[F.col(f"_s{i}").cast("string") for i in range(PIECES)]), 256)
     return agg.select("row_count", digest.alias("data_hash"))
 
 
+def data_hash(columns: list[str], sums: dict) -> str:
+    """The hash from observed ``row_sums``; as ``fingerprint_frame`` gives it."""
+    parts = [",".join(columns), str(sums["row_count"]), *[str(int(sums[f"_s{i}"])) for i in range(PIECES)]]
+    return hashlib.sha256(":".join(parts).encode()).hexdigest()
+
+
 def dataset_fingerprint(df: DataFrame) -> str:
     return fingerprint_frame(df).first()["data_hash"]

@@ -107,3 +107,23 @@ def test_stored_flag_equals_direct_flag(spark):
     a = validate(raw, sample.sample_mapping())
     b = validate(raw, sample.sample_mapping(), stored=True)
     assert a.exceptAll(b).count() == 0
+
+
+def test_layouts_from_the_dictionary_of_values(spark):
+    from ledgerlens.functions import text
+    rows = ([("2024-01-02", " 03/04/2024 ", None)] * 50 + [("2024/01/02", "2024-13-01", "x")] * 20 + [("31/12/2023", "31/12/2023", "")])
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    found = text.choose_layouts(df, ["a", "b", "c"])
+    assert found == {"a": ("yyyy-MM-dd",), "b": ("dd/MM/yyyy",), "c": ("yyyy-MM-dd",)}
+    assert text.choose_layouts(df.where("false"), ["a"]) == {"a": ("yyyy-MM-dd",)}
+    plain = {c: [df.where(text.parse_date(df[c], (f,)).isNotNull()).count() for f in text.DATE_LAYOUTS] for c in df.columns}
+    assert all(found[c][0] == text.DATE_LAYOUTS[n.index(max(n))] for c, n in plain.items())
+
+
+def test_summary_is_observed_while_writing(spark, tmp_path):
+    from ledgerlens.operators.validate import summary_figures
+    from ledgerlens.sources.observed import Figures
+    df = spark.range(1000, numPartitions=7).selectExpr("id % 3 = 0 AS is_valid")
+    seen = Figures(df, **summary_figures())
+    seen.data.write.parquet(str(tmp_path / "t"))
+    assert seen.get() == {"total_rows": 1000, "invalid_rows": 666}
