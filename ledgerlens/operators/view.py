@@ -22,7 +22,9 @@ from ledgerlens.functions.registry import (
     registry as default_registry,
 )
 from ledgerlens.operators.mapping import qcol
+from ledgerlens.operators.rank_page import DEEP_OFFSET, page
 from ledgerlens.plans.spec import Condition, Group, ViewError, ViewSpec
+from ledgerlens.session import checkpointed
 
 _AGG = {
     "sum": F.sum,
@@ -225,7 +227,9 @@ def _sort_target(s, name: str, out: DataFrame, dims, measures) -> str:
 
 
 def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry,
-                  renamed: dict | None = None) -> tuple[list[Column], set]:
+                  renamed: dict | None = None) -> tuple[list[tuple[str, bool]], set]:
+    """[(column, ascending)] of the sort entries.  Nulls come last both ways,
+    as SQL engines such as DuckDB do by default."""
     keys, names = [], set()
     for s in spec.sorting:
         target = _sort_target(s, resolve(registry, s.field_id).canonical_name, out, dims, measures)
@@ -233,12 +237,11 @@ def _sort_columns(spec: ViewSpec, out: DataFrame, dims, measures, registry,
         if target in names:
             continue
         names.add(target)
-        # Nulls last both ways, as SQL engines such as DuckDB do by default.
-        keys.append(qcol(target).asc_nulls_last() if s.direction == "asc" else qcol(target).desc_nulls_last())
+        keys.append((target, s.direction == "asc"))
     return keys, names
 
 
-def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[Column]:
+def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[tuple[str, bool]]:
     """Keys that make the order total, so a page is deterministic."""
     if dims:
         names = [d for d, _ in dims if d in out.columns] or out.columns
@@ -248,12 +251,14 @@ def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[Column]
         names = ["row_id"]
     else:
         names = out.columns
-    return [qcol(n).asc_nulls_last() for n in names if n not in sorted_names]
+    return [(n, True) for n in names if n not in sorted_names]
 
 
 # ------------------------------------------------------------------ compile
 def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry,
-                 exact_money: bool = False, money_scale: int = MONEY_SCALE) -> DataFrame:
+                 exact_money: bool = False, money_scale: int = MONEY_SCALE, deep_offset: int = DEEP_OFFSET) -> DataFrame:
+    """Result of a view.  A page from ``deep_offset`` on is found by rank
+    selection, which runs a few counting jobs while the plan is built."""
     if isinstance(spec, dict):
         spec = ViewSpec.from_dict(spec)
     dims = compile_dimensions(df, spec, registry)
@@ -291,13 +296,9 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
 
     keys, sorted_names = _sort_columns(spec, out, sort_dims, sort_measures, registry, renamed)
     if spec.pagination is not None:
-        order = keys + _tiebreak(out, dims, measures, sorted_names)
-        page = spec.pagination
-        if order:                             # one row needs none
-            out = out.orderBy(*order)
-        if page.offset:
-            out = out.offset(page.offset)
-        out = out.limit(page.limit)
+        if (dims or measures) and keys and spec.pagination.offset >= deep_offset:
+            out = checkpointed(out)       # aggregated once, then counted and sorted
+        out = page(out, keys + _tiebreak(out, dims, measures, sorted_names), spec.pagination.offset, spec.pagination.limit, deep_offset)
     elif keys:
-        out = out.orderBy(*keys)
+        out = out.orderBy(*[qcol(n).asc_nulls_last() if up else qcol(n).desc_nulls_last() for n, up in keys])
     return out.drop(*renamed.values())

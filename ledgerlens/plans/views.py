@@ -122,6 +122,12 @@ VIEWS: dict[str, dict] = {
         "sorting": [{"field_id": _id("amount"), "sorting_direction": "desc"}],
         "pagination": {"limit": 25, "offset": 40},
     },
+    # A page deep in all rows, sorted by a field that many share: rank selection.
+    "view_select_all_deep_page": {
+        "dimensions": [],
+        "sorting": [{"field_id": _id("posting_date"), "sorting_direction": "desc"}],
+        "pagination": {"limit": 25, "offset": 48_000},
+    },
     # No dimensions, no measures: every column of the matching rows.
     "view_select_all": {
         "dimensions": [],
@@ -148,6 +154,9 @@ ORACLE: dict[str, str] = {
 SELECT * FROM transformed WHERE (journal_type = 'Manual')
 ORDER BY amount DESC NULLS LAST, {_TIEBREAK}
 LIMIT 25 OFFSET 40""",
+    "view_select_all_deep_page": f"""
+SELECT * FROM transformed ORDER BY posting_date DESC NULLS LAST, {_TIEBREAK.replace('posting_date ASC NULLS LAST, ', '')}
+LIMIT 25 OFFSET 48000""",
     "view_flagship": """
 SELECT debit_credit_indicator, posting_month, sum(amount) AS amount_sum, count(amount) AS amount_count
 FROM transformed WHERE (amount >= 5000000 OR amount <= -5000000)
