@@ -197,6 +197,11 @@ def q_catalog_views(spark, sf_dir):
     return C.view_catalog(SC.view_accesses(spark, sf_dir))
 
 
+def q_catalog_view_lineage(spark, sf_dir):
+    """Root and depth of every view by its parents; circles marked."""
+    return C.view_lineage(SC.view_parents(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: raw lines -> validate -> transform -> view (sum and count of
     amount by indicator and posting month, OR-group amount range)."""
@@ -228,6 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "catalog_suggested_mappings": q_catalog_suggested_mappings,
         "catalog_latest_dataset": q_catalog_latest_dataset,
         "catalog_views": q_catalog_views,
+        "catalog_view_lineage": q_catalog_view_lineage,
     })
     q.update(_training_data()[0])
     return q

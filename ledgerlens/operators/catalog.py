@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.registry import FieldRegistry, registry as default_registry
@@ -256,3 +256,68 @@ def view_catalog(accesses: DataFrame) -> DataFrame:
                  F.max("accessed_at").alias("last_accessed_at"),
                  F.min_by("user_id", F.struct("accessed_at", "user_id")).alias("created_by"),
                  F.count(F.lit(1)).alias("accesses")))
+
+
+def view_records(accesses: DataFrame) -> DataFrame:
+    """Openings as view records of one opening each, to be merged."""
+    return accesses.select("dataset_id", "signature", F.col("accessed_at").alias("created_at"),
+                           F.col("accessed_at").alias("last_accessed_at"), F.col("user_id").alias("created_by"),
+                           F.lit(1).cast("bigint").alias("accesses"), "spec", "parent_view_id")
+
+
+def merge_view_records(records: DataFrame) -> DataFrame:
+    """At most one record per (dataset, signature).
+
+    Made by the first opening, with its parent; ``spec`` is that of the last
+    one (sorting and page are not part of the signature).  Merging merged
+    records gives the same as merging all openings at once.
+    """
+    first, last = F.struct("created_at", "created_by", "parent_view_id"), F.struct("last_accessed_at", "spec")
+    return (records.groupBy("dataset_id", "signature")
+            .agg(F.min("created_at").alias("created_at"), F.max("last_accessed_at").alias("last_accessed_at"),
+                 F.min_by("created_by", first).alias("created_by"), F.sum("accesses").alias("accesses"),
+                 F.max_by("spec", last).alias("spec"), F.min_by("parent_view_id", first).alias("parent_view_id")))
+
+
+def least_recently_used(records: DataFrame, keep: int) -> DataFrame:
+    """The records of each dataset beyond its ``keep`` last used ones, which a
+    cache would drop first; ties by signature."""
+    order = Window.partitionBy("dataset_id").orderBy(F.col("last_accessed_at").desc(), "signature")
+    return records.withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") > keep).drop("_nr")
+
+
+def view_lineage(views: DataFrame) -> DataFrame:
+    """(dataset_id, view_id, parent_view_id, root_view_id, depth, cyclic) of every view.
+
+    ``views``: (dataset_id, view_id, parent_view_id), a view once.  A parent
+    that is not a view of the dataset (deleted, or never stored) counts as
+    none.  Views above each other in a circle, and those below them, have no
+    root; they are marked instead.
+
+    Every view points to an ancestor; each round it takes over its ancestor's
+    pointer, so the distance covered doubles, and the longest chain of n
+    views takes log2(n) rounds.  Views that have arrived at a root leave the
+    rounds, so a root of most views is no hot key of the joins.
+    """
+    known = checkpointed(views.select("dataset_id", "view_id", F.col("parent_view_id").alias("_named")))
+    ids = known.select(F.col("dataset_id").alias("_d"), F.col("view_id").alias("parent_view_id"))
+    linked = (known.join(ids, (F.col("dataset_id") == F.col("_d")) & (F.col("_named") == F.col("parent_view_id")), "left")
+              .select("dataset_id", "view_id", "parent_view_id"))
+    at_root = F.col("parent_view_id").isNull()
+    state = checkpointed(linked.select(
+        "dataset_id", "view_id", "parent_view_id", F.coalesce("parent_view_id", "view_id").alias("_up"),
+        F.when(at_root, 0).otherwise(1).cast("bigint").alias("depth"), at_root.alias("_done")))
+    done, open_ = state.where("_done"), state.where(~F.col("_done"))
+    n, step = state.count(), 1
+    while step <= 2 * n and not open_.isEmpty():
+        # What each open view's ancestor points to, be it done or open.
+        above = (done.unionByName(open_).select(F.col("dataset_id").alias("_d"), F.col("view_id").alias("_v"),
+                                                F.col("_up").alias("_next"), F.col("depth").alias("_more"), F.col("_done").alias("_end")))
+        moved = checkpointed(open_.join(above, (F.col("dataset_id") == F.col("_d")) & (F.col("_up") == F.col("_v"))).select(
+            "dataset_id", "view_id", "parent_view_id", F.col("_next").alias("_up"),
+            (F.col("depth") + F.col("_more")).alias("depth"), F.col("_end").alias("_done")))
+        done, open_, step = checkpointed(done.unionByName(moved.where("_done"))), moved.where(~F.col("_done")), 2 * step
+    none = F.lit(None)
+    return (done.select("dataset_id", "view_id", "parent_view_id", F.col("_up").alias("root_view_id"), "depth", F.lit(False).alias("cyclic"))
+            .unionByName(open_.select("dataset_id", "view_id", "parent_view_id", none.cast("string").alias("root_view_id"),
+                                      none.cast("bigint").alias("depth"), F.lit(True).alias("cyclic"))))

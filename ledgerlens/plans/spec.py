@@ -137,6 +137,8 @@ class ViewSpec:
     pivot_total: bool = False
     # Most columns a pivot without listed values may get; more are refused.
     pivot_limit: int = 1000
+    # The view this one was derived from; no part of its identity.
+    parent_view_id: str | None = field(default=None, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "dimensions", tuple(self.dimensions))
@@ -158,6 +160,7 @@ class ViewSpec:
             pivot_values={str(k): list(v) for k, v in (d.get("pivot_values") or {}).items()},
             pivot_total=bool(d.get("pivot_total", False)),
             pivot_limit=int(d.get("pivot_limit", 1000)),
+            parent_view_id=str(d["parent_view_id"]) if d.get("parent_view_id") else None,
         )
 
     @classmethod
@@ -177,6 +180,8 @@ class ViewSpec:
         if self.pivot:
             d.update(pivot=True, pivot_values={k: list(v) for k, v in self.pivot_values.items()},
                      pivot_total=self.pivot_total, pivot_limit=self.pivot_limit)
+        if self.parent_view_id:
+            d["parent_view_id"] = self.parent_view_id
         return d
 
     def expanded_measures(self):

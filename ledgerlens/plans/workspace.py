@@ -28,7 +28,7 @@ from ledgerlens.operators import catalog as C
 from ledgerlens.operators.mapping import check_mapping
 from ledgerlens.operators.pages import DEFAULT_PAGE, raw_dataset_page
 from ledgerlens.operators.view import compile_view
-from ledgerlens.plans import journal
+from ledgerlens.plans import catalog_store, journal
 from ledgerlens.plans.spec import ViewSpec
 from ledgerlens.session import path_exists
 from ledgerlens.sources.csv_ingest import ingest_csv
@@ -74,6 +74,14 @@ _ACCESSES = T.StructType([
     T.StructField("user_id", T.LongType(), True),
     T.StructField("accessed_at", T.TimestampType(), False),
     T.StructField("spec", T.StringType(), True),
+    T.StructField("parent_view_id", T.StringType(), True),
+])
+# What compaction keeps of the openings: one record per (dataset, signature).
+_VIEWS = T.StructType([
+    T.StructField("dataset_id", T.StringType()), T.StructField("signature", T.StringType()),
+    T.StructField("created_at", T.TimestampType()), T.StructField("last_accessed_at", T.TimestampType()),
+    T.StructField("created_by", T.LongType()), T.StructField("accesses", T.LongType()),
+    T.StructField("spec", T.StringType()), T.StructField("parent_view_id", T.StringType()),
 ])
 _VALIDATIONS = T.StructType([
     T.StructField("dataset_id", T.StringType(), False),
@@ -100,13 +108,10 @@ class Workspace:
         return f"{self.root}/catalog/{name}"
 
     def _append(self, name: str, schema: T.StructType, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(self._catalog(name))
+        catalog_store.append(self.spark, self._catalog(name), schema, row)
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        path = self._catalog(name)
-        if not path_exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return catalog_store.read(self.spark, self._catalog(name), schema)
 
     def datasets(self) -> DataFrame:
         return self._read("datasets", _DATASETS)
@@ -114,8 +119,17 @@ class Workspace:
     def mapping_saves(self) -> DataFrame:
         return self._read("mapping_saves", _SAVES)
 
-    def view_accesses(self) -> DataFrame:
-        return self._read("view_accesses", _ACCESSES)
+    def view_records(self) -> DataFrame:
+        """One record per (dataset, view signature) from all openings."""
+        return C.merge_view_records(catalog_store.read(
+            self.spark, self._catalog("view_accesses"), _ACCESSES, snapshot_schema=_VIEWS, of_rows=C.view_records))
+
+    def compact(self) -> None:
+        """Merge the small files that user actions have left (``catalog_store``).
+        One compaction at a time; users may go on working."""
+        for name, schema in (("datasets", _DATASETS), ("mapping_saves", _SAVES), ("validations", _VALIDATIONS)):
+            catalog_store.compact(self.spark, self._catalog(name), schema)
+        catalog_store.compact(self.spark, self._catalog("view_accesses"), _ACCESSES, C.merge_view_records, _VIEWS, C.view_records)
 
     def _dataset(self, dataset_id: str):
         row = self.datasets().where(F.col("dataset_id") == dataset_id).first()
@@ -220,28 +234,38 @@ class Workspace:
 
     def _record_view(self, dataset_id: str, spec: ViewSpec, user_id: int) -> None:
         self._append("view_accesses", _ACCESSES, (dataset_id, spec.signature(dataset_id), int(user_id), _now(),
-                                                  json.dumps(spec.to_dict(), sort_keys=True)))
+                                                  json.dumps(spec.to_dict(), sort_keys=True), spec.parent_view_id))
 
     # ------------------------------------------------------------ catalog
     def view(self, dataset_id: str, signature: str) -> ViewSpec:
         """The view request recorded under a signature, as it was last opened
         (sorting and page are not part of the signature)."""
-        row = (self.view_accesses().where((F.col("dataset_id") == dataset_id) & (F.col("signature") == signature))
-               .orderBy(F.col("accessed_at").desc()).select("spec").first())
+        row = (self.view_records().where((F.col("dataset_id") == dataset_id) & (F.col("signature") == signature))
+               .select("spec").first())
         if row is None:
             raise NotFound("View not found")
         return ViewSpec.from_json(row["spec"])
 
     def views(self, dataset_id: str | None = None) -> DataFrame:
-        acc = self.view_accesses()
-        if dataset_id is not None:
-            acc = acc.where(F.col("dataset_id") == dataset_id)
-        return C.view_catalog(acc)
+        records = self.view_records()
+        return records if dataset_id is None else records.where(F.col("dataset_id") == dataset_id)
+
+    def view_lineage(self, dataset_id: str | None = None) -> DataFrame:
+        """Root and depth of every view (its id is its signature; the first,
+        empty view also goes by the dataset's id)."""
+        initial = C.view_signature_col(ViewSpec(), F.col("dataset_id"))
+        parent = F.when(F.col("parent_view_id") == F.col("dataset_id"), initial).otherwise(F.col("parent_view_id"))
+        return C.view_lineage(self.views(dataset_id).select("dataset_id", F.col("signature").alias("view_id"),
+                                                            parent.alias("parent_view_id")))
+
+    def droppable_views(self, keep: int, dataset_id: str | None = None) -> DataFrame:
+        """Records beyond the ``keep`` last used ones of each dataset."""
+        return C.least_recently_used(self.views(dataset_id), keep)
 
     def latest_dataset(self, user_id: int) -> dict | None:
         """The uploader's most recently used dataset (upload or view opening)."""
         ds = self.datasets().where(F.col("uploaded_by_id") == int(user_id))
-        last_use = self.view_accesses().groupBy("dataset_id").agg(F.max("accessed_at").alias("_used"))
+        last_use = self.view_records().groupBy("dataset_id").agg(F.max("last_accessed_at").alias("_used"))
         ds = (ds.join(last_use, "dataset_id", "left")
                 .withColumn("last_accessed_at", F.greatest("uploaded_at", F.coalesce("_used", "uploaded_at"))))
         row = C.latest_dataset_per_user(ds).first()

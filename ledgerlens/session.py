@@ -128,6 +128,17 @@ def move_path(spark: SparkSession, source: str, dest: str) -> None:
         raise OSError(f"cannot move {source} to {dest}")
 
 
+def list_entries(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(name, is a folder) of what lies directly in a folder; none if there is
+    no such folder."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    return [(status.getPath().getName(), bool(status.isDirectory())) for status in fs.listStatus(top)]
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Names of the files below a folder, without hidden ones and folders
     (names starting with ``_`` or ``.``)."""

@@ -159,3 +159,16 @@ def view_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_type") == etype, branch)
     return ev.select(ds_id.alias("dataset_id"), sig.alias("signature"), "user_id",
                      F.col("ts").alias("accessed_at"))
+
+
+def view_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset_id, view_id, parent_view_id), a view per event: opening a page
+    starts a view, other events derive theirs from an earlier event's.  Parents
+    of another dataset do not exist in theirs; some views name each other."""
+    ev = read_table(spark, sf_dir, "events")
+    e, pairs = F.col("event_id"), F.col("event_id") % 500 < 2
+    parent = (F.when(pairs, F.when(e % 500 == 0, e + 1).otherwise(e - 1))
+              .when(F.col("event_type") == "view", F.lit(None))
+              .otherwise(F.when(e % 3 == 0, F.floor(e / 4)).otherwise(e - 3)))
+    return ev.select(F.concat(F.lit("DS"), F.when(pairs, F.floor(e / 500)).otherwise(F.floor(e / 700)).cast("string")).alias("dataset_id"),
+                     e.cast("string").alias("view_id"), parent.cast("bigint").cast("string").alias("parent_view_id"))

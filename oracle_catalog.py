@@ -192,6 +192,23 @@ SELECT uploaded_by_id, dataset_id, last_accessed_at FROM (
     max(last_accessed_at) OVER (PARTITION BY uploaded_by_id) AS last_accessed_at,
     row_number() OVER (PARTITION BY uploaded_by_id ORDER BY last_accessed_at DESC, dataset_id DESC) AS rn
   FROM ds) WHERE rn = 1""",
+        "catalog_view_lineage": """
+WITH RECURSIVE named AS (
+  SELECT 'DS' || CAST(CASE WHEN event_id % 500 < 2 THEN event_id // 500 ELSE event_id // 700 END AS VARCHAR) AS dataset_id,
+    CAST(event_id AS VARCHAR) AS view_id,
+    CAST(CASE WHEN event_id % 500 = 0 THEN event_id + 1 WHEN event_id % 500 = 1 THEN event_id - 1
+              WHEN event_type = 'view' THEN NULL WHEN event_id % 3 = 0 THEN event_id // 4 ELSE event_id - 3 END AS VARCHAR) AS named
+  FROM events),
+views AS (
+  SELECT n.dataset_id, n.view_id, p.view_id AS parent_view_id
+  FROM named n LEFT JOIN named p ON n.dataset_id = p.dataset_id AND n.named = p.view_id),
+below AS (
+  SELECT dataset_id, view_id, view_id AS root_view_id, CAST(0 AS BIGINT) AS depth FROM views WHERE parent_view_id IS NULL
+  UNION ALL
+  SELECT v.dataset_id, v.view_id, b.root_view_id, b.depth + 1
+  FROM views v JOIN below b ON v.dataset_id = b.dataset_id AND v.parent_view_id = b.view_id)
+SELECT v.dataset_id, v.view_id, v.parent_view_id, b.root_view_id, b.depth, b.view_id IS NULL AS cyclic
+FROM views v LEFT JOIN below b USING (dataset_id, view_id)""",
         "catalog_views": f"""
 WITH acc AS (
   SELECT dataset_id, CASE event_type {sig_case} END AS signature, user_id, ts AS accessed_at
