@@ -14,7 +14,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     rows away.  The ids with the smallest hash are taken, half from each class
     if there are enough, so reruns agree and the order of the tables does not
     matter.  Null ids, labels other than 0 and 1, and ids labelled both ways
-    are left out; repeated documents count once; a null text counts as empty.
+    are left out; documents repeated under one id count once, with the text of
+    smallest hash; a null text counts as empty.
     """
     marks = (labels.select(F.col(label_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).where(allowed)
@@ -30,4 +31,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
               .unionByName(ones.orderBy(order, "doc_id").limit(min(n1, rows - take0))))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # The broadcast side has at most ``rows`` ids.
-    return source.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    found = source.join(F.broadcast(chosen), "doc_id")
+    return (found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+            .select("doc_id", "one.text", "label"))

@@ -124,10 +124,76 @@ def test_forward_backward_equals_enumeration():
         s = chain.start[tags[0]] + sum(e[i] * t for i, t in enumerate(tags)) + sum(chain.trans[a, b] for a, b in zip(tags, tags[1:]))
         total += np.exp(s)
         toxic += np.exp(s) * np.array(tags)
-    got, log_z, moves, first = chain.marginals(e, np.zeros(6, int), np.arange(6), pairs=True)
+    got, log_z, moves, first = chain.marginals(e, np.array([6]), pairs=True)
     assert np.allclose(got, toxic / total) and abs(log_z - np.log(total)) < 1e-9 and abs(moves.sum() - 5) < 1e-9
 
 
+def plain_sums(chain, e):
+    """Forward-backward of one text, token after token, in logarithms."""
+    f = [np.array([chain.start[0], chain.start[1] + e[0]])]
+    for x in e[1:]:
+        f.append(np.logaddexp.reduce(f[-1][:, None] + chain.trans, axis=0) + [0.0, x])
+    b = [np.zeros(2)]
+    for x in e[:0:-1]:
+        b.append(np.logaddexp.reduce(chain.trans + (b[-1] + [0.0, x])[None, :], axis=1))
+    both = np.array(f) + np.array(b[::-1])
+    moves = np.zeros((2, 2))
+    z = np.logaddexp.reduce(f[-1])
+    for t in range(1, len(e)):
+        moves += np.exp(f[t - 1][:, None] + chain.trans + (b[::-1][t] + [0.0, e[t]])[None, :] - z)
+    return np.exp(both[:, 1] - z), z, moves
+
+
+def test_chains_run_over_whole_texts():
+    rng = np.random.default_rng(8)
+    chain = toxicity.Chain(np.zeros(4), rng.normal(scale=3, size=(2, 2)), rng.normal(size=2))
+    sizes = np.array([120, 0, 1, 47, 48, 49, 96, 97, 3, 1000, 144])
+    e = rng.normal(scale=4, size=sizes.sum())
+    p, log_z, moves, first = chain.marginals(e, sizes, pairs=True)
+    texts = [x for x in np.split(e, np.cumsum(sizes)[:-1]) if len(x)]
+    plain = [plain_sums(chain, x) for x in texts]
+    assert np.allclose(p, np.concatenate([x[0] for x in plain]), atol=1e-9)
+    assert abs(log_z - sum(x[1] for x in plain)) < 1e-6 and np.allclose(moves, sum(x[2] for x in plain))
+    assert np.allclose(first, [x[0][0] for x in plain])
+    assert np.array_equal(p, chain.marginals(e, sizes))
+
+
+def test_a_phrase_counts_alike_at_any_offset():
+    chain = toxicity.Chain(np.zeros(4), np.array([[0.0, -3.0], [0.0, 1.5]]), np.array([0.0, -4.0]))
+    phrase = [3.0, 1.0, 2.0]
+    found = []
+    for offset in (200, 240 - 2, 240 - 1, 240, 241, 1000):
+        e = np.array([-4.0] * offset + phrase + [-4.0] * 200)
+        found.append(chain.marginals(e, np.array([len(e)]))[offset:offset + 3])
+    assert np.allclose(found, found[0], atol=1e-12)
+
+
+def test_words_after_a_common_header_are_learned():
+    texts = ["the same long header stands before every text here : " + f"text{i} idiot thing{i}" for i in range(60)]
+    texts += ["the same long header stands before every text here : " + f"fine{i} day" for i in range(60)]
+    y = np.array([1] * 60 + [0] * 60)
+    words = [set(t.split()) for t in texts]
+    assert "widiot" in toxicity.toxic_parts(words, y, texts)
+    # copies count once, in both classes
+    assert "widiot" not in toxicity.toxic_parts(words[:1] * 60 + words[60:], y, texts[:1] * 60 + texts[60:])
+    assert "wfine7" not in toxicity.toxic_parts(words, y, texts)
+
+
+def test_remembered_words_are_short():
+    model = toxicity.Model(toxicity.Chain(np.ones(1 << toxicity.BITS)))
+    model.tagged(["x" * 5000, "y" * 41 + " short", None])
+    assert set(model.known) == {"short"}
+
+
+def test_sample_does_not_depend_on_row_order(spark):
+    from ledgerlens.llm.labelled import training_sample
+    rows = [(i % 20, f"text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    one, two = (sorted(map(tuple, training_sample(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, "toxic",
+                                                  F.lit(True), 10).collect())) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert one == two and len(one) == 10
+
+
 def test_spans_are_runs_of_toxic_words():
     texts = [t for _, t in LABELLED]
     model = toxicity.fit_texts(texts, np.array([i % 2 for i in range(80)]))
