@@ -5,14 +5,16 @@ by a fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) and assigned to the nearest signed axis: the component of largest
 magnitude with its sign.  A query looks not only at its own axis but at the
 PROBES axes nearest to it.  What lies in a probed bucket is a candidate and is
-ranked by the exact cosine of the original vectors.
+ranked by the exact cosine of the original vectors.  Queries that have found
+fewer than k rows although there are more look at ever more axes, at last at
+all of them.
 
 Distinct vectors are hashed once.  Of the rows that share one, the k+1 with
 the smallest ids stand for it: the others tie with them and lose on the id, so
 leaving them out changes no result.  Buckets are cut into blocks of about
 BLOCK_ROWS rows that are searched by separate tasks, so neither a common
 vector nor a crowded bucket meets in one task; per block and query only the k
-best are passed on.
+best by the exact cosine are passed on.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import checkpointed
+
 TABLES = 10
 PROBES = 10
 BLOCK_ROWS = 4_000
+_ROUNDING = 1e-9         # more than a cosine from unit vectors is off
 
 
 def rotations(dims: int, tables: int, seed: int = 5) -> np.ndarray:
@@ -64,19 +69,27 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k largest scores, ties to the smaller id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.nonzero(scores >= edge)[0]
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up from the first component to the last."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _best(rough: np.ndarray, query: np.ndarray, vectors: np.ndarray, ids: list, own: int, k: int) -> list[tuple[int, float]]:
+    """(id, exact cosine) of the k nearest ids, ties to the smaller; ``rough``
+    are the cosines of unit vectors, right but for rounding."""
+    if len(rough) > k:                               # the query's own vector may be among them: one more
+        edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+        some = np.nonzero(rough >= edge - _ROUNDING)[0]
     else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+        some = np.arange(len(rough))
+    near, asked = vectors[some], query[None, :]
+    exact = _dot(near, asked) / (np.sqrt(_dot(asked, asked)) * np.sqrt(_dot(near, near)))
+    return sorted(((o, float(s)) for j, s in zip(some, exact) for o in ids[j] if o != own), key=lambda x: (-x[1], x[0]))[:k]
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v): rows whose vector has the table's usual length and is not
-    null, zero or holding null or non-finite components."""
+    """(vec_id, v): rows whose vector, of whatever length, is not null, zero or
+    holding null or non-finite components."""
     v = F.col(embedding).cast("array<double>")
     ok = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & (F.size("v") > 0)
@@ -90,8 +103,8 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     """(query_id, rank, vec_id, score): each query's k nearest candidates.
 
     ``is_query`` is a condition on ``vec_id``; candidates are all other rows.
-    Nearest first by cosine in double precision, ties to the smaller id; fewer
-    than k rows if fewer were found.  Null, empty and zero vectors, vectors
+    Nearest first by cosine in double precision, ties to the smaller id; all
+    candidates if there are fewer than k.  Null, empty and zero vectors, vectors
     with null or non-finite components and rows without an id take no part;
     vectors are compared only with vectors of the same length.  Rows repeated
     under one id count once if equal; different vectors under one id are
@@ -104,61 +117,66 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
               .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))        # at most k + 1 ids
     queries = rows.where(is_query)
 
-    def hashed(count: int):
+    def hashed(count: int, of_tables: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             signs = {d: rotations(d, tables, seed) for d in dims}
             for b in batches:
                 for d, g in b.groupby(b["v"].map(len)):
                     x = _matrix(g["v"])
-                    for t in range(tables):
+                    for t in range(of_tables):
                         near = axes(x, signs[d][t], count)
                         for p in range(near.shape[1]):
                             yield g.assign(d=np.int32(d), t=np.int32(t), axis=near[:, p].astype(np.int32))
         return run
 
     spot = "d int, t int, axis int"
-    points = shared.mapInPandas(hashed(1), f"v array<double>, ids array<bigint>, {spot}")
-    probed = queries.mapInPandas(hashed(probes), f"vec_id bigint, v array<double>, {spot}")
-
+    points = checkpointed(shared.mapInPandas(hashed(1, tables), f"v array<double>, ids array<bigint>, {spot}"))
     # A bucket of n rows has ceil(n / block_rows) blocks; rows go to blocks by hash.
-    sizes = (points.groupBy("d", "t", "axis").agg(F.count(F.lit(1)).alias("n"))
-             .select("d", "t", "axis", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
-    points = (points.join(sizes, ["d", "t", "axis"])
+    # There are at most 2 * width buckets a table and length: a broadcast of a known bound.
+    sizes = F.broadcast(points.groupBy("d", "t", "axis").agg(F.count(F.lit(1)).alias("n"))
+                        .select("d", "t", "axis", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    placed = (points.join(sizes, ["d", "t", "axis"])
               .withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks").cast("bigint")).cast("int")).drop("blocks"))
-    probed = (probed.join(sizes, ["d", "t", "axis"])
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
 
-    def search(key, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(there):
-            q, x = _matrix(asked["v"]), _matrix(there["v"])
+            raw_q, raw_x = np.stack(asked["v"].to_numpy()), np.stack(there["v"].to_numpy())
+            rough = _matrix(asked["v"]) @ _matrix(there["v"]).T
             ids = there["ids"].to_numpy()
-            first = np.array([i[0] for i in ids])
-            for i, (own, row) in enumerate(zip(asked["vec_id"].to_numpy(), q)):
-                s = x @ row
-                # the query's own vector may be among them: one more
-                for j in _best(s, first, k + 1):
-                    found += [(own, o, s[j]) for o in ids[j] if o != own]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "near"]).astype(
-            {"query_id": "int64", "vec_id": "int64", "near": "float64"})
+            for own, q, s in zip(asked["vec_id"].to_numpy(), raw_q, rough):
+                found += [(own, o, x) for o, x in _best(s, q, raw_x, ids, own, k)]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
+            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     by = ["d", "t", "axis", "block"]
-    found = (probed.groupBy(*by).cogroup(points.groupBy(*by))
-             .applyInPandas(search, "query_id bigint, vec_id bigint, near double"))
-    # The blocks' bests, a few per table, probe and query; exact cosine of the original vectors.
-    rough = Window.partitionBy("query_id").orderBy(F.col("near").desc(), "vec_id")
-    found = (found.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
-             .withColumn("nr", F.row_number().over(rough)).where(F.col("nr") <= 4 * (k + 1)))
-    dot = F.aggregate(F.zip_with("q.v", "c.v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-    def length(name):
-        return F.sqrt(F.aggregate(F.transform(name, lambda a: a * a), F.lit(0.0), lambda s, x: s + x))
-
-    exact = (found.join(queries.alias("q"), found["query_id"] == F.col("q.vec_id"))
-             .join(rows.alias("c"), found["vec_id"] == F.col("c.vec_id"))
-             .where(F.size("q.v") == F.size("c.v"))
-             .select("query_id", F.col("c.vec_id").alias("vec_id"), (dot / (length("q.v") * length("c.v"))).alias("score"))
-             .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+
+    def asked_of(asking: DataFrame, count: int, of_tables: int) -> DataFrame:
+        """The k nearest rows in the ``count`` nearest buckets of each table."""
+        probed = (asking.mapInPandas(hashed(count, of_tables), f"vec_id bigint, v array<double>, {spot}")
+                  .join(sizes, ["d", "t", "axis"])
+                  .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
+        return (probed.groupBy(*by).cogroup(placed.groupBy(*by))
+                .applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+                .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+
+    found = checkpointed(asked_of(queries, probes, tables))
+    # Queries with fewer results than there are other rows of their length.
+    others = rows.groupBy(F.size("v").alias("d")).agg((F.count_distinct("vec_id") - 1).alias("others"))     # a few lengths
+    all_axes = 2 * max([1 << max(0, (d - 1).bit_length()) for d in dims], default=1)
+    while probes < all_axes:
+        some = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        short = (queries.withColumn("d", F.size("v")).join(F.broadcast(others), "d")
+                 .join(some, F.col("vec_id") == F.col("query_id"), "left")
+                 .where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), "others")).select("vec_id", "v"))
+        short = checkpointed(short)
+        if short.isEmpty():
+            break
+        probes = min(4 * probes, all_axes)
+        # All axes of one table reach every row.
+        more = asked_of(short, probes, 1 if probes == all_axes else tables)
+        found = checkpointed(found.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+    return found.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")

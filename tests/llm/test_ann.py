@@ -56,6 +56,38 @@ def test_all_axes_probed_is_exact_with_ties_and_faults(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items() if v}
 
 
+def test_all_candidates_if_there_are_few(spark):
+    rng = np.random.default_rng(7)
+    rows = [(10 * i, rng.normal(size=64).tolist(), 0, "x", 1) for i in range(4)]
+    rows += [(100 + 10 * i, rng.normal(size=32).tolist(), 0, "x", 1) for i in range(2)]           # another, rarer length
+    rows += [(1000 + i, rng.normal(size=16).tolist(), 0, "x", 1) for i in range(40)] + [(5000, [1.0] * 5, 0, "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("d", "t", "axis", "block", "n", "rank", "ids", "query_id", "others", "near"):
+        df = df.withColumn(name, F.lit("x"))
+    got = found(df)
+    want = brute(rows, lambda i: i % 10 == 0)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items() if v}
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in (0, 10, 20, 30, 100, 110))
+
+
+def test_near_ties_rank_by_the_exact_score(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    rows = [(i, (base * rng.uniform(0.1, 9.0)).astype(np.float32).tolist(), 0, "x", 1) for i in range(60)]      # parallel but for rounding
+    rows += [(100 + i, (base * 2.0 ** -i).astype(np.float32).tolist(), 0, "x", 1) for i in range(9)]
+
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            total = total + x * y
+        return total
+
+    v = {i: [float(np.float32(x)) for x in r] for i, r, *_ in rows}
+    for q, pairs in found(spark.createDataFrame(rows, SCHEMA), block_rows=9).items():
+        scored = sorted((-(dot(v[q], v[i]) / (np.sqrt(dot(v[q], v[q])) * np.sqrt(dot(v[i], v[i])))), i) for i in v if i != q)
+        assert pairs == [(i, -s) for s, i in scored[:5]]
+
+
 def test_empty_table(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 10 == 0).collect() == []
 
