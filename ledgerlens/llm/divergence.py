@@ -116,19 +116,16 @@ def skyband(high: np.ndarray, low: np.ndarray, place: np.ndarray, k: int) -> np.
     """Indices of the rows that fewer than k others dominate: ``high`` not
     lower, ``low`` not higher, ``place`` (distinct) earlier."""
     order = np.lexsort((place, low, -high))                  # dominating rows come first
-    band: list[int] = []
-    lows, places = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    band = np.zeros(0, dtype=np.int64)
     for start in range(0, len(order), 256):
         block = order[start:start + 256]
-        # Against the band so far at once; a dropped row's dominators stand for it.
-        before = ((lows[None, :] <= low[block][:, None]) & (places[None, :] < place[block][:, None])).sum(axis=1)
-        fresh: list[int] = []
-        for i, n in zip(block, before):
-            if n < k and n + sum(low[j] <= low[i] and place[j] < place[i] for j in fresh) < k:
-                fresh.append(i)
-        band += fresh
-        lows, places = low[band], place[band]
-    return np.array(band, dtype=np.int64)
+        # Against the band so far (a dropped row's dominators stand for it) and,
+        # within the block, against the rows before.
+        first = np.concatenate([band, block])
+        ahead = np.arange(len(first))[None, :] < len(band) + np.arange(len(block))[:, None]
+        count = (ahead & (low[first][None, :] <= low[block][:, None]) & (place[first][None, :] < place[block][:, None])).sum(axis=1)
+        band = np.concatenate([band, block[count < k]])
+    return band
 
 
 def _band_of(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -150,11 +147,13 @@ def favoured_terms(shares: DataFrame, k: int) -> DataFrame:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId() % MERGE_PARTS
         held: dict[tuple, list[pd.DataFrame]] = {}
+        limit: dict[tuple, int] = {}
         for b in batches:
             for key, g in b.groupby(_GROUP):
-                held.setdefault(key, []).append(_band_of(g, k))
-                if sum(map(len, held[key])) > 4_096:         # bands of several batches: filtered again
+                held.setdefault(key, []).append(g)
+                if sum(map(len, held[key])) > limit.get(key, 4_096):      # twice the band, at least
                     held[key] = [_band_of(pd.concat(held[key]), k)]
+                    limit[key] = max(4_096, 2 * len(held[key][0]))
         for bands in held.values():
             yield _band_of(pd.concat(bands), k).assign(part=part)
 
