@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +41,16 @@ TILE = 64
 MERGE_PARTS = 16
 LANG_ROWS = 50_000                 # languages broadcast: three numbers each
 GROUP_ROWS = 200_000               # groups broadcast: some names and numbers each
-_HELD = 400_000                    # counted terms a task holds before it passes them on
+_HELD = 600_000                    # counted terms a task holds before it passes them on
 _SLICE = 1 << 20                   # bytes of a long text split at a time
 
 # Bytes that are no part of a term become blanks: U+0000-40, 5B-60, 7B-7F.
 _PARTS = bytes(32 if c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 
 
-def slices(text: str) -> Iterator[list[bytes]]:
-    """Terms of a text, A-Z lower-cased, a bounded number at a time."""
-    b = text.encode("utf-8", "surrogatepass").lower().translate(_PARTS)      # bytes.lower changes A-Z only
+def slices(text: bytes) -> Iterator[list[bytes]]:
+    """Terms of a text in UTF-8, A-Z lower-cased, a bounded number at a time."""
+    b = text.lower().translate(_PARTS)                                       # bytes.lower changes A-Z only
     start = 0
     while len(b) - start > _SLICE:
         cut = b.rfind(b" ", start + 1, start + _SLICE)
@@ -63,28 +64,35 @@ def slices(text: str) -> Iterator[list[bytes]]:
 
 
 def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of every term,
-    counted within tasks before they are shuffled."""
+    """(lang, source, term, n, docs): occurrences and documents of every term.
+
+    Tasks count what they read before anything is shuffled, so a common term
+    reaches the next stage once per task and source; rows are dealt by (lang,
+    term).
+    """
     def name(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
-    def passed_on(held: dict) -> Iterator[pd.DataFrame]:
+    def passed_on(held: dict) -> Iterator[pa.RecordBatch]:
         for (lang_, source_), (n, seen) in held.items():
             terms = list(n)
             for i in range(0, len(terms), 50_000):
                 some = terms[i:i + 50_000]
-                yield pd.DataFrame({"lang": lang_, "source": source_, "term": [t.decode("utf-8", "surrogatepass") for t in some],
-                                    "n": [n[t] for t in some], "docs": [seen[t] for t in some]})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang_, len(some)), pa.repeat(source_, len(some)), pa.array(some, pa.binary()).cast(pa.string()),
+                     pa.array(list(map(n.__getitem__, some)), pa.int64()), pa.array(list(map(seen.__getitem__, some)), pa.int64())],
+                    names=["lang", "source", "term", "n", "docs"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
         for b in batches:
-            for row in b.itertuples(index=False):
-                n, seen = held.setdefault((row.lang, row.source), (Counter(), Counter()))
+            texts = b.column("text").cast(pa.binary())
+            for text_, lang_, source_ in zip(texts, b.column("lang").to_pylist(), b.column("source").to_pylist()):
+                n, seen = held.setdefault((lang_, source_), (Counter(), Counter()))
                 size -= len(n)
                 distinct: set[bytes] = set()
-                for terms in slices(row.text):
+                for terms in slices(text_.as_py()):
                     n.update(terms)
                     distinct.update(terms)
                 seen.update(distinct)
@@ -95,7 +103,8 @@ def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
         yield from passed_on(held)
 
     rows = docs.select(name(text).alias("text"), name(lang).alias("lang"), name(source).alias("source"))
-    return (rows.mapInPandas(count, "lang string, source string, term string, n bigint, docs bigint")
+    return (rows.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
+            .repartition("lang", "term")
             .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
@@ -233,11 +242,15 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     item in UTF-8 order.  An empty table gives no rows; other columns are
     ignored.
     """
-    counts = checkpointed(count_terms(docs, text, lang, source))
-    totals = (counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-              .where(F.col("docs") >= min_docs).drop("docs"))
-    kept = checkpointed(counts.drop("docs").join(totals, ["lang", "term"]))
-    langs = small(checkpointed(totals.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))), LANG_ROWS)
+    # Already dealt by (lang, term): the sums over a term's sources need no shuffle.
+    of_term = Window.partitionBy("lang", "term")
+    kept = checkpointed(
+        count_terms(docs, text, lang, source)
+        .select(*_GROUP, "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("docs"),
+                (F.min("source").over(of_term) == F.col("source")).alias("once"))
+        .where(F.col("docs") >= min_docs).drop("docs"))
+    langs = small(checkpointed(kept.where("once").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))),
+                  LANG_ROWS)
 
     def name(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(""))

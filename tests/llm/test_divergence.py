@@ -89,11 +89,11 @@ def test_skyband_keeps_what_fewer_than_k_dominate():
 
 
 def test_slices_of_long_texts(monkeypatch):
-    text = "Aé9b " * 50 + "z" * 100 + " end"
+    text = ("Aé9b " * 50 + "z" * 100 + " end").encode()
     whole = [t for s in D.slices(text) for t in s]
     monkeypatch.setattr(D, "_SLICE", 16)
     assert [t for s in D.slices(text) for t in s] == whole
-    assert [t for s in D.slices("x" * 40) for t in s] == [b"x" * 40]
+    assert [t for s in D.slices(b"x" * 40) for t in s] == [b"x" * 40]
     assert b"A\xc3\xa9".lower() == "aé".encode()
 
 
