@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ledgerlens.functions.registry import registry  # noqa: E402
 from ledgerlens.operators.enrich import transform  # noqa: E402
+from ledgerlens.operators.exact_sum import exact_sums  # noqa: E402
 from ledgerlens.operators.validate import error_counts, validate, validation_summary  # noqa: E402
 from ledgerlens.operators.view import compile_view  # noqa: E402
 from ledgerlens.plans import views as V  # noqa: E402
@@ -202,6 +203,13 @@ def q_catalog_view_lineage(spark, sf_dir):
     return C.view_lineage(SC.view_parents(spark, sf_dir))
 
 
+def q_exact_charge_totals(spark, sf_dir):
+    """Charges (price after discount, with tax) summed exactly by return flag and line status."""
+    charge = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * (F.lit(1.0) + F.col("l_tax"))
+    lines = sample.read_table(spark, sf_dir, "lineitem").withColumn("charge", charge)
+    return exact_sums(lines, ["l_returnflag", "l_linestatus"], {"charge_sum": "charge", "discount_sum": "l_discount"})
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: raw lines -> validate -> transform -> view (sum and count of
     amount by indicator and posting month, OR-group amount range)."""
@@ -221,6 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in V.VIEWS:
         q[name] = _view(name)
     q.update({
+        "exact_charge_totals": q_exact_charge_totals,
         "ingest_roundtrip": q_ingest_roundtrip,
         "dataset_fingerprint": q_dataset_fingerprint,
         "ingest_raw_page": q_ingest_raw_page,
@@ -417,5 +426,11 @@ hashed AS (SELECT sha256({parts}) AS h FROM (SELECT {columns} FROM raw)),
 summed AS (SELECT count(*) AS row_count, {sums} FROM hashed)
 SELECT row_count, sha256(concat_ws(':', '{",".join(text)}', CAST(row_count AS VARCHAR), s0, s1, s2, s3)) AS data_hash
 FROM summed"""
+    # 2^60 times a value is a whole number here; only the last division's operand is rounded.
+    exact = "CAST(CAST(sum(CAST({} * 1152921504606846976.0::DOUBLE AS HUGEINT)) AS VARCHAR) AS DOUBLE) / 1152921504606846976.0::DOUBLE"
+    sql["exact_charge_totals"] = f"""
+SELECT l_returnflag, l_linestatus, {exact.format("charge")} AS charge_sum, {exact.format("l_discount")} AS discount_sum
+FROM (SELECT *, l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax) AS charge FROM lineitem)
+GROUP BY l_returnflag, l_linestatus"""
     sql.update(_training_data()[1])
     return sql

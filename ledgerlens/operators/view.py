@@ -21,6 +21,7 @@ from ledgerlens.functions.registry import (
     ROLE_DIMENSION, ROLE_FILTER, ROLE_MEASURE, Field, FieldRegistry, UnknownFieldError,
     registry as default_registry,
 )
+from ledgerlens.operators.exact_sum import Bits, exact_avg, exact_sum, used_bits
 from ledgerlens.operators.mapping import qcol
 from ledgerlens.operators.rank_page import DEEP_OFFSET, page
 from ledgerlens.plans.spec import Condition, Group, ViewError, ViewSpec
@@ -127,21 +128,34 @@ def _exact_decimal(c: Column, scale: int) -> Column:
     return F.when(c.isNotNull() & value.isNull(), F.raise_error(F.lit(limit)).cast(kind)).otherwise(value)
 
 
-def _aggregate(agg: str, c: Column, scale: int | None) -> Column:
+def _aggregate(agg: str, c: Column, scale: int | Bits | None) -> Column:
     if scale is not None and agg in ("sum", "avg"):
         # Independent of how partial sums are combined; back to double.
+        if isinstance(scale, Bits):
+            return exact_sum(c, scale) if agg == "sum" else exact_avg(c, scale)
         return _AGG[agg](_exact_decimal(c, scale)).cast("double")
     return _AGG[agg](c)
 
 
+def _summed_bits(df: DataFrame, spec: ViewSpec, registry: FieldRegistry) -> dict[str, Bits]:
+    """Bits of the ``float`` fields that the view sums or averages."""
+    names = []
+    for m in spec.measures:
+        f = resolve(registry, m.field_id)
+        if f.dtype == "float" and {"sum", "avg"} & set(m.aggregations) and f.canonical_name not in names:
+            names.append(_require_column(df, f))
+    return used_bits(df, names)
+
+
 def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = default_registry,
-                     exact_money: bool = False, money_scale: int = MONEY_SCALE):
+                     exact_money: bool = False, money_scale: int = MONEY_SCALE, bits: dict[str, Bits] | None = None):
     """[(output name, field name, aggregate Column)], named ``{field}_{agg}``.
 
     ``exact_money`` sums and averages ``float`` fields as decimals with
     ``money_scale`` digits after the point (each value is rounded to that
     first), so totals do not depend on the order in which partial sums meet.
     Values that do not fit fail with an error that names the limits.
+    ``bits`` sums and averages the fields it holds exactly instead.
     An aggregation listed twice for a field counts once.
     """
     out = []
@@ -156,7 +170,7 @@ def compile_measures(df: DataFrame, spec: ViewSpec, registry: FieldRegistry = de
             alias = f"{name}_{agg}"
             if any(alias == a for a, _, _ in out):
                 continue
-            scale = money_scale if exact_money and f.dtype == "float" else None
+            scale = (bits or {}).get(name, money_scale if exact_money and f.dtype == "float" else None)
             out.append((alias, name, _aggregate(agg, qcol(name), scale).alias(alias)))
     return out
 
@@ -256,16 +270,26 @@ def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[tuple[s
 
 # ------------------------------------------------------------------ compile
 def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry,
-                 exact_money: bool = False, money_scale: int = MONEY_SCALE, deep_offset: int = DEEP_OFFSET) -> DataFrame:
+                 exact_money: bool = False, money_scale: int = MONEY_SCALE, deep_offset: int = DEEP_OFFSET,
+                 exact_sums: bool = False) -> DataFrame:
     """Result of a view.  A page from ``deep_offset`` on is found by rank
-    selection, which runs a few counting jobs while the plan is built."""
+    selection, which runs a few counting jobs while the plan is built.
+
+    ``exact_sums`` sums and averages ``float`` fields without any rounding but
+    that of the result (``operators/exact_sum.py``), after one aggregation of
+    the filtered rows that finds the bits they use.
+    """
+    if exact_money and exact_sums:
+        raise ViewError("Choose exact_money or exact_sums, not both")
     if isinstance(spec, dict):
         spec = ViewSpec.from_dict(spec)
     dims = compile_dimensions(df, spec, registry)
-    measures = compile_measures(df, spec, registry, exact_money, money_scale)
+    compile_measures(df, spec, registry)              # refused before any job
     predicate = compile_filter(df, spec.filters, registry)
     if predicate is not None:
         df = df.filter(predicate)
+    bits = _summed_bits(df, spec, registry) if exact_sums else {}
+    measures = compile_measures(df, spec, registry, exact_money, money_scale, bits)
 
     row_dims = [d for d, axis in dims if axis == "row"]
     col_dims = [d for d, axis in dims if axis == "column"]
@@ -275,8 +299,8 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
             raise ViewError("Pivot supports one column-axis dimension")
         f = resolve(registry, next(x.field_id for x in spec.dimensions if x.axis == "column"))
         values = spec.pivot_values.get(f.id, spec.pivot_values.get(f.canonical_name))
-        scales = {fname: money_scale for _, fname, _ in measures
-                  if exact_money and resolve(registry, fname).dtype == "float"}
+        scales = bits or {fname: money_scale for _, fname, _ in measures
+                          if exact_money and resolve(registry, fname).dtype == "float"}
         # A pivot is sorted by a measure over all its columns: its total.
         sort_dims = dims = [(d, "row") for d in row_dims]
         wanted = [(alias, c) for alias, fname, c in measures

@@ -222,13 +222,13 @@ class Workspace:
         return view
 
     def query(self, dataset_id: str, request: dict | ViewSpec, user_id: int, *,
-              exact_money: bool = False) -> DataFrame:
+              exact_money: bool = False, exact_sums: bool = False) -> DataFrame:
         """Compile a view request over the transformed table and record the opening."""
         transformed = self._data("transformed", dataset_id)
         if not path_exists(self.spark, transformed):
             raise NotFound(MSG_NO_TRANSFORMED)
         spec = request if isinstance(request, ViewSpec) else ViewSpec.from_dict(request)
-        out = compile_view(self.spark.read.parquet(transformed), spec, self.registry, exact_money)
+        out = compile_view(self.spark.read.parquet(transformed), spec, self.registry, exact_money, exact_sums=exact_sums)
         self._record_view(dataset_id, spec, user_id)
         return out
 
