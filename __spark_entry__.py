@@ -22,12 +22,14 @@ from ledgerlens.operators.exact_sum import exact_sums  # noqa: E402
 from ledgerlens.operators.validate import error_counts, validate, validation_summary  # noqa: E402
 from ledgerlens.operators.view import compile_view  # noqa: E402
 from ledgerlens.plans import views as V  # noqa: E402
+from ledgerlens.plans.journal import query_view  # noqa: E402
 from ledgerlens.operators import catalog as C  # noqa: E402
 from ledgerlens.sources import sample  # noqa: E402
 from ledgerlens.sources import sample_catalog as SC  # noqa: E402
 from ledgerlens.session import scratch_path  # noqa: E402
 from ledgerlens.sources.csv_ingest import ingest_csv, read_raw  # noqa: E402
 from ledgerlens.sources.fingerprint import fingerprint_frame  # noqa: E402
+from ledgerlens.sources.parquet_io import sink_parquet  # noqa: E402
 from oracle_catalog import catalog_oracle  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -210,6 +212,13 @@ def q_exact_charge_totals(spark, sf_dir):
     return exact_sums(lines, ["l_returnflag", "l_linestatus"], {"charge_sum": "charge", "discount_sum": "l_discount"})
 
 
+def q_view_distinct_counts(spark, sf_dir):
+    """Distinct counts of all three measures, beside other aggregates, over a stored transformed table."""
+    path = scratch_path(spark, "distinct-counts")
+    sink_parquet(_transformed(spark, sf_dir), path)
+    return query_view(spark, path, V.DISTINCT_COUNTS)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: raw lines -> validate -> transform -> view (sum and count of
     amount by indicator and posting month, OR-group amount range)."""
@@ -229,6 +238,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in V.VIEWS:
         q[name] = _view(name)
     q.update({
+        "view_distinct_counts": q_view_distinct_counts,
         "exact_charge_totals": q_exact_charge_totals,
         "ingest_roundtrip": q_ingest_roundtrip,
         "dataset_fingerprint": q_dataset_fingerprint,
@@ -405,6 +415,7 @@ SELECT error_list, is_valid, count(*) AS n_rows FROM validated GROUP BY error_li
     }
     for name, body in V.ORACLE.items():
         sql[name] = _WITH_TRANSFORMED + body
+    sql["view_distinct_counts"] = _WITH_TRANSFORMED + V.DISTINCT_COUNTS_ORACLE
     sql.update(catalog_oracle())
     text = [c for c in list(sample.SAMPLE_HEADER) + list(sample.UNMAPPED_COLUMNS)]
     stats = ", ".join(f"count({c}) AS {c}_n, CAST(sum(length({c})) AS BIGINT) AS {c}_len" for c in text)

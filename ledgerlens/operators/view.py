@@ -226,6 +226,35 @@ def _pivot(df: DataFrame, rows: list[str], col_dim: str, values, measures, total
     return grouped.agg(*aggs, *[c.alias(name) for name, c in hidden])
 
 
+# ---------------------------------------------------------- distinct counts
+def _by_branches(df: DataFrame, keys: list[str], measures) -> DataFrame:
+    """The grouped measures with one aggregation per counted field.
+
+    Several distinct counts in one aggregation make Spark write every row once
+    per counted field, with all of their columns, into its hash tables.  Here
+    each counted field has a branch of its own that reads the keys and this
+    field only; the first one carries the other aggregates.  A branch meets
+    its (keys, value) pairs partially aggregated and spread by value, so a hot
+    group is no hot task.  The branches' rows, one per group each, are united
+    and folded by the keys (null keys alike), so no join is needed.
+    """
+    counted = list(dict.fromkeys(f for alias, f, _ in measures if alias == f"{f}_count_distinct"))
+    if len(counted) < 2:
+        return df.groupBy(*[qcol(k) for k in keys]).agg(*[c for _, _, c in measures])
+    parts = []
+    for i, name in enumerate(counted):
+        mine = [(alias, c) for alias, f, c in measures
+                if (alias == f"{name}_count_distinct" and f == name) or (i == 0 and alias != f"{f}_count_distinct")]
+        # Named by place: a measure may be called like a key.
+        parts.append(df.groupBy(*[qcol(k).alias(f"k{n}") for n, k in enumerate(keys)])
+                     .agg(*[c.alias(f"m{[a for a, _, _ in measures].index(alias)}") for alias, c in mine]))
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    folded = united.groupBy(*[F.col(f"k{n}") for n in range(len(keys))]).agg(
+        *[F.max(f"m{n}").alias(f"m{n}") for n in range(len(measures))])
+    return folded.select(*[F.col(f"k{n}").alias(k) for n, k in enumerate(keys)],
+                         *[F.col(f"m{n}").alias(alias) for n, (alias, _, _) in enumerate(measures)])
+
+
 # -------------------------------------------------------------------- order
 def _sort_target(s, name: str, out: DataFrame, dims, measures) -> str:
     """The output column a sort entry means: a dimension, or a measure's
@@ -271,13 +300,17 @@ def _tiebreak(out: DataFrame, dims, measures, sorted_names: set) -> list[tuple[s
 # ------------------------------------------------------------------ compile
 def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry = default_registry,
                  exact_money: bool = False, money_scale: int = MONEY_SCALE, deep_offset: int = DEEP_OFFSET,
-                 exact_sums: bool = False) -> DataFrame:
+                 exact_sums: bool = False, stored: bool = False) -> DataFrame:
     """Result of a view.  A page from ``deep_offset`` on is found by rank
     selection, which runs a few counting jobs while the plan is built.
 
     ``exact_sums`` sums and averages ``float`` fields without any rounding but
     that of the result (``operators/exact_sum.py``), after one aggregation of
     the filtered rows that finds the bits they use.
+
+    ``stored`` says that ``df`` is read from a table, so that reading a few of
+    its columns again is cheap: several distinct counts then get an
+    aggregation each (pivots keep the single one).
     """
     if exact_money and exact_sums:
         raise ViewError("Choose exact_money or exact_sums, not both")
@@ -309,6 +342,8 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
         out = _pivot(df, row_dims, col_dims[0], values, measures, spec.pivot_total, spec.pivot_limit, scales,
                      [(renamed[alias], c) for alias, c in wanted])
         measures = []
+    elif measures and stored:
+        out = _by_branches(df, [d for d, _ in dims], measures)
     elif dims and measures:
         out = df.groupBy(*[qcol(d) for d, _ in dims]).agg(*[c for _, _, c in measures])
     elif dims:

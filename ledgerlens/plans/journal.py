@@ -74,7 +74,7 @@ def transform_dataset(spark: SparkSession, validated_path: str, dest: str, *,
 
 def query_view(spark: SparkSession, transformed_path: str, spec: ViewSpec | dict, *,
                registry: FieldRegistry = default_registry, exact_money: bool = False, exact_sums: bool = False) -> DataFrame:
-    return compile_view(scan_parquet(spark, transformed_path), spec, registry, exact_money, exact_sums=exact_sums)
+    return compile_view(scan_parquet(spark, transformed_path), spec, registry, exact_money, exact_sums=exact_sums, stored=True)
 
 
 def initial_view(dataset_id: str) -> dict:

@@ -144,6 +144,19 @@ _pt = presets.pivot_with_total("approval_status", "currency", ["USD", "EUR"], "a
 VIEWS["view_pivot_total"] = _pt.to_dict()
 
 
+# Over a stored table.
+DISTINCT_COUNTS = {
+    "dimensions": [_dim("currency"), _dim("posting_year")],
+    "measures": [_m("amount", "count_distinct", "sum"), _m("abs_amount", "count_distinct", "max"),
+                 _m("line_number", "count_distinct", "count")],
+}
+DISTINCT_COUNTS_ORACLE = """
+SELECT currency, posting_year, count(DISTINCT amount) AS amount_count_distinct, sum(amount) AS amount_sum,
+       count(DISTINCT abs_amount) AS abs_amount_count_distinct, max(abs_amount) AS abs_amount_max,
+       count(DISTINCT line_number) AS line_number_count_distinct, count(line_number) AS line_number_count
+FROM transformed GROUP BY currency, posting_year"""
+
+
 # Column order of the transformed sample table: canonical fields in export
 # order, then the helper columns in registry order.
 TRANSFORMED_COLUMNS = list(SAMPLE_HEADER.values()) + [f.canonical_name for f in DERIVED_FIELDS]

@@ -228,7 +228,7 @@ class Workspace:
         if not path_exists(self.spark, transformed):
             raise NotFound(MSG_NO_TRANSFORMED)
         spec = request if isinstance(request, ViewSpec) else ViewSpec.from_dict(request)
-        out = compile_view(self.spark.read.parquet(transformed), spec, self.registry, exact_money, exact_sums=exact_sums)
+        out = compile_view(self.spark.read.parquet(transformed), spec, self.registry, exact_money, exact_sums=exact_sums, stored=True)
         self._record_view(dataset_id, spec, user_id)
         return out
 
