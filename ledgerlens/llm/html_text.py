@@ -61,7 +61,7 @@ _TAIL = {"list", "item", "items", "box", "container", "wrapper", "wrap", "area",
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|$)"
-                  r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+                  r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")

@@ -20,6 +20,9 @@ LONG = "A paragraph that is clearly long enough to be text."
     # page cut off, elements left open
     (f"<body><nav><ul><li><a>x</a><article><h1>T<p>{LONG}<p>More", f"T {LONG} More"),
     (f"<article><header><h1>Head</h1></header><p>{LONG}</p></article><header>Site</header>", f"Head {LONG}"),
+    # a quote opens a value only after the equals sign
+    (f"<article><p title=it's>{LONG}</p><p>Don't stop.</p></article><footer>it's me</footer>", f"{LONG} Don't stop."),
+    (f"<article><p title = 'a > b' data-x=\"c > d\" lang=en'>{LONG}</p></article>", LONG),
     (f"<main><p>{LONG}</p></main><p>{LONG} but outside</p>", LONG),
     (f"<p title='a > b'>{LONG}</p><p hidden>secret</p><aside>side</aside>", LONG),
 ])
