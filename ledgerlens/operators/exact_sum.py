@@ -7,8 +7,8 @@ rounded to a double once (to nearest, ties to even), per group.
 
 The powers cover the bits that the columns really use.  One aggregation finds
 their smallest and largest magnitude first; amounts of cents up to a billion
-need five limbs, the whole range of doubles 105.  Both passes together take about twice a plain
-sum's time.
+need five limbs, the whole range of doubles 105.  Both passes together took two to three
+times as long as a plain sum.
 
 Rows: a limb is at most 2^20, so 2^42 rows of one group and task order fit;
 beyond that Spark's long sum fails (ANSI mode) instead of wrapping.
