@@ -16,10 +16,17 @@ them are hashed whole (95 bits); of equal windows all but the earliest are
 repeats.
 
 Both comparisons are a sort by hash within hash partitions: rows of one hash
-stream past each other and are never gathered, however common a passage is.
+stream past each other and are never gathered.  Before that shuffle each task
+combines some hundred thousand rows at a time: of the rows of one hash one
+travels under it, the others are settled there and travel under hashes of their
+own, so a passage that a third of all documents share is a few rows a task.
 Texts that an earlier document has word for word are settled beforehand by a
 128-bit hash of the text, so groups of exact copies add no rows.
 
+What a task settles depends on which rows it combines.  Its texts are therefore
+sorted by (id, text), which the join that fetches them has done already: a task
+that runs again settles the same rows.
+
 Texts are shuffled once, by document; the three steps that need them read the
 same shuffle.  The rows that travel by hash are kept narrow: an id, a number
 for texts that share it, the hash and the place.
@@ -42,7 +49,9 @@ SPAN = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)     # perfect difference cover modulo 13
 ANCHOR = 8
-KNOWN = -1               # in place of the check bits: a repeat within its document
+KNOWN = -1               # in place of the check bits: settled, a repeat
+SEEN = 1 << 62           # of an anchor's place: settled, its hash occurs twice
+COMBINED = 400_000       # rows combined at a time
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -111,11 +120,31 @@ def documents(source: DataFrame) -> DataFrame:
 
 
 def _same(a: str, b: str):
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+    # The hash first: rows come out sorted by it and the text, null ids too.
+    return ((F.xxhash64(f"{a}.doc_id") == F.xxhash64(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+            & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")))
+
+
+def settle_anchors(h: np.ndarray, place: np.ndarray, own: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """(h, place) of anchors in the order of places.  Those whose hash occurs
+    again are SEEN; the first of them keeps the hash, the others get their ``own``."""
+    _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    seen, later = count[which] > 1, first[which] != np.arange(len(h))
+    return [np.where(later, own, h).view(np.int64), np.where(seen, place | SEEN, place)]
+
+
+def settle_windows(h: np.ndarray, check: np.ndarray, place: np.ndarray, own: np.ndarray,
+                   rank: np.ndarray) -> list[np.ndarray]:
+    """(h, check, place) of windows in the order of places, documents by ``rank``.
+    One that starts at an earlier place too is KNOWN and gets its ``own`` hash."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    first = first[which]
+    known = (check == check[first]) & ((rank[first] != rank) | (place[first] != place))
+    return [np.where(known, own, h).view(np.int64), np.where(known, np.int32(KNOWN), check), place]
 
 
 def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, period: int = PERIOD,
-                    cover: tuple[int, ...] = COVER, anchor: int = ANCHOR) -> DataFrame:
+                    cover: tuple[int, ...] = COVER, anchor: int = ANCHOR, combined: int = COMBINED) -> DataFrame:
     """(doc_id, v, starts): the starts of repeated windows, copies left out.
 
     ``source`` has doc_id, text_key and text; ``named`` is ``documents`` of it.
@@ -128,10 +157,10 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
         def places(text, v):
             hs = word_hashes(split_words(text))
             at = anchor_positions(len(hs), span, period, cover, anchor)
-            return [run_hashes(hs, anchor)[at].view(np.int64) if len(at) else at, at | v << 32]
+            return [run_hashes(hs, anchor)[at] if len(at) else at.view(np.uint64), at | v << 32]
 
         for b in batches:
-            yield from _flat(b, ["h", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist()))
+            yield from _flat(b, ["h", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist()), settle_anchors, combined)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def places(text, v, found):
@@ -139,30 +168,27 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
             at = _window_starts(np.asarray(found, dtype=np.int64), len(hs), span, anchor)
             h = run_hashes(hs, span)[at]
             check = (run_hashes(hs, span, 1)[at] >> np.uint64(33)).astype(np.int32)
-            # A window that this document has earlier is settled here: it travels
-            # marked, and under a hash of its own instead of a crowded one.
-            _, first, which = np.unique(h, return_index=True, return_inverse=True)
-            known = (first[which] != np.arange(len(at))) & (check == check[first[which]])
-            h[known] = (h[known] ^ at[known].astype(np.uint64)) * np.uint64(_ODD[1])
-            check[known] = KNOWN
-            return [h.view(np.int64), check, at | v << 32]
+            return [h, check, at | v << 32]
 
         for b in batches:
-            yield from _flat(b, ["h", "c", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist(), b["anchors"].to_pylist()))
+            yield from _flat(b, ["h", "c", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist(), b["anchors"].to_pylist()),
+                             settle_windows, combined)
 
     low = 0xFFFFFFFF
     texts = (source.alias("s").join(named.where("NOT copy").alias("n"), _same("s", "n"))
-             .select("s.doc_id", "s.text", F.col("n.v").cast("bigint").alias("v")))
+             .select("s.doc_id", "s.text_key", "s.text", F.col("n.v").cast("bigint").alias("v"))
+             .sortWithinPartitions(F.xxhash64("doc_id"), "text_key"))
     by_hash = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "vp")
     again = (texts.mapInArrow(anchors, f"doc_id {ids}, h bigint, vp bigint")
              .withColumn("before", F.lag("vp").over(by_hash)).withColumn("after", F.lead("vp").over(by_hash))
-             .where(F.col("before").isNotNull() | F.col("after").isNotNull())
-             .groupBy("doc_id", F.shiftright("vp", 32).cast("int").alias("v"))
+             .where(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("vp") >= SEEN))
+             .groupBy("doc_id", F.shiftright(F.col("vp").bitwiseAND(SEEN - 1), 32).cast("int").alias("v"))
              .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("anchors")))
     again = (again.alias("a").join(named.alias("n"), F.col("a.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("a.v") == F.col("n.v")))
              .select("n.doc_id", "n.text_key", "n.v", "a.anchors"))
     near = (source.alias("s").join(again.alias("a"), _same("s", "a"))
-            .select("s.doc_id", "s.text", F.col("a.v").cast("bigint").alias("v"), "a.anchors")
+            .select("s.doc_id", "s.text_key", "s.text", F.col("a.v").cast("bigint").alias("v"), "a.anchors")
+            .sortWithinPartitions(F.xxhash64("doc_id"), "text_key")
             .mapInArrow(windows, f"doc_id {ids}, h bigint, c int, vp bigint"))
     # Plain columns only: an expression here would travel as a further column.
     by_window = Window.partitionBy("h", "c").orderBy(F.col("doc_id").asc_nulls_last(), "vp")
@@ -174,27 +200,43 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
             .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("starts")))
 
 
-def _flat(batch: pa.RecordBatch, names: list[str], places: Iterator[list[np.ndarray]],
-          rows: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, *names) of each document's arrays, some documents at a time."""
-    def out(first, parts):
-        index = pa.array(np.repeat(np.arange(first, first + len(parts)), [len(x[0]) for x in parts]))
-        columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
-        return pa.RecordBatch.from_arrays([batch["doc_id"].take(index), *columns], names=["doc_id", *names])
-
-    first, parts, held = 0, [], 0
+def _flat(batch: pa.RecordBatch, names: list[str], places: Iterator[list[np.ndarray]], settle,
+          rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, *names) of each document's arrays, some documents at a time
+    in the order of places and settled among themselves."""
+    ids, versions = batch["doc_id"].to_pylist(), batch["v"].to_pylist()
+
+    def key(i):         # nulls and then NaN come last, as Spark orders them
+        x = ids[i]
+        return x is None, x != x, 0 if x is None or x != x else x, versions[i]
+
+    def out(parts):
+        order = sorted(parts, key=key)
+        sizes = [len(parts[i][0]) for i in order]
+        columns = [np.concatenate(x) for x in zip(*[parts[i] for i in order])]
+        new = [True] + [key(i) != key(j) for i, j in zip(order, order[1:])]
+        rank = np.repeat(np.cumsum(new), sizes)
+        salt = np.array([xxhash.xxh64_intdigest(repr(ids[i])) for i in order], dtype=np.uint64)
+        own = (columns[0] ^ np.repeat(salt, sizes) ^ columns[-1].astype(np.uint64)) * np.uint64(_ODD[1])
+        columns = settle(*columns, own ^ (own >> np.uint64(32)), rank)
+        index = pa.array(np.repeat(order, sizes))
+        return pa.RecordBatch.from_arrays([batch["doc_id"].take(index), *map(pa.array, columns)], names=["doc_id", *names])
+
+    parts, held = {}, 0
     for i, arrays in enumerate(places):
-        parts.append(arrays)
-        held += len(arrays[0])
+        if len(arrays[0]):
+            parts[i] = arrays
+            held += len(arrays[0])
         if held >= rows:
-            yield out(first, parts)
-            first, parts, held = i + 1, [], 0
+            yield out(parts)
+            parts, held = {}, 0
     if parts:
-        yield out(first, parts)
+        yield out(parts)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN,
-                   period: int = PERIOD, cover: tuple[int, ...] = COVER, anchor: int = ANCHOR) -> DataFrame:
+                   period: int = PERIOD, cover: tuple[int, ...] = COVER, anchor: int = ANCHOR,
+                   combined: int = COMBINED) -> DataFrame:
     """(doc_id, text_key, n_words, n_removed, kept) per row of ``docs``; ``kept``
     is the remaining words joined by one blank.
 
@@ -202,10 +244,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows with one id and different texts are ordered by a hash of the text;
     fully repeated rows are one document and get equal results.  Null ids come
     last.  An empty table gives no rows; other columns are ignored.
+    ``combined`` bounds the rows a task settles at a time; any value gives the
+    same result.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     named = checkpointed(documents(source))          # four narrow columns, needed in several joins
-    starts = repeated_starts(source, named, span, period, cover, anchor)
+    starts = repeated_starts(source, named, span, period, cover, anchor, combined)
     found = (named.alias("n").join(starts.alias("r"), F.col("n.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("n.v") == F.col("r.v")), "left")
              .where("n.copy OR r.starts IS NOT NULL").select("n.doc_id", "n.text_key", "n.copy", "r.starts"))
 

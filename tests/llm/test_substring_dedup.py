@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerlens.llm import substring_dedup as sd
 from ledgerlens.llm.substring_dedup import remove_repeats
 
 
@@ -22,8 +25,8 @@ def brute(docs, span=20):
                    for d, w in split.items()], key=str)
 
 
-def run(df):
-    return sorted([(r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(df).collect()], key=str)
+def run(df, **options):
+    return sorted([(r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(df, **options).collect()], key=str)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -68,3 +71,37 @@ def test_cover_is_checked(spark, docs_of):
         remove_repeats(docs_of([(1, "a")]), cover=(0, 1))
     with pytest.raises(ValueError):
         remove_repeats(docs_of([(1, "a")]), anchor=9)
+
+
+def test_settled_rows_of_a_common_hash_leave_one():
+    h = np.array([5, 5, 7, 5, 9], dtype=np.uint64)
+    place, own = np.array([0, 9, 10, 0, 3]), np.array([101, 102, 103, 104, 105], dtype=np.uint64)
+    rank = np.array([1, 1, 1, 2, 2])
+    got, places = sd.settle_anchors(h, place, own, rank)
+    assert got.tolist() == [5, 102, 7, 104, 9]
+    assert [bool(p & sd.SEEN) for p in places.tolist()] == [True, True, False, True, False]
+    check = np.array([1, 1, 1, 1, 1], dtype=np.int32)
+    got, check, _ = sd.settle_windows(h, check, place, own, rank)
+    assert got.tolist() == [5, 102, 7, 104, 9] and check.tolist() == [1, -1, 1, -1, 1]
+
+
+def test_the_same_place_twice_is_not_earlier():
+    two = np.array([5, 5], dtype=np.uint64)
+    check, same = np.array([1, 1], dtype=np.int32), np.array([4, 4])
+    got, check, _ = sd.settle_windows(two, check, same, two + np.uint64(90), np.array([1, 1]))
+    assert got.tolist() == [5, 5] and check.tolist() == [1, 1]
+
+
+@pytest.mark.parametrize("rows", [1, 300, sd.COMBINED])
+def test_common_passage_whatever_is_combined(spark, docs_of, rows):
+    """A passage in a third of the rows, at one place and at many, ids as text."""
+    rng = random.Random(rows)
+    common = " ".join(f"c{i}" for i in range(25))
+    docs = []
+    for i in range(120):
+        own = " ".join(f"d{i}x{j}" for j in range(rng.randint(0, 30)))
+        docs.append((i, f"{common} {own}" if i % 3 == 0 else f"{own} {common} {common}" if i % 3 == 1 else own))
+    want = brute(docs)
+    assert run(docs_of(docs).repartition(5), combined=rows) == want
+    named = docs_of(docs).withColumn("doc_id", F.format_string("%04d", "doc_id")).repartition(3)
+    assert [r[1:] for r in run(named, combined=rows)] == [r[1:] for r in sorted(want)]
