@@ -19,7 +19,8 @@ Both comparisons are a sort by hash within hash partitions: rows of one hash
 stream past each other and are never gathered.  Before that shuffle each task
 combines some hundred thousand rows at a time: of the rows of one hash one
 travels under it, the others are settled there and travel under hashes of their
-own, so a passage that a third of all documents share is a few rows a task.
+own, a run of neighbours as one row, so a passage that a third of all documents
+share is a few rows a task.
 Texts that an earlier document has word for word are settled beforehand by a
 128-bit hash of the text, so groups of exact copies add no rows.
 
@@ -49,8 +50,9 @@ SPAN = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)     # perfect difference cover modulo 13
 ANCHOR = 8
-KNOWN = -1               # in place of the check bits: settled, a repeat
-SEEN = 1 << 62           # of an anchor's place: settled, its hash occurs twice
+SEEN = 1 << 62           # of an anchor's place: its hash occurs twice
+RUN = 1 << 61            # likewise for a run of anchors, counted in RUN_BITS of the hash
+RUN_BITS = 16
 COMBINED = 400_000       # rows combined at a time
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -125,32 +127,62 @@ def _same(a: str, b: str):
             & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")))
 
 
-def settle_anchors(h: np.ndarray, place: np.ndarray, own: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """(h, place) of anchors in the order of places.  Those whose hash occurs
-    again are SEEN; the first of them keeps the hash, the others get their ``own``."""
-    _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    seen, later = count[which] > 1, first[which] != np.arange(len(h))
-    return [np.where(later, own, h).view(np.int64), np.where(seen, place | SEEN, place)]
+def _runs(mask: np.ndarray, together: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of ``mask``; ``together[i]``: i continues i - 1."""
+    first = mask.copy()
+    first[1:] &= ~(mask[:-1] & together[1:])
+    first |= mask & (np.arange(len(mask)) % longest == 0)
+    return np.nonzero(first)[0], np.bincount(np.cumsum(first)[mask], minlength=1)[1:]
+
 
+def _settled(h: np.ndarray, own: np.ndarray, settled: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that travel (open ones and the first of each settled run) and their hashes."""
+    stay = ~settled
+    stay[firsts] = True
+    kept = np.nonzero(stay)[0]
+    return kept, np.where(settled, own, h)[kept]
 
-def settle_windows(h: np.ndarray, check: np.ndarray, place: np.ndarray, own: np.ndarray,
-                   rank: np.ndarray) -> list[np.ndarray]:
-    """(h, check, place) of windows in the order of places, documents by ``rank``.
-    One that starts at an earlier place too is KNOWN and gets its ``own`` hash."""
+
+def settle_anchors(h: np.ndarray, place: np.ndarray, own: np.ndarray, rank: np.ndarray):
+    """(index, [h, place]) of the rows that travel, of anchors in the order of
+    places, documents by ``rank``.  Anchors whose hash occurs again are SEEN; the
+    first of them keeps the hash, the others make RUNs under hashes of their own."""
+    _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    later = first[which] != np.arange(len(h))
+    together = np.r_[False, (rank[1:] == rank[:-1]) & (place[1:] > place[:-1])]
+    firsts, lengths = _runs(later, together, (1 << RUN_BITS) - 1)
+    own, marked = own.copy(), np.where(count[which] > 1, place | SEEN, place)
+    own[firsts] = (own[firsts] >> np.uint64(RUN_BITS) << np.uint64(RUN_BITS)) | lengths.astype(np.uint64)
+    marked[firsts] |= RUN
+    kept, h = _settled(h, own, later, firsts)
+    return kept, [h.view(np.int64), marked[kept]]
+
+
+def settle_windows(h: np.ndarray, check: np.ndarray, place: np.ndarray, own: np.ndarray, rank: np.ndarray):
+    """(index, [h, check, place]) of the rows that travel, of windows in the order
+    of places.  Those that start at an earlier place too are settled: runs of
+    neighbours travel under hashes of their own, ``check`` being minus the length."""
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     first = first[which]
     known = (check == check[first]) & ((rank[first] != rank) | (place[first] != place))
-    return [np.where(known, own, h).view(np.int64), np.where(known, np.int32(KNOWN), check), place]
+    together = np.r_[False, (rank[1:] == rank[:-1]) & (place[1:] == place[:-1] + 1)]
+    firsts, lengths = _runs(known, together, 1 << 30)
+    check = check.copy()
+    check[firsts] = -lengths
+    kept, h = _settled(h, own, known, firsts)
+    return kept, [h.view(np.int64), check[kept], place[kept]]
 
 
 def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, period: int = PERIOD,
                     cover: tuple[int, ...] = COVER, anchor: int = ANCHOR, combined: int = COMBINED) -> DataFrame:
-    """(doc_id, v, starts): the starts of repeated windows, copies left out.
+    """(doc_id, v, starts): the starts of repeated windows, copies left out, as
+    runs: the number of neighbours << 32 | the first.
 
     ``source`` has doc_id, text_key and text; ``named`` is ``documents`` of it.
     The order of places is (doc_id, nulls last; v; start).
     """
     _check_cover(span, period, cover, anchor)
+    low = 0xFFFFFFFF
     ids = source.schema["doc_id"].dataType.simpleString()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,25 +197,31 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def places(text, v, found):
             hs = word_hashes(split_words(text))
-            at = _window_starts(np.asarray(found, dtype=np.int64), len(hs), span, anchor)
+            every = anchor_positions(len(hs), span, period, cover, anchor)
+            which = _covered(np.searchsorted(every, found & low), found >> 32, len(every))
+            at = _window_starts(every[which], len(hs), span, anchor)
             h = run_hashes(hs, span)[at]
             check = (run_hashes(hs, span, 1)[at] >> np.uint64(33)).astype(np.int32)
             return [h, check, at | v << 32]
 
         for b in batches:
-            yield from _flat(b, ["h", "c", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist(), b["anchors"].to_pylist()),
+            yield from _flat(b, ["h", "c", "vp"], map(places, b["text"].to_pylist(), b["v"].to_pylist(), _arrays(b["anchors"])),
                              settle_windows, combined)
 
-    low = 0xFFFFFFFF
     texts = (source.alias("s").join(named.where("NOT copy").alias("n"), _same("s", "n"))
              .select("s.doc_id", "s.text_key", "s.text", F.col("n.v").cast("bigint").alias("v"))
              .sortWithinPartitions(F.xxhash64("doc_id"), "text_key"))
+
+    def run(length):
+        return F.shiftleft(length.cast("bigint"), 32).bitwiseOR(F.col("vp").bitwiseAND(low))
+
     by_hash = Window.partitionBy("h").orderBy(F.col("doc_id").asc_nulls_last(), "vp")
     again = (texts.mapInArrow(anchors, f"doc_id {ids}, h bigint, vp bigint")
              .withColumn("before", F.lag("vp").over(by_hash)).withColumn("after", F.lead("vp").over(by_hash))
              .where(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("vp") >= SEEN))
-             .groupBy("doc_id", F.shiftright(F.col("vp").bitwiseAND(SEEN - 1), 32).cast("int").alias("v"))
-             .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("anchors")))
+             .groupBy("doc_id", F.shiftright(F.col("vp").bitwiseAND(RUN - 1), 32).cast("int").alias("v"))
+             .agg(F.collect_list(run(F.when(F.col("vp").bitwiseAND(RUN) == 0, 1)
+                                     .otherwise(F.col("h").bitwiseAND((1 << RUN_BITS) - 1)))).alias("anchors")))
     again = (again.alias("a").join(named.alias("n"), F.col("a.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("a.v") == F.col("n.v")))
              .select("n.doc_id", "n.text_key", "n.v", "a.anchors"))
     near = (source.alias("s").join(again.alias("a"), _same("s", "a"))
@@ -195,9 +233,22 @@ def repeated_starts(source: DataFrame, named: DataFrame, span: int = SPAN, perio
     # Of fully repeated rows the same place comes twice in a row: not earlier.
     same_place = F.lag("doc_id").over(by_window).eqNullSafe(F.col("doc_id")) & (F.lag("vp").over(by_window) == F.col("vp"))
     return (near.withColumn("earlier", F.lag("vp").over(by_window).isNotNull() & ~same_place)
-            .where(F.col("earlier") | (F.col("c") == KNOWN))
+            .where(F.col("earlier") | (F.col("c") < 0))
             .groupBy("doc_id", F.shiftright("vp", 32).cast("int").alias("v"))
-            .agg(F.collect_list(F.col("vp").bitwiseAND(low).cast("int")).alias("starts")))
+            .agg(F.collect_list(run(F.greatest(F.lit(1), -F.col("c")))).alias("starts")))
+
+
+def _arrays(lists: pa.Array) -> Iterator[np.ndarray]:
+    for x in lists:
+        yield x.values.to_numpy(zero_copy_only=False)
+
+
+def _covered(first: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of 0..n-1 lies in one of the runs; they may overlap and reach beyond n."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.minimum(first + length, n), -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _flat(batch: pa.RecordBatch, names: list[str], places: Iterator[list[np.ndarray]], settle,
@@ -218,8 +269,8 @@ def _flat(batch: pa.RecordBatch, names: list[str], places: Iterator[list[np.ndar
         rank = np.repeat(np.cumsum(new), sizes)
         salt = np.array([xxhash.xxh64_intdigest(repr(ids[i])) for i in order], dtype=np.uint64)
         own = (columns[0] ^ np.repeat(salt, sizes) ^ columns[-1].astype(np.uint64)) * np.uint64(_ODD[1])
-        columns = settle(*columns, own ^ (own >> np.uint64(32)), rank)
-        index = pa.array(np.repeat(order, sizes))
+        kept, columns = settle(*columns, own ^ (own >> np.uint64(32)), rank)
+        index = pa.array(np.repeat(order, sizes)[kept])
         return pa.RecordBatch.from_arrays([batch["doc_id"].take(index), *map(pa.array, columns)], names=["doc_id", *names])
 
     parts, held = {}, 0
@@ -265,11 +316,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if s is None or not len(s):
                     rows.append((len(w), 0, b" ".join(w).decode()))
                     continue
-                edge = np.zeros(len(w) + 1, dtype=np.int64)
-                at = np.unique(np.asarray(s, dtype=np.int64))
-                edge[at] += 1
-                edge[np.minimum(at + span, len(w))] -= 1
-                keep = np.cumsum(edge[:-1]) == 0
+                runs = np.asarray(s, dtype=np.int64)
+                keep = ~_covered(runs & 0xFFFFFFFF, (runs >> 32) + span - 1, len(w))
                 rows.append((len(w), len(w) - int(keep.sum()),
                              b" ".join([x for x, k in zip(w, keep.tolist()) if k]).decode()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])

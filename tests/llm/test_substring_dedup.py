@@ -74,22 +74,36 @@ def test_cover_is_checked(spark, docs_of):
 
 
 def test_settled_rows_of_a_common_hash_leave_one():
-    h = np.array([5, 5, 7, 5, 9], dtype=np.uint64)
-    place, own = np.array([0, 9, 10, 0, 3]), np.array([101, 102, 103, 104, 105], dtype=np.uint64)
-    rank = np.array([1, 1, 1, 2, 2])
-    got, places = sd.settle_anchors(h, place, own, rank)
-    assert got.tolist() == [5, 102, 7, 104, 9]
-    assert [bool(p & sd.SEEN) for p in places.tolist()] == [True, True, False, True, False]
-    check = np.array([1, 1, 1, 1, 1], dtype=np.int32)
-    got, check, _ = sd.settle_windows(h, check, place, own, rank)
-    assert got.tolist() == [5, 102, 7, 104, 9] and check.tolist() == [1, -1, 1, -1, 1]
+    h = np.array([5, 6, 5, 6, 7, 5, 6, 5, 9], dtype=np.uint64)
+    place, own = np.array([0, 1, 2, 3, 4, 0, 1, 5, 6]), np.arange(9, dtype=np.uint64) + np.uint64(1 << 20)
+    rank = np.array([1, 1, 1, 1, 1, 2, 2, 2, 2])
+    kept, (got, places) = sd.settle_anchors(h, place, own, rank)
+    assert kept.tolist() == [0, 1, 2, 4, 5, 8]
+    assert [x if x < 100 else x & 0xFFFF for x in got.tolist()] == [5, 6, 2, 7, 3, 9]      # runs of two and three
+    assert [(bool(p & sd.SEEN), bool(p & sd.RUN)) for p in places.tolist()] == [
+        (True, False), (True, False), (True, True), (False, False), (True, True), (False, False)]
+    kept, (got, check, _) = sd.settle_windows(h, np.ones(9, np.int32), place, own, rank)
+    assert kept.tolist() == [0, 1, 2, 4, 5, 7, 8] and check.tolist() == [1, 1, -2, 1, -2, -1, 1]
+    assert [x for x in got.tolist() if x < 100] == [5, 6, 7, 9]
+
+
+def test_windows_of_unequal_check_stay():
+    h, own = np.array([5, 5], dtype=np.uint64), np.array([90, 91], dtype=np.uint64)
+    kept, (got, check, _) = sd.settle_windows(h, np.array([1, 2], np.int32), np.array([0, 9]), own, np.array([1, 1]))
+    assert kept.tolist() == [0, 1] and got.tolist() == [5, 5] and check.tolist() == [1, 2]
 
 
 def test_the_same_place_twice_is_not_earlier():
     two = np.array([5, 5], dtype=np.uint64)
     check, same = np.array([1, 1], dtype=np.int32), np.array([4, 4])
-    got, check, _ = sd.settle_windows(two, check, same, two + np.uint64(90), np.array([1, 1]))
-    assert got.tolist() == [5, 5] and check.tolist() == [1, 1]
+    kept, (got, check, _) = sd.settle_windows(two, check, same, two + np.uint64(90), np.array([1, 1]))
+    assert kept.tolist() == [0, 1] and got.tolist() == [5, 5] and check.tolist() == [1, 1]
+
+
+def test_runs_are_split_at_the_longest_length():
+    firsts, lengths = sd._runs(np.ones(7, bool), np.r_[False, np.ones(6, bool)], 3)
+    assert firsts.tolist() == [0, 3, 6] and lengths.tolist() == [3, 3, 1]
+    assert [len(x) for x in sd._runs(np.zeros(4, bool), np.zeros(4, bool), 3)] == [0, 0]
 
 
 @pytest.mark.parametrize("rows", [1, 300, sd.COMBINED])
