@@ -162,6 +162,8 @@ def read_csv_text(spark: SparkSession, path, columns: list[str], multi_line: boo
 
 
 OFFSETS_DIR = "_row_offsets"
+# Offsets (four longs each) broadcast at most: under 100 MB.
+BROADCAST_ROWS = 1_000_000
 STATS_DIR = "_split_stats"
 _HELPERS = ("_mid", "_file", "_block", CORRUPT_COL)
 
@@ -351,8 +353,10 @@ def _offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{OFFSETS_DIR}").select("_part", "_min_mid", "_rows", "_base")
 
 
-def _with_row_id(spark: SparkSession, path: str, data: DataFrame, offsets: DataFrame) -> DataFrame:
-    side = F.broadcast(offsets)           # one row per split of the ingest's scan (module docstring)
+def _with_row_id(data: DataFrame, offsets: DataFrame, few: bool) -> DataFrame:
+    """``few`` offsets (one row per split of the ingest's scan) are broadcast.
+    More of them are merged with the rows by split: a key is one task's rows."""
+    side = F.broadcast(offsets) if few else offsets.hint("merge")
     d = data.withColumn("_p", F.shiftright("_mid", 33))
     on = ((d["_p"] == side["_part"]) & (d["_mid"] >= side["_min_mid"])
           & (d["_mid"] < side["_min_mid"] + side["_rows"]))
@@ -361,15 +365,19 @@ def _with_row_id(spark: SparkSession, path: str, data: DataFrame, offsets: DataF
                                    *[qcol(c) for c in cols])
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Raw dataset: ``row_id`` (0-based, file order) + the text columns.
 
+    The offsets are counted, from the Parquet footers, before they are
+    broadcast; above ``broadcast_rows`` they are merged instead, with the same
+    result.
     A Parquet table that did not come through ``ingest_csv`` (no offsets
     sidecar) is returned as it is, without ``row_id``.
     """
     if not path_exists(spark, f"{path.rstrip('/')}/{OFFSETS_DIR}"):
         return spark.read.parquet(path)
-    return _with_row_id(spark, path, spark.read.parquet(path), _offsets(spark, path))
+    offsets = _offsets(spark, path)
+    return _with_row_id(spark.read.parquet(path), offsets, offsets.count() <= broadcast_rows)
 
 
 def raw_rows(spark: SparkSession, path: str, offset: int, limit: int) -> DataFrame:
@@ -394,4 +402,4 @@ def raw_rows(spark: SparkSession, path: str, offset: int, limit: int) -> DataFra
         data = data.where(cond)
     else:
         data = data.where(F.lit(False))
-    return _with_row_id(spark, path, data, offs.select("_part", "_min_mid", "_rows", "_base")).orderBy("row_id")
+    return _with_row_id(data, offs.select("_part", "_min_mid", "_rows", "_base"), len(ranges) <= BROADCAST_ROWS).orderBy("row_id")

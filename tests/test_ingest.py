@@ -78,6 +78,10 @@ def test_row_ids_follow_file_order_across_files_and_splits(spark, tmp_path):
     assert [r.row_id for r in rows] == list(range(len(expected)))
     assert [r.k for r in rows] == expected
     assert read_raw(spark, res.path).columns == ["row_id", "k", "v"]
+    # too many splits to broadcast: merged, with the same rows
+    merged = read_raw(spark, res.path, broadcast_rows=0)
+    assert "Broadcast" not in merged._jdf.queryExecution().sparkPlan().toString()
+    assert merged.orderBy("row_id").collect() == rows
     # a page crossing split boundaries, through the pushed-down _mid ranges
     page = raw_rows(spark, res.path, 3990, 30).collect()
     assert [r.row_id for r in page] == list(range(3990, 4020))
