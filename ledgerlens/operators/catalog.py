@@ -26,7 +26,7 @@ from ledgerlens.operators.mapping import (
     AMOUNT_INDICATOR_GROUP, DEBIT_CREDIT_GROUP, MSG_DUPLICATES, MSG_MIXED_GROUPS, MSG_NO_AMOUNT_GROUP,
 )
 from ledgerlens.plans.spec import ViewSpec, canonical_json
-from ledgerlens.session import checkpointed
+from ledgerlens.session import checkpointed, scratch_path
 
 MSG_REPEATED_RAW = "Raw columns unnamed or mapped more than once"
 
@@ -298,25 +298,42 @@ def view_lineage(views: DataFrame) -> DataFrame:
     pointer, so the distance covered doubles, and the longest chain of n
     views takes log2(n) rounds.  Views that have arrived at a root leave the
     rounds, so a root of most views is no hot key of the joins.
+
+    Round r brings the views of depth 2^(r-1) to 2^r - 1 to their root.  Views
+    further down have ancestors of every depth above them, so when a round
+    brings none, all that are left are in circles or below them.
+
+    Each round is written and read again as files: the size estimate of a
+    checkpoint is that of the joins it came from, here the square of the one
+    before, a number of 2^r digits on the driver.
     """
-    known = checkpointed(views.select("dataset_id", "view_id", F.col("parent_view_id").alias("_named")))
-    ids = known.select(F.col("dataset_id").alias("_d"), F.col("view_id").alias("parent_view_id"))
+    spark, work = views.sparkSession, scratch_path(views.sparkSession, "lineage")
+
+    def stored(df: DataFrame, name: str) -> str:
+        df.write.parquet(f"{work}/{name}")
+        return f"{work}/{name}"
+
+    known = spark.read.parquet(stored(views.select("dataset_id", "view_id", F.col("parent_view_id").alias("_named")), "known"))
+    # Merged, not broadcast: files of a few MB may hold millions of ids.
+    ids = known.select(F.col("dataset_id").alias("_d"), F.col("view_id").alias("parent_view_id")).hint("merge")
     linked = (known.join(ids, (F.col("dataset_id") == F.col("_d")) & (F.col("_named") == F.col("parent_view_id")), "left")
               .select("dataset_id", "view_id", "parent_view_id"))
     at_root = F.col("parent_view_id").isNull()
-    state = checkpointed(linked.select(
+    rounds = [stored(linked.select(
         "dataset_id", "view_id", "parent_view_id", F.coalesce("parent_view_id", "view_id").alias("_up"),
-        F.when(at_root, 0).otherwise(1).cast("bigint").alias("depth"), at_root.alias("_done")))
-    done, open_ = state.where("_done"), state.where(~F.col("_done"))
-    n, step = state.count(), 1
-    while step <= 2 * n and not open_.isEmpty():
+        F.when(at_root, 0).otherwise(1).cast("bigint").alias("depth"), at_root.alias("_done")), "0")]
+    while True:
+        done, last = spark.read.parquet(*rounds).where("_done"), spark.read.parquet(rounds[-1])
+        open_ = last.where(~F.col("_done"))
+        if open_.isEmpty() or last.where("_done").isEmpty():
+            break
         # What each open view's ancestor points to, be it done or open.
         above = (done.unionByName(open_).select(F.col("dataset_id").alias("_d"), F.col("view_id").alias("_v"),
                                                 F.col("_up").alias("_next"), F.col("depth").alias("_more"), F.col("_done").alias("_end")))
-        moved = checkpointed(open_.join(above, (F.col("dataset_id") == F.col("_d")) & (F.col("_up") == F.col("_v"))).select(
+        moved = open_.join(above.hint("merge"), (F.col("dataset_id") == F.col("_d")) & (F.col("_up") == F.col("_v"))).select(
             "dataset_id", "view_id", "parent_view_id", F.col("_next").alias("_up"),
-            (F.col("depth") + F.col("_more")).alias("depth"), F.col("_end").alias("_done")))
-        done, open_, step = checkpointed(done.unionByName(moved.where("_done"))), moved.where(~F.col("_done")), 2 * step
+            (F.col("depth") + F.col("_more")).alias("depth"), F.col("_end").alias("_done"))
+        rounds.append(stored(moved, str(len(rounds))))
     none = F.lit(None)
     return (done.select("dataset_id", "view_id", "parent_view_id", F.col("_up").alias("root_view_id"), "depth", F.lit(False).alias("cyclic"))
             .unionByName(open_.select("dataset_id", "view_id", "parent_view_id", none.cast("string").alias("root_view_id"),
