@@ -16,10 +16,15 @@ bounded by a mapping's size (a few dozen entries), never by the data.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.registry import FieldRegistry, registry as default_registry
 from ledgerlens.operators.mapping import (
@@ -42,8 +47,7 @@ def _registry_lookup(spark, registry: FieldRegistry) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<field_id:string,bit:bigint>>")))
 
 
-def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...],
-             with_mapping: bool = False) -> DataFrame:
+def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]) -> DataFrame:
     """One row per mapping with ``found``: its violations in rule order.
 
     Known fields are one bit each, so a mapping is aggregated into a count and
@@ -51,21 +55,27 @@ def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]
     entries with an unknown id are collected, in a branch of their own; the
     lists hold one mapping's entries (bounded by a file's column count).
     """
-    fields = registry.all()
-    bit = {f.canonical_name: 1 << i for i, f in enumerate(fields)}
     # The registry has a fixed, tiny size: broadcasting it is always safe.
     m = mappings.join(F.broadcast(_registry_lookup(mappings.sparkSession, registry)), "field_id", "left")
-    per_map = m.groupBy(*keys).agg(
-        F.count("bit").alias("n_known"),
-        F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits"),
-        *([F.collect_list(F.struct("raw_column", "field_id")).alias("entries")] if with_mapping else []),
-    )
+    per_map = m.groupBy(*keys).agg(F.count("bit").alias("n_known"), F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits"))
     ids = F.collect_set(F.coalesce("field_id", F.lit("None")))          # a null id is an unknown one
     unknown = (m.where(F.col("bit").isNull()).groupBy(*keys)
                .agg(F.array_sort(ids).alias("unknown_ids"), F.count(F.lit(1)).alias("n_unknown")))
     u = unknown.select(*[F.col(k).alias(f"_u_{k}") for k in keys], "unknown_ids", "n_unknown")
     same = [F.col(k).eqNullSafe(F.col(f"_u_{k}")) for k in keys]
     per_map = per_map.join(u, reduce(lambda a, b: a & b, same), "left").drop(*[f"_u_{k}" for k in keys])
+    return per_map.select(*keys, F.concat(*_violations(registry)).alias("found"))
+
+
+def _violation(rule: int, cond: Column, message: Column) -> Column:
+    empty = F.array().cast("array<struct<rule:int,message:string>>")
+    return F.when(cond, F.array(F.struct(F.lit(rule).alias("rule"), message.alias("message")))).otherwise(empty)
+
+
+def _violations(registry: FieldRegistry) -> list[Column]:
+    """Rules 1-5 over ``n_known``, ``bits``, ``n_unknown`` and ``unknown_ids`` (null if none)."""
+    bit = {f.canonical_name: 1 << i for i, f in enumerate(registry.all())}
+    v = _violation
 
     def has(name):
         return F.col("bits").bitwiseAND(bit[name]) != 0
@@ -74,24 +84,74 @@ def _checked(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]
     dc, ai = (has(a) & has(b) for a, b in (DEBIT_CREDIT_GROUP, AMOUNT_INDICATOR_GROUP))
     repeated = ((F.col("n_known") != F.bit_count("bits"))
                 | (F.coalesce("n_unknown", F.lit(0)) != F.coalesce(F.size("unknown_ids"), F.lit(0))))
-    empty = F.array().cast("array<struct<rule:int,message:string>>")
-
-    def v(rule: int, cond: Column, message: Column) -> Column:
-        return F.when(cond, F.array(F.struct(F.lit(rule).alias("rule"), message.alias("message")))).otherwise(empty)
-
-    found = [
+    return [
         v(1, F.col("unknown_ids").isNotNull(), F.concat(F.lit("Invalid field ids: "), _py_list(F.col("unknown_ids")))),
         v(2, repeated, F.lit(MSG_DUPLICATES)),
         v(3, F.size(missing) > 0, F.concat(F.lit("Mandatory fields not mapped: "), _py_list(missing))),
         v(4, ~(dc | ai), F.lit(MSG_NO_AMOUNT_GROUP)),
         v(5, dc & ai, F.lit(MSG_MIXED_GROUPS)),
     ]
-    out = []
-    if with_mapping:
-        distinct = _distinct_raw(F.col("entries"))
-        found.append(v(6, ~distinct, F.lit(MSG_REPEATED_RAW)))
-        out.append(F.when(distinct, F.map_from_entries("entries")).alias("mapping"))
-    return per_map.select(*keys, F.concat(*found).alias("found"), *out)
+
+
+_ODD = "!"              # marks an entry written out in full
+_CODE = ord("A")        # others start with a character for their field
+
+
+def _packed(mappings: DataFrame, registry: FieldRegistry, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, entries, n_known, bits, n_odd): every entry as a short text,
+    neighbours of one mapping in one row.
+
+    An entry of a known field is a character for the field and the raw column's
+    name; one with an unknown id or without a name is written out.  A mapping's
+    entries mostly lie next to each other, so they travel as one row rather
+    than one each; where they do not, a mapping has several rows.
+    """
+    lookup = F.broadcast(_registry_lookup(mappings.sparkSession, registry).withColumn(
+        "_code", F.char(F.lit(_CODE) + F.bit_count(F.col("bit") - 1))))
+    short = F.concat("_code", "raw_column")
+    coded = mappings.join(lookup, "field_id", "left").select(
+        *keys, F.coalesce("bit", F.lit(0).cast("bigint")).alias("bit"),
+        F.coalesce(short, F.concat(F.lit(_ODD), F.to_json(F.struct("raw_column", "field_id")))).alias("entry"), short.isNull().alias("odd"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            starts = np.ones(b.num_rows, dtype=bool)
+            starts[1:] = False
+            for k in range(len(keys)):
+                c = b.column(k)
+                changed = pc.not_equal(c[1:], c[:-1]).fill_null(True)           # null keys: a row each
+                starts[1:] |= changed.to_numpy(zero_copy_only=False)
+            at, n = np.flatnonzero(starts), len(keys)
+            bit, odd = b.column(n).to_numpy(), b.column(n + 2).to_numpy(zero_copy_only=False)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, b.num_rows), pa.int32()), b.column(n + 1).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(k).take(pa.array(at)) for k in range(n)], lists, pa.array(np.add.reduceat((bit != 0).astype(np.int64), at)),
+                 pa.array(np.bitwise_or.reduceat(bit, at)), pa.array(np.add.reduceat(odd.astype(np.int64), at))],
+                names=[*keys, "entries", "n_known", "bits", "n_odd"])
+
+    schema = T.StructType([*[coded.schema[k] for k in keys], T.StructField("entries", T.ArrayType(T.StringType())),
+                           *[T.StructField(c, T.LongType()) for c in ("n_known", "bits", "n_odd")]])
+    return coded.mapInArrow(runs, schema)
+
+
+def _pairs(registry: FieldRegistry) -> tuple[Column, Column]:
+    """The (raw_column, field_id) pairs of packed ``entries``, and whether they form a map."""
+    ids = F.from_json(F.lit(json.dumps([f.id for f in registry.all()])), "array<string>")
+    kind = "struct<raw_column:string,field_id:string>"
+
+    def rest(e: Column) -> Column:
+        return F.substring(e, 2, 1 << 30)
+
+    def short(e: Column) -> Column:
+        return F.struct(rest(e).alias("raw_column"), ids[F.ascii(e) - _CODE].alias("field_id")).cast(kind)
+
+    full = F.transform("entries", lambda e: F.when(F.startswith(e, F.lit(_ODD)), F.from_json(rest(e), kind)).otherwise(short(e)))
+    plain = F.col("n_odd") == 0
+    distinct = F.size(F.array_distinct(F.transform("entries", rest))) == F.size("entries")
+    return (F.when(plain, F.transform("entries", short)).otherwise(full),
+            F.when(plain, distinct).otherwise(_distinct_raw(full)))
 
 
 def _distinct_raw(entries: Column) -> Column:
@@ -131,16 +191,30 @@ def checked_saves(mappings: DataFrame, saved_at: DataFrame, registry: FieldRegis
     """One row per save: its ``mapping``, first failing ``rule`` / ``message``
     (0 / 'ok' when it passes) and ``saved_at``.
 
-    The rule check and the mapping itself come out of the same aggregation,
-    so the entries are shuffled once; valid saves are then a filter on
-    ``rule == 0`` rather than a join.
+    ``saved_at``: (*keys, saved_at); the first key alone (the dataset) decides
+    where a row goes, so what is later grouped or joined by it stays in place.
+    Entries and times meet in one aggregation: the entries are shuffled once,
+    packed.  A list holds one mapping's entries.
     """
+    at = F.struct("saved_at")
+    time = T.StructType([saved_at.schema["saved_at"]])
+    packed = _packed(mappings, registry, keys).withColumn("at", F.lit(None).cast(time))
+    times = saved_at.select(*keys, F.lit(None).cast("array<string>").alias("entries"), at.alias("at"))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    figures = [F.sum("n_known").alias("n_known"), F.bit_or("bits").alias("bits"), F.sum("n_odd").alias("n_odd")]
+    saves = (packed.unionByName(times, allowMissingColumns=True).where(known).repartition(keys[0]).groupBy(*keys)
+             .agg(F.flatten(F.collect_list("entries")).alias("entries"), F.collect_list("at").alias("at"), *figures)
+             .where(F.size("entries") > 0).select(*keys, "entries", "n_known", "bits", "n_odd", F.explode("at").alias("at")))
+    pairs, distinct = _pairs(registry)
+    ids = F.array(*[F.lit(f.id) for f in registry.all()])
+    unknown = F.filter(F.transform(pairs, lambda p: F.coalesce(p["field_id"], F.lit("None"))), lambda i: ~F.array_contains(ids, i))
+    n_unknown = F.size("entries") - F.col("n_known")
+    saves = saves.withColumns({"n_unknown": n_unknown, "unknown_ids": F.when(n_unknown > 0, F.array_sort(F.array_distinct(unknown)))})
+    found = F.concat(*_violations(registry), _violation(6, ~distinct, F.lit(MSG_REPEATED_RAW)))
     ok = F.struct(F.lit(0).alias("rule"), F.lit("ok").alias("message"))
-    first = F.when(F.size("found") > 0, F.col("found")[0]).otherwise(ok)
-    return (_checked(mappings, registry, keys, with_mapping=True)
-            .select(*keys, "mapping", first.alias("s"))
-            .select(*keys, "mapping", "s.rule", "s.message")
-            .join(saved_at, list(keys)))
+    return (saves.select(*keys, F.when(distinct, F.map_from_entries(pairs)).alias("mapping"),
+                         F.coalesce(F.get(found, F.lit(0)), ok).alias("s"), "at.saved_at")
+            .select(*keys, "mapping", "s.rule", "s.message", "saved_at"))
 
 
 def mapping_saves(mappings: DataFrame, saved_at: DataFrame,

@@ -135,3 +135,25 @@ def test_suggestions_do_not_shuffle_datasets_by_signature(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning(signature" not in plan
     rows = lambda df: sorted((r.dataset_id, tuple(r.suggested_mapping.items())) for r in df.collect())
     assert rows(small) == rows(large) and len(rows(small)) == 200
+
+
+def test_saves_shuffle_their_entries_once_and_packed(spark):
+    from ledgerlens.sources import sample_catalog as SC
+    sf, keys = "/root/testdata/sf0.001", ("dataset_id", "save_no")
+    saves = C.checked_saves(SC.mappings(spark, sf), SC.save_times(spark, sf), keys=keys).where("rule = 0")
+    plan = C.current_mappings(saves)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(dataset_id#" in plan and "SortMergeJoin" not in plan
+    rows = C._packed(SC.mappings(spark, sf), registry, keys)
+    assert rows.count() <= 2 * SC.save_times(spark, sf).count()
+
+
+def test_saves_with_scattered_entries(spark):
+    good = [("d1", 1, r, f) for r, f in _good().items()]
+    odd = [("d2", 1, r, f) for r, f in _good().items() if r != "doc"] + [("d2", 1, None, _good()["doc"]), ("d2", 1, '!q"', "zz"), ("d2", 1, "", "A")]
+    both = [x for pair in zip(good, odd) for x in pair] + odd[len(good):] + [(None, 1, "x", "y"), ("d9", 1, "doc", _good()["doc"])]
+    m = spark.createDataFrame(both, "dataset_id string, save_no int, raw_column string, field_id string").repartition(3)
+    at = spark.createDataFrame([("d1", 1, None), ("d2", 1, dt.datetime(2026, 1, 2)), ("d8", 1, None)], "dataset_id string, save_no int, saved_at timestamp")
+    got = {r.dataset_id: r for r in C.checked_saves(m, at).collect()}
+    assert set(got) == {"d1", "d2"}                       # saves with entries and a time's row
+    assert got["d1"].rule == 0 and got["d1"].mapping == _good() and got["d1"].saved_at is None
+    assert got["d2"].rule == 1 and got["d2"].message == "Invalid field ids: ['A', 'zz']" and got["d2"].mapping is None
