@@ -267,7 +267,8 @@ def _write_records(spark, path, columns, options, compression, staging, fingerpr
     do not end in a line feed, so that files have to be read whole."""
     work = f"{staging}-lines"
     try:
-        csv_records.text_lines(spark, _paths(path), options).write.parquet(f"{work}/lines")
+        found = csv_records.running(csv_records.text_lines(spark, _paths(path), options))
+        found.write.option("compression", compression).parquet(f"{work}/lines")
         lines = spark.read.parquet(f"{work}/lines")
         csv_records.split_maps(lines).write.parquet(f"{work}/maps")
         states = csv_records.split_states(spark.read.parquet(f"{work}/maps"))

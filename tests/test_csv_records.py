@@ -120,3 +120,24 @@ def test_observed_hash_is_the_tables(spark, data_path, tmp_path):
     res = ingest_csv(spark, data_path("journal_valid.csv"), str(tmp_path / "raw"))
     assert res.data_hash == dataset_fingerprint(read_raw(spark, res.path).drop("row_id"))
     assert ingest_csv(spark, data_path("journal_valid.csv"), str(tmp_path / "raw2"), fingerprint=False).data_hash is None
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path, small_splits):
+    up = tmp_path / "up"
+    up.mkdir()
+    for i in range(3):
+        (up / f"{i}.csv").write_text(_text([["a", "b", "c"], *_rows(random.Random(i), 300)]))
+    R.running(R.text_lines(spark, str(up))).write.parquet(f"{tmp_path}/lines")
+    lines = spark.read.parquet(f"{tmp_path}/lines")
+    states = R.split_states(R.split_maps(lines))
+    assert states.count() > 8 and states.agg(F.sum("_rows")).first()[0] == 900
+    order = "sum(_rows) over (order by _file, _block rows between unbounded preceding and 1 preceding)"
+    splits = states.withColumn("_base", F.coalesce(F.expr(order), F.lit(0)))
+    splits.write.parquet(f"{tmp_path}/splits")
+    splits = spark.read.parquet(f"{tmp_path}/splits")
+    near = R.record_texts(R.numbered_lines(lines, splits))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(n#" in plan
+    rows = sorted(tuple(r) for r in near.collect())
+    assert [n for n, _ in rows] == list(range(900))
+    assert rows == sorted(tuple(r) for r in R.record_texts(R.numbered_lines(lines, splits, broadcast_rows=0)).collect())
