@@ -57,11 +57,11 @@ def _validated(spark, sf_dir):
 
 
 def _transformed(spark, sf_dir):
-    return transform(_validated(spark, sf_dir))
+    return transform(validate(sample.journal_raw(spark, sf_dir), sample.sample_mapping(), filtered=True))
 
 
 def _transformed_dc(spark, sf_dir):
-    return transform(validate(sample.journal_raw_debit_credit(spark, sf_dir), sample.debit_credit_mapping()))
+    return transform(validate(sample.journal_raw_debit_credit(spark, sf_dir), sample.debit_credit_mapping(), filtered=True))
 
 
 def _view(name):

@@ -79,3 +79,17 @@ def passes(rules: list[Rule]) -> Column:
     for cond, _ in rules[1:]:
         fired = fired | cond
     return ~fired
+
+
+def passes_filter(rules: list[Rule]) -> Column:
+    """``passes`` for a filter on rows that are not stored.
+
+    Inlined into a whole stage, the conditions and the expressions they read
+    become one generated method of more than the 8000 bytes up to which a JVM
+    compiles methods by default, and run interpreted.  A higher-order function
+    keeps the filter out of the stage, so that it gets methods of its own and
+    evaluates a repeated expression once.
+    """
+    if not rules:
+        return F.lit(True)
+    return passes(rules[1:]) & F.forall(F.array(rules[0][0]), lambda fired: ~fired)

@@ -24,7 +24,7 @@ def rule_list(fields, date_formats=text.DEFAULT_DATE_FORMATS):
 def validate(raw: DataFrame, mapping: Mapping[str, str],
              registry: FieldRegistry = default_registry,
              date_formats=text.DEFAULT_DATE_FORMATS,
-             keep: tuple[str, ...] = ("row_id",), stored: bool = False) -> DataFrame:
+             keep: tuple[str, ...] = ("row_id",), stored: bool = False, filtered: bool = False) -> DataFrame:
     """Mapped canonical columns (still text) + ``error_messages`` + ``is_valid``.
 
     Bookkeeping columns named in ``keep`` (row id, source file) pass through.
@@ -33,12 +33,15 @@ def validate(raw: DataFrame, mapping: Mapping[str, str],
     the message array, so a later ``filter(is_valid)`` that drops the
     messages never builds them.  With ``stored=True`` both columns will be
     written, and ``is_valid`` is read off the messages instead: each rule is
-    then evaluated once per row.
+    then evaluated once per row.  With ``filtered=True`` the rows will be
+    filtered by ``is_valid`` without being stored (``transform`` does so).
     """
     mapped = apply_mapping(raw, mapping, registry, keep=keep)
     rl = rule_list([f for _, f in mapped_fields(mapping, registry)], date_formats)
     checked = mapped.withColumn("error_messages", rules.messages(rl))
-    return checked.withColumn("is_valid", F.size("error_messages") == 0 if stored else rules.passes(rl))
+    if stored:
+        return checked.withColumn("is_valid", F.size("error_messages") == 0)
+    return checked.withColumn("is_valid", rules.passes_filter(rl) if filtered else rules.passes(rl))
 
 
 def date_layouts(raw: DataFrame, mapping: Mapping[str, str], registry: FieldRegistry = default_registry) -> dict:

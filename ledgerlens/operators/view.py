@@ -25,7 +25,7 @@ from ledgerlens.operators.exact_sum import Bits, exact_avg, exact_sum, used_bits
 from ledgerlens.operators.mapping import qcol
 from ledgerlens.operators.rank_page import DEEP_OFFSET, page
 from ledgerlens.plans.spec import Condition, Group, ViewError, ViewSpec
-from ledgerlens.session import checkpointed
+from ledgerlens.session import checkpointed, stored as stored_once
 
 _AGG = {
     "sum": F.sum,
@@ -310,7 +310,9 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
 
     ``stored`` says that ``df`` is read from a table, so that reading a few of
     its columns again is cheap: several distinct counts then get an
-    aggregation each (pivots keep the single one).
+    aggregation each (pivots keep the single one).  Otherwise rows that are
+    read more than once, by a pivot that looks for its values or by a deep page,
+    are written to the scratch folder while the plan is built.
     """
     if exact_money and exact_sums:
         raise ViewError("Choose exact_money or exact_sums, not both")
@@ -332,6 +334,10 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
             raise ViewError("Pivot supports one column-axis dimension")
         f = resolve(registry, next(x.field_id for x in spec.dimensions if x.axis == "column"))
         values = spec.pivot_values.get(f.id, spec.pivot_values.get(f.canonical_name))
+        if values is None and not stored:
+            # Read twice, for the values and for the cells: the columns in use are computed once.
+            used = list(dict.fromkeys([d for d, _ in dims] + [fname for _, fname, _ in measures]))
+            df = stored_once(df.select(*[qcol(c) for c in used]), "pivot")
         scales = bits or {fname: money_scale for _, fname, _ in measures
                           if exact_money and resolve(registry, fname).dtype == "float"}
         # A pivot is sorted by a measure over all its columns: its total.
@@ -355,6 +361,8 @@ def compile_view(df: DataFrame, spec: ViewSpec | dict, registry: FieldRegistry =
 
     keys, sorted_names = _sort_columns(spec, out, sort_dims, sort_measures, registry, renamed)
     if spec.pagination is not None:
+        if not (dims or measures or stored) and spec.pagination.offset >= deep_offset:
+            out = stored_once(out, "deep-page")             # every count reads one column of it
         if (dims or measures) and keys and spec.pagination.offset >= deep_offset:
             out = checkpointed(out)       # aggregated once, then counted and sorted
         out = page(out, keys + _tiebreak(out, dims, measures, sorted_names), spec.pagination.offset, spec.pagination.limit, deep_offset)

@@ -97,6 +97,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared scratch folder: computed a
+    single time, and read column by column afterwards."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Recursively delete ``path`` on whatever file system it lives on."""
     jvm = spark.sparkContext._jvm

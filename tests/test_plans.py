@@ -89,3 +89,25 @@ def test_clustered_transform_keeps_rows(spark, stored, tmp_path):
     transform_dataset(spark, str(stored / "val"), dest, cluster_by=["posting_date"])
     a, b = spark.read.parquet(dest), spark.read.parquet(str(stored / "tr"))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_filter_of_unstored_rows_has_methods_of_its_own(spark):
+    # In the stage's one method its conditions exceed what the JVM compiles by default.
+    raw = sample.journal_raw(spark, SF)
+    plain, own = (validate(raw, sample.sample_mapping(), filtered=x) for x in (False, True))
+    lines = [x for x in _formatted(transform(own)).split("\n\n")[0].splitlines() if "Filter" in x]
+    assert lines and not any("*" in x for x in lines)
+    assert own.count() == plain.count() and own.exceptAll(plain).count() == 0
+    assert transform(own).exceptAll(transform(plain)).count() == 0
+
+
+def test_rows_read_twice_are_computed_once(spark):
+    from pyspark.sql import functions as F
+    from ledgerlens.operators.view import compile_view
+    t = transform(validate(sample.journal_raw(spark, SF), sample.sample_mapping(), filtered=True))
+    for name, low in (("view_pivot_sorted", None), ("view_select_all_deep_page", 1000)):
+        spec = V.VIEWS[name] if low is None else {**V.VIEWS[name], "pagination": {"limit": 25, "offset": low}}
+        out = compile_view(t, spec) if low is None else compile_view(t, spec, deep_offset=low)
+        plan = _formatted(out)
+        assert "l_orderkey" not in plan and "Scan parquet" in plan, name
+        assert out.count() == (2 if low is None else 25)
