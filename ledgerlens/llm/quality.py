@@ -96,6 +96,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64), flat
 
 
+def _slices(texts: list[str], size: int = _BLOCK) -> Iterator[list[str]]:
+    """The texts in runs of about ``size`` characters, at least one text each."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 @dataclass
 class NbSvm:
     weights: np.ndarray      # of an indicator: log-count ratio times the machine's weight
@@ -111,8 +124,9 @@ class NbSvm:
         return dot / np.maximum(length, 1e-9) + self.bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = self.slope * self.margins(*features(texts)) + self.offset
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
+        """Scored in slices: the indicators of a whole batch would be many times its text."""
+        z = [self.slope * self.margins(*features(part)) + self.offset for part in _slices(texts)]
+        return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -35, 35)))
 
 
 def log_count_ratios(starts, flat, y, alpha: float = 1.0) -> np.ndarray:
@@ -201,9 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: i
     its 2 x 2^BITS numbers reach the driver."""
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            starts, flat = features(list(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"],
-                                "features": [flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])]})
+            found = []
+            for part in _slices(list(b["text"])):
+                starts, flat = features(part)
+                found += [flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "features": found})
 
     def learn(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values("doc_id", key=lambda ids: ids.map(lambda i: (len(i), i)))

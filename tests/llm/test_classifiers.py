@@ -200,3 +200,18 @@ def test_spans_are_runs_of_toxic_words():
     text = "well é you are an idiot, and that was fine"
     assert any("idiot" in text[a:b] for a, b in model.spans(text))
     assert model.spans("the day was fine and warm") == [] and model.spans("") == [] and model.spans(None) == []
+
+
+def test_scoring_memory_does_not_grow_with_the_batch():
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(300)] * 10 + [None, ""]
+    model = quality.NbSvm(*(rng.normal(size=1 << quality.BITS).astype(np.float32) for _ in range(2)), 0.1, 1.0, 0.0)
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6                                # the indicators of all texts at once take 150 MB and more
+    z = model.margins(*quality.features(texts[:300]))
+    assert len(got) == 3002 and np.array_equal(got[:300], 1 / (1 + np.exp(-np.clip(z, -35, 35))))
+    assert model.scores([]).shape == (0,)
