@@ -127,9 +127,7 @@ def _sorted_ingest(spark, sf_dir, name):
     """The sample journal exported in a total order (so that file order has a
     SQL form) and ingested."""
     work = scratch_path(spark, name)
-    raw = sample.journal_raw(spark, sf_dir)
-    raw = raw.orderBy(*[F.col(c).asc_nulls_last() for c in raw.columns])
-    sample.write_csv_export(raw, f"{work}/export")
+    sample.write_csv_export(sample.journal_sorted(spark, sf_dir), f"{work}/export")
     return ingest_csv(spark, f"{work}/export", f"{work}/raw")
 
 

@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from ledgerlens.operators.mapping import qcol
 from ledgerlens.session import delete_path, list_files, move_path, path_exists, path_is_dir
 from ledgerlens.sources import csv_records
-from ledgerlens.sources.fingerprint import data_hash, row_sums
+from ledgerlens.sources.fingerprint import data_hash, hash_pieces, piece_sums
 from ledgerlens.sources.observed import Figures
 
 # FIXED VALUES: ingest error messages.
@@ -127,23 +127,55 @@ def column_names(header: str, separator: str = ",") -> list[str]:
     return out
 
 
-def line_facts(spark: SparkSession, path, options: dict | None = None) -> DataFrame:
-    """One row: ``header`` (the first file's first line), ``same`` (all files
-    start with it) and ``open_lines`` (lines with an odd number of quotes)."""
+BOM = "\ufeff"
+
+
+def _first_line(text: DataFrame) -> str | None:
+    """The first line of the first file that has one."""
+    value, file, block = F.col("value"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    for name in sorted(set(text.inputFiles())):
+        # ``file_path`` leaves out an empty host: file:/x for file:///x.
+        first = text.where(file.isin(name, name.replace(":///", ":/", 1)) & (block == 0)).select("value").first()
+        if first is not None:
+            return first["value"]
+    # No rows at all, or names spelt in another way.
+    place = F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("id"))
+    return text.select(value, place.alias("place")).agg(F.min_by("value", "place")).first()[0]
+
+
+def _file_facts(text: DataFrame, header: str) -> DataFrame:
+    """One row per file: its odd lines, and whether it starts with the header,
+    which it does if its first row and its first row that equals the header
+    have one id.  The aggregates are numbers only, kept in a hash table; a line
+    among them would have every line sorted by its file."""
+    value, first_block = F.col("value"), F.col("block") == 0
+    line = F.when(F.startswith(value, F.lit(BOM)), F.substring(value, 2, 2**31 - 1)).otherwise(value)
+    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    odd = F.when(F.contains(value, F.lit('"')), quotes % 2).otherwise(0)
+    return (text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("id"))
+            .groupBy("file").agg(F.sum(odd).alias("odd"), F.min(F.when(first_block, F.col("id"))).alias("first"),
+                                 F.min(F.when(first_block & (line == header), F.col("id"))).alias("as_header"))
+            .select("odd", F.col("first").eqNullSafe(F.col("as_header")).alias("same")))
+
+
+def line_facts(spark: SparkSession, path, options: dict | None = None) -> dict:
+    """``header`` (the first line of the first file that has one, or None; read
+    alone), ``same`` (all files start with it) and ``open_lines`` (lines with
+    an odd number of quotes)."""
     encoding = {"encoding": options["encoding"]} if options and "encoding" in options else {}
-    lines = (spark.read.options(recursiveFileLookup="true", pathGlobFilter="*.csv", **encoding).text(_paths(path))
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")))
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    files = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.sum(quotes % 2).alias("odd"))
-    first = F.regexp_replace("first", "^\ufeff", "")
-    return files.agg(F.min_by(first, "file").alias("header"), (F.min(first) == F.max(first)).alias("same"),
-                     F.sum("odd").alias("open_lines"))
+    text = spark.read.options(recursiveFileLookup="true", pathGlobFilter="*.csv", **encoding).text(_paths(path))
+    header = _first_line(text)
+    if header is None:
+        return {"header": None, "same": True, "open_lines": 0}
+    header = header.removeprefix(BOM)
+    facts = _file_facts(text, header).agg(F.bool_and("same").alias("same"), F.sum("odd").alias("open_lines")).first()
+    return {"header": header, **facts.asDict()}
 
 
 def read_header(spark: SparkSession, path, options: dict | None = None) -> list[str]:
     """Column names of the first file."""
-    header = line_facts(spark, path, options).first()["header"]
+    header = line_facts(spark, path, options)["header"]
     return column_names(header, (options or {}).get("sep", ",")) if header else []
 
 
@@ -231,8 +263,14 @@ def _replace(spark: SparkSession, staging: str, dest: str) -> None:
 
 
 def _observed(df: DataFrame, columns: list[str], fingerprint: bool) -> Figures:
-    sums = row_sums(columns) if fingerprint else {"row_count": F.count(F.lit(1))}
-    return Figures(df, _corrupt_rows=F.count(CORRUPT_COL), **sums)
+    """Observed figures are taken row by row, each by itself; what they share,
+    the row's hash, is computed in the projection below them."""
+    if not fingerprint:
+        return Figures(df, _corrupt_rows=F.count(CORRUPT_COL), row_count=F.count(F.lit(1)))
+    pieces = hash_pieces(columns)
+    seen = Figures(df.select("*", *[c.alias(name) for name, c in pieces.items()]), _corrupt_rows=F.count(CORRUPT_COL), **piece_sums(columns))
+    seen.data = seen.data.drop(*pieces)
+    return seen
 
 
 def _write_lines(spark, path, columns, options, compression, staging, fingerprint) -> dict:
@@ -316,7 +354,7 @@ def ingest_csv(spark: SparkSession, path, dest: str, *, multi_line: bool | None
     fingerprint are observed while the table is written.
     """
     check_csv_name(spark, path)
-    facts = line_facts(spark, path, options).first()
+    facts = line_facts(spark, path, options)
     if not facts["header"]:
         raise IngestError(MSG_EMPTY)
     if not facts["same"]:

@@ -243,3 +243,41 @@ def test_row_ids_across_range_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r.row_id for r in rows] == list(range(len(expected)))
     assert [r.k for r in rows] == expected
+
+
+def test_file_facts_sort_no_lines(spark, tmp_path):
+    from ledgerlens.sources.csv_ingest import _file_facts, line_facts
+    up = tmp_path / "up load%20"
+    up.mkdir()
+    (up / "a.csv").write_text("")                                     # no line: the next file has the header
+    (up / "b.csv").write_text("\ufeffx,y\n1,2\n", encoding="utf-8")
+    (up / "c.csv").write_text('x,y\n"3,4\n5",6\nx,y\n')
+    assert line_facts(spark, str(up)) == {"header": "x,y", "same": True, "open_lines": 2}
+    (up / "d.csv").write_text("x,z\nx,y\n")
+    assert line_facts(spark, str(up))["same"] is False
+    plan = _file_facts(spark.read.text(str(up)), "x,y")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_fingerprint_hashes_a_row_once(spark):
+    from pyspark.sql import functions as F
+    from ledgerlens.sources.csv_ingest import CORRUPT_COL, _observed
+    from ledgerlens.sources.fingerprint import data_hash, dataset_fingerprint
+    cols = ["_p", "_p0", "b"]
+    df = spark.createDataFrame([("1", None, "x"), ("", "2", None)], "_p string, _p0 string, b string")
+    seen = _observed(df.withColumn(CORRUPT_COL, F.lit(None).cast("string")), cols, True)
+    assert "sha2" not in next(line for line in seen.data._jdf.queryExecution().optimizedPlan().toString().splitlines() if "CollectMetrics" in line)
+    assert seen.data.columns == [*cols, CORRUPT_COL]
+    seen.data.write.format("noop").mode("overwrite").save()
+    assert data_hash(cols, seen.get()) == dataset_fingerprint(df)
+
+
+def test_sorted_journal_deals_out_narrow_rows(spark):
+    from pyspark.sql import functions as F
+    from ledgerlens.sources import sample
+    sf = "/root/testdata/sf0.001"
+    got, raw = sample.journal_sorted(spark, sf), sample.journal_raw(spark, sf)
+    assert got.columns == raw.columns
+    assert got.collect() == raw.orderBy(*[F.col(c).asc_nulls_last() for c in raw.columns]).collect()
+    dealt = got._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "AS DocumentNo" in dealt and "AS AccountName" not in dealt
